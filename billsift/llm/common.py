@@ -81,6 +81,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that `df` does not have."""
+    names = {c.lower() for c in df.columns}
+    while base in names:
+        base += "_"
+    return base
+
+
 def lines_sha256(items: Column) -> Column:
     """Lowercase hex SHA-256 of an array of strings, comma-joined."""
     return F.sha2(F.concat_ws(",", items), 256)

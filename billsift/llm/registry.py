@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, secrets, sharding
+from . import decontamination, secrets, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": sharding.op1_sharding,
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_secrets": secrets.op3_secrets,
+        "op8_simhash": simhash.op8_simhash,
     }
 
 
