@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, secrets, sharding, simhash
+from . import bpe, chat, decontamination, language_id, secrets, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": sharding.op1_sharding,
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_secrets": secrets.op3_secrets,
+        "op6_bpe": bpe.op6_bpe,
+        "op7_chat": chat.op7_chat,
         "op8_simhash": simhash.op8_simhash,
+        "op9_language_id": language_id.op9_language_id,
     }
 
 
@@ -22,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_sharding": sharding.oracle_sql(),
         "op2_decontamination": decontamination.ORACLE_SQL,
+        "op7_chat": chat.ORACLE_SQL,
     }

@@ -1,15 +1,59 @@
-"""A corpus pipeline of the operators in billsift.llm."""
+"""A corpus pipeline: language ID, near-duplicates, decontamination, secrets, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's docs. All but the last keep the
+columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from billsift.llm import bpe, common, decontamination, language_id, secrets, simhash
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; profiles are learnt from the labelled ones among them."""
+    return language_id.keep_identified(docs, language_id.profiles(docs))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts and n_chars brought up to date."""
+    return secrets.mask_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents' ids: doc_id, lang, source, n_tokens, ids."""
+    tokenizer = bpe.default_tokenizer()
+    ids = bpe.encode_column(F.col("text"), tokenizer, bpe.lexicon(docs, tokenizer), spark)
+    return docs.select("doc_id", "lang", "source", ids.alias("ids")).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("language_id", identify),
+    ("near_dedup", drop_copies),
+    ("decontamination", drop_leaks),
+    ("secrets", hide_secrets),
+    ("bpe", tokenize),
+]
 
-STAGES: list = []
+#: SQL has no XXH64 and no BPE; tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), name)
     return docs
