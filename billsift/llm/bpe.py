@@ -240,6 +240,7 @@ def lexicon(docs: DataFrame, tokenizer: str, text: str = "text", words: int = LE
 
 def encode_column(text: str | Column, tokenizer: str, compiled: bytes, spark: SparkSession) -> Column:
     """The ids of each whole text, as array<int>; empty for a null or empty text."""
+    common.ship(spark)
     held = spark.sparkContext.broadcast((tokenizer, compiled))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -259,6 +260,7 @@ def encode_column(text: str | Column, tokenizer: str, compiled: bytes, spark: Sp
 
 def decode_column(ids: str | Column, tokenizer: str, spark: SparkSession) -> Column:
     """The text of each array of ids; bytes that are no UTF-8 become U+FFFD. Null ids give null; an id that the vocabulary lacks is an error."""
+    common.ship(spark)
     held = spark.sparkContext.broadcast(tokenizer)
 
     @F.arrow_udf(T.StringType())

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
@@ -25,12 +27,29 @@ def struct_of(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, as `--py-files` would."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        held = tempfile.mkdtemp(prefix="billsift-")
+        with zipfile.ZipFile(f"{held}/billsift.zip", "w") as out:
+            for p in sorted((root / "billsift").rglob("*.py")):
+                out.write(p, p.relative_to(root))
+        spark.sparkContext.addPyFile(f"{held}/billsift.zip")
+        _shipped.add(app)
+
+
 def text_udf(make: Callable[[], Callable], ddl: str):
     """An Arrow UDF over one text column that returns the struct `ddl`.
 
     `make()` runs once in each task and gives the function from a text (or None)
     to a tuple of the struct's fields, so models are built once a task.
     """
+    ship(SparkSession.getActiveSession())
     kind = struct_of(ddl)
     arrow = to_arrow_type(kind)
     names = kind.fieldNames()
@@ -50,6 +69,7 @@ def text_udf(make: Callable[[], Callable], ddl: str):
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], ddl: str) -> DataFrame:
     """`df.mapInArrow`, with `make()` run once a task; it turns a batch into dicts of column lists."""
+    ship(df.sparkSession)
     schema = to_arrow_schema(struct_of(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, language_id, secrets, sharding, simhash
+from . import bpe, chat, decontamination, html_extraction, language_id, secrets, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": sharding.op1_sharding,
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_secrets": secrets.op3_secrets,
+        "op4_html": html_extraction.op4_html,
         "op6_bpe": bpe.op6_bpe,
         "op7_chat": chat.op7_chat,
         "op8_simhash": simhash.op8_simhash,
