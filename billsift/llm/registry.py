@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, html_extraction, language_id, secrets, sharding, simhash
+from . import bpe, chat, decontamination, html_extraction, language_id, lm_scoring, secrets, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_secrets": secrets.op3_secrets,
         "op4_html": html_extraction.op4_html,
+        "op5_lm": lm_scoring.op5_lm,
         "op6_bpe": bpe.op6_bpe,
         "op7_chat": chat.op7_chat,
         "op8_simhash": simhash.op8_simhash,
