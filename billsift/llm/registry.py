@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, html_extraction, language_id, lm_scoring, secrets, sharding, simhash
+from . import bpe, chat, decontamination, html_extraction, language_id, lm_scoring, merkle, secrets, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat": chat.op7_chat,
         "op8_simhash": simhash.op8_simhash,
         "op9_language_id": language_id.op9_language_id,
+        "op10_merkle": merkle.op10_merkle,
     }
 
 
