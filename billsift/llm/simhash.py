@@ -8,9 +8,10 @@ fingerprints that meet at a variant are linked.
 
 - Texts are reduced to distinct fingerprints first, so copies cost one row.
 - A fingerprint is left out of the emission only if it provably has no partner:
-  of two fingerprints within four bits, one half differs in at most two bits, so
-  both emit a common one-bit variant of that 32-bit half. Fingerprints that meet
-  no other at any such key have no link.
+  of two fingerprints within four bits, two of three parts together differ in at
+  most two bits, so both have a common one-bit variant of those two parts (131
+  keys a fingerprint). Fingerprints that meet no other at any such key have no
+  link.
 - All that meet at one variant are within four bits of each other, so each links
   to the least of them: a group of m gives m - 1 links, never m * m. At most
   2081 fingerprints fit around a variant.
@@ -35,6 +36,8 @@ BALL = np.array(
     [0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i in range(64) for j in range(i)], dtype=np.uint64
 )
 EMIT_ROWS = 256
+#: The three parts of a fingerprint, as bits from and to.
+PARTS = ((0, 21), (21, 42), (42, 64))
 
 
 def hashes(text: str | None) -> np.ndarray:
@@ -69,21 +72,30 @@ def fingerprint_column(text: str | Column) -> Column:
     return common.text_udf(lambda: lambda text: (signed(fingerprint(text)),), "f long")(text)["f"]
 
 
-def _halves(prints: DataFrame) -> DataFrame:
-    """`prints` with one row for each one-bit variant of each half: (fp, half, key)."""
-    ones = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    high = F.shiftrightunsigned("fp", 32)
-    key = lambda half, value: F.transform(ones, lambda m: F.struct(F.lit(half).alias("half"), value.bitwiseXOR(m).alias("key")))
-    return prints.select("fp", F.explode(F.concat(key(0, low), key(1, high))).alias("k")).select("fp", "k.half", "k.key")
+def _part_keys(prints: DataFrame) -> DataFrame:
+    """(variant, fp): each fingerprint's one-bit variants of each two of its three parts, told apart by a constant."""
+    masks = [np.uint64(((1 << 64) - 1) ^ (((1 << (b - a)) - 1) << a)) for a, b in PARTS]
+    flips = [np.array([0] + [1 << i for i in range(64) if not a <= i < b], dtype=np.uint64) for a, b in PARTS]
+    tags = [np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)) for k in range(len(PARTS))]
+
+    def make():
+        def each(batch):
+            fps = batch.column("fp").to_numpy().view(np.uint64)
+            for at in range(0, len(fps), EMIT_ROWS * 16):
+                part = fps[at : at + EMIT_ROWS * 16]
+                for mask, flip, tag in zip(masks, flips, tags):
+                    keys = (part & mask)[:, None] ^ flip ^ tag
+                    yield {"variant": keys.ravel().view(np.int64), "fp": np.repeat(part.view(np.int64), len(flip))}
+
+        return each
+
+    return common.map_arrow(prints, make, "variant long, fp long")
 
 
 def with_partner(prints: DataFrame) -> DataFrame:
     """The fingerprints that may have another one within four bits; those that certainly have none are left out."""
-    keys = _halves(prints)
-    met = keys.groupBy("half", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    # Keys that two fingerprints meet at, joined back: the fingerprints that met any other.
-    return keys.join(met.select("half", "key"), ["half", "key"], "left_semi").select("fp").distinct()
+    met = _part_keys(prints).repartition("variant").sortWithinPartitions("variant", "fp")
+    return _stars(met).select(F.explode(F.array("a", "b")).alias("fp")).distinct()
 
 
 def _emit(prints: DataFrame) -> DataFrame:
@@ -129,7 +141,8 @@ def _stars(met: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b), a < b as longs: links between distinct fingerprints within four bits, at least a spanning tree of each component."""
-    met = _emit(with_partner(prints)).repartition("variant").sortWithinPartitions("variant", "fp")
+    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = _emit(with_partner(prints).repartition(spread, "fp")).repartition("variant").sortWithinPartitions("variant", "fp")
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     return _stars(met).distinct().where(far <= RADIUS)
 
