@@ -1,7 +1,26 @@
 """A session with the settings that the operators expect."""
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, as `--py-files` would."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        held = tempfile.mkdtemp(prefix="billsift-")
+        with zipfile.ZipFile(f"{held}/billsift.zip", "w") as out:
+            for p in sorted((root / "billsift").rglob("*.py")):
+                out.write(p, p.relative_to(root))
+        spark.sparkContext.addPyFile(f"{held}/billsift.zip")
+        _shipped.add(app)
+
 
 def session(app: str = "billsift", **conf: str) -> SparkSession:
     """UTC, adaptive execution with skewed-join splitting; `conf` adds or overrides (dots as `__`)."""
