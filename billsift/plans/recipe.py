@@ -45,7 +45,7 @@ def check_pattern(pattern: str) -> None:
         raise RecipeError("back references and lookaround are not allowed")
     if re.search(r"[+*]\)[+*{]|\}\)[+*]", pattern):
         raise RecipeError("nested unbounded quantifiers are not allowed")
-    if any(int(n) > MAX_QUANTIFIER for n in re.findall(r"\{\d*,?(\d+)\}", pattern)):
+    if any(int(n) > MAX_QUANTIFIER for q in re.findall(r"\{([\d,]+)\}", pattern) for n in q.split(",") if n):
         raise RecipeError(f"a quantifier is over {MAX_QUANTIFIER}")
 
 
