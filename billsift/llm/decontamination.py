@@ -14,11 +14,13 @@ are merged row by row, without a shuffle, so no item is ever left out.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
@@ -114,16 +116,14 @@ def _scan(held):
 
 
 def _rescan(held):
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kind = common.struct_of(FOUND)
 
     @F.arrow_udf(kind)
-    def run(texts: pa.Array, before: pa.Array) -> pa.Array:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         scan = scanner(automaton(held.value))
-        rows = [dict(zip(kind.fieldNames(), scan(t, b))) for t, b in zip(texts.to_pylist(), before.to_pylist())]
-        return pa.array(rows, type=to_arrow_type(kind))
+        for texts, before in batches:
+            rows = [dict(zip(kind.fieldNames(), scan(t, b))) for t, b in zip(texts.to_pylist(), before.to_pylist())]
+            yield pa.array(rows, type=to_arrow_type(kind))
 
     return run
 
