@@ -27,7 +27,7 @@ DEPTH = 300
 ORDERS = (1, 2, 3)
 MAX_LANGS = 1000
 WORD = re.compile(r"[^\W\d_]+")
-HELD = 2_000_000  # characters of words held by a task's memo before it starts anew
+HELD = 6_000_000  # characters of words held by a task's memo before it starts anew
 UNKNOWN = "und"
 #: The pipeline's least score: with less, a text has next to nothing in common with any profile.
 LEAST_SCORE = 0.05
