@@ -17,6 +17,7 @@ import itertools
 import json
 import mmap
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -34,6 +35,10 @@ LEXICON_WORDS = 32_768
 LEXICON_BYTES = 64
 MEMO_WORDS = 200_000
 MEMO_BYTES = 256
+SHORT_WORD = 64
+ID_BITS = 24
+NO_JOIN = 1 << 62
+ONE_BYTE = [bytes([b]) for b in range(256)]
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,7 +59,9 @@ class Tokenizer:
         self.added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self.ids = {raw(t): i for t, i in vocab.items() if t not in self.added}
         merges = [m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]]
-        self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(merges)}
+        self.bytes = [self.ids.get(bytes([b]), -1) for b in range(256)]
+        # Both ids to the rank and the joined id: the least value is the least rank.
+        self.joins = {self.ids[a] << ID_BITS | self.ids[b]: i << ID_BITS | self.ids[a + b] for i, (a, b) in enumerate((raw(a), raw(b)) for a, b in merges)}
         self.pieces: list[bytes] = [b""] * (1 + max([*self.ids.values(), *self.added.values()]))
         for piece, i in self.ids.items():
             self.pieces[i] = piece
@@ -74,27 +81,39 @@ class Tokenizer:
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """The ids of one word: the neighbours of least rank are joined, leftmost first, until none has a rank."""
-        if (whole := self.ids.get(word)) is not None and len(word) == 1:
-            return (whole,)
-        ranks = self.ranks
-        part: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-        n = len(part)
+        ids, join = [self.bytes[b] for b in word], self.joins.get
+        if len(ids) > SHORT_WORD:
+            return self.merge_long(ids)
+        ranks = [join(a << ID_BITS | b, NO_JOIN) for a, b in itertools.pairwise(ids)]
+        while ranks and (low := min(ranks)) != NO_JOIN:
+            i = ranks.index(low)
+            ids[i : i + 2] = (low & (1 << ID_BITS) - 1,)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = join(ids[i] << ID_BITS | ids[i + 1], NO_JOIN)
+            if i:
+                ranks[i - 1] = join(ids[i - 1] << ID_BITS | ids[i], NO_JOIN)
+        return tuple(ids)
+
+    def merge_long(self, part: list[int | None]) -> tuple[int, ...]:
+        """The same by a heap of joins, in time that a long word's length bounds but for a logarithm."""
+        n, join = len(part), self.joins.get
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i) for i in range(n - 1) if (r := ranks.get((part[i], part[i + 1]))) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := join(part[i] << ID_BITS | part[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i = heapq.heappop(heap)
-            if part[i] is None or (j := after[i]) >= n or ranks.get((part[i], part[j])) != r:
+            if part[i] is None or (j := after[i]) >= n or join(part[i] << ID_BITS | part[j]) != r:
                 continue  # one of the two has been joined to another meanwhile
-            part[i], part[j] = part[i] + part[j], None
+            part[i], part[j] = r & (1 << ID_BITS) - 1, None
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
-                if (r := ranks.get((part[i], part[after[j]]))) is not None:
+                if (r := join(part[i] << ID_BITS | part[after[j]])) is not None:
                     heapq.heappush(heap, (r, i))
-            if before[i] >= 0 and (r := ranks.get((part[before[i]], part[i]))) is not None:
+            if before[i] >= 0 and (r := join(part[before[i]] << ID_BITS | part[i])) is not None:
                 heapq.heappush(heap, (r, before[i]))
-        return tuple(self.ids[p] for p in part if p is not None)
+        return tuple(i for i in part if i is not None)
 
 
 def compile_lexicon(entries: Iterable[tuple[bytes, tuple[int, ...]]]) -> bytes:
@@ -160,49 +179,59 @@ class Lexicon:
         root, *sizes = np.frombuffer(self.map, "<u8", 8).tolist()
         at, kinds, arrays = 64, ("<u4", "u1", "u1", "<u4", "<u4", "<u4", "<u4"), []
         for n, kind in zip(sizes, kinds):
-            arrays.append((at, np.frombuffer(self.map, kind, n, at)))
-            at += arrays[-1][1].nbytes
+            step = np.dtype(kind).itemsize
+            arrays.append((at, memoryview(self.map)[at : at + n * step].cast("I" if step == 4 else "B")))
+            at += n * step
         self.root, self.states = root, sizes[1]
         (_, self.first), (_, self.end), (self.labels, _), (_, self.target), (_, self.output), (_, self.lens), (_, self.rows) = arrays
 
     def find(self, word: bytes) -> tuple[int, ...] | None:
         """The word's ids, or None if the lexicon lacks it."""
-        state, number, at = self.root, 0, self.labels
+        state, number, at, seek, first, target, output = self.root, 0, self.labels, self.map.find, self.first, self.target, self.output
         for b in word:
-            arc = self.map.find(b.to_bytes(), at + int(self.first[state]), at + int(self.first[state + 1])) - at
+            arc = seek(ONE_BYTE[b], at + first[state], at + first[state + 1]) - at
             if arc < 0:
                 return None
-            number += int(self.output[arc])
-            state = int(self.target[arc])
+            number += output[arc]
+            state = target[arc]
         return tuple(self.rows[self.lens[number] : self.lens[number + 1]].tolist()) if self.end[state] else None
 
 
+class Memo(dict):
+    """Words to their ids as packed int32: short words met lately, at most two lots of MEMO_WORDS."""
+
+    def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon):
+        self.tokenizer, self.lexicon, self.older = tokenizer, lexicon, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if (ids := self.older.get(word)) is None:
+            raw = word.encode()
+            ids = array("i", self.lexicon.find(raw) or self.tokenizer.merge(raw)).tobytes()
+            if len(raw) > MEMO_BYTES:
+                return ids
+        if len(self) >= MEMO_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
-    """Encodes texts one after the other and remembers the ids of short words, at most MEMO_WORDS of them."""
+    """Encodes texts one after the other."""
 
     def __init__(self, tokenizer: Tokenizer, compiled: bytes):
-        self.tokenizer, self.lexicon = tokenizer, Lexicon(compiled)
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        raw = word.encode()
-        ids = self.lexicon.find(raw) or self.tokenizer.merge(raw)
-        if len(raw) <= MEMO_BYTES:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            self.memo[word] = ids
-        return ids
+        self.tokenizer = tokenizer
+        self.memo = Memo(tokenizer, Lexicon(compiled))
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        memo, word = self.memo, self.word
+    def encode(self, text: str | None) -> np.ndarray:
+        """The text's ids, as int32."""
+        out: list[bytes] = []
         for part, special in self.tokenizer.parts(text or ""):
             if special is not None:
-                out.append(special)
+                out.append(np.int32(special).tobytes())
             else:
-                for w in self.tokenizer.words.findall(part):
-                    out += memo.get(w) or word(w)
-        return out
+                out.append(b"".join(map(self.memo.__getitem__, self.tokenizer.words.findall(part))))
+        return np.frombuffer(b"".join(out), np.int32)
 
 
 def word_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
@@ -234,7 +263,15 @@ def word_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFram
 def lexicon(docs: DataFrame, tokenizer: str, text: str = "text", words: int = LEXICON_WORDS) -> bytes:
     """The compiled lexicon of the `words` most frequent words of all texts (of at most LEXICON_BYTES letters; equal counts by word)."""
     own = Tokenizer(tokenizer)
-    top = word_counts(docs, tokenizer, text).orderBy(F.col("n").desc(), "word").limit(words).collect()
+    counts = common.written(word_counts(docs, tokenizer, text), "words")
+    # Only words at or above the power of two that the last of the frequent ones reaches are ranked: a few rows go to the driver.
+    power = F.floor(F.log2("n")).cast("int")
+    held, least = 0, 0
+    for row in sorted(counts.groupBy(power.alias("power")).agg(F.count("*").alias("held")).collect(), reverse=True):
+        held, least = held + row["held"], row["power"]
+        if held >= words:
+            break
+    top = counts.where(F.col("n") >= 1 << least).orderBy(F.col("n").desc(), "word").limit(words).collect()
     return compile_lexicon((raw, own.merge(raw)) for raw in (r["word"].encode() for r in top))
 
 
@@ -248,7 +285,7 @@ def encode_column(text: str | Column, tokenizer: str, compiled: bytes, spark: Sp
         source, lex = held.value
         encoder = Encoder(Tokenizer(source), lex)
         for batch in batches:
-            ids = [np.array(encoder.encode(t.as_py()), dtype=np.int32) for t in batch]
+            ids = [encoder.encode(t.as_py()) for t in batch]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
             if ends[-1] < 1 << 31:
                 yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
