@@ -33,7 +33,7 @@ from . import common
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LEXICON_WORDS = 32_768
 LEXICON_BYTES = 64
-MEMO_WORDS = 200_000
+MEMO_WORDS = 500_000
 MEMO_BYTES = 256
 SHORT_WORD = 64
 ID_BITS = 24
