@@ -500,7 +500,8 @@ def stream_dedup_lease(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     name = f"leased_{uuid.uuid4().hex}"
-    kept = state.leased(state.event_stream(spark, sf_dir), ["user_id", "event_type"]).select("event_id", "user_id", "event_type")
+    events = state.event_stream(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")
+    kept = state.leased(events, ["user_id", "event_type"], ties=["event_id"]).select("event_id", "user_id", "event_type")
     run = kept.writeStream.format("memory").queryName(name).trigger(availableNow=True).outputMode("append").start()
     run.awaitTermination()
     return spark.table(name)

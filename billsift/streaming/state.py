@@ -21,9 +21,41 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def leased(stream: DataFrame, keys: list[str], ts: str = "ts", lease_s: int = LEASE_S) -> DataFrame:
-    """One event of each key within a lease; its state goes when the watermark passes the lease."""
-    return stream.withWatermark(ts, f"{lease_s} seconds").dropDuplicatesWithinWatermark(keys)
+def leased(stream: DataFrame, keys: list[str], ts: str = "ts", lease_s: int = LEASE_S, ties: list[str] | None = None) -> DataFrame:
+    """The events of each key that no lease holds: a kept event holds its key from its time until `lease_s` seconds later.
+
+    A key's events of one batch are taken in order of time, then of `ties`; the order of keeping does not
+    depend on how the stream is cut into batches, as long as events come in order. An event that comes after
+    later ones is kept only if it also is no less than a lease before each kept one, so two kept events are
+    never closer than a lease. The state holds the kept times that events within the watermark, a lease long,
+    can still meet; then it goes. A key's events of one batch are gathered in one task.
+    """
+    ship(stream.sparkSession)
+    lease = lease_s * 1_000_000
+    ordered = ["_at", *(ties or [])]
+
+    def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = list(state.get[0]) if state.exists else []  # in order of time
+        rows = pd.concat(list(frames)).sort_values(ordered, kind="stable")
+        keep, starts, k = [], [], 0
+        for at in rows["_at"].tolist():
+            while k < len(before) and before[k] <= at:
+                k += 1
+            last = max(before[k - 1] if k else at - lease, starts[-1] if starts else at - lease)
+            free = at - last >= lease and (k == len(before) or before[k] - at >= lease)
+            keep.append(free)
+            if free:
+                starts.append(at)
+        watermark = state.getCurrentWatermarkMs()
+        state.update(([x for x in sorted(before + starts) if x + lease > watermark * 1000],))
+        state.setTimeoutTimestamp(max(max([*before, *starts]) // 1000 + lease_s * 1000, watermark) + 1)
+        yield rows[keep].drop(columns="_at")
+
+    named = stream.withWatermark(ts, f"{lease_s} seconds").withColumn("_at", F.unix_micros(ts))
+    return named.groupBy(*keys).applyInPandasWithState(run, stream.schema, "starts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def claims(stream: DataFrame, key: str, ts: str = "ts", action: str = "action", lease_s: int = LEASE_S) -> DataFrame:

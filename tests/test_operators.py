@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from billsift import queries
 from billsift.functions import content, transforms, values
 from billsift.operators import evidence, identity, inference, ledger, outcomes, ranking, retrieval
 from billsift.plans import recipe
@@ -159,3 +160,39 @@ def test_claims(spark, tmp_path):
     run.awaitTermination()
     got = [(r["key"], r["action"], r["granted"]) for r in spark.table("claims").orderBy("key", "ts").collect()]
     assert got == [("k", "claim", True), ("k", "claim", False), ("k", "claim", True), ("k", "accept", True), ("k", "claim", False), ("m", "claim", True), ("m", "release", True), ("m", "claim", True)]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_leases_end(spark, tmp_path, files):
+    """However the stream is cut into batches, an event is kept if and only if a lease since the last kept one of its key has passed."""
+    import random
+
+    rng = random.Random(files)
+    base = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
+    rows = sorted((rng.choice("abc"), s, i) for i, s in enumerate(rng.randrange(6000) for _ in range(300)))
+    rows += [("d", s, 1000 + s) for s in (0, 299, 300, 301, 600, 900, 9000)]
+    kept, until = set(), {}
+    for key, s, i in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        if s >= until.get(key, 0):
+            kept.add(i)
+            until[key] = s + 300
+    rows.sort(key=lambda r: (r[1], r[2]))
+    for k in range(files):
+        part = rows[len(rows) * k // files : len(rows) * (k + 1) // files]
+        spark.createDataFrame([(key, base + dt.timedelta(seconds=s), i) for key, s, i in part], "key string, ts timestamp, id long").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("key string, ts timestamp, id long").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
+    run = state.leased(stream, ["key"], ties=["id"]).writeStream.format("memory").queryName(f"leases{files}").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = [r["id"] for r in spark.table(f"leases{files}").collect()]
+    assert len(got) == len(kept) and set(got) == kept
+
+
+def test_lease_query(spark, sf_dir):
+    until, kept = {}, set()
+    rows = [(r["user_id"], r["event_type"], r["ts"].timestamp(), r["event_id"]) for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect()]
+    for user, kind, at, i in sorted(rows):
+        if at >= until.get((user, kind), 0):
+            kept.add(i)
+            until[user, kind] = at + 300
+    got = [r["event_id"] for r in queries.stream_dedup_lease(spark, sf_dir).collect()]
+    assert len(got) == len(kept) and set(got) == kept
