@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import transforms, urls, values
 from .operators import evidence, identity, inference, ledger, outcomes, ranking, retrieval
 from .plans import recipe
+from .session import shared_dir
 from .sources import scans
 from .streaming import state
 
@@ -496,15 +497,15 @@ def pagination_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_dedup_lease(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events deduplicated in a stream by user and type within a lease, run to its end into a table."""
+    """Events deduplicated in a stream by user and type within a lease, run to its end into a Parquet table in the shared folder."""
     import uuid
 
-    name = f"leased_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/leased-{uuid.uuid4().hex}"
     events = state.event_stream(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")
     kept = state.leased(events, ["user_id", "event_type"], ties=["event_id"]).select("event_id", "user_id", "event_type")
-    run = kept.writeStream.format("memory").queryName(name).trigger(availableNow=True).outputMode("append").start()
+    run = kept.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).outputMode("append").start(f"{path}/rows")
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(kept.schema).parquet(f"{path}/rows")
 
 
 # The flagship: invoices of orders with resolved evidence, identity and month

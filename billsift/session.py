@@ -22,6 +22,15 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="billsift-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
 def session(app: str = "billsift", **conf: str) -> SparkSession:
     """UTC, adaptive execution with skewed-join splitting; `conf` adds or overrides (dots as `__`)."""
     builder = SparkSession.builder.appName(app)

@@ -196,3 +196,10 @@ def test_lease_query(spark, sf_dir):
             until[user, kind] = at + 300
     got = [r["event_id"] for r in queries.stream_dedup_lease(spark, sf_dir).collect()]
     assert len(got) == len(kept) and set(got) == kept
+
+
+def test_lease_query_is_a_table_of_files(spark, sf_dir):
+    """The stream's rows are in the shared folder, not in the driver's memory."""
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    files = queries.stream_dedup_lease(spark, sf_dir).inputFiles()
+    assert files and all(f.removeprefix("file://").startswith(shared) for f in files)
