@@ -92,6 +92,64 @@ def test_secrets_structure():
     assert not secrets.scan(f"see {enc({'kid': 1})}.{enc({'sub': 'me'})}.c2ln there")
 
 
+def sec1(n):
+    """A made-up elliptic-curve key of `n` secret bytes."""
+    inner = b"\x02\x01\x01\x04" + bytes([n]) + bytes((37 * i + 5) % 256 for i in range(n))
+    return b"\x30" + bytes([len(inner)]) + inner
+
+
+@pytest.mark.parametrize("n", [30, 31, 32, 60])
+@pytest.mark.parametrize("form", ["prose after", "prose after, padded", "line before", "word before", "wrapped, prose after", "two", "alone"])
+def test_secrets_key_among_lines(n, form):
+    import base64
+    import textwrap
+
+    key = base64.b64encode(sec1(n)).decode()
+    bare, wrapped = key.rstrip("="), "\n".join(textwrap.wrap(base64.b64encode(sec1(n)).decode().rstrip("="), 44))
+    text, found = {
+        "prose after": (f"see {bare}\nThis is\nmore", [bare]), "prose after, padded": (f"see {key}\nThis is", [key]), "line before": (f"{'ab' * 32}\n{bare}\nThis is", [bare]),
+        "word before": (f"see my_{bare}\nThis", [bare]), "wrapped, prose after": (f"see {wrapped}\nThis\nis", [wrapped]), "two": (f"{bare}\n{bare}\nThis", [bare, bare]), "alone": (key, [key]),
+    }[form]
+    got = [text[a:b] for a, k, b in secrets.scan(text) if secrets.KINDS[k] == "encoded_key"]
+    assert got == found
+    assert not [k for _, k, _ in secrets.scan(text.replace(bare[:12], "A" * 12).replace(wrapped[:12], "A" * 12)) if secrets.KINDS[k] == "encoded_key"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n"])
+@pytest.mark.parametrize("headers", [[], ["Comment: mine", ""], ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF", ""]])
+def test_secrets_armour(end, headers):
+    import base64
+
+    data = bytes(range(7, 55)) if "DEK" in "".join(headers) else sec1(32)
+    block = lambda data: end.join(["-----BEGIN EC PRIVATE KEY-----", *headers, base64.b64encode(data).decode(), "-----END EC PRIVATE KEY-----"])
+    text = f'{{"key": "{block(data)}{end}"}}'
+    assert [text[a:b] for a, k, b in secrets.scan(text) if secrets.KINDS[k] == "private_key"] == [block(data)]
+    assert not [k for _, k, _ in secrets.scan(block(data[:-1])) if secrets.KINDS[k] == "private_key"]
+
+
+def test_secrets_deep_and_overlapping():
+    import base64
+    import json
+
+    text = sec1(32)
+    for level in range(8):
+        text = base64.b64encode(text) if level % 3 else base64.b64encode(text).hex().encode()
+        assert any(secrets.KINDS[k] in ("encoded_key", "hex_key") for _, k, _ in secrets.scan(f"see {text.decode()} there")), level
+    enc = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
+    good = f"{enc({'alg': 'HS256'})}.{enc({'sub': 'me'})}.c2ln"
+    text = f"see eyJub25l.{good} there"
+    assert [text[a:b] for a, k, b in secrets.scan(text) if secrets.KINDS[k] == "signed_token"] == [good]
+
+
+def test_secrets_long_runs_take_linear_time():
+    import base64
+    import time
+
+    began = time.time()
+    lines = base64.encodebytes(b"All work and no play makes Jack a dull boy.\n" * 20_000).decode()
+    assert not [k for _, k, _ in secrets.scan(lines) if k == 5] and time.time() - began < 20
+
+
 def test_lm_base(spark, sf_dir, texts):
     from collections import Counter
     from math import log10
