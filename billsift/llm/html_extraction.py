@@ -31,16 +31,23 @@ WIDTH = 1 << 13
 STEPS, RATE, DECAY = 120, 0.15, 1e-4
 OTHER, MAIN = 0, 1
 
-# HTML's tags without content, tags whose content is raw text, and tags within a line of text.
+# HTML's tags without content; tags whose content is never shown, of which those of ENDLESS go on to the end
+# of the page if nothing closes them; and tags within a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object canvas select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
+RAW = frozenset("script style textarea title template iframe noembed noframes".split())
+ENDLESS = frozenset("script style textarea title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img svg math object canvas noscript".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+# Drawings and formulas lie within a line; HTML's own tags end them, but for those in the parts that may hold HTML.
+FOREIGN, HOSTS = frozenset("svg math".split()), frozenset("foreignobject annotation-xml".split())
+ENDS_FOREIGN = CLOSES_P | frozenset("b big body br center code dd dt em embed head i img li meta nobr ruby s small span strong strike sub sup tt u var".split())
+UNSHOWN = frozenset("annotation annotation-xml defs desc metadata symbol".split())
 # Tags that end an open one of the same kind.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table article section div main aside nav body form".split())
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.DOTALL)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+READ = frozenset("class id role aria-label itemprop hidden style".split())
 NAME = re.compile(r"[a-z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
 
@@ -57,7 +64,7 @@ class Block:
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page, in order, with character references decoded and white space made single.
 
-    Tags need no closing ones; broken markup is read as far as it goes. Content of raw-text tags
+    Tags need no closing ones; broken markup is read as far as it goes. Content that is never shown
     (scripts, styles and the like), comments and hidden elements give no blocks.
     """
     out: list[Block] = []
@@ -67,6 +74,7 @@ def blocks_of(page: str | None) -> list[Block]:
     page = page or ""
     at = 0
     inside = 0  # open links
+    drawn = 0  # open drawings and formulas
 
     def flush() -> None:
         nonlocal linked
@@ -78,9 +86,10 @@ def blocks_of(page: str | None) -> list[Block]:
         linked = 0
 
     def pop_to(k: int) -> None:
-        nonlocal inside
+        nonlocal inside, drawn
         for tag, _, _ in stack[k:]:
             inside -= tag == "a"
+            drawn -= tag in FOREIGN
         del stack[k:]
 
     while m := PIECE.match(page, at):
@@ -98,12 +107,18 @@ def blocks_of(page: str | None) -> list[Block]:
         if not closing and tag in RAW:
             if not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else len(page)
+                at = end.end() if end else len(page) if tag in ENDLESS else at
             continue
+        foreign = next((i for i, (t, _, _) in enumerate(stack) if t in FOREIGN and not any(u in HOSTS for u, _, _ in stack[i:])), None) if drawn else None
+        if foreign is not None and tag in ENDS_FOREIGN and not closing:
+            pop_to(foreign)
+            foreign = None
         if tag == "br":
             parts.append(" ")
             continue
-        if tag not in INLINE:
+        if foreign is not None and tag == "text":
+            parts.append(" ")
+        if tag not in INLINE and (foreign is None or closing and tag in ENDS_FOREIGN):
             flush()
         if closing:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
@@ -121,18 +136,23 @@ def blocks_of(page: str | None) -> list[Block]:
                     break
                 if stack[i][0] in SCOPES:
                     break
-        if tag in VOID:
+        if tag in VOID or (foreign is not None or tag in FOREIGN) and m[3].endswith("/"):
             continue
         names: list[str] = []
-        hidden = False
+        hidden = foreign is not None and tag in UNSHOWN
         if m[3] and not m[3].isspace():
+            seen: set[str] = set()
             for a in ATTRIBUTE.finditer(m[3]):
                 key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+                if key not in READ or key in seen:
+                    continue
+                seen.add(key)
                 if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value):
                     hidden = True
                 elif key != "style":
                     names += NAME.findall(value)
         inside += tag == "a"
+        drawn += tag in FOREIGN
         stack.append((tag, tuple(names), hidden))
     flush()
     return out

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from billsift.llm import chat, decontamination, language_id, lm_scoring, merkle, registry, secrets, sharding, simhash
+from billsift.llm import chat, decontamination, html_extraction, language_id, lm_scoring, merkle, registry, secrets, sharding, simhash
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -150,6 +150,19 @@ def test_secrets_long_runs_take_linear_time():
     assert not [k for _, k, _ in secrets.scan(lines) if k == 5] and time.time() - began < 20
 
 
+@pytest.mark.parametrize("page, found", [
+    ('<p>See <a href="/hidden-gems">these gems</a> now</p>', ["See these gems now"]), ('<p aria-hidden="false">shown</p>', ["shown"]), ('<article data-title="The Hidden Life"><p>one<p>two</article>', ["one", "two"]),
+    ("<p class=hidden-x data-hidden>shown</p>", ["shown"]), ("<p hidden>not</p><p HIDDEN=''>not</p><p title='a' hidden/>not</p><p style='color:red; display: none'>not</p><p data-style='display:none'>shown</p>", ["shown"]),
+    *[(f"<p>one</p><{t}><p>two</p><p>three</p>", ["one", "two", "three"]) for t in ("svg", "math", "object", "canvas", "select", "noscript", "template", "iframe")],
+    ("<p>one</p><svg><path d='M0'><p>two</p><p>three</p>", ["one", "two", "three"]), ("<div><svg><g></div><p>two</p><p>three</p>", ["two", "three"]),
+    *[(f"<p>one</p><{t}>two", ["one"]) for t in ("script", "style", "textarea", "title")],
+    ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>TeX</annotation></math> then</p>", ["if x=1 then"]), ("<p>an <svg viewBox='0 0 1 1'><path d='M0 0'/><g><path d='M1'></path></g></svg> icon</p><p>next</p>", ["an icon", "next"]),
+    ("<p>a <object data=x>fallback</object> text</p><noscript><p>plain</p></noscript>", ["a fallback text", "plain"]), ("<svg><text>A</text><text>B</text></svg><p>c", ["A B", "c"]),
+])
+def test_html_keeps_what_is_shown(page, found):
+    assert [b.text for b in html_extraction.blocks_of(page)] == found
+
+
 def test_lm_base(spark, sf_dir, texts):
     from collections import Counter
     from math import log10
