@@ -177,6 +177,50 @@ def test_lm_base(spark, sf_dir, texts):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) and r["score"] < 0
 
 
+def test_lm_learns_over_words(spark):
+    """Words in the order that was learnt score better than the same words in another, also beyond the size of a part."""
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    text = " ".join(words * 30)
+    other = words[:]
+    rng.shuffle(other)
+    docs = spark.createDataFrame([(i, text, True) for i in range(20)] + [(100, text, False), (101, " ".join(other * 30), False)], "doc_id long, text string, learn boolean")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, F.col("learn")).collect()}
+    assert got[100] > 0.5 * got[101]
+
+
+def test_lm_parts_carry_contexts(monkeypatch):
+    """Cut into parts or not, a text's bits have the same contexts; those see over blanks."""
+    import numpy as np
+
+    tree = lm_scoring.Tree(np.arange(lm_scoring.SYMBOLS))
+    for text in (b"", b" ", b"one two  three four " * 9 + b"x" * 300 + b" end", b"y" * 500, b" a b c d" * 40):
+        whole = lm_scoring.events(tree, [*lm_scoring.parts_of(b"before this"), *lm_scoring.parts_of(text)])
+        slots = np.stack(whole[1])[:, whole[0] == 1]
+        for size in (1, 3, 7, 64):
+            monkeypatch.setattr(lm_scoring, "PART", size)
+            cut = lm_scoring.events(tree, list(lm_scoring.parts_of(text)))
+            monkeypatch.undo()
+            assert (np.stack(cut[1]) == slots).all() and (cut[2] == whole[2][whole[0] == 1]).all() and (cut[3] == whole[3][whole[0] == 1]).all()
+    a, b = (lm_scoring.events(tree, [lm_scoring.Part(t)])[1] for t in (b"one same same", b"two same same"))
+    end = slice(-int(tree.size[lm_scoring.END]), None)
+    assert all((x[end] == y[end]).all() for x, y in zip(a, b))  # two words back no more
+    a, b = (lm_scoring.events(tree, [lm_scoring.Part(t)])[1] for t in (b"one same", b"two same"))
+    assert (a[4][end] == b[4][end]).all() and (a[5][end] != b[5][end]).any()
+
+
+def test_lm_counts_are_exact():
+    """Counts that no float32 holds stay exact."""
+    import numpy as np
+
+    for top in (200, 60_000, (1 << 24) + 1, (1 << 40) + 1):
+        counts = np.zeros(lm_scoring.SEGMENT * 2, np.int64)
+        counts[3] = top
+        assert (lm_scoring._unpacked(lm_scoring._packed(counts)) == counts).all()
+
+
 def test_bpe_round_trip(spark, sf_dir, texts):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
