@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
@@ -75,6 +76,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all members of groups that begin at `start` and have `size` members, one group after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that `df` does not have."""
     names = {c.lower() for c in df.columns}

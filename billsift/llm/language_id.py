@@ -7,15 +7,18 @@ out-of-place distance adds up how far each n-gram's rank is from its rank in
 the profile, and the full depth for an n-gram that the profile lacks. The
 language of least distance is predicted.
 
+An n-gram is one whole number (three code points of 21 bits, a blank is zero),
+so a text's n-grams are counted by a sort, without a memory of words. Texts are
+read whole, some CHUNK letters at a time.
+
 Profiles hold DEPTH n-grams a language, so their size has a bound whatever the
-corpus: word counts by language are made over all training rows by Spark, and
-only the profiles come to the driver. More than MAX_LANGS languages are an error.
+corpus: n-grams are counted over all training rows by Spark, and only the
+profiles come to the driver. More than MAX_LANGS languages are an error.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,73 +27,111 @@ from pyspark.sql import functions as F
 from . import common
 
 DEPTH = 300
-ORDERS = (1, 2, 3)
 MAX_LANGS = 1000
-WORD = re.compile(r"[^\W\d_]+")
-HELD = 6_000_000  # characters of words held by a task's memo before it starts anew
+CHUNK = 1 << 18
+#: A training task sends its counts on when it holds so many different n-grams.
+HELD = 500_000
+BITS = 21  # of a code point
+PAIR = 1 << 62
 UNKNOWN = "und"
 #: The pipeline's least score: with less, a text has next to nothing in common with any profile.
 LEAST_SCORE = 0.05
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
-
-def ngrams(word: str) -> list[str]:
-    if not any(map(str.isalpha, word)):  # numerals such as a raised two
-        return []
-    padded = f" {word} "
-    return [g for n in ORDERS for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " "]
-
-
-def _word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, word, n), summed within tasks before the shuffle."""
+@cache
+def letters() -> np.ndarray:
+    """Of each code point whether it is a letter."""
+    return np.fromiter((not 0xD800 <= i < 0xE000 and chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def ngrams_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a text, in order of their numbers, and how often each occurs. Upper case counts as lower."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not text:
+        return none
+    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = letters().take(code)
+    # blanks between words are made single: a blank counts only behind a letter
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    code = np.where(letter, code, 0)[keep].astype(np.int64)
+    if not len(code):
+        return none
+    code = np.concatenate([[0], code, [0] * (1 + int(code[-1] != 0))])
+    parts = []
+    for at in range(0, len(code), CHUNK):
+        part = code[at : at + CHUNK + 2]
+        first, second, third = part[:CHUNK], part[1 : CHUNK + 1], part[2:]
+        two = (first[: len(second)] << BITS) | second
+        three = (two[: len(third)] << BITS) | third
+        # no n-gram is of blanks alone, and no three letters go over a blank; a pair is told from the others by its top bit
+        every = np.concatenate([first[first > 0], two[two > 0] | PAIR, three[second[: len(third)] > 0]])
+        every.sort()
+        parts.append(runs(every, None))
+    return merged(parts)
+
+
+def runs(key: np.ndarray, times: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of sorted keys, and how often each occurs or the sum of its times."""
+    if not len(key):
+        return key, np.zeros(0, np.int64)
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[new], np.diff(np.append(new, len(key))) if times is None else np.add.reduceat(times, new)
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of counts of n-grams."""
+    if len(parts) == 1:
+        return parts[0]
+    key, times = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    return runs(key[order], times[order])
+
+
+def shown(gram: int) -> str:
+    """An n-gram's letters; `_` is the blank."""
+    size = 2 if gram & PAIR else 3 if gram >> BITS else 1
+    return "".join(chr(c) if (c := gram >> BITS * i & (1 << BITS) - 1) else "_" for i in reversed(range(size)))
+
+
+def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, gram, n) of the rows whose language and text are not null, summed within tasks before the shuffle."""
 
     def make():
-        held: dict[str, Counter] = defaultdict(Counter)
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def flush():
-            for key, words in held.items():
-                yield {"lang": [key] * len(words), "word": list(words), "n": list(words.values())}
+            for key, (grams, n) in held.items():
+                yield {"lang": [key] * len(grams), "gram": grams, "n": n}
             held.clear()
 
         def each(batch):
+            waiting: dict[str, list] = {}
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[key].update(words_of(value))
-            if sum(map(len, held.values())) > HELD // 8:
+                own = waiting.setdefault(key, [])
+                own.append(ngrams_of(value))
+                if len(own) >= 256:
+                    waiting[key] = [merged(own)]
+            for key, own in waiting.items():
+                held[key] = merged([*own, *([held[key]] if key in held else [])])
+            if sum(len(grams) for grams, _ in held.values()) > HELD:
                 yield from flush()
 
         each.rest = flush
         return each
 
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text)
-    return common.map_arrow(rows, make, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return common.map_arrow(rows, make, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", depth: int = DEPTH) -> dict[str, list[str]]:
-    """Language -> its `depth` most frequent n-grams, most frequent first (equal counts by n-gram).
+def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", depth: int = DEPTH) -> dict[str, list[int]]:
+    """Language -> its `depth` most frequent n-grams, most frequent first (equal counts by the n-gram's number).
 
     Learnt from all rows whose language and text are not null; no such rows give no profiles.
     """
-
-    def make():
-        def each(batch):
-            counts: dict[str, Counter] = defaultdict(Counter)
-            for key, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                own = counts[key]
-                for g in ngrams(word):
-                    own[g] += n
-            for key, own in counts.items():
-                yield {"lang": [key] * len(own), "gram": list(own), "n": list(own.values())}
-
-        return each
-
-    grams = common.map_arrow(_word_counts(docs, text, lang), make, "lang string, gram string, n long")
-    counts = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
-    out: dict[str, list[str]] = {}
+    top = ngram_counts(docs, text, lang).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
+    out: dict[str, list[int]] = {}
     for r in top.orderBy("lang", "rank").limit(MAX_LANGS * depth + 1).toLocalIterator():
         out.setdefault(r["lang"], []).append(r["gram"])
     if len(out) > MAX_LANGS:
@@ -99,45 +140,15 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", depth: int
 
 
 class Identifier:
-    """Predicts (language, score) of texts, one after the other; remembers the n-grams of words it has met."""
+    """Predicts (language, score) of texts, one after the other."""
 
-    def __init__(self, learnt: dict[str, list[str]], depth: int = DEPTH):
+    def __init__(self, learnt: dict[str, list[int]], depth: int = DEPTH):
         self.langs, self.depth = sorted(learnt), depth
-        self.ids: dict[str, int] = {}
-        self.words: dict[str, np.ndarray] = {}
-        self.size = 0
-        for lang in self.langs:
-            for g in learnt[lang]:
-                self.ids.setdefault(g, len(self.ids))
-        self.known = len(self.ids)
-        # rank of each n-gram in each profile; the depth stands for "not in it"
-        self.place = np.full((self.known + 1, len(self.langs)), depth, dtype=np.int32)
-        self.inside = np.zeros((self.known + 1, len(self.langs)), dtype=bool)
-        for k, lang in enumerate(self.langs):
-            for rank, g in enumerate(learnt[lang]):
-                self.place[self.ids[g], k], self.inside[self.ids[g], k] = rank, True
-
-    def grams_of(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is None:
-            ids = self.ids
-            found = np.array([ids.setdefault(g, len(ids)) for g in ngrams(word)], dtype=np.int64)
-            self.words[word] = found
-            self.size += len(word) + 8
-        return found
-
-    def counts(self, text: str) -> np.ndarray:
-        """How often each n-gram id occurs in the text."""
-        words = Counter(words_of(text))
-        if self.size > HELD:
-            self.words.clear()
-            self.ids = dict(list(self.ids.items())[: self.known])
-            self.size = 0
-        parts = [self.grams_of(w) for w in words]
-        if not parts:
-            return np.zeros(0)
-        times = np.repeat(np.fromiter(words.values(), dtype=np.float64), [len(p) for p in parts])
-        return np.bincount(np.concatenate(parts), weights=times)
+        entries = sorted((g, k, rank) for k, lang in enumerate(self.langs) for rank, g in enumerate(learnt[lang]))
+        grams, self.lang, self.rank = (np.array(x, np.int64) for x in zip(*entries)) if entries else (np.zeros(0, np.int64) for _ in range(3))
+        # the n-grams of all profiles, and where the entries of each begin
+        self.known, start = np.unique(grams, return_index=True)
+        self.start = np.append(start, len(grams))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """`und` and 0 for a text that is null or has no letter, or where nothing was learnt.
@@ -146,28 +157,36 @@ class Identifier:
         those of rank below the depth count. The score is 1 less the distance's share of the largest
         possible one. Of languages at equal distance the first in alphabetical order is taken.
         """
-        counts = self.counts(text) if text else np.zeros(0)
-        met = np.flatnonzero(counts)
-        if not len(met) or not self.langs:
+        grams, times = ngrams_of(text)
+        if not len(grams) or not self.langs:
             return UNKNOWN, 0.0
-        found = counts[met]
-        falling = np.sort(found)[::-1]
-        rank = np.searchsorted(-falling, -found, side="left")
+        falling = np.sort(-times)
+        rank = np.searchsorted(falling, -times, side="left")
         top = rank < self.depth
-        ids, rank = np.minimum(met[top], self.known), rank[top]
-        apart = np.where(self.inside[ids], np.abs(self.place[ids] - rank[:, None]), self.depth).sum(axis=0)
+        grams, rank = grams[top], rank[top]
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        met = self.known[at] == grams
+        at, own = at[met], rank[met]
+        # each entry of a profile that the document has brings its distance down from the depth
+        n = self.start[at + 1] - self.start[at]
+        entry = common.ragged(self.start[at], n)
+        nearer = self.depth - np.abs(self.rank[entry] - np.repeat(own, n))
+        apart = self.depth * len(grams) - np.bincount(self.lang[entry], weights=nearer, minlength=len(self.langs))
         best = int(np.argmin(apart))
-        return self.langs[best], 1.0 - float(apart[best]) / (self.depth * len(ids))
+        return self.langs[best], 1.0 - float(apart[best]) / (self.depth * len(grams))
 
 
-def predict_column(text: str | Column, learnt: dict[str, list[str]], spark: SparkSession, depth: int = DEPTH) -> Column:
+def predict_column(text: str | Column, learnt: dict[str, list[int]], spark: SparkSession, depth: int = DEPTH) -> Column:
     """A struct (lang, score) for each text; see Identifier.predict for what its values mean."""
     held = spark.sparkContext.broadcast(learnt)
     return common.text_udf(lambda: Identifier(held.value, depth).predict, "lang string, score double")(text)
 
 
-def keep_identified(docs: DataFrame, learnt: dict[str, list[str]], text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows with a known language and at least the score `least`; all columns stay as they are."""
+def keep_identified(docs: DataFrame, learnt: dict[str, list[int]], text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows with a known language and at least the score `least`; all columns stay as they are.
+
+    A null, empty or letterless text is of no known language; neither is any text where nothing was learnt.
+    """
     found = predict_column(F.col(text), learnt, docs.sparkSession)
     return docs.where((found["lang"] != UNKNOWN) & (found["score"] >= least))
 
