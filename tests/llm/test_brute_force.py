@@ -195,7 +195,7 @@ def test_lm_parts_carry_contexts(monkeypatch):
     """Cut into parts or not, a text's bits have the same contexts; those see over blanks."""
     import numpy as np
 
-    tree = lm_scoring.Tree(np.arange(lm_scoring.SYMBOLS))
+    tree = lm_scoring.Trees(np.arange(lm_scoring.SYMBOLS**2).reshape(lm_scoring.SYMBOLS, -1))
     for text in (b"", b" ", b"one two  three four " * 9 + b"x" * 300 + b" end", b"y" * 500, b" a b c d" * 40):
         whole = lm_scoring.events(tree, [*lm_scoring.parts_of(b"before this"), *lm_scoring.parts_of(text)])
         slots = np.stack(whole[1])[:, whole[0] == 1]
@@ -205,7 +205,7 @@ def test_lm_parts_carry_contexts(monkeypatch):
             monkeypatch.undo()
             assert (np.stack(cut[1]) == slots).all() and (cut[2] == whole[2][whole[0] == 1]).all() and (cut[3] == whole[3][whole[0] == 1]).all()
     a, b = (lm_scoring.events(tree, [lm_scoring.Part(t)])[1] for t in (b"one same same", b"two same same"))
-    end = slice(-int(tree.size[lm_scoring.END]), None)
+    end = slice(-int(tree.size[ord("e") * lm_scoring.SYMBOLS + lm_scoring.END]), None)
     assert all((x[end] == y[end]).all() for x, y in zip(a, b))  # two words back no more
     a, b = (lm_scoring.events(tree, [lm_scoring.Part(t)])[1] for t in (b"one same", b"two same"))
     assert (a[4][end] == b[4][end]).all() and (a[5][end] != b[5][end]).any()
