@@ -14,11 +14,13 @@ of the sample. The trained weights have a fixed size and are broadcast.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import html
 import random
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,144 +47,274 @@ UNSHOWN = frozenset("annotation annotation-xml defs desc metadata symbol".split(
 # Tags that end an open one of the same kind.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table article section div main aside nav body form".split())
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.DOTALL)
+# Tags that features name; all others are one kind to them.
+NAMED = VOID | RAW | INLINE | CLOSES_P | ENDS_FOREIGN | frozenset("html head body button label select option optgroup legend tr td th thead tbody tfoot caption colgroup video audio picture iframe template slot dialog output progress meter".split())
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 READ = frozenset("class id role aria-label itemprop hidden style".split())
 NAME = re.compile(r"[a-z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
 
 
-class Block:
-    """A leaf block: its text and what the features need."""
+class Node:
+    """An open element as features see it: what it adds to the ancestors' tags and names, which later ones share.
+
+    `tag` and `above` are the last two tags on the way to it that are not within a line, `tags` all of them and `before`
+    all but the last. Sets hold tags of NAMED only, so their size has a bound; `added` has what no ancestor has.
+    """
 
-    __slots__ = ("linked", "names", "tags", "text")
+    __slots__ = ("above", "added", "before", "named", "parent", "tag", "tags", "total")
+
+    def __init__(self, parent: Node | None, tag: str | None, names: Sequence[str]):
+        self.parent, self.total = parent, None
+        self.tag, self.above, self.tags, self.before, self.named = ("-", None, frozenset(), frozenset(), False) if parent is None else (parent.tag, parent.above, parent.tags, parent.before, parent.named)
+        added = [f"name:{x}" for x in names]
+        if tag is not None:
+            self.above, self.before = self.tag if parent is not None and self.tags else None, self.tags
+            self.tag = tag
+            if tag not in self.tags:
+                self.tags |= {tag}
+                added.append(f"in:{tag}")
+        self.added = tuple(added)
+
+    def score(self, weights: np.ndarray) -> float:
+        """The weights of all that it and its ancestors add; each element is summed once."""
+        way, node = [], self
+        while node is not None and node.total is None:
+            way.append(node)
+            node = node.parent
+        total = 0.0 if node is None else node.total
+        for node in reversed(way):
+            for name in node.added:
+                total += float(weights[_slot(name)])
+            node.total = total
+        return total
 
-    def __init__(self, text: str, linked: int, tags: tuple[str, ...], names: tuple[str, ...]):
-        self.text, self.linked, self.tags, self.names = text, linked, tags, names
+
+class Block:
+    """A leaf block: its text, how much of it is linked, and the element that it is in."""
+
+    __slots__ = ("linked", "node", "text")
+
+    def __init__(self, text: str, linked: int, node: Node):
+        self.text, self.linked, self.node = text, linked, node
+
+
+class Stack:
+    """The open elements, with the places of each tag, so that none is searched for from the top."""
+
+    def __init__(self):
+        self.open: list[tuple[str, bool, Node, tuple[str, ...]]] = []
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.names: set[str] = set()
+        self.hidden = 0
+        self.root = Node(None, None, ())
+
+    def node(self) -> Node:
+        return self.open[-1][2] if self.open else self.root
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of one of the tags; -1 for none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def foreign(self) -> int:
+        """The place of the outermost drawing or formula that no part that may hold HTML stands in; -1 for none."""
+        host = self.last(HOSTS)
+        found = [places[i] for t in FOREIGN if (places := self.at.get(t)) and (i := bisect.bisect(places, host)) < len(places)]
+        return min(found, default=-1)
+
+    def push(self, tag: str, names: Sequence[str], hidden: bool) -> None:
+        new = tuple(dict.fromkeys(x for x in names if x not in self.names))
+        self.names.update(new)
+        node = Node(self.node(), None if tag in INLINE else tag if tag in NAMED else "other", new)
+        node.named = node.named or bool(names)
+        if tag in SCOPES:
+            self.scopes.append(len(self.open))
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, hidden, node, new))
+        self.hidden += hidden
+
+    def pop_to(self, k: int) -> None:
+        while len(self.open) > k:
+            tag, hidden, _, new = self.open.pop()
+            self.at[tag].pop()
+            self.names.difference_update(new)
+            self.hidden -= hidden
+        while self.scopes and self.scopes[-1] >= k:
+            self.scopes.pop()
+
+
+class Ends:
+    """Where a page's tags and unshown contents end; what was not found once is not sought again."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+        self.missing: set[str] = set()
+
+    def of_tag(self, at: int) -> int:
+        """The place of the `>` that ends a tag: the first one outside of quoted values (or at all, once a quote has no end); -1 for none."""
+        i = at
+        while self.quotes and (m := QUOTE_OR_END.search(self.page, i)):
+            if m[0] == ">":
+                return m.start()
+            i = m.end()
+            if self.page[at : m.start()].rstrip()[-1:] == "=":
+                i = self.page.find(m[0], i) + 1
+                self.quotes = i > 0
+        return self.page.find(">", at)
+
+    def of_content(self, tag: str, at: int) -> int:
+        """Where the page goes on behind content that is never shown; -1 if nothing closes it."""
+        if tag in self.missing:
+            return -1
+        m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(self.page, at)
+        if not m:
+            self.missing.add(tag)
+        return m.end() if m else -1
+
+
+def read_attributes(text: str) -> tuple[list[str], bool]:
+    """The words of the attributes that features read, and whether the element is hidden."""
+    names: list[str] = []
+    hidden = False
+    seen: set[str] = set()
+    for a in ATTRIBUTE.finditer(text):
+        key = a[1].lower()
+        if key not in READ or key in seen:
+            continue
+        seen.add(key)
+        value = (a[2] or a[3] or a[4] or "").lower()
+        if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value):
+            hidden = True
+        elif key != "style":
+            names += NAME.findall(value)
+    return names, hidden
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page, in order, with character references decoded and white space made single.
 
-    Tags need no closing ones; broken markup is read as far as it goes. Content that is never shown
-    (scripts, styles and the like), comments and hidden elements give no blocks.
+    Tags need no closing ones; broken markup is read as browsers do, in time linear in the page's length. Content that
+    is never shown (scripts, styles and the like), comments and hidden elements give no blocks.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
-    parts: list[str] = []
-    linked = 0
+    stack, parts, linked = Stack(), [], 0
     page = page or ""
-    at = 0
-    inside = 0  # open links
-    drawn = 0  # open drawings and formulas
+    ends = Ends(page)
 
     def flush() -> None:
         nonlocal linked
         text = SPACE.sub(" ", html.unescape("".join(parts)).replace("\x00", " ")).strip()
         if text:
-            tags = tuple(t for t, _, _ in stack if t not in INLINE)
-            out.append(Block(text, linked, tags, tuple(n for _, names, _ in stack for n in names)))
+            out.append(Block(text, linked, stack.node()))
         parts.clear()
         linked = 0
 
-    def pop_to(k: int) -> None:
-        nonlocal inside, drawn
-        for tag, _, _ in stack[k:]:
-            inside -= tag == "a"
-            drawn -= tag in FOREIGN
-        del stack[k:]
-
-    while m := PIECE.match(page, at):
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            piece = m[0]
-            if piece[0] == "<" and len(piece) > 1:
-                continue
-            if not any(hidden for _, _, hidden in stack):
-                parts.append(piece)
-                linked += len(piece) if inside else 0
+    def show(piece: str) -> None:
+        nonlocal linked
+        if piece and not stack.hidden:
+            parts.append(piece)
+            linked += len(piece) if stack.at.get("a") else 0
+
+    def behind(mark: str, at: int) -> int:
+        found = page.find(mark, at)
+        return len(page) if found < 0 else found + len(mark)
+
+    at = 0
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            show(page[at:])
+            break
+        show(page[at:start])
+        if page.startswith("<!--", start):
+            at = behind("-->", start + 4)
             continue
-        tag, closing = tag.lower(), bool(m[1])
-        if not closing and tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else len(page) if tag in ENDLESS else at
+        if page.startswith("<![CDATA[", start):
+            at = behind("]]>", start + 9)
             continue
-        foreign = next((i for i, (t, _, _) in enumerate(stack) if t in FOREIGN and not any(u in HOSTS for u, _, _ in stack[i:])), None) if drawn else None
-        if foreign is not None and tag in ENDS_FOREIGN and not closing:
-            pop_to(foreign)
-            foreign = None
-        if tag == "br":
-            parts.append(" ")
+        if page[start + 1 : start + 2] in ("!", "?"):
+            at = behind(">", start + 2)
+            continue
+        m = TAG.match(page, start)
+        if not m:
+            show("<")
+            at = start + 1
+            continue
+        end = ends.of_tag(m.end())
+        if end < 0:
+            break  # a tag that never ends
+        at = end + 1
+        tag, closing, inner = m[2].lower(), bool(m[1]), page[m.end() : end]
+        if not closing and tag in RAW:
+            if not inner.rstrip().endswith("/"):
+                found = ends.of_content(tag, at)
+                at = found if found >= 0 else len(page) if tag in ENDLESS else at
             continue
-        if foreign is not None and tag == "text":
+        foreign = stack.foreign() if stack.at else -1
+        if foreign >= 0 and tag in ENDS_FOREIGN and not closing:
+            stack.pop_to(foreign)
+            foreign = -1
+        if tag == "br" or foreign >= 0 and tag == "text":
             parts.append(" ")
-        if tag not in INLINE and (foreign is None or closing and tag in ENDS_FOREIGN):
+            if tag == "br":
+                continue
+        if tag not in INLINE and (foreign < 0 or closing and tag in ENDS_FOREIGN):
             flush()
         if closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
-                pop_to(k)
+            if stack.at.get(tag):
+                stack.pop_to(stack.at[tag][-1])
             continue
-        if tag in CLOSES_P:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if k is not None and not any(t in SCOPES for t, _, _ in stack[k:]):
-                pop_to(k)
-        if tag in SIBLINGS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SIBLINGS[tag]:
-                    pop_to(i)
-                    break
-                if stack[i][0] in SCOPES:
-                    break
-        if tag in VOID or (foreign is not None or tag in FOREIGN) and m[3].endswith("/"):
+        scope = stack.scopes[-1] if stack.scopes else -1
+        if tag in CLOSES_P and (k := stack.last(("p",))) > scope:
+            stack.pop_to(k)
+        if tag in SIBLINGS and (k := stack.last(SIBLINGS[tag])) > scope:
+            stack.pop_to(k)
+        if tag in VOID or (foreign >= 0 or tag in FOREIGN) and inner.endswith("/"):
             continue
-        names: list[str] = []
-        hidden = foreign is not None and tag in UNSHOWN
-        if m[3] and not m[3].isspace():
-            seen: set[str] = set()
-            for a in ATTRIBUTE.finditer(m[3]):
-                key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-                if key not in READ or key in seen:
-                    continue
-                seen.add(key)
-                if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value):
-                    hidden = True
-                elif key != "style":
-                    names += NAME.findall(value)
-        inside += tag == "a"
-        drawn += tag in FOREIGN
-        stack.append((tag, tuple(names), hidden))
+        names, hidden = read_attributes(inner) if inner and not inner.isspace() else ((), False)
+        stack.push(tag, names, hidden or foreign >= 0 and tag in UNSHOWN)
     flush()
     return out
 
 
+@functools.lru_cache(1 << 16)
 def _slot(name: str) -> int:
     return zlib.crc32(name.encode()) % WIDTH
 
 
 def features(blocks: Sequence[Block]) -> list[list[int]]:
-    """The hashed features of each block: ancestors, text, place, and the kind of its neighbours."""
+    """The hashed features of each block but those that its ancestors add: text, place, and the kind of its neighbours."""
     n, out, kinds = len(blocks), [], []
     for b in blocks:
-        size = len(b.text)
         words = b.text.count(" ") + 1
-        marks = sum(b.text.count(c) for c in ".!?")
-        kinds.append((min(words.bit_length(), 8), min(3, 4 * b.linked // max(size, 1)), b.tags[-1] if b.tags else "-"))
-    slots: dict[str, int] = {}
+        kinds.append((min(words.bit_length(), 8), min(3, 4 * b.linked // max(len(b.text), 1)), b.node.tag))
     for i, b in enumerate(blocks):
-        words, links, tag = kinds[i]
+        (words, links, tag), node = kinds[i], b.node
         marks = sum(b.text.count(c) for c in ".!?")
         own = ["bias", f"tag:{tag}", f"words:{words}", f"links:{links}", f"marks:{min(marks, 4)}", f"words:{words}:links:{links}", f"tag:{tag}:words:{words}"]
-        own += [f"in:{t}" for t in set(b.tags)] + [f"name:{x}" for x in set(b.names)] + [f"above:{t}" for t in b.tags[-2:-1]]
-        own += [f"under:{t}:{tag}" for t in set(b.tags[:-1])] + [f"named:{bool(b.names)}:{tag}", f"named:{bool(b.names)}:{'article' in b.tags or 'main' in b.tags}"]
+        own += [f"above:{node.above}"] * (node.above is not None)
+        own += [f"under:{t}:{tag}" for t in node.before]
+        own += [f"named:{node.named}:{tag}", f"named:{node.named}:{'article' in node.tags or 'main' in node.tags}"]
         own += [f"place:{min(9, 10 * i // n)}", "first" if i == 0 else "last" if i == n - 1 else "mid"]
-        own += [f"copyright:{b.text[:1] in '©' or '©' in b.text[:40]}", f"ends:{b.text[-1] in '.!?…:”»'}"]
+        own += [f"copyright:{'©' in b.text[:40]}", f"ends:{b.text[-1] in '.!?…:”»'}"]
         for d in (-1, 1):
             if 0 <= i + d < n:
                 own += [f"near{d}:tag:{kinds[i + d][2]}", f"near{d}:words:{kinds[i + d][0]}"]
-        out.append([slots.setdefault(f, _slot(f)) for f in own])
+        out.append([_slot(f) for f in own])
+    return out
+
+
+def all_features(blocks: Sequence[Block]) -> list[list[int]]:
+    """The features of each block with those that its ancestors add, one by one: for training."""
+    out = features(blocks)
+    for b, own in zip(blocks, out):
+        node = b.node
+        while node is not None:
+            own += [_slot(f) for f in node.added]
+            node = node.parent
     return out
 
 
@@ -196,7 +328,7 @@ class Field:
         """The most likely labels (Viterbi)."""
         if not blocks:
             return []
-        scores = [float(self.weights[f].sum()) for f in features(blocks)]
+        scores = [float(self.weights[f].sum()) + b.node.score(self.weights) for b, f in zip(blocks, features(blocks))]
         (stay0, go1), (go0, stay1) = self.pairs.tolist()
         best = [0.0, scores[0]]
         back: list[tuple[int, int]] = []
@@ -222,7 +354,7 @@ def train(pages: Sequence[tuple[Sequence[Block], Sequence[int]]], steps: int = S
     real = np.zeros((n, longest), dtype=bool)
     for p, (blocks, y) in enumerate(pages):
         label[p, : len(y)], real[p, : len(y)] = y, True
-        for i, f in enumerate(features(blocks)):
+        for i, f in enumerate(all_features(blocks)):
             where += [p * longest + i] * len(f)
             slot += f
     where, slot = np.array(where), np.array(slot)
