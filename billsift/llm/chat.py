@@ -7,14 +7,14 @@ of the characters to learn from: the content and the end mark of each assistant
 turn in it.
 
 Turns are rows, and they are compared under their number, so no conversation
-is gathered to find the prefix. Text is put together for at most
-CHUNK_TURNS turns at a time: a pair of usual length is one row, and a longer
-one is several, in the order of `chunk`, each with its own offsets.
+is gathered to find the prefix. Text is put together for CHUNK_TURNS turns at a
+time, in as many tasks as a long pair has chunks; then a pair's chunks are joined
+to its one row, each mask moved by the length of the chunks before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_TURNS = 256
@@ -53,9 +53,9 @@ def first_differences(rows: DataFrame) -> DataFrame:
 
 
 def format_preferences(chosen: DataFrame, rejected: DataFrame, id: str = "pair_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(<id>, chunk, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask), a row for each pair and CHUNK_TURNS turns.
+    """(<id>, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask), a row for each pair.
 
-    A mask is an array of (start, end): code points of the completion in the same row, end excluded. Equal
+    A mask is an array of (start, end): code points of the completion, end excluded. Equal
     conversations are all prompt, with empty completions; a pair with one side only has no prompt. Rows that share a
     pair, a side and a turn are one turn, rendered in order of role and text; a null turn comes last, a null role is
     `unknown`, a null text is empty, a null id is a pair like any other. Other columns of the inputs are not used.
@@ -68,7 +68,7 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, id: str = "pair_i
     rest = lambda side: F.filter("turns", lambda x: ~common(x) & (x["side"] == side)).alias(side)
     prompt = F.filter("turns", lambda x: common(x) & (x["side"] == "chosen")).alias("prompt")
     parts = split.select("pair", "chunk", prompt, rest("chosen"), rest("rejected"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("mask"))
 
     def step(acc: Column, x: Column) -> Column:
         end = acc["at"] + F.length(_rendered(x))
@@ -77,10 +77,15 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, id: str = "pair_i
 
     joined = lambda s: F.array_join(F.transform(s, _rendered), "").alias(s)
     mask = lambda s: F.aggregate(s, start, step, lambda acc: acc["mask"]).alias(f"{s}_mask")
-    return parts.select(
-        F.col("pair").alias(id), "chunk", F.size("prompt").cast("long").alias("n_prompt_turns"),
-        joined("prompt"), joined("chosen"), mask("chosen"), joined("rejected"), mask("rejected"),
-    )
+    made = parts.select("pair", "chunk", F.size("prompt").cast("long").alias("n"), joined("prompt"), joined("chosen"), mask("chosen"), joined("rejected"), mask("rejected"))
+    before = Window.partitionBy("pair").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    shifted = lambda s: F.transform(f"{s}_mask", lambda m: F.struct(*[(m[k] + F.col(f"{s}_at")).alias(k) for k in ("start", "end")])).alias(f"{s}_mask")
+    placed = made.withColumns({f"{s}_at": F.coalesce(F.sum(F.length(s)).over(before), F.lit(0)) for s in ("chosen", "rejected")})
+    moved = placed.select("pair", "n", F.struct("chunk", "prompt", "chosen", shifted("chosen"), "rejected", shifted("rejected")).alias("part"))
+    whole = moved.groupBy("pair").agg(F.sum("n").alias("n_prompt_turns"), F.array_sort(F.collect_list("part")).alias("parts"))
+    text = lambda s: F.array_join(F.transform("parts", lambda x: x[s]), "").alias(s)
+    masks = lambda s: F.flatten(F.transform("parts", lambda x: x[f"{s}_mask"])).alias(f"{s}_mask")
+    return whole.select(F.col("pair").alias(id), "n_prompt_turns", text("prompt"), text("chosen"), masks("chosen"), text("rejected"), masks("rejected"))
 
 
 def reply_swaps(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +105,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as a preference pair; masks as text (start:end, comma-joined)."""
     found = format_preferences(*reply_swaps(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     told = lambda c: F.array_join(F.transform(c, lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",").alias(c)
-    return found.select("pair_id", "chunk", "n_prompt_turns", "prompt", "chosen", told("chosen_mask"), "rejected", told("rejected_mask"))
+    return found.select("pair_id", "n_prompt_turns", "prompt", "chosen", told("chosen_mask"), "rejected", told("rejected_mask"))
 
 
 ORACLE_SQL = """
@@ -110,18 +115,18 @@ r AS (SELECT t.pair_id, t.turn, t.role, CASE WHEN t.role = 'assistant' AND t.tur
       FROM t LEFT JOIN last l ON l.pair_id = t.pair_id LEFT JOIN last o ON o.pair_id = xor(t.pair_id, 1)),
 j AS (SELECT t.*, r.other, min(CASE WHEN t.text <> r.other THEN t.turn END) OVER (PARTITION BY t.pair_id) AS first
       FROM t JOIN r USING (pair_id, turn)),
-s AS (SELECT pair_id, turn // 256 AS chunk, turn, side, role = 'assistant' AS learnt, length('<|' || role || '|>' || chr(10)) AS head,
+s AS (SELECT pair_id, turn, side, role = 'assistant' AS learnt, length('<|' || role || '|>' || chr(10)) AS head,
         '<|' || role || '|>' || chr(10) || replace(body, '<|', '< |') || '<|end|>' || chr(10) AS txt
       FROM (SELECT pair_id, turn, role, 'prompt' AS side, text AS body FROM j WHERE first IS NULL OR turn < first
             UNION ALL SELECT pair_id, turn, role, 'chosen', text FROM j WHERE turn >= first
             UNION ALL SELECT pair_id, turn, role, 'rejected', other FROM j WHERE turn >= first)),
-o AS (SELECT *, coalesce(sum(length(txt)) OVER (PARTITION BY pair_id, chunk, side ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM s),
+o AS (SELECT *, coalesce(sum(length(txt)) OVER (PARTITION BY pair_id, side ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM s),
 m AS (SELECT *, (off + head)::VARCHAR || ':' || (off + length(txt))::VARCHAR AS span FROM o)
-SELECT pair_id, chunk, count(*) FILTER (side = 'prompt') AS n_prompt_turns,
+SELECT pair_id, count(*) FILTER (side = 'prompt') AS n_prompt_turns,
   coalesce(string_agg(txt, '' ORDER BY turn) FILTER (side = 'prompt'), '') AS prompt,
   coalesce(string_agg(txt, '' ORDER BY turn) FILTER (side = 'chosen'), '') AS chosen,
   coalesce(string_agg(span, ',' ORDER BY turn) FILTER (side = 'chosen' AND learnt), '') AS chosen_mask,
   coalesce(string_agg(txt, '' ORDER BY turn) FILTER (side = 'rejected'), '') AS rejected,
   coalesce(string_agg(span, ',' ORDER BY turn) FILTER (side = 'rejected' AND learnt), '') AS rejected_mask
-FROM m GROUP BY pair_id, chunk
+FROM m GROUP BY pair_id
 """
