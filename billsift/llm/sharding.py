@@ -69,15 +69,16 @@ def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str] = PRODUCTION
     """`df` with the columns `<into>` and `<into>_slot`.
 
     Equal keys (repeated rows too) get the same shard, null keys one like any other value, an
-    empty table stays empty. Input columns of the two names are replaced. Rows are balanced as
+    empty table stays empty. Input columns of the two names are replaced, keys too. Rows are balanced as
     far as their keys are: give a key with many values (an id), not one with a hot value.
     """
     table = lookup_table(shards, size)
     slot = f"{into}_slot"
-    lookup = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(table)], f"`{slot}` long, `{into}` string")
-    bare = df.drop(into, slot) if {into, slot} & set(df.columns) - set(keys) else df
-    keyed = bare.withColumn(slot, slot_of([df[k] for k in keys], len(table)))
-    return keyed.join(F.broadcast(lookup), slot, "left")
+    names = {into.lower(), slot.lower()}
+    at, found, name = (f"_{x}_{len(df.columns)}" for x in ("slot", "found", "name"))
+    lookup = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(table)], f"`{found}` long, `{name}` string")
+    placed = df.withColumn(at, slot_of([df[k] for k in keys], len(table))).join(F.broadcast(lookup), F.col(at) == F.col(found), "left")
+    return placed.select(*[df[c] for c in df.columns if c.lower() not in names], F.col(at).alias(slot), F.col(name).alias(into))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

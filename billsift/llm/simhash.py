@@ -7,7 +7,7 @@ variant within two bits (1 + 64 + 2016 of them), the variants are shuffled, and
 fingerprints that meet at a variant are linked.
 
 - Texts are reduced to distinct fingerprints first, so copies cost one row.
-- A fingerprint is left out of the emission only if it provably has no partner:
+- A fingerprint is left out of the emission (unless `prune` is false) only if it provably has no partner:
   of two fingerprints within four bits, two of three parts together differ in at
   most two bits, so both have a common one-bit variant of those two parts (131
   keys a fingerprint). Fingerprints that meet no other at any such key have no
@@ -139,10 +139,13 @@ def _stars(met: DataFrame) -> DataFrame:
     return common.map_arrow(met, make, "a long, b long")
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b), a < b as longs: links between distinct fingerprints within four bits, at least a spanning tree of each component."""
+def links(prints: DataFrame, prune: bool = True) -> DataFrame:
+    """(a, b), a < b as longs: links between distinct fingerprints within four bits, at least a spanning tree of each component.
+
+    `prune` leaves out fingerprints that can't have a partner; the links are the same without.
+    """
     spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = _emit(with_partner(prints).repartition(spread, "fp")).repartition("variant").sortWithinPartitions("variant", "fp")
+    met = _emit((with_partner(prints) if prune else prints).repartition(spread, "fp")).repartition("variant").sortWithinPartitions("variant", "fp")
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     return _stars(met).distinct().where(far <= RADIUS)
 
@@ -194,17 +197,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row of each component of near-duplicates: that of the least id. All columns stay.
 
-    Of repeated rows with that id and equal fingerprints, the one with the least text stays.
-    Rows with a null id can't be told apart by it, and pass unchanged.
+    Texts are fingerprinted once, and rows are kept by a semi join on the ids of a written table, so that a text moves at
+    most once (not at all while Spark finds the table small enough to broadcast). Null, empty and blank texts share fingerprint
+    zero: one of them stays. Of repeated rows with the id that stays and its fingerprint, the one with the least text stays.
+    A row with a null id goes if its component has a row with an id; of a component without one, the row with the least text stays.
     """
     marked, classes = _classes(docs, text, id)
-    least = marked.where("id IS NOT NULL").join(classes, "fp").groupBy("root").agg(F.min(F.struct("id", "fp")).alias("k"))
-    kept = least.select(F.col("k.id").alias("_id"), F.col("k.fp").alias("_fp"))
-    fp, turn = common.fresh(docs, "fp"), common.fresh(docs, "turn")
-    printed = docs.where(F.col(id).isNotNull()).withColumn(fp, fingerprint_column(text))
-    best = printed.join(kept, (printed[id] == kept["_id"]) & (printed[fp] == kept["_fp"]), "left_semi")
-    first = best.withColumn(turn, F.row_number().over(Window.partitionBy(id, fp).orderBy(text))).where(F.col(turn) == 1)
-    return first.select(*docs.columns).union(docs.where(F.col(id).isNull()))
+    named = marked.where("id IS NOT NULL")
+    least = named.join(classes, "fp").groupBy("root").agg(F.min(F.struct("id", "fp")).alias("k")).select("k.id", "k.fp")
+    times = named.groupBy("id").agg(F.count("*").alias("times")).where("times > 1")
+    kept = common.written(least.join(times, "id", "left"), "kept")
+    _id, _fp = common.fresh(docs, "kept_id"), common.fresh(docs, "kept_fp")
+    once = kept.where("times IS NULL").select(F.col("id").alias(_id))
+    out = docs.join(once, docs[id] == once[_id], "left_semi")
+    often = kept.where("times IS NOT NULL").select(F.col("id").alias(_id), F.col("fp").alias(_fp))
+    if not often.isEmpty():  # ids on several rows: those rows alone are read again
+        fp, turn = common.fresh(docs, "fp"), common.fresh(docs, "turn")
+        again = docs.join(often, docs[id] == often[_id]).withColumn(fp, fingerprint_column(text)).where(F.col(fp) == F.col(_fp))
+        out = out.union(again.withColumn(turn, F.row_number().over(Window.partitionBy(id, fp).orderBy(text))).where(F.col(turn) == 1).select(*docs.columns))
+    nameless = common.written(marked.where("id IS NULL").select("fp").distinct().join(classes, "fp").where("component IS NULL").select(F.col("fp").alias(_fp), "root"), "nameless")
+    if not nameless.isEmpty():
+        row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+        alone = docs.where(F.col(id).isNull()).select(fingerprint_column(text).alias("fp"), F.coalesce(text, F.lit("")).alias("text"), row)
+        met = alone.join(nameless, alone["fp"] == nameless[_fp])
+        out = out.union(met.groupBy("root").agg(F.min_by("row", "text").alias("row")).select("row.*"))
+    return out
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
