@@ -59,7 +59,10 @@ def is_public_host(host: Column) -> Column:
 
 def safe_route(url: Column) -> Column:
     """The URL without hash and with its paging keys only, sorted; null unless it is https, public, and neither mutating nor a document itself."""
-    path = F.lower(path_of(url))
+    path = path_of(url)
+    for _ in range(3):  # what is escaped once or more often is judged as what it stands for
+        path = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    path = F.lower(path)
     keys = F.filter(F.split(query_of(url), "&"), lambda kv: F.regexp_extract(kv, "^([^=]*)", 1).isin(*PAGE_KEYS) & kv.rlike(r"=\d+$"))
     query = F.array_join(F.array_sort(keys), "&")
     bad = path.rlike(UNSAFE) | path.rlike(DIRECT_DOCUMENT) | url.rlike("^[^/]*//[^/?#]*@")
@@ -81,9 +84,9 @@ def path_score(path: Column) -> Column:
 
 
 def stability_score(url: Column) -> Column:
-    """How stable a document URL looks: `.pdf` 3, `/pdf/` 2, `/download/` 1, other 0, no URL -1."""
+    """How stable a document URL looks: a path that ends in `.pdf` 3, with a segment `pdf` 2, with a segment `download` 1, other 0, no URL -1."""
     path = F.lower(path_of(url))
-    return F.when(host_of(url) == "", F.lit(-1)).when(path.endswith(".pdf"), F.lit(3)).when(path.contains("/pdf/"), F.lit(2)).when(path.contains("/download/"), F.lit(1)).otherwise(F.lit(0))
+    return F.when(host_of(url) == "", F.lit(-1)).when(path.endswith(".pdf"), F.lit(3)).when(path.rlike(r"(?:^|/)pdf(?:/|\z)"), F.lit(2)).when(path.rlike(r"(?:^|/)download(?:/|\z)"), F.lit(1)).otherwise(F.lit(0))
 
 
 def canonical_document_url(url: Column) -> Column:
@@ -109,9 +112,16 @@ def next_in_link_header(header: Column) -> Column:
     return F.when((F.length(header) <= 4096) & (F.size(following) > 0), F.regexp_extract(F.get(following, F.lit(0)), "<([^>]*)>", 1))
 
 
+# Words in front of a supplier's name in its host, and public suffixes behind it.
+SERVICE_LABELS = ("www", "app", "api", "dashboard", "my", "portal", "secure", "account", "accounts", "billing", "console", "admin", "pay")
+SUFFIX_LABELS = ("com", "net", "org", "io", "ai", "co", "app", "dev", "se", "eu", "de", "uk", "us", "gov")
+
+
 def vendor_id(host: Column) -> Column:
-    """The host without service words in front and public suffixes behind, in kebab case."""
-    words = F.split(host, r"\.")
-    head = F.filter(words, lambda w: ~w.isin("www", "app", "billing", "dashboard", "console", "portal", "my", "account", "accounts", "m"))
-    body = F.filter(head, lambda w: ~w.isin("com", "net", "org", "io", "co", "dev", "ai", "app", "example", "se", "uk"))
-    return F.trim(F.regexp_replace(F.array_join(F.when(F.size(body) > 0, body).otherwise(head), "-"), "[^a-z0-9]+", "-"), F.lit("-"))
+    """The last label of a host that is neither a service word nor one of the suffixes at its end, in kebab case; `vendor` if nothing is left."""
+    labels = F.filter(F.split(host, r"\."), lambda w: ~w.isin(*SERVICE_LABELS))
+    # the last label that is no suffix; if all are, the first stays
+    named = F.filter(F.transform(labels, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: (x["i"] == 0) | ~x["w"].isin(*SUFFIX_LABELS))
+    label = F.coalesce(F.nullif(F.try_element_at(named, F.lit(-1))["w"], F.lit("")), host)
+    bare = F.regexp_replace(F.regexp_replace(F.lower(label), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.when((host == "") | (bare == ""), F.lit("vendor")).otherwise(bare)

@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 MAX_ALIASES = 4
 
 
-def disambiguate(refs: DataFrame, keys: Sequence[str], id: str, discriminator: Column) -> DataFrame:
+def disambiguate(refs: DataFrame, keys: Sequence[str], id: str, discriminator: Column, pos: Column) -> DataFrame:
     """`refs` with `<id>_unique`: an id that stands for several things gets 24 hex digits of its discriminator's hash.
 
-    That an id stands for several things shows in the least and greatest discriminator, so no set is gathered.
+    A ref without a discriminator is told from others by its place: within its group for the test, and in the whole list
+    (`pos`) for the suffix. That an id stands for several things shows in the least and greatest discriminator and in how
+    many refs have none, so no set is gathered.
     """
-    told = refs.withColumn("_d", discriminator.cast("string"))
-    many = told.groupBy(*keys, id).agg((F.min("_d") != F.max("_d")).alias("_many"))
-    suffixed = F.concat(F.col(id).cast("string"), F.lit("-"), F.substring(F.sha2(F.col("_d"), 256), 1, 24))
+    told = refs.withColumns({"_d": discriminator.cast("string"), "_at": F.concat(F.lit("position:"), pos.cast("string"))})
+    none = F.count_if(F.col("_d").isNull())
+    several = F.coalesce(F.min("_d") != F.max("_d"), F.lit(False)) | ((none > 0) & (F.count("*") > 1))
+    many = told.groupBy(*keys, id).agg(several.alias("_many"))
+    suffixed = F.concat(F.col(id).cast("string"), F.lit("-"), F.substring(F.sha2(F.coalesce("_d", "_at"), 256), 1, 24))
     joined = told.join(many, [*keys, id], "left")
-    return joined.withColumn(f"{id}_unique", F.when(F.col("_many"), suffixed).otherwise(F.col(id).cast("string"))).drop("_d", "_many")
+    return joined.withColumn(f"{id}_unique", F.when(F.col("_many"), suffixed).otherwise(F.col(id).cast("string"))).drop("_d", "_at", "_many")
 
 
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str], best: Sequence[tuple[str, Column]] = ()) -> DataFrame:
@@ -86,9 +90,8 @@ def scoped_identity(scope: Sequence[tuple[str, Column]], id: Column) -> Column:
     """The scope as a JSON list of [option, value] pairs, NUL, and the id; without a scope the id alone."""
     if not scope:
         return id.cast("string")
-    text = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c.cast("string"), r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
-    pairs = [F.concat(F.lit("["), text(F.lit(o)), F.lit(","), text(v), F.lit("]")) for o, v in scope]
-    return F.concat(F.lit("["), F.concat_ws(",", *pairs), F.lit("]\0"), id.cast("string"))
+    pairs = F.array(*[F.array(F.lit(o), v.cast("string")) for o, v in scope])
+    return F.concat(F.to_json(pairs), F.lit("\0"), id.cast("string"))
 
 
 def same_content(rows: DataFrame, content: Column, order: str) -> DataFrame:

@@ -37,9 +37,10 @@ def route_memory(events: DataFrame, keys: Sequence[str], order: Sequence[str], r
 
     A confirmation sets the route and no misses, and keeps the route before it; the third miss in a row
     falls back to the route before, or forgets the key. The rule is a fold in order of time over each
-    key's events (route null: a miss), with the misses before the first confirmation left out.
+    key's events, with the misses before the first confirmation left out. A confirmation without a route says nothing.
     """
-    each = events.select(*keys, F.struct(*order, F.when(confirmed, F.col(route)).alias("_route")).alias("_e"))
+    told = events.where(~confirmed | F.col(route).isNotNull())
+    each = told.select(*keys, F.struct(*order, F.when(confirmed, F.col(route)).alias("_route")).alias("_e"))
     none = F.struct(*[F.lit(None).cast("string").alias(n) for n in ("route", "previous")], F.lit(0).alias("misses"))
 
     def step(s: Column, e: Column) -> Column:

@@ -85,17 +85,19 @@ def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT l_orderkey, l_linenumber, min(l_partkey::VARCHAR) <> max(l_partkey::VARCHAR) AS many FROM lineitem GROUP BY 1, 2)
-SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN many THEN l_linenumber::VARCHAR || '-' || substr(sha256(l_partkey::VARCHAR), 1, 24) ELSE l_linenumber::VARCHAR END AS l_linenumber_unique
-FROM lineitem JOIN m USING (l_orderkey, l_linenumber)""")
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity > 10 THEN l_partkey::VARCHAR END AS d FROM lineitem),
+p AS (SELECT *, coalesce(d, 'position:' || row_number() OVER (PARTITION BY l_orderkey, l_linenumber)) AS told FROM l),
+m AS (SELECT l_orderkey, l_linenumber, count(DISTINCT told) > 1 AS many FROM p GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN many THEN l_linenumber::VARCHAR || '-' || substr(sha256(coalesce(d, 'position:' || l_partkey)), 1, 24) ELSE l_linenumber::VARCHAR END AS l_linenumber_unique
+FROM l JOIN m USING (l_orderkey, l_linenumber)""")
 def disambiguate_duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return identity.disambiguate(lines, ["l_orderkey"], "l_linenumber", F.col("l_partkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_quantity") > 10, F.col("l_partkey")).alias("d"))
+    return identity.disambiguate(lines, ["l_orderkey"], "l_linenumber", F.col("d"), F.col("l_partkey")).drop("d")
 
 
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 _PATH = r"CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END"
-_STABLE = f"CASE WHEN {_HOST} = '' THEN -1 WHEN lower({_PATH}) LIKE '%.pdf' THEN 3 WHEN lower({_PATH}) LIKE '%/pdf/%' THEN 2 WHEN lower({_PATH}) LIKE '%/download/%' THEN 1 ELSE 0 END"
+_STABLE = f"CASE WHEN {_HOST} = '' THEN -1 WHEN lower({_PATH}) LIKE '%.pdf' THEN 3 WHEN regexp_matches(lower({_PATH}), '(?:^|/)pdf(?:/|$)') THEN 2 WHEN regexp_matches(lower({_PATH}), '(?:^|/)download(?:/|$)') THEN 1 ELSE 0 END"
 
 
 @query(f"""
@@ -452,7 +454,18 @@ def rate_limit_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", values.rate_limit_until(F.unix_seconds(F.col("ts").cast("timestamp")), F.floor("value") * 1000).alias("until"))
 
 
-@query()
+@query("""
+WITH RECURSIVE r AS (SELECT user_id, ts, event_id, event_type = 'view' AS ok, json_extract_string(props, '$.k') AS route FROM events),
+e AS (SELECT user_id, ok, route, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM r WHERE NOT ok OR route IS NOT NULL),
+s(user_id, i, route, previous, misses) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, 0::BIGINT FROM e
+  UNION ALL
+  SELECT s.user_id, e.i,
+    CASE WHEN e.ok THEN e.route WHEN s.misses + 1 >= 3 THEN s.previous ELSE s.route END,
+    CASE WHEN e.ok THEN CASE WHEN s.route IS NULL THEN NULL WHEN s.route <> e.route THEN s.route ELSE s.previous END WHEN s.misses + 1 >= 3 THEN NULL ELSE s.previous END,
+    CASE WHEN e.ok OR s.route IS NULL OR s.misses + 1 >= 3 THEN 0 ELSE s.misses + 1 END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+SELECT user_id, route, previous, misses FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS k FROM s) WHERE k = 1 AND route IS NOT NULL""")
 def route_memory_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.route_memory(table(spark, sf_dir, "events").withColumn("route", F.get_json_object("props", "$.k")), ["user_id"], ["ts", "event_id"], "route", F.col("event_type") == "view")
 
@@ -495,7 +508,12 @@ def pagination_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.pagination(inference.leaves(_bodies(spark, sf_dir), "body"), ["o_custkey"])
 
 
-@query()
+@query("""
+WITH RECURSIVE k(user_id, event_type, ts) AS (
+  SELECT user_id, event_type, min(ts) FROM events GROUP BY 1, 2
+  UNION ALL
+  SELECT k.user_id, k.event_type, min(e.ts) FROM k JOIN events e ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.ts >= k.ts + INTERVAL 300 SECOND GROUP BY 1, 2)
+SELECT min(event_id) AS event_id, user_id, event_type FROM k JOIN events USING (user_id, event_type, ts) GROUP BY user_id, event_type, ts""")
 def stream_dedup_lease(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events deduplicated in a stream by user and type within a lease, run to its end into a Parquet table in the shared folder."""
     import uuid

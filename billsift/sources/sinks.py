@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def journal(spark: SparkSession, path: str) -> DataFrame:
     """(key, batch) of what was delivered; empty before the first delivery."""
     schema = "key string, batch long"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
 
 
 def deliver(docs: DataFrame, root: str, batch: int, key: str = "key") -> DataFrame:
@@ -25,7 +27,8 @@ def deliver(docs: DataFrame, root: str, batch: int, key: str = "key") -> DataFra
     journal's part of that batch after them; keys of the same batch do not count as delivered before.
     """
     spark = docs.sparkSession
-    docs = docs.dropDuplicates([key])
+    order = Window.partitionBy(key).orderBy(*[c for c in docs.columns if c != key])
+    docs = docs.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn")  # of equal keys always the same row
     before = journal(spark, f"{root}/journal").where(F.col("batch") != batch).select(F.col("key").alias("_k")).distinct()
     fresh = docs.join(before, docs[key] == before["_k"], "left_anti")
     fresh.write.mode("overwrite").parquet(f"{root}/documents/batch={batch}")
