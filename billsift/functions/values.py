@@ -140,7 +140,8 @@ def rate_limit_until(now: Column, wait_s: Column) -> Column:
 
 def retry_after(header: Column, now: Column) -> Column:
     """Seconds of a Retry-After header (a number or an HTTP date), from 0 to 24 hours; 30 if it can't be read."""
-    at = F.unix_timestamp(F.try_to_timestamp(header, F.lit("EEE, dd MMM yyyy HH:mm:ss 'GMT'")))
+    date = F.regexp_extract(header, r"^\s*[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT\s*$", 1)
+    at = F.unix_timestamp(F.try_to_timestamp(date, F.lit("dd MMM yyyy HH:mm:ss")))
     seconds = F.coalesce(F.when(header.rlike(r"^\s*\d+\s*$"), F.trim(header).try_cast("long")), at - now, F.lit(30))
     return F.least(F.greatest(seconds, F.lit(0)), F.lit(86_400))
 

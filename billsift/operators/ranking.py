@@ -54,7 +54,7 @@ def within_budget(sizes: Column, budget: int) -> Column:
 
 def title_fragments(title: Column) -> Column:
     """The parts of a page title between its separators, white space made plain."""
-    return F.filter(F.transform(F.split(F.regexp_replace(F.trim(title), r"\s+", " "), NAME_CUT), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(F.trim(title), r"\s+", " "), NAME_CUT), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def stable_names(observations: DataFrame, keys: Sequence[str], title: str = "title", least: int = 2) -> DataFrame:
