@@ -68,3 +68,21 @@ def stable_names(observations: DataFrame, keys: Sequence[str], title: str = "tit
 def display_name(stable: Column, declared: Column, domain: Column) -> Column:
     """The name that most independent sources agree on: stable over titles, then declared by the site, then the domain's."""
     return F.coalesce(stable, declared, F.nullif(domain, F.lit("")), F.lit("Discovered Supplier"))
+
+
+# What a target is worth by how it was found.
+BASES = {"remembered": 160, "common_route": 100, "link": 85}
+PLANNED = 79
+
+
+def planned_targets(links: DataFrame, keys: Sequence[str], url: str, source: str, family: str, path: Column, semantic: Column, depth: Column, most: int = PLANNED) -> DataFrame:
+    """The targets that a search goes to next, with `score` and `rank`: the best of each URL by base, path and label less depth, in the frontier's order, `most` of each key."""
+    base = F.coalesce(*[F.when(F.col(source) == k, F.lit(n)) for k, n in BASES.items()], F.lit(0))
+    scored = links.select(*keys, url, source, family, (base + path + semantic - depth).alias("score"))
+    best = best_by_key(scored, [*keys, url], "score", [source, family])
+    return frontier(best, keys, url, source, family).where(F.col("rank") <= most)
+
+
+def confidence(items: Column, has_document: Column, real_probe: Column) -> Column:
+    """How sure an inferred recipe is: high, medium or low."""
+    return F.when((items >= 2) & has_document & real_probe, "high").when((items >= 1) & (has_document | real_probe), "medium").otherwise("low")

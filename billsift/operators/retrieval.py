@@ -85,6 +85,19 @@ def scopes(options: DataFrame, keys: Sequence[str], option: str, value: str, ord
     return per.select(*keys, F.explode(bounded).alias("scope"))
 
 
+def preview_scopes(options: DataFrame, keys: Sequence[str], option: str, value: str, order: Sequence[str], most: int = 20) -> DataFrame:
+    """(keys, place, scope): the first `most` combinations of `scopes`, options by name, the last one changing fastest.
+
+    Built option after option and cut to `most` each time, so no more than `most` times an option's values are ever held.
+    """
+    given = options.where(F.trim(F.col(value).cast("string")) != "")
+    ordered = F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("string").alias("_v")))), lambda x: x["_v"])), 1, most)
+    per = given.groupBy(*keys, option).agg(ordered.alias("_values")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(option).alias("o"), F.col("_values").alias("v")))).alias("_o"))
+    none = F.array(F.create_map().cast("map<string,string>"))
+    grown = F.aggregate("_o", none, lambda done, x: F.slice(F.flatten(F.transform(done, lambda d: F.transform(x["v"], lambda v: F.map_concat(d, F.create_map(x["o"], v))))), 1, most))
+    return per.select(*keys, F.posexplode(grown).alias("place", "scope"))
+
+
 def coverage(recipes: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """(key, problem): recipes without an entry (missing), entries without a recipe (orphan), and keys entered twice (duplicate)."""
     a, b = recipes.select(key).distinct(), entries.groupBy(key).agg(F.count("*").alias("_n"))

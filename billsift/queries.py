@@ -200,10 +200,10 @@ def month_window_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WALK = """
-WITH p AS (SELECT conv_id, turn, turn < max(turn) OVER (PARTITION BY conv_id) AS more, (len(text) // 40)::VARCHAR AS st, role FROM conversations WHERE turn < 6),
+WITH p AS (SELECT conv_id, turn, turn < max(turn) OVER (PARTITION BY conv_id) AS more, (len(text) // 40)::VARCHAR AS st, role FROM conversations WHERE turn < 20),
 q AS (SELECT *, min(turn) FILTER (more) OVER (PARTITION BY conv_id, st) AS f FROM (
-  SELECT c.conv_id, c.turn, c.role, (len(c.text) // 40)::VARCHAR AS st, c.turn < m.last AS more FROM conversations c JOIN (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1) m USING (conv_id) WHERE c.turn < 6)),
-c AS (SELECT *, CASE WHEN NOT more THEN 'explicit_end' WHEN trim(coalesce(st, '')) = '' THEN 'continuation_failed' WHEN f < turn THEN 'repeated_state' WHEN turn = 5 THEN 'page_cap' END AS cause FROM q),
+  SELECT c.conv_id, c.turn, c.role, (len(c.text) // 40)::VARCHAR AS st, c.turn < m.last AS more FROM conversations c JOIN (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1) m USING (conv_id) WHERE c.turn < 20)),
+c AS (SELECT *, CASE WHEN NOT more THEN 'explicit_end' WHEN trim(coalesce(st, '')) = '' THEN 'continuation_failed' WHEN f < turn THEN 'repeated_state' WHEN turn = 19 THEN 'page_cap' END AS cause FROM q),
 e AS (SELECT conv_id, min(turn) AS turn FROM c WHERE cause IS NOT NULL GROUP BY 1),
 w AS (SELECT c.conv_id, coalesce(max(CASE WHEN c.turn = e.turn THEN c.cause END), 'continuation_failed') AS termination, count(*) AS n_pages, count(*) AS observed, count(*) FILTER (role = 'assistant') AS resolved
   FROM c LEFT JOIN e USING (conv_id) WHERE e.turn IS NULL OR c.turn <= e.turn GROUP BY 1)"""
@@ -213,7 +213,7 @@ def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
     pages = turns.join(last, "conv_id")
-    return retrieval.walked(pages, "conv_id", "turn", F.col("turn") < F.col("last"), F.floor(F.length("text") / 40).cast("string"), F.lit(1), 6)
+    return retrieval.walked(pages, "conv_id", "turn", F.col("turn") < F.col("last"), F.floor(F.length("text") / 40).cast("string"), F.lit(1))
 
 
 @query(_WALK + " SELECT conv_id, termination, n_pages, observed::BIGINT AS observed FROM w")

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import policy, transforms, urls, values
-from .operators import identity, outcomes, ranking, views
+from .operators import identity, inference, outcomes, ranking, retrieval, views
 from .plans import recipe
-from .queries import query, table
+from .queries import _HOST, _bodies, query, table
+from .sources import scans
 
 
 def _pick(samples: Sequence[str], id: str) -> Column:
@@ -415,3 +416,69 @@ def first_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slowest_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
     return ranking.top_k(rows, ["user_id"], [F.col("value").desc(), F.col("event_id")], views.SLOWEST).drop("rank")
+
+
+@query(f"""
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '\\bhref="([^"]+)"', 1)) AS url FROM pages),
+t AS (SELECT page_id, url, CASE WHEN url = '/the' THEN 'remembered' WHEN url LIKE '/and%' THEN 'common_route' ELSE 'link' END AS source, CASE WHEN regexp_matches(url, '(?i)^/[a-m]') THEN 'a' ELSE 'b' END AS family FROM l),
+s AS (SELECT page_id, url, source, family, max(CASE source WHEN 'remembered' THEN 160 WHEN 'common_route' THEN 100 ELSE 85 END + CASE WHEN contains(lower(url), 'in') THEN 5 ELSE 0 END - 1) AS score FROM t GROUP BY ALL),
+n AS (SELECT *, CASE source WHEN 'remembered' THEN 0 WHEN 'common_route' THEN 1 ELSE 2 END AS kind, CASE WHEN source = 'link' THEN family ELSE '' END AS fam FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind, fam ORDER BY score DESC, url) AS turn FROM n),
+r AS (SELECT page_id, url, score, row_number() OVER (PARTITION BY page_id ORDER BY kind, turn, fam) AS rank FROM k)
+SELECT page_id, url, score::BIGINT AS score, rank FROM r WHERE rank <= 4""")
+def frontier_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    links = table(spark, sf_dir, "pages").select("page_id", F.explode(scans.anchors(F.col("html"))).alias("url"))
+    links = links.withColumns({"source": F.when(url == "/the", "remembered").when(url.startswith("/and"), "common_route").otherwise("link"), "family": F.when(url.rlike("(?i)^/[a-m]"), "a").otherwise("b")})
+    found = ranking.planned_targets(links, ["page_id"], "url", "source", "family", F.when(F.lower(url).contains("in"), 5).otherwise(0), F.lit(0), F.lit(1), 4)
+    return found.select("page_id", "url", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+WITH v AS (SELECT r_regionkey AS k, n_name AS nation, s AS status, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_name, s) - 1 AS place FROM region JOIN nation ON n_regionkey = r_regionkey, (SELECT unnest(['open', 'paid', 'void']) AS s))
+SELECT k, place, nation, status FROM v WHERE place < 7""")
+def preview_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k"), F.lit("nation").alias("option"), F.col("n_name").alias("value"))
+    status = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.lit("status").alias("option"), F.explode(F.array(*map(F.lit, ("open", "paid", "void")))).alias("value"))
+    found = retrieval.preview_scopes(nations.unionByName(status), ["k"], "option", "value", ["value"], 7)
+    return found.select("k", F.col("place").cast("long").alias("place"), F.col("scope")["nation"].alias("nation"), F.col("scope")["status"].alias("status"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey, count(*) AS n, avg(CASE WHEN o_orderstatus <> 'P' THEN 1.0 ELSE 0.0 END) AS score FROM orders GROUP BY 1)
+SELECT o_custkey, 'data.items' AS list, n AS n_items FROM s WHERE score >= 0.5""")
+def best_invoice_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = inference.array_scores(inference.leaves(_bodies(spark, sf_dir), "body"), ["o_custkey"])
+    return inference.best_array(scores, ["o_custkey"]).select("o_custkey", "list", "n_items")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 4 = 2 THEN NULL ELSE sha256('%PDF-' || event_id) END AS pdf FROM events""")
+def inline_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data addresses: a PDF, one with another content, one that is no base64, and a plain address."""
+    body = F.concat(F.when(F.col("event_id") % 4 == 2, "GIF8").otherwise("%PDF-"), F.col("event_id").cast("string"))
+    data = F.concat(F.lit("data:application/pdf;base64,"), F.base64(body.cast("binary")))
+    url = F.when(F.col("event_id") % 4 == 0, "https://a.com/x.pdf").when(F.col("event_id") % 4 == 3, "data:application/pdf;base64,%%%").otherwise(data)
+    return table(spark, sf_dir, "events").select("event_id", F.sha2(scans.inline_pdf(url), 256).alias("pdf"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 >= 2 AND event_type IN ('view', 'click') AND value > 50 THEN 'high' WHEN event_id % 4 >= 1 AND (event_type IN ('view', 'click') OR value > 50) THEN 'medium' ELSE 'low' END AS confidence FROM events")
+def recipe_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = ranking.confidence(F.col("event_id") % 4, F.col("event_type").isin("view", "click"), F.col("value") > 50)
+    return table(spark, sf_dir, "events").select("event_id", label.alias("confidence"))
+
+
+_LABELS = ["unit_cents", "total", "minor_total", "amount"]
+
+
+@query("SELECT event_id, event_id % 4 IN (0, 2) OR (event_id % 900) >= 100 AS minor FROM events")
+def minor_unit_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", inference.minor_units((F.col("event_id") % 900).cast("string"), _pick(_LABELS, "event_id")).alias("minor"))
+
+
+@query(f"""
+WITH h AS (SELECT page_id, {_HOST} AS host, regexp_extract({_HOST}, '([^.]+)[.][^.]+$', 1) AS domain FROM pages)
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Stable' WHEN page_id % 3 = 1 THEN 'Declared' WHEN domain <> '' THEN domain ELSE 'Discovered Supplier' END AS name FROM h""")
+def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id, domain = F.col("page_id"), F.regexp_extract(urls.host_of(F.col("url")), "([^.]+)[.][^.]+$", 1)
+    name = ranking.display_name(F.when(id % 3 == 0, "Stable"), F.when(id % 3 == 1, "Declared"), domain)
+    return table(spark, sf_dir, "pages").select("page_id", name.alias("name"))

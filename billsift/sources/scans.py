@@ -42,18 +42,22 @@ def json_items(df: DataFrame, body: str, path: str) -> DataFrame:
 
 def embedded_json(html: Column) -> Column:
     """The JSON documents in a page's data scripts, as text, in order; scripts that do not parse, even decoded, are left out."""
-    def readable(text: Column) -> Column:
-        decoded = text
-        for entity, mark in ENTITIES:
-            decoded = F.replace(decoded, F.lit(entity), F.lit(mark))
-        return F.when(F.try_parse_json(text).isNotNull(), text).when(F.try_parse_json(decoded).isNotNull(), decoded)
+    readable = lambda text: F.when(F.try_parse_json(text).isNotNull(), text).when(F.try_parse_json(decoded(text)).isNotNull(), decoded(text))
     return F.filter(F.transform(F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(1)), readable), lambda x: x.isNotNull())
 
 
+def decoded(text: Column) -> Column:
+    """Text with the five entities of scripts decoded."""
+    for entity, mark in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(mark))
+    return text
+
+
 def embedded_items(df: DataFrame, html: str, path: str) -> DataFrame:
     """`json_items` of the first embedded document of each row whose array at `path` is not empty."""
     rest = [c for c in df.columns if c != html]
-    arrays = F.transform(embedded_json(F.col(html)), lambda x: at_path(F.try_parse_json(x), path, "array<variant>"))
+    parsed = lambda x: F.coalesce(F.try_parse_json(x), F.try_parse_json(decoded(x)))
+    arrays = F.transform(F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(1)), lambda x: at_path(parsed(x), path, "array<variant>"))
     first = F.get(F.filter(arrays, lambda a: F.size(a) > 0), F.lit(0))
     return df.select(*rest, F.posexplode(first).alias("pos", "item"))
 
