@@ -395,12 +395,28 @@ def candidate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Private data
 
 
-@query()
+def _redacted_sql() -> str:
+    """The chain of replacements in DuckDB's dialect, where a border is \\b (ASCII) instead of a look-around."""
+    out = "text"
+    for pattern, by in values.REDACTIONS:
+        border = pattern.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b").replace("'", "''")
+        out = f"regexp_replace({out}, '{border}', '{by.replace('$', chr(92))}', 'g')"
+    return f"SELECT doc_id, {out} AS text FROM documents"
+
+
+@query(_redacted_sql())
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", values.redacted(F.col("text")).alias("text"))
 
 
-@query()
+@query("""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, text, regexp_extract_all(text, '[A-Za-z0-9_-]{24,}') AS found, string_split_regex(text, '[A-Za-z0-9_-]{24,}') AS pieces FROM documents),
+f AS (SELECT r, x, min(i) AS place FROM (SELECT r, unnest(found) AS x, unnest(range(len(found))) AS i FROM t) GROUP BY 1, 2),
+n AS (SELECT r, x, row_number() OVER (PARTITION BY r ORDER BY place) AS k FROM f),
+p AS (SELECT r, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM t),
+m AS (SELECT r, unnest(found) AS x, unnest(range(len(found))) AS i FROM t),
+j AS (SELECT p.r, string_agg(piece || coalesce('REDACTED_VALUE_' || n.k, ''), '' ORDER BY p.i) AS text FROM p LEFT JOIN m ON m.r = p.r AND m.i = p.i LEFT JOIN n ON n.r = m.r AND n.x = m.x GROUP BY 1)
+SELECT doc_id, coalesce(j.text, t.text) AS text FROM t LEFT JOIN j USING (r)""")
 def pii_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", values.aliased_tokens(F.col("text")).alias("text"))
 
