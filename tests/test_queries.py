@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from billsift import queries_rules  # noqa: F401 (registers its queries)
+from billsift import queries_discovery, queries_rules  # noqa: F401 (they register their queries)
 from billsift.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
