@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, html_extraction, language_id, lm_scoring, merkle, secrets, sharding, simhash
+from . import bpe, chat, decontamination, html_extraction, importance, language_id, lm_scoring, merkle, secrets, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_language_id": language_id.op9_language_id,
         "op10_merkle": merkle.op10_merkle,
+        "op11_importance": importance.op11_importance,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_sharding": sharding.oracle_sql(),
         "op2_decontamination": decontamination.ORACLE_SQL,
         "op7_chat": chat.ORACLE_SQL,
+        "op11_importance": importance.ORACLE_SQL,
     }
