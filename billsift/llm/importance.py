@@ -27,14 +27,16 @@ RUN = 3
 SEED = 42
 PERCENT = 5
 LEAST_WORDS = 20
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, in the lower-cased text.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ROWS_A_RANGE = 1_000_000
 CLASSES = 16  # of scores, for each doubling of their size
 
 
 def words_column(text: Column) -> Column:
     """The words, A-Z in lower case; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), common.UPPER, common.UPPER.lower()), F.lit(WORD), F.lit(0))
+    lower = F.translate(F.coalesce(text, F.lit("")), common.UPPER, common.UPPER.lower())
+    return F.array_remove(F.split(lower, BETWEEN), "")
 
 
 def buckets_column(words: Column) -> Column:
