@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, html_extraction, importance, language_id, lm_scoring, merkle, secrets, sharding, simhash
+from . import bpe, chat, decontamination, html_extraction, importance, language_id, lexical_search, lm_scoring, merkle, secrets, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": language_id.op9_language_id,
         "op10_merkle": merkle.op10_merkle,
         "op11_importance": importance.op11_importance,
+        "op12_search": lexical_search.op12_search,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": decontamination.ORACLE_SQL,
         "op7_chat": chat.ORACLE_SQL,
         "op11_importance": importance.ORACLE_SQL,
+        "op12_search": lexical_search.ORACLE_SQL,
     }
