@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, html_extraction, importance, language_id, lexical_search, lm_scoring, merkle, secrets, sharding, simhash
+from . import bpe, chat, decontamination, html_extraction, importance, language_id, lexical_search, lm_scoring, merkle, pii, secrets, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_merkle": merkle.op10_merkle,
         "op11_importance": importance.op11_importance,
         "op12_search": lexical_search.op12_search,
+        "op13_pii": pii.op13_pii,
     }
 
 
