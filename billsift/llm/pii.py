@@ -259,10 +259,10 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float =
     """One row a row of `docs`: its id and `spans`, an array of (kind, start, end, base, likelihood) by kind, then start.
 
     Offsets are code points, ends exclusive. Base spans always stay. Other candidates are reported if the classifier
-    gives at least `least`, and a cue or their own form speaks for them. Null and empty texts have no spans; repeated
+    gives at least `least`, and a cue speaks for them, or their own form does and no cue against. Null and empty texts have no spans; repeated
     rows each have theirs; an empty table gives no rows. Other columns are not read.
     """
-    # votes 0, 1, 2 and 4 are features as well: what the classifier adds is how they go together with the surroundings
+    # four of the votes are features as well: what the classifier adds is how they go together with the surroundings
     df = candidates(docs, id, text)
     names, at = list(FEATURES), {"form": 0, "gazetteer": 1, "cue": 2, "shape": 4}
     full = lambda c: F.array(*[c["votes"][at[f]] + 1 if f in at else c["features"][i] for i, f in enumerate(names)])
@@ -277,7 +277,7 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float =
 
     def judged(c: Column) -> Column:
         score = sum((F.element_at(_literal(ws), c["features"][f] + 1) for f, ws in enumerate(weights)), F.lit(0.0))
-        return F.struct(c["kind"].alias("rank"), F.element_at(kinds, c["kind"] + 1).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), ((c["features"][cue] == 2) | (c["features"][form] == 2)).alias("said"), (1 / (1 + F.exp(-score))).alias("likelihood"))
+        return F.struct(c["kind"].alias("rank"), F.element_at(kinds, c["kind"] + 1).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), ((c["features"][cue] == 2) | (c["features"][cue] == 1) & (c["features"][form] == 2)).alias("said"), (1 / (1 + F.exp(-score))).alias("likelihood"))
 
     chosen = F.filter(F.transform("found", judged), lambda c: c["base"] | c["said"] & (c["likelihood"] >= least))
     sorted_ = F.array_sort(F.transform(chosen, lambda c: F.struct(c["rank"], c["start"], c["end"], c["kind"], c["base"], c["likelihood"])))
