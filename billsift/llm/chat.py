@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_TURNS = 256
-# The marks around a turn. "<|" inside a text is written "< |", so a text can't forge a turn.
+# The marks around a turn. "<|" inside a text or role is written "< |", and "|>" inside a role "| >", so
+# neither can forge a turn.
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 LEARNT = "assistant"
 LAST_TURN = (1 << 63) - 1
@@ -34,7 +35,7 @@ def _rows(chosen: DataFrame, rejected: DataFrame, id: str, turn: str, role: str,
 
 
 def _head(turn: Column) -> Column:
-    return F.concat(F.lit(OPEN), turn["role"], F.lit(CLOSE))
+    return F.concat(F.lit(OPEN), F.replace(F.replace(turn["role"], F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >")), F.lit(CLOSE))
 
 
 def _rendered(turn: Column) -> Column:
@@ -115,11 +116,11 @@ r AS (SELECT t.pair_id, t.turn, t.role, CASE WHEN t.role = 'assistant' AND t.tur
       FROM t LEFT JOIN last l ON l.pair_id = t.pair_id LEFT JOIN last o ON o.pair_id = xor(t.pair_id, 1)),
 j AS (SELECT t.*, r.other, min(CASE WHEN t.text <> r.other THEN t.turn END) OVER (PARTITION BY t.pair_id) AS first
       FROM t JOIN r USING (pair_id, turn)),
-s AS (SELECT pair_id, turn, side, role = 'assistant' AS learnt, length('<|' || role || '|>' || chr(10)) AS head,
-        '<|' || role || '|>' || chr(10) || replace(body, '<|', '< |') || '<|end|>' || chr(10) AS txt
-      FROM (SELECT pair_id, turn, role, 'prompt' AS side, text AS body FROM j WHERE first IS NULL OR turn < first
+s AS (SELECT pair_id, turn, side, role = 'assistant' AS learnt, length('<|' || name || '|>' || chr(10)) AS head,
+        '<|' || name || '|>' || chr(10) || replace(body, '<|', '< |') || '<|end|>' || chr(10) AS txt
+      FROM (SELECT *, replace(replace(role, '<|', '< |'), '|>', '| >') AS name FROM (SELECT pair_id, turn, role, 'prompt' AS side, text AS body FROM j WHERE first IS NULL OR turn < first
             UNION ALL SELECT pair_id, turn, role, 'chosen', text FROM j WHERE turn >= first
-            UNION ALL SELECT pair_id, turn, role, 'rejected', other FROM j WHERE turn >= first)),
+            UNION ALL SELECT pair_id, turn, role, 'rejected', other FROM j WHERE turn >= first))),
 o AS (SELECT *, coalesce(sum(length(txt)) OVER (PARTITION BY pair_id, side ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM s),
 m AS (SELECT *, (off + head)::VARCHAR || ':' || (off + length(txt))::VARCHAR AS span FROM o)
 SELECT pair_id, count(*) FILTER (side = 'prompt') AS n_prompt_turns,

@@ -49,6 +49,7 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 SCOPES = frozenset("ul ol dl table article section div main aside nav body form".split())
 # Tags that features name; all others are one kind to them.
 NAMED = VOID | RAW | INLINE | CLOSES_P | ENDS_FOREIGN | frozenset("html head body button label select option optgroup legend tr td th thead tbody tfoot caption colgroup video audio picture iframe template slot dialog output progress meter".split())
+ABRUPT, COMMENT_END = re.compile("-?>"), re.compile("--!?>")
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 QUOTE_OR_END = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -230,9 +231,12 @@ def blocks_of(page: str | None) -> list[Block]:
             break
         show(page[at:start])
         if page.startswith("<!--", start):
-            at = behind("-->", start + 4)
+            m = COMMENT_END.search(page, start + 4)
+            abrupt = ABRUPT.match(page, start + 4)
+            at = abrupt.end() if abrupt else m.end() if m else len(page)
             continue
-        if page.startswith("<![CDATA[", start):
+        foreign = stack.foreign() if stack.at else -1
+        if foreign >= 0 and page.startswith("<![CDATA[", start):
             at = behind("]]>", start + 9)
             continue
         if page[start + 1 : start + 2] in ("!", "?"):
@@ -249,11 +253,10 @@ def blocks_of(page: str | None) -> list[Block]:
         at = end + 1
         tag, closing, inner = m[2].lower(), bool(m[1]), page[m.end() : end]
         if not closing and tag in RAW:
-            if not inner.rstrip().endswith("/"):
+            if foreign < 0 or not inner.endswith("/"):  # outside of drawings and formulas a slash closes nothing
                 found = ends.of_content(tag, at)
                 at = found if found >= 0 else len(page) if tag in ENDLESS else at
             continue
-        foreign = stack.foreign() if stack.at else -1
         if foreign >= 0 and tag in ENDS_FOREIGN and not closing:
             stack.pop_to(foreign)
             foreign = -1
