@@ -26,8 +26,9 @@ HREF = r'(?i)\bhref="([^"]+)"'
 PII_KEY = re.compile(r"email|name|recipient|address|phone|vat|tax|ssn|personnummer|customer", re.I)
 SENSITIVE_KEY = re.compile(r"token|secret|password|passwd|passcode|credential|private[_-]?key|cookie|session|authorization|api[_-]?key|csrf|xsrf", re.I)
 PAYMENT_KEY = re.compile(r"(?:^|_)(?:card(?:_?(?:number|pan|cvc|cvv|security_?code))?|cvv|cvc|iban|bic|swift|bank(?:_?(?:account|number|routing|code))?|routing(?:_?number)?|account_?number|sort_?code)(?:_|$)", re.I)
-EMAIL, LONG_TOKEN = re.compile(r"[^\s@]+@[^\s@]+\.[^\s@]+"), re.compile(r"[A-Za-z0-9_-]{24,}")
+EMAIL, LONG_TOKEN = re.compile(r"(?<![^\s@])[^\s@]+@[^\s@]+\.[^\s@]+"), re.compile(r"[A-Za-z0-9_-]{24,}")
 UNSAFE_KEY = re.compile(r"[^\s@]+@[^\s@]+\.[^\s@]+\Z|[A-Za-z0-9_-]{24,}\Z|(?:sk|pk|rk|api)_(?:live|test|prod)_", re.I)
+SURROGATE = re.compile("[\ud800-\udfff]")
 CARD, IBAN = re.compile(r"\b(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})\b", re.A), re.compile(r"\b[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30}\b", re.I | re.A)
 CREDENTIAL_KEY, CREDENTIAL_VALUE = re.compile(exploration.CREDENTIAL_KEY), re.compile(exploration.CREDENTIAL_VALUE)
 RECORDED_PATHS, REDACTED_DEPTH, BODY_CHARS = 40, 12, 256_000
@@ -58,7 +59,8 @@ def _luhn(digits: str) -> bool:
     return (sum(map(int, digits[-1::-2])) + sum(d - 9 if d > 9 else d for d in doubled)) % 10 == 0
 
 
-def _is_payment(text: str) -> bool:
+def is_payment(text: str) -> bool:
+    """Whether a text holds the number of a card or a bank account, by its check digits."""
     if any(_luhn(re.sub(r"\D", "", m)) for m in CARD.findall(text)):
         return True
     for m in IBAN.findall(text):
@@ -68,61 +70,105 @@ def _is_payment(text: str) -> bool:
     return False
 
 
-def _policy_key(key: str) -> str:
+def policy_key(key: str) -> str:
     return re.sub(r"[-\s]+", "_", re.sub("([a-z0-9])([A-Z])", r"\1_\2", key)).lower()
 
 
-def _without_people(value, key: str | None, names: dict[str, str]):
-    """A copy with what names people, secrets or payments taken out; long tokens get numbers by first sight (`names`)."""
-    if isinstance(value, dict):
-        out = {}
-        hidden = {k: f"__redacted_key_{n}__" for n, k in enumerate(filter(lambda k: UNSAFE_KEY.match(unquote(k)), value), 1)}
-        for k, x in value.items():
-            out[hidden.get(k, k)] = _without_people(x, k, names)
-        return out
-    if isinstance(value, list):
-        return [_without_people(x, key, names) for x in value]
-    if not isinstance(value, str):
-        return value
-    if _is_payment(value) or (key and (PII_KEY.search(key) or SENSITIVE_KEY.search(key) or PAYMENT_KEY.search(_policy_key(key)))):
-        return "REDACTED"
-    return LONG_TOKEN.sub(lambda m: names.setdefault(m[0], f"REDACTED_VALUE_{len(names) + 1}"), EMAIL.sub("user@example.com", value))
+def _number(text: str) -> int | float:
+    value = float(text)
+    return int(value) if value.is_integer() and abs(value) < 1e21 else value
 
 
-def _without_credentials(value, key: str | None, path: str, depth: int, paths: list[str]):
-    """A copy with its credentials taken out, and (`paths`) where they were."""
-    if depth > REDACTED_DEPTH:
-        return None
-    secret = key is not None and (CREDENTIAL_KEY.search(re.sub("([a-z0-9])([A-Z])", r"\1_\2", key)) or PAYMENT_KEY.search(_policy_key(key)))
-    if secret or (isinstance(value, str) and (_is_payment(value) or CREDENTIAL_VALUE.match(value.strip()))):
-        if len(paths) < RECORDED_PATHS and 0 < len(path) <= 300 and all(re.fullmatch(r"[A-Za-z0-9_$-]+", p) for p in path.split(".")):
-            paths.append(path)
-        return "REDACTED"
+def _refuse(text: str):
+    raise ValueError(text)
+
+
+def loaded(text: str):
+    """A JSON text's value; whole numbers are whole however they are written. Raises ValueError on what is no JSON."""
+    return json.loads(text, parse_float=_number, parse_constant=_refuse)
+
+
+def dumped(value) -> str:
+    """Compact JSON; halves of characters stay escaped."""
+    return SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False, separators=(",", ":")))
+
+
+KEEP = ...  # a single one in every process: what a rule says of a value that stays, or is looked into
+
+
+def rewritten(value, rule: Callable, names: Callable[[dict], dict[str, str]] = lambda members: {}, key: str | None = None, path: str = "", depth: int = 0):
+    """A copy of a JSON value in which each value is what `rule(key, path, depth, value)` makes of it, unless that is KEEP.
+
+    `key` is the nearest member name above; `names` gives new names to an object's members, which paths use.
+    """
+    made = rule(key, path, depth, value)
+    if made is not KEEP:
+        return made
     inside = f"{path}." if path else ""
     if isinstance(value, list):
-        return [_without_credentials(x, key, f"{inside}{i}", depth + 1, paths) for i, x in enumerate(value)]
+        return [rewritten(x, rule, names, key, f"{inside}{i}", depth + 1) for i, x in enumerate(value)]
     if isinstance(value, dict):
-        return {k: _without_credentials(x, k, f"{inside}{k}", depth + 1, paths) for k, x in value.items()}
+        new = names(value)
+        return {new.get(k, k): rewritten(x, rule, names, k, f"{inside}{new.get(k, k)}", depth + 1) for k, x in value.items()}
     return value
 
 
-def _strings_of(text: str) -> list[dict]:
-    return [{"path": p, "typed": t, "text": x} for p, t, x in _strings(json.loads(text))]
+def hidden_names(unsafe: re.Pattern) -> Callable[[dict], dict[str, str]]:
+    """Gives the members of an object whose names match `unsafe` numbered names that no other member has."""
+
+    def names(members: dict) -> dict[str, str]:
+        out: dict[str, str] = {}
+        taken = set(members)
+        for i, k in enumerate((k for k in members if unsafe.match(unquote(k))), 1):
+            while (name := f"__redacted_key_{i}__") in taken:
+                i += 1
+            taken.add(name)
+            out[k] = name
+        return out
+
+    return names
+
+
+def _without_people(text: str) -> str:
+    """A copy with what names people, secrets or payments taken out; long tokens get numbers by first sight."""
+    seen: dict[str, str] = {}
 
+    def rule(key: str | None, path: str, depth: int, value):
+        if not isinstance(value, str):
+            return KEEP
+        if is_payment(value) or (key and (PII_KEY.search(key) or SENSITIVE_KEY.search(key) or PAYMENT_KEY.search(policy_key(key)))):
+            return "REDACTED"
+        value = EMAIL.sub("user@example.com", value) if "@" in value else value
+        return LONG_TOKEN.sub(lambda m: seen.setdefault(m[0], f"REDACTED_VALUE_{len(seen) + 1}"), value)
 
-def _fixture(text: str) -> str:
-    return json.dumps(_without_people(json.loads(text), None, {}), ensure_ascii=False, separators=(",", ":"))
+    return dumped(rewritten(json.loads(text), rule, hidden_names(UNSAFE_KEY)))
 
 
-def _evidence(text: str) -> dict | None:
+def _without_credentials(text: str) -> dict | None:
+    """A copy with its credentials taken out, and where they were."""
     if len(text) > BODY_CHARS:
         return None
     paths: list[str] = []
-    value = _without_credentials(json.loads(text), None, "", 0, paths)
-    return {"value": json.dumps(value, ensure_ascii=False, separators=(",", ":")), "paths": paths}
+
+    def rule(key: str | None, path: str, depth: int, value):
+        if depth > REDACTED_DEPTH:
+            return None
+        secret = key is not None and (CREDENTIAL_KEY.search(re.sub("([a-z0-9])([A-Z])", r"\1_\2", key)) or PAYMENT_KEY.search(policy_key(key)))
+        if not secret and not (isinstance(value, str) and (is_payment(value) or CREDENTIAL_VALUE.match(value.strip()))):
+            return KEEP
+        if len(paths) < RECORDED_PATHS and 0 < len(path) <= 300 and all(re.fullmatch(r"[A-Za-z0-9_$-]+", p) for p in path.split(".")):
+            paths.append(path)
+        return "REDACTED"
+
+    return {"value": dumped(rewritten(json.loads(text), rule)), "paths": paths}
+
+
+def _strings_of(text: str) -> list[dict]:
+    plain = lambda x: SURROGATE.sub("\ufffd", x)
+    return [{"path": plain(p), "typed": t, "text": plain(x)} for p, t, x in _strings(json.loads(text))]
 
 
-def _each(make: Callable[[str], object], kind: pa.DataType, ddl: str):
+def each_text(make: Callable[[str], object], kind: pa.DataType, ddl: str):
     """An Arrow function of a column of JSON texts; null where a text is null, empty or no JSON."""
 
     @F.arrow_udf(ddl)
@@ -146,7 +192,7 @@ def json_strings(df: DataFrame, body: str) -> DataFrame:
     """
     ship(df.sparkSession)
     kind = pa.list_(pa.struct([("path", pa.string()), ("typed", pa.bool_()), ("text", pa.string())]))
-    run = _each(_strings_of, kind, "array<struct<path:string,typed:boolean,text:string>>")
+    run = each_text(_strings_of, kind, "array<struct<path:string,typed:boolean,text:string>>")
     rest = [c for c in df.columns if c != body]
     return df.select(*rest, F.posexplode(run(body)).alias("place", "_s")).select(*rest, "place", "_s.*")
 
@@ -204,11 +250,11 @@ def best_link_token(pages: DataFrame, pdfs: DataFrame, keys: Sequence[str], html
 def fixture(df: DataFrame, body: str) -> DataFrame:
     """`df` with its JSON `body` redacted for a test fixture: shapes, numbers and dates stay; names, secrets and payment data go; null for what is no JSON."""
     ship(df.sparkSession)
-    return df.withColumn(body, _each(_fixture, pa.string(), "string")(body))
+    return df.withColumn(body, each_text(_without_people, pa.string(), "string")(body))
 
 
 def evidence(df: DataFrame, body: str) -> DataFrame:
     """`df` with `body` as struct<value, paths>: its JSON without credentials and payment data, and where these were (40 paths); null for what is no JSON or over 256,000 characters."""
     ship(df.sparkSession)
     kind = pa.struct([("value", pa.string()), ("paths", pa.list_(pa.string()))])
-    return df.withColumn(body, _each(_evidence, kind, "struct<value:string,paths:array<string>>")(body))
+    return df.withColumn(body, each_text(_without_credentials, kind, "struct<value:string,paths:array<string>>")(body))
