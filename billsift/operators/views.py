@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered, written
+
 JOURNAL_CAP, CANDIDATES, MAX_ORIGINS, CAPTURES, CAPTURE_CHARS, SLOWEST = 500, 3, 8, 12, 768_000, 8
 # The families of places that a search may look at, and failures that concern one candidate alone.
 FAMILIES = ("exact_entry", "observed_navigation", "tenant_contextual_route", "common_billing_route", "observed_network", "embedded_data", "document_provider", "semantic_download")
@@ -18,35 +20,62 @@ def valid_journal(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("identity").rlike("^[0-9a-f]{64}$") & F.col("destination").isNotNull() & F.col("path").isNotNull() & F.col("status").isin("pending", "committed") & F.col("updated").isNotNull())
 
 
-def prepare_deliveries(journal: DataFrame, new: DataFrame, cap: int = JOURNAL_CAP) -> tuple[DataFrame, DataFrame]:
-    """(journal, refused) after `new` (identity, source, destination, path, updated) has been prepared; identities in `new` are unique.
+ENTRY = ("identity", "source", "destination", "path", "status", "updated")
+
+
+def delivery_changes(journal: DataFrame, new: DataFrame, owner: str, cap: int = JOURNAL_CAP) -> DataFrame:
+    """What a batch of deliveries (owner, identity, source, destination, path, updated) does to the journal, a row each: ENTRY and `outcome`.
 
-    An entry for the same destination is used again, unless it is another supplier's (refused). Other new ones are pending.
-    The oldest committed entries go to keep the journal at `cap`; if too few are committed, the newest of the new ones are refused.
+    `again`: the entry has the same destination, its path and state are used again; `refused:supplier`: it does, but is another
+    supplier's, and stays as it is. All others are `fresh` and pending, in place of an entry for another destination. An owner keeps
+    `cap` entries: the oldest committed ones that the batch does not use are `evicted`, and if these are too few, the newest
+    of the fresh are `refused:full`. Identities are unique to an owner, in the journal and in the batch.
+    """
+    old = journal.select(F.col(owner).alias("_o"), *[F.col(c).alias(f"_{c}") for c in ENTRY])
+    mine = F.col(owner).eqNullSafe(F.col("_o")) & (F.col("identity") == F.col("_identity"))
+    same = F.coalesce(F.col("destination") == F.col("_destination"), F.lit(False))
+    other = F.coalesce(F.col("_source") != F.col("source"), F.lit(False))
+    met = new.join(old, mine, "left").withColumn("outcome", F.when(same & other, "refused:supplier").when(same, "again").otherwise("fresh"))
+    told = met.select(owner, "identity", "source", "destination", F.when(F.col("outcome") == "again", F.col("_path")).otherwise(F.col("path")).alias("path"), F.when(F.col("outcome") == "again", F.col("_status")).when(F.col("outcome") == "fresh", "pending").alias("status"), F.when(F.col("outcome") == "again", F.col("_updated")).otherwise(F.col("updated")).alias("updated"), "outcome")
+    used = told.where("outcome IN ('again', 'fresh')").select(F.col(owner).alias("_o"), F.col("identity").alias("_identity"))
+    kept = journal.join(used, mine, "left_anti").select(owner, *ENTRY, F.lit("kept").alias("outcome"))
+    has = lambda what: F.count(F.when(what, 1))
+    counts = told.unionByName(kept).where("outcome <> 'refused:supplier'").groupBy(F.col(owner).alias("_o")).agg(
+        (F.count("*") - cap).alias("_over"), has(F.col("outcome") == "fresh").alias("_fresh"), has((F.col("outcome") == "kept") & (F.col("status") == "committed")).alias("_committed")
+    )
+    counts = counts.where("_over > 0").select("_o", F.least("_over", "_committed").alias("_gone"), (F.col("_fresh") - F.greatest(F.lit(0), F.col("_over") - F.col("_committed"))).alias("_room"), (F.col("_over") > F.col("_committed")).alias("_full"))
+    # an owner's committed entries are no more than `cap` in a journal that is kept by this rule; a batch has no such bound, so it is numbered by ranges
+    ranked = kept.where("status = 'committed'").join(counts, F.col(owner).eqNullSafe(F.col("_o"))).withColumn("_turn", F.row_number().over(Window.partitionBy(owner).orderBy("updated", "identity")))
+    evicted = ranked.where("_turn <= _gone").select(owner, *ENTRY, F.lit("evicted").alias("outcome"))
+    turns = numbered(told.where("outcome = 'fresh'").join(counts.where("_full"), F.col(owner).eqNullSafe(F.col("_o"))), [owner], [F.asc("updated"), F.asc("identity")], "_turn")
+    late = turns.where("_turn > _room").select(F.col(owner).alias("_o"), F.col("identity").alias("_identity"), F.lit(True).alias("_late"))
+    full = F.coalesce(F.col("_late"), F.lit(False)) & (F.col("outcome") == "fresh")
+    told = told.join(late, mine, "left").withColumns({"outcome": F.when(full, "refused:full").otherwise(F.col("outcome")), "status": F.when(~full, F.col("status"))})
+    return told.select(owner, *ENTRY, "outcome").unionByName(evicted)
+
+
+def prepare_deliveries(journal: DataFrame, new: DataFrame, owner: str, cap: int = JOURNAL_CAP) -> tuple[DataFrame, DataFrame]:
+    """(journal, refused) after `new` has been prepared by `delivery_changes`; a fresh entry that finds no room leaves what was there."""
+    changes = written(delivery_changes(journal, new, owner, cap), "changes")
+    done = changes.where("outcome NOT LIKE 'refused:%'")
+    gone = done.select(F.col(owner).alias("_o"), F.col("identity").alias("_identity"))
+    kept = journal.join(gone, F.col(owner).eqNullSafe(F.col("_o")) & (F.col("identity") == F.col("_identity")), "left_anti")
+    out = kept.select(owner, *ENTRY).unionByName(done.where("outcome <> 'evicted'").select(owner, *ENTRY))
+    return out, changes.where("outcome LIKE 'refused:%'").select(owner, "identity", F.substring("outcome", 9, 20).alias("why"))
+
+
+def commit_deliveries(journal: DataFrame, done: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
+    """(journal, conflicts) with `done` (owner, identity, destination, path, updated) committed where destination and path are still the same.
+
+    What is no longer in the journal (`missing`) or there for another destination or path (`changed`) is a conflict, and changes nothing.
     """
-    old = journal.select("identity", *[F.col(c).alias(f"_{c}") for c in ("source", "destination", "path", "status", "updated")])
-    met = new.join(old, "identity", "left").withColumn("_again", F.coalesce(F.col("destination") == F.col("_destination"), F.lit(False)))
-    foreign = F.col("_again") & F.coalesce(F.col("_source") != F.col("source"), F.lit(False))
-    again = met.where(F.col("_again") & ~foreign).select("identity", "source", "destination", F.col("_path").alias("path"), F.col("_status").alias("status"), F.col("_updated").alias("updated"))
-    fresh = met.where(~F.col("_again")).select("identity", "source", "destination", "path", F.lit("pending").alias("status"), "updated")
-    kept = journal.join(new.select("identity"), "identity", "left_anti").select(*fresh.columns)
-    # Room is made from the oldest committed entries that this batch does not use: ranks below how many are too many.
-    over = kept.agg(F.count("*").alias("n")).crossJoin(again.agg(F.count("*").alias("m"))).crossJoin(fresh.agg(F.count("*").alias("k"))).select((F.col("n") + F.col("m") + F.col("k") - cap).alias("_over"))
-    committed = kept.where("status = 'committed'").join(F.broadcast(over), F.lit(True)).where("_over > 0")
-    gone = committed.orderBy("updated", "identity").limit(cap).withColumn("_turn", F.row_number().over(Window.orderBy("updated", "identity"))).where("_turn <= _over")
-    short = F.broadcast(over.join(gone.agg(F.count("*").alias("_gone")), F.lit(True)).select((F.col("_over") - F.col("_gone")).alias("_short")))
-    late = fresh.orderBy(F.col("updated").desc(), F.col("identity").desc()).limit(cap).withColumn("_turn", F.row_number().over(Window.orderBy(F.col("updated").desc(), F.col("identity").desc()))).join(short, F.lit(True)).where("_turn <= _short").select("identity")
-    out = kept.join(gone.select("identity"), "identity", "left_anti").unionByName(again).unionByName(fresh.join(late, "identity", "left_anti"))
-    refused = met.where(foreign).select("identity", F.lit("other supplier").alias("why")).unionByName(late.select("identity", F.lit("journal is full").alias("why")))
-    return out, refused
-
-
-def commit_deliveries(journal: DataFrame, done: DataFrame) -> DataFrame:
-    """The journal with `done` (identity, destination, path, updated) committed where destination and path are still the same."""
-    mine = done.select("identity", F.col("destination").alias("_d"), F.col("path").alias("_p"), F.col("updated").alias("_u"))
+    mine = done.select(F.col(owner).alias("_o"), F.col("identity").alias("_i"), F.col("destination").alias("_d"), F.col("path").alias("_p"), F.col("updated").alias("_u"))
+    here = F.col(owner).eqNullSafe(F.col("_o")) & (F.col("identity") == F.col("_i"))
     same = F.coalesce((F.col("destination") == F.col("_d")) & (F.col("path") == F.col("_p")), F.lit(False))
-    joined = journal.join(mine, "identity", "left")
-    return joined.withColumns({"status": F.when(same, "committed").otherwise(F.col("status")), "updated": F.when(same, F.col("_u")).otherwise(F.col("updated"))}).drop("_d", "_p", "_u")
+    out = journal.join(mine, here, "left").withColumns({"status": F.when(same, "committed").otherwise(F.col("status")), "updated": F.when(same, F.col("_u")).otherwise(F.col("updated"))}).drop("_o", "_i", "_d", "_p", "_u")
+    met = mine.join(journal.select(owner, "identity", "destination", "path"), here, "left")
+    conflicts = met.where(~same).select(F.col("_o").alias(owner), F.col("_i").alias("identity"), F.when(F.col("identity").isNull(), "missing").otherwise("changed").alias("why"))
+    return out, conflicts
 
 
 def clear_journal(journal: DataFrame, source: str) -> DataFrame:

@@ -360,40 +360,73 @@ def destination_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.suppliers_by_destination(table(spark, sf_dir, "supplier"), "s_nationkey", "s_name")
 
 
-_JOURNAL = "SELECT sha256('j' || event_id) AS identity, CASE WHEN event_id % 3 > 0 THEN 'src' || event_id % 3 END AS source, 'd' || event_id % 2 AS destination, 'p' || event_id AS path, CASE WHEN event_id % 4 = 0 THEN 'pending' ELSE 'committed' END AS status, event_id AS updated FROM events WHERE event_id < 600"
-_NEW = "SELECT sha256('j' || event_id) AS identity, 'src1' AS source, 'd1' AS destination, 'n' || event_id AS path, event_id + 1000 AS updated FROM events WHERE event_id % 50 = 1"
+#: Even events as a journal of their users, odd ones as a batch of deliveries; identities, destinations and sources meet in part.
+_JOURNAL = """
+e AS (SELECT event_id, user_id AS owner, event_id // 2 % 60 AS k, event_id // 2 % 90 AS m FROM events),
+j AS (SELECT owner, sha256(owner || '-' || k) AS identity, CASE WHEN id % 6 > 0 THEN 'src' || (id % 4) END AS source, 'd' || (k % 3) AS destination, 'p' || id AS path, CASE WHEN id % 8 < 2 THEN 'pending' ELSE 'committed' END AS status, id AS updated
+  FROM (SELECT owner, k, max(event_id) AS id FROM e WHERE event_id % 2 = 0 GROUP BY 1, 2)),
+n AS (SELECT owner, sha256(owner || '-' || m) AS identity, 'src' || (id // 3 % 2 * 2) AS source, 'd' || (id % 3) AS destination, 'n' || id AS path, id + 1000000 AS updated
+  FROM (SELECT owner, m, min(event_id) AS id FROM e WHERE event_id % 2 = 1 GROUP BY 1, 2))"""
+_PREPARED = f"""WITH {_JOURNAL},
+m AS (SELECT n.*, CASE WHEN j.destination IS DISTINCT FROM n.destination THEN 'fresh' WHEN coalesce(j.source <> n.source, false) THEN 'supplier' ELSE 'again' END AS what, j.path AS old_path, j.status AS old_status, j.updated AS old_updated
+  FROM n LEFT JOIN j USING (owner, identity)),
+k AS (SELECT j.* FROM j ANTI JOIN (SELECT owner, identity FROM m WHERE what <> 'supplier') USING (owner, identity)),
+c AS (SELECT owner, sum(k) + sum(a) + sum(f) - 30 AS over, sum(c) AS committed, sum(f) AS f FROM (
+  SELECT owner, count(*) AS k, 0 AS a, 0 AS f, count(*) FILTER (status = 'committed') AS c FROM k GROUP BY 1
+  UNION ALL SELECT owner, 0, count(*) FILTER (what = 'again'), count(*) FILTER (what = 'fresh'), 0 FROM m GROUP BY 1) GROUP BY 1),
+g AS (SELECT owner, identity FROM (SELECT k.*, row_number() OVER (PARTITION BY owner ORDER BY updated, identity) AS t FROM k WHERE status = 'committed') JOIN c USING (owner) WHERE t <= over),
+l AS (SELECT owner, identity FROM (SELECT m.*, row_number() OVER (PARTITION BY owner ORDER BY updated DESC, identity DESC) AS t FROM m WHERE what = 'fresh') JOIN c USING (owner) WHERE t <= over - committed)
+"""
 
 
 def _journal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    events = table(spark, sf_dir, "events")
-    id, text = F.col("event_id"), lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    named = F.sha2(text("j", id), 256).alias("identity")
-    old = events.where("event_id < 600").select(named, F.when(id % 3 > 0, text("src", id % 3)).alias("source"), text("d", id % 2).alias("destination"), text("p", id).alias("path"), F.when(id % 4 == 0, "pending").otherwise("committed").alias("status"), id.alias("updated"))
-    new = events.where("event_id % 50 = 1").select(named, F.lit("src1").alias("source"), F.lit("d1").alias("destination"), text("n", id).alias("path"), (id + 1000).alias("updated"))
-    return old, new
+    id, text = F.col("id"), lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("owner"), F.floor(F.col("event_id") / 2).alias("h"))
+    of = lambda n: F.sha2(F.concat_ws("-", F.col("owner").cast("string"), F.col(n).cast("string")), 256).alias("identity")
+    old = events.where("event_id % 2 = 0").groupBy("owner", (F.col("h") % 60).alias("k")).agg(F.max("event_id").alias("id"))
+    new = events.where("event_id % 2 = 1").groupBy("owner", (F.col("h") % 90).alias("k")).agg(F.min("event_id").alias("id"))
+    journal = old.select("owner", of("k"), F.when(id % 6 > 0, text("src", id % 4)).alias("source"), text("d", F.col("k") % 3).alias("destination"), text("p", id).alias("path"), F.when(id % 8 < 2, "pending").otherwise("committed").alias("status"), id.alias("updated"))
+    return journal, new.select("owner", of("k"), text("src", F.floor(id / 3) % 2 * 2).alias("source"), text("d", id % 3).alias("destination"), text("n", id).alias("path"), (id + 1000000).alias("updated"))
+
+
+@query(f"""{_PREPARED}
+SELECT owner, identity, source, destination, path, status, updated FROM k ANTI JOIN g USING (owner, identity) ANTI JOIN (SELECT m.owner, m.identity FROM m JOIN l USING (owner, identity)) USING (owner, identity)
+UNION ALL SELECT owner, identity, source, destination, old_path, old_status, old_updated FROM m WHERE what = 'again'
+UNION ALL SELECT owner, identity, source, destination, path, 'pending', updated FROM m ANTI JOIN l USING (owner, identity) WHERE what = 'fresh'
+UNION ALL SELECT j.owner, j.identity, j.source, j.destination, j.path, j.status, j.updated FROM j JOIN l USING (owner, identity)""")
+def journal_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.prepare_deliveries(*_journal(spark, sf_dir), "owner", cap=30)[0]
 
 
-@query(f"""
-WITH j AS ({_JOURNAL}), n AS ({_NEW}),
-m AS (SELECT n.*, j.destination IS NOT NULL AND j.destination = n.destination AS again, coalesce(j.source <> n.source, false) AS other, j.path AS old_path, j.status AS old_status, j.updated AS old_updated FROM n LEFT JOIN j USING (identity)),
-k AS (SELECT identity, source, destination, path, status, updated FROM j WHERE identity NOT IN (SELECT identity FROM n)),
-a AS (SELECT identity, source, destination, old_path AS path, old_status AS status, old_updated AS updated FROM m WHERE again AND NOT other),
-f AS (SELECT identity, source, destination, path, 'pending' AS status, updated FROM m WHERE NOT again),
-o AS (SELECT (SELECT count(*) FROM k) + (SELECT count(*) FROM a) + (SELECT count(*) FROM f) - 700 AS over),
-g AS (SELECT identity FROM (SELECT identity, row_number() OVER (ORDER BY updated, identity) AS t FROM k WHERE status = 'committed'), o WHERE t <= over),
-l AS (SELECT identity FROM (SELECT identity, row_number() OVER (ORDER BY updated DESC, identity DESC) AS t FROM f), o WHERE t <= over - (SELECT count(*) FROM g))
-SELECT * FROM k WHERE identity NOT IN (SELECT identity FROM g) UNION ALL SELECT * FROM a UNION ALL SELECT * FROM f WHERE identity NOT IN (SELECT identity FROM l)""")
-def journal_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.prepare_deliveries(*_journal(spark, sf_dir), cap=700)[0].select("identity", "source", "destination", "path", "status", "updated")
+@query(f"{_PREPARED} SELECT owner, identity, what AS why FROM m WHERE what = 'supplier' UNION ALL SELECT owner, identity, 'full' FROM l")
+def journal_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another supplier's entries, and what finds no room."""
+    return views.prepare_deliveries(*_journal(spark, sf_dir), "owner", cap=30)[1]
 
 
-@query(f"""
-WITH j AS ({_JOURNAL}), d AS (SELECT identity, destination, CASE WHEN updated % 5 = 0 THEN 'moved' ELSE path END AS path, updated + 5 AS updated FROM j WHERE updated % 2 = 0)
-SELECT j.identity, j.source, CASE WHEN j.path = d.path THEN 'committed' ELSE j.status END AS status, CASE WHEN j.path = d.path THEN d.updated ELSE j.updated END AS updated FROM j LEFT JOIN d USING (identity) WHERE j.source IS NOT NULL AND j.source <> 'src2'""")
-def journal_commit_and_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+_DONE = "d AS (SELECT owner, identity, CASE WHEN updated % 10 = 0 THEN 'd9' ELSE destination END AS destination, CASE WHEN updated % 14 = 0 THEN 'moved' ELSE path END AS path, updated + 5 AS updated FROM j WHERE updated % 4 = 0 UNION ALL SELECT owner, 'x' || identity, destination, path, updated FROM j WHERE updated % 22 = 0)"
+
+
+def _committed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     old = views.valid_journal(_journal(spark, sf_dir)[0])
-    done = old.where("updated % 2 = 0").select("identity", "destination", F.when(F.col("updated") % 5 == 0, "moved").otherwise(F.col("path")).alias("path"), (F.col("updated") + 5).alias("updated"))
-    return views.clear_journal(views.commit_deliveries(old, done), "src2").select("identity", "source", "status", "updated")
+    at = F.col("updated")
+    done = old.where(at % 4 == 0).select("owner", "identity", F.when(at % 10 == 0, "d9").otherwise(F.col("destination")).alias("destination"), F.when(at % 14 == 0, "moved").otherwise(F.col("path")).alias("path"), (at + 5).alias("updated"))
+    lost = old.where(at % 22 == 0).select("owner", F.concat(F.lit("x"), "identity").alias("identity"), "destination", "path", "updated")
+    return views.commit_deliveries(old, done.unionByName(lost), "owner")
+
+
+@query(f"""WITH {_JOURNAL}, {_DONE}
+SELECT owner, j.identity, j.source, CASE WHEN d.path = j.path AND d.destination = j.destination THEN 'committed' ELSE j.status END AS status, CASE WHEN d.path = j.path AND d.destination = j.destination THEN d.updated ELSE j.updated END AS updated
+FROM j LEFT JOIN d USING (owner, identity) WHERE j.source IS NOT NULL AND j.source <> 'src2'""")
+def journal_commit_and_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.clear_journal(_committed(spark, sf_dir)[0], "src2").select("owner", "identity", "source", "status", "updated")
+
+
+@query(f"""WITH {_JOURNAL}, {_DONE}
+SELECT d.owner, d.identity, CASE WHEN j.identity IS NULL THEN 'missing' ELSE 'changed' END AS why FROM d LEFT JOIN j ON j.owner = d.owner AND j.identity = d.identity
+WHERE j.identity IS NULL OR j.path <> d.path OR j.destination <> d.destination""")
+def journal_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _committed(spark, sf_dir)[1]
 
 
 @query("""

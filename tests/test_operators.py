@@ -2,13 +2,14 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from billsift import queries
 from billsift.functions import content, transforms, values
-from billsift.operators import evidence, identity, inference, ledger, outcomes, ranking, retrieval
+from billsift.operators import evidence, identity, inference, ledger, outcomes, ranking, retrieval, views
 from billsift.plans import recipe
 from billsift.sources import scans, sinks
 from billsift.streaming import state
@@ -142,13 +143,78 @@ def test_provenance(spark):
     assert [(r["path"], r["pos_response"]) for r in inference.provenance(asked, found).collect()] == [("account.id", 0)]
 
 
+def deliveries(spark, *rows):
+    return spark.createDataFrame([(o, k, s, d, p, t, f"doc {p}") for o, k, s, d, p, t in rows], "owner string, key string, source string, destination string, path string, updated long, text string")
+
+
+def told(receipts):
+    return {(r["owner"], r["identity"]): (r["accepted"], r["deduped"], r["why"]) for r in receipts.collect()}
+
+
 def test_delivery_is_idempotent(spark, tmp_path):
-    docs = spark.createDataFrame([("a", 1), ("b", 2)], "key string, n int")
     root = f"file://{tmp_path}/sink"
-    assert not any(r["deduped"] for r in sinks.deliver(docs, root, 0).collect())
-    assert not any(r["deduped"] for r in sinks.deliver(docs, root, 0).collect())  # the same batch again
-    more = docs.union(spark.createDataFrame([("c", 3)], "key string, n int"))
-    assert {r["key"]: r["deduped"] for r in sinks.deliver(more, root, 1).collect()} == {"a": True, "b": True, "c": False}
+    one = deliveries(spark, ("o", "a", "s", "d", "pa", 1), ("o", "b", "s", "d", "pb", 2), ("o", "a", "s", "d", "later", 3))
+    fresh, again = (True, False, None), (True, True, None)
+    for _ in range(2):  # the second time is the same batch, tried again
+        assert told(sinks.deliver(one, root, 1)) == {("o", "a"): fresh, ("o", "b"): fresh}
+    two = deliveries(spark, ("o", "a", "s", "d", "new", 9), ("o", "b", "s", "d2", "pb2", 9), ("o", "c", "s", "d", "pc", 9), ("p", "a", "s", "d", "x", 9), ("o", "b", "t", "d", "y", 10))
+    for _ in range(2):
+        assert told(sinks.deliver(two, root, 2)) == {("o", "a"): again, ("o", "b"): fresh, ("o", "c"): fresh, ("p", "a"): fresh}
+    assert sorted(r["path"] for r in spark.read.parquet(f"{root}/documents").collect()) == ["pa", "pb", "pb2", "pc", "x"]
+    assert told(sinks.deliver(deliveries(spark, ("o", "a", "t", "d", "z", 11)), root, 3)) == {("o", "a"): (False, False, "supplier")}
+    assert {r["identity"]: r["path"] for r in sinks.journal(spark, root).where("owner = 'o'").collect()} == {"a": "pa", "b": "pb2", "c": "pc"}
+
+
+def test_delivery_after_a_lost_commit(spark, tmp_path, monkeypatch):
+    """What was written but not committed is written again, to the same path."""
+    root = f"file://{tmp_path}/sink"
+    real = sinks._write
+
+    def fails(rows, root, batch, version):
+        if version % 2:
+            raise RuntimeError("no commit")
+        real(rows, root, batch, version)
+
+    monkeypatch.setattr(sinks, "_write", fails)
+    with pytest.raises(RuntimeError):
+        sinks.deliver(deliveries(spark, ("o", "a", "s", "d", "first", 1)), root, 1)
+    monkeypatch.setattr(sinks, "_write", real)
+    assert [r["status"] for r in sinks.journal(spark, root).collect()] == ["pending"]
+    assert told(sinks.deliver(deliveries(spark, ("o", "a", "s", "d", "second", 2)), root, 2)) == {("o", "a"): (True, False, None)}
+    assert [r["path"] for r in spark.read.parquet(f"{root}/documents/batch=2").collect()] == ["first"]
+    assert told(sinks.deliver(deliveries(spark, ("o", "a", "s", "d", "third", 3)), root, 3)) == {("o", "a"): (True, True, None)}
+
+
+def test_journal_keeps_its_cap_and_reads_its_own_buckets(spark, tmp_path):
+    root = f"file://{tmp_path}/sink"
+    sinks.deliver(deliveries(spark, *[("o", f"a{i}", "s", "d", f"a{i}", i) for i in range(5)], ("q", "z", "s", "d", "z", 1)), root, 1, cap=4)
+    assert sorted(r["identity"] for r in sinks.journal(spark, root).where("owner = 'o'").collect()) == ["a0", "a1", "a2", "a3"]
+    found = told(sinks.deliver(deliveries(spark, *[("o", f"b{i}", "s", "d", f"b{i}", 10 + i) for i in range(6)], ("o", "a3", "s", "d", "x", 20)), root, 2, cap=4))
+    assert {k for (_, k), (ok, *_) in found.items() if not ok} == {"b3", "b4", "b5"} and found["o", "a3"] == (True, True, None)
+    state = lambda: sorted((r["owner"], r["identity"], r["status"]) for r in sinks.journal(spark, root).collect())
+    want = [("o", "a3", "committed"), ("o", "b0", "committed"), ("o", "b1", "committed"), ("o", "b2", "committed"), ("q", "z", "committed")]
+    assert state() == want
+    for _ in range(2):
+        sinks.compact(spark, root, 2)
+        assert state() == want
+    folders = [p.name for p in (tmp_path / "sink/journal").glob("bucket=*/batch=*/step=*")]
+    assert set(folders) == {"step=2"}
+    plan = sinks.journal(spark, root, [3], 7)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket[^]]*batch", plan)
+    assert told(sinks.deliver(deliveries(spark, ("o", "b0", "s", "d", "x", 30)), root, 3, cap=4)) == {("o", "b0"): (True, True, None)}
+
+
+def test_journal_conflicts_and_foreign_entries(spark):
+    entry = "owner string, identity string, source string, destination string, path string, status string, updated long"
+    old = spark.createDataFrame([("o", "a", "s", "d", "p", "pending", 1), ("o", "b", "s", "d", "p", "committed", 2), (None, "a", "s", "d", "p", "pending", 3), ("o", "old", None, "d", "p", "committed", 4)], entry)
+    new = spark.createDataFrame([("o", "b", "t", "d", "n", 9), (None, "a", "s", "d", "n", 9), ("o", "old", "s", "d", "n", 9)], "owner string, identity string, source string, destination string, path string, updated long")
+    journal, refused = views.prepare_deliveries(old, new, "owner")
+    assert [tuple(r) for r in refused.collect()] == [("o", "b", "supplier")]
+    assert sorted(map(repr, map(tuple, journal.collect()))) == sorted(map(repr, [("o", "a", "s", "d", "p", "pending", 1), ("o", "b", "s", "d", "p", "committed", 2), (None, "a", "s", "d", "p", "pending", 3), ("o", "old", "s", "d", "p", "committed", 4)]))
+    done = spark.createDataFrame([("o", "a", "d", "other", 5), ("o", "x", "d", "p", 5), (None, "a", "d", "p", 5)], "owner string, identity string, destination string, path string, updated long")
+    after, conflicts = views.commit_deliveries(old, done, "owner")
+    assert sorted(map(tuple, conflicts.collect())) == [("o", "a", "changed"), ("o", "x", "missing")]
+    assert {(r["owner"], r["identity"]): r["status"] for r in after.collect()} == {("o", "a"): "pending", ("o", "b"): "committed", (None, "a"): "committed", ("o", "old"): "committed"}
 
 
 def test_claims(spark, tmp_path):
