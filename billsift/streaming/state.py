@@ -1,4 +1,4 @@
-"""State over streams: leases, claims, exactly-once emission."""
+"""State over streams: leases on keys."""
 
 from __future__ import annotations
 
@@ -56,35 +56,3 @@ def leased(stream: DataFrame, keys: list[str], ts: str = "ts", lease_s: int = LE
 
     named = stream.withWatermark(ts, f"{lease_s} seconds").withColumn("_at", F.unix_micros(ts))
     return named.groupBy(*keys).applyInPandasWithState(run, stream.schema, "starts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def claims(stream: DataFrame, key: str, ts: str = "ts", action: str = "action", lease_s: int = LEASE_S) -> DataFrame:
-    """(key, ts, action, granted) for a stream of `claim`, `accept` and `release` actions.
-
-    A claim is granted unless the key was accepted or is held by a lease that has not run out;
-    `accept` makes the claim last, `release` gives it up. A key's actions of one batch are taken in order of time.
-    """
-
-    ship(stream.sparkSession)
-
-    def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accepted, until = state.get if state.exists else (False, 0.0)
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        out = []
-        for at, what in zip(rows["ts"], rows["action"]):
-            now, granted = at.timestamp(), False
-            if what == "claim":
-                granted = not accepted and now >= until
-                until = now + lease_s if granted else until
-            elif what == "accept":
-                granted, accepted = not accepted, True
-            elif what == "release" and not accepted:
-                granted, until = now < until, 0.0
-            out.append((group[0], at, what, granted))
-        state.update((accepted, until))
-        yield pd.DataFrame(out, columns=["key", "ts", "action", "granted"])
-
-    named = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(action).alias("action"))
-    return named.groupBy("key").applyInPandasWithState(
-        run, "key string, ts timestamp, action string, granted boolean", "accepted boolean, until double", "append", GroupStateTimeout.NoTimeout
-    )

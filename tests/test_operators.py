@@ -217,17 +217,6 @@ def test_journal_conflicts_and_foreign_entries(spark):
     assert {(r["owner"], r["identity"]): r["status"] for r in after.collect()} == {("o", "a"): "pending", ("o", "b"): "committed", (None, "a"): "committed", ("o", "old"): "committed"}
 
 
-def test_claims(spark, tmp_path):
-    at = lambda s: dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)
-    rows = [("k", at(0), "claim"), ("k", at(10), "claim"), ("k", at(400), "claim"), ("k", at(410), "accept"), ("k", at(9999), "claim"), ("m", at(0), "claim"), ("m", at(1), "release"), ("m", at(2), "claim")]
-    spark.createDataFrame(rows, "key string, ts timestamp, action string").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("key string, ts timestamp, action string").parquet(f"{tmp_path}/in")
-    run = state.claims(stream, "key").writeStream.format("memory").queryName("claims").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    got = [(r["key"], r["action"], r["granted"]) for r in spark.table("claims").orderBy("key", "ts").collect()]
-    assert got == [("k", "claim", True), ("k", "claim", False), ("k", "claim", True), ("k", "accept", True), ("k", "claim", False), ("m", "claim", True), ("m", "release", True), ("m", "claim", True)]
-
-
 @pytest.mark.parametrize("files", [1, 3])
 def test_leases_end(spark, tmp_path, files):
     """However the stream is cut into batches, an event is kept if and only if a lease since the last kept one of its key has passed."""
