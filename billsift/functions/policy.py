@@ -15,6 +15,9 @@ SECRET_NAME = r"(?i)(?:^|_)(?:token|secret|password|passwd|passcode|credential|p
 TENANT_NAME = r"^(?:workspace|organization|org|team|project|tenant|account|customer)s?(?:_id)?$"
 TENANT_CONTAINER = r"(?i)^(?:account|accounts|organization|organizations|org|orgs|workspace|workspaces|team|teams|project|projects|tenant|tenants|customer|customers)$"
 BILLING_SEGMENT = r"(?i)^(?:billing|billings|invoice|invoices|receipt|receipts|payment|payments|subscription|subscriptions|statement|statements|transaction|transactions)$"
+BILLING_ROUTE = r"(?i)(?:^|/)(?:billing|billings|invoice|invoices|receipt|receipts|payment|payments|subscription|subscriptions|statement|statements|transaction|transactions)(?:/|$)"
+MUTATING_ROUTE = r"(?i)(?:^|/)(?:logout|log-out|signout|sign-out|delete|remove|cancel|checkout|purchase|upgrade|downgrade|authorize|oauth|callback|invite|payment[-_]?method)(?:/|$)"
+FRAGMENT_SEGMENT = r"^[A-Za-z0-9._~-]{1,64}$"
 BILLING_INTENT = r"(?i)billing|invoice|receipt|statement"
 ROOT_CONTEXT = r"(?i)^(?:settings|account|accounts|admin|workspace|workspaces|team|teams)$"
 TENANT_ID = r"(?i)^(?:[0-9a-f]{24}|[0-9a-f]{32}|[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|\d{7,20})$"
@@ -71,10 +74,19 @@ def is_query_value(key: Column, value: Column) -> Column:
     return ~is_secret_name(key) & (F.length(value) <= 160) & (value.contains("{") | (is_tenant_name(key) & is_tenant_id(value)) | structural)
 
 
+def billing_fragment(url: Column) -> Column:
+    """The hash of an address if it is a route to billing: plain segments, none like a credential, none that changes anything; empty otherwise."""
+    raw = F.regexp_extract(url, "(?s)#(.*)$", 1)
+    segments = F.filter(F.split(raw, "/"), lambda s: s != "")
+    route = raw.rlike(BILLING_ROUTE) & ~raw.rlike(MUTATING_ROUTE) & ~raw.rlike(r"[?=&%\\]") & (F.length(raw) <= 240)
+    return F.when(route & F.forall(segments, lambda s: s.rlike(FRAGMENT_SEGMENT) & ~looks_credential(s)), F.concat(F.lit("#"), raw)).otherwise("")
+
+
 def entry_url(url: Column) -> Column:
-    """A page to begin at, without its query and hash; `/` for its path if that is unsafe; null unless it is https without user data."""
+    """A page to begin at, without its query, and with its hash only if that is a billing route and there was no query; `/` for its path if that is unsafe; null unless it is https without user data."""
     path = F.when(is_unsafe_path(urls.path_of(url)), F.lit("/")).otherwise(urls.path_of(url))
-    return F.when((urls.scheme_of(url) == "https") & (urls.host_of(url) != "") & ~url.rlike("^[^/]*//[^/?#]*@"), F.concat(urls.origin_of(url), path))
+    fragment = F.when(urls.query_of(url) == "", billing_fragment(url)).otherwise("")
+    return F.when((urls.scheme_of(url) == "https") & (urls.host_of(url) != "") & ~url.rlike("^[^/]*//[^/?#]*@"), F.concat(urls.origin_of(url), path, fragment))
 
 
 def is_origin_pattern(value: Column) -> Column:

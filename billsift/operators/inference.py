@@ -1,4 +1,4 @@
-"""Schema inference over unknown JSON: leaves, arrays that look like invoices, pagination, origins of ids."""
+"""Schema inference over unknown JSON: leaves, arrays that look like invoices, units."""
 
 from __future__ import annotations
 
@@ -16,7 +16,6 @@ MAX_DEPTH, ARRAY_DEPTH = 8, 6
 LEAF = "array<struct<list:string,pos:bigint,path:string,key:string,kind:string,value:string>>"
 # What the names of fields say.
 MONEY, DATE, IDENT, DOCUMENT = r"(?i)amount|total|price|gross|net|sum|cents", r"(?i)date|issued|created|period|time", r"(?i)(?:^|_)id$|Id$|number|uuid", r"(?i)url|pdf|link|download|href"
-NEXT_URL, CURSOR, OFFSET, PAGE, MORE = r"(?i)next_?(?:page_?)?(?:url|link)$|^next$", r"(?i)cursor|next_?token|page_?token", r"(?i)offset", r"(?i)^(?:next_?)?page$", r"(?i)has_?(?:more|next)"
 
 
 def _walk(value, path: str, key: str, depth: int) -> Iterator[tuple]:
@@ -77,30 +76,6 @@ def best_array(scores: DataFrame, keys: Sequence[str], least: float = 0.5) -> Da
     return scores.where(F.col("score") >= least).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
-def pagination(found: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, kind, path, more): how a body says that more follows: a next URL, else a cursor, an offset or a page; and its flag."""
-    top = found.where("list IS NULL")
-    ranks = (("next-url", NEXT_URL, F.col("value").rlike("^https?://|^/")), ("cursor", CURSOR, F.col("kind") == "string"), ("offset", OFFSET, F.col("kind") == "number"), ("page", PAGE, F.col("kind") == "number"))
-    rank = F.coalesce(*[F.when(F.col("key").rlike(p) & t, F.lit(i)) for i, (_, p, t) in enumerate(ranks)])
-    kinds = F.array(*[F.lit(n) for n, _, _ in ranks])
-    best = F.min(F.when(rank.isNotNull(), F.struct(rank.alias("r"), "path")))
-    more = F.min(F.when(F.col("key").rlike(MORE) & (F.col("kind") == "boolean"), F.col("path")))
-    out = top.groupBy(*keys).agg(best.alias("_b"), more.alias("more"))
-    return out.where("_b IS NOT NULL").select(*keys, F.get(kinds, F.col("_b.r")).alias("kind"), F.col("_b.path").alias("path"), "more")
-
-
-def provenance(requests: DataFrame, found: DataFrame, url: str = "url", pos: str = "pos_request", source: str = "pos_response") -> DataFrame:
-    """(pos_request, token, pos_response, path): where an id in a request's URL was given in an earlier response.
-
-    An equi-join of URL tokens with leaf values; of several places an id field, then the latest response, then the lesser path.
-    """
-    tokens = requests.select(pos, F.explode(F.array_distinct(F.filter(F.split(url, r"[/?&=#]"), lambda t: t.rlike(r"^(?=.*\d)[A-Za-z0-9_-]{6,}$")))).alias("token"))
-    given = found.where("kind = 'string' OR kind = 'number'").select(F.col(source), F.col("value").alias("token"), F.concat_ws(".", "list", "path").alias("path"), F.col("key").rlike(IDENT).alias("_id"))
-    met = tokens.join(given, "token").where(F.col(source) < F.col(pos))
-    best = F.min(F.struct((~F.col("_id")).alias("n"), (-F.col(source)).alias("s"), "path"))
-    return met.groupBy(pos, "token").agg(best.alias("_b")).select(pos, "token", (-F.col("_b.s")).alias(source), F.col("_b.path").alias("path"))
-
-
 def minor_units(value: Column, key: Column) -> Column:
     """Whether a number is likely in hundredths: its name says so, or it is a whole number of three digits or more."""
     return F.coalesce(key.rlike(r"(?i)cents|minor") | value.rlike(r"^\d{3,}$"), F.lit(False))

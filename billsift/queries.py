@@ -519,11 +519,6 @@ def invoice_array_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("score", F.round("score", 9))
 
 
-@query("SELECT DISTINCT o_custkey, 'cursor' AS kind, 'page.next_cursor' AS path, 'page.has_more' AS more FROM orders")
-def pagination_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.pagination(inference.leaves(_bodies(spark, sf_dir), "body"), ["o_custkey"])
-
-
 @query("""
 WITH RECURSIVE k(user_id, event_type, ts) AS (
   SELECT user_id, event_type, min(ts) FROM events GROUP BY 1, 2

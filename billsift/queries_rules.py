@@ -174,17 +174,6 @@ def policy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", policy.policy_key(name).alias("key"), policy.is_secret_name(name).alias("secret"), policy.is_tenant_name(name).alias("tenant"))
 
 
-ENTRIES = [
-    "https://a.com/team/12345678/billing?x=1#y", "https://a.com/x/12345678/y", "https://a.com/12345678/settings/invoices", "https://a.com/12345678/invoices", "http://a.com/billing", "https://u@a.com/b", "https://a.com/billing?q=1",
-    "https://a.com/eyJhbGciOiJIUzI1NiJ9abc/billing", "https://a.com/org/12345678/team/87654321/billing", "https://a.com/team/%31%32%33%34%35%36%37%38/x",
-]
-
-
-@query(f"""SELECT event_id, {_case(ENTRIES, ['https://a.com/team/12345678/billing', 'https://a.com/', 'https://a.com/12345678/settings/invoices', 'https://a.com/', None, None, 'https://a.com/billing', 'https://a.com/', 'https://a.com/', 'https://a.com/'], 'event_id')} AS entry FROM events""")
-def entry_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", policy.entry_url(_pick(ENTRIES, "event_id")).alias("entry"))
-
-
 PAIRS = ["page=2", "token=abc", "team_id=12345678", "q=two words", "range={from}", "id=0123456789abcdef01234567", "op=ListInvoices", "n=12345678901"]
 
 

@@ -197,6 +197,61 @@ def json_strings(df: DataFrame, body: str) -> DataFrame:
     return df.select(*rest, F.posexplode(run(body)).alias("place", "_s")).select(*rest, "place", "_s.*")
 
 
+_SCALAR = pa.struct([("place", pa.int32()), ("turn", pa.int32()), ("path", pa.string()), ("key", pa.string()), ("parent", pa.string()), ("listed", pa.bool_()), ("kind", pa.string()), ("value", pa.string())])
+_SCALAR_DDL = "array<struct<place:int,turn:int,path:string,key:string,parent:string,listed:boolean,kind:string,value:string>>"
+
+
+def _turns(root) -> dict[tuple[int, str], int]:
+    """For the members of objects that no list is above, the turn in which they are met level by level; NODES values and CHILDREN members of each are looked at."""
+    out: dict[tuple[int, str], int] = {}
+    level, left = [root], NODES
+    for _ in range(DEPTH + 1):
+        below = []
+        for value in level[:left]:
+            if isinstance(value, dict):
+                for k, x in list(value.items())[:CHILDREN]:
+                    out[id(value), k] = len(out)
+                    below.append(x)
+        left, level = max(left - len(level), 0), below
+    return out
+
+
+def _scalars_of(text: str) -> list[dict]:
+    root = loaded(text)
+    turns, out = _turns(root), []
+    plain = lambda x: SURROGATE.sub("\ufffd", x)
+
+    def walk(value, path: str, key: str | None, parent: str | None, listed: bool, turn: int | None, depth: int) -> None:
+        if depth > DEPTH + 1:
+            return
+        if isinstance(value, dict):
+            for k, x in value.items():
+                walk(x, f"{path}.{k}" if path else k, k, key, listed, turns.get((id(value), k)), depth + 1)
+        elif isinstance(value, list):
+            for i, x in enumerate(value):
+                walk(x, f"{path}.{i}" if path else str(i), key, parent, True, None, depth + 1)
+        else:
+            kind = "null" if value is None else "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number"
+            told = None if value is None else plain(value) if isinstance(value, str) else json.dumps(value)
+            out.append({"place": len(out), "turn": turn, "path": plain(path) or "$", "key": key and plain(key), "parent": parent and plain(parent), "listed": listed, "kind": kind, "value": told})
+
+    walk(root, "", None, None, False, None, 0)
+    return out
+
+
+def scalars(df: DataFrame, body: str) -> DataFrame:
+    """`df` without `body`, with a row for each scalar of its JSON, nine levels deep: place, turn, path, key, parent, listed, kind, value.
+
+    place is its number in the text; turn that of its member when objects are read level by level (null below a list, or
+    beyond 2,000 values or 200 members of one). key is the nearest member name, parent that of the object it is in. `listed`
+    is true below a list. A path has members' names and places in lists. What is no JSON has no rows.
+    """
+    ship(df.sparkSession)
+    rest = [c for c in df.columns if c != body]
+    found = df.select(*rest, F.explode(each_text(_scalars_of, pa.list_(_SCALAR), _SCALAR_DDL)(body)).alias("_scalar"))
+    return found.select(*rest, "_scalar.*")
+
+
 def document_fields(df: DataFrame, body: str) -> DataFrame:
     """The rows of `json_strings` whose field is named as one that holds a document's address, without `typed`."""
     found = json_strings(df, body)

@@ -137,12 +137,6 @@ def test_canonical_pdf(spark):
     assert df.select(content.canonical_pdf(spark, "c").alias("c")).where("c IS NOT NULL").count() == 1
 
 
-def test_provenance(spark):
-    found = inference.leaves(spark.createDataFrame([(0, '{"account": {"id": "acc_12345"}}'), (1, None)], "pos_response int, body string"), "body")
-    asked = spark.createDataFrame([(2, "https://a.example/acc_12345/invoices")], "pos_request int, url string")
-    assert [(r["path"], r["pos_response"]) for r in inference.provenance(asked, found).collect()] == [("account.id", 0)]
-
-
 def deliveries(spark, *rows):
     return spark.createDataFrame([(o, k, s, d, p, t, f"doc {p}") for o, k, s, d, p, t in rows], "owner string, key string, source string, destination string, path string, updated long, text string")
 
