@@ -170,3 +170,8 @@ def path_segment(c: Column) -> Column:
 def save_path(root: Column, vendor: Column, day: Column, name: Column) -> Column:
     """root/vendor/day/name, with every part made safe; a missing day is `undated`."""
     return F.concat_ws("/", *[path_segment(p) for p in (root, vendor, F.coalesce(day, F.lit("undated")), name)])
+
+
+def locale(c: Column) -> Column:
+    """A text that sorts as readers of any language expect: by letter, then accent, then case (the root collation of ICU)."""
+    return F.collate(c, "UNICODE")

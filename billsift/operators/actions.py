@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import policy, urls
+from ..functions import policy, urls, values
 
 MAX_ACTIONS, MAX_EVIDENCE, MAX_RESOURCES = 12, 32, 12
 # What words in a captured resource say of it.
@@ -77,7 +77,7 @@ def ranked_resources(resources: DataFrame, keys: Sequence[str], method: str, url
     first = resources.groupBy(*keys, *request_key).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
     said = F.lower(F.concat_ws(" ", F.col(url), F.substring(body, 1, 4000)))
     score = sum((F.when(said.rlike(words), F.lit(points)).otherwise(F.lit(0)) for words, points in RESOURCE_POINTS), F.lit(0))
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), url))
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), values.locale(F.col(url)), url))
     return first.withColumn("score", score).withColumn("rank", turn).where(F.col("rank") <= max(1, min(MAX_RESOURCES, most)))
 
 

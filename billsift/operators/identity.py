@@ -96,4 +96,11 @@ def scoped_identity(scope: Sequence[tuple[str, Column]], id: Column) -> Column:
 
 def same_content(rows: DataFrame, content: Column, order: str) -> DataFrame:
     """(content_sha256, first, n_copies): the least `order` of each content; null content counts as empty."""
-    return rows.groupBy(F.sha2(F.coalesce(content, F.lit("")), 256).alias("content_sha256")).agg(F.min(order).alias("first"), F.count("*").alias("n_copies"))
+    return rows.groupBy(F.sha2(F.coalesce(content.cast("binary"), F.lit(b"")), 256).alias("content_sha256")).agg(F.min(order).alias("first"), F.count("*").alias("n_copies"))
+
+
+def repaired(docs: DataFrame, accepted: DataFrame, key: str = "key", content: str = "content_key") -> DataFrame:
+    """Primary keys to add to the accepted ones (`key`): those of documents whose content was accepted under another key, as when the last step of a delivery was lost."""
+    known = accepted.select(F.col("key").alias("_k")).distinct()
+    delivered = docs.join(known, F.col(content) == F.col("_k"), "left_semi")
+    return delivered.join(known, F.col(key) == F.col("_k"), "left_anti").select(F.col(key).alias("key")).distinct()

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import values
+from . import numbering
+
 # What each adapter is worth.
 ADAPTERS = {"network-json": 300, "embedded-json": 200, "dom-links": 100, "dom-actions": 80}
 ROUTE_POINTS, COUNT_POINTS = 40, 25
@@ -16,11 +19,11 @@ NAME_CUT = r"\s*[|·•–—:]\s*|\s+-\s+"
 def frontier(targets: DataFrame, keys: Sequence[str], url: str = "url", source: str = "source", family: str = "family", score: str = "score") -> DataFrame:
     """`targets` with `rank` in each key: remembered routes, then common ones, then one target of each family in turn.
 
-    Within each of these by score, then URL; families take turns in order of name.
+    Within each of these by score, then URL in locale order; families take turns in order of name.
     """
     kind = F.when(F.col(source) == "remembered", 0).when(F.col(source) == "common_route", 1).otherwise(2)
     group = F.when(kind == 2, F.col(family)).otherwise(F.lit(""))
-    turn = Window.partitionBy(*keys, "_kind", "_family").orderBy(F.col(score).desc(), url)
+    turn = Window.partitionBy(*keys, "_kind", "_family").orderBy(F.col(score).desc(), values.locale(F.col(url)), url)
     placed = targets.withColumns({"_kind": kind, "_family": group}).withColumn("_turn", F.row_number().over(turn))
     # The first two kinds have one queue each; only in the third do queues take turns.
     rank = Window.partitionBy(*keys).orderBy("_kind", "_turn", "_family")
@@ -83,6 +86,11 @@ def planned_targets(links: DataFrame, keys: Sequence[str], url: str, source: str
     return frontier(best, keys, url, source, family).where(F.col("rank") <= most)
 
 
+def in_locale_order(names: DataFrame, name: str, place: str = "place") -> DataFrame:
+    """`names` with their places, from 1, in locale order, then by letters' codes; sorted by ranges, in as many tasks as there are."""
+    return numbering.numbered(names, [], [values.locale(F.col(name)).asc(), F.asc(name)], place)
+
+
 def confidence(items: Column, has_document: Column, real_probe: Column) -> Column:
     """How sure an inferred recipe is: high, medium or low."""
     return F.when((items >= 2) & has_document & real_probe, "high").when((items >= 1) & (has_document | real_probe), "medium").otherwise("low")

@@ -14,7 +14,7 @@ from ..sources import scans
 
 FIELDS = ("id", "issuedAt", "total", "currency", "documentUrl", "documentRef", "status")
 TRANSFORMS = ("divide", "date", "regex", "template", "replace", "trim", "upper", "lower")
-MAX_TRANSFORMS, MAX_QUANTIFIER = 8, 100
+MAX_TRANSFORMS, MAX_QUANTIFIER, MAX_PATTERN, MAX_ROW_PATTERN = 8, 100, 200, 2000
 
 
 class RecipeError(ValueError):
@@ -35,18 +35,37 @@ class Recipe:
     map: Mapping[str, Extract] = field(default_factory=dict)
 
 
-def check_pattern(pattern: str) -> None:
-    """Raises RecipeError on a pattern with back references, lookaround, nested unbounded or large quantifiers."""
+# A literal, an escape or a class; what opens a group; how often; and marks for groups that were read.
+_ATOM, _OPEN = re.compile(r"\\.|\[(?:\\.|[^\]\\])*\]|[^()\[\]{}*+?|\\]", re.DOTALL), re.compile(r"\(\?(?::|P?<[A-Za-z_]\w*>)")
+_TIMES = re.compile(r"\{(\d+)(,?)(\d*)\}")
+_PLAIN, _VARIES = "\0", "\1"
+_INNERMOST = re.compile(r"\(([^()]*)\)")
+_CHOICE = re.compile(rf"[*+?|{_VARIES}]|\{{\d+(?:,\d*)?\}}")
+_ENDLESS = re.compile(rf"{_VARIES}(?:[*+]|\{{\d+,\}})")
+
+
+def check_pattern(pattern: str, most: int = MAX_PATTERN) -> None:
+    """Raises RecipeError on a pattern that may take more than linear time, or is over `most` letters.
+
+    Refused are back references, lookaround, a quantifier over MAX_QUANTIFIER, and an endless quantifier on a group that can
+    match in more than one way: one that has a quantifier or a choice in it, at any depth. Groups are read from the innermost on.
+    """
+    if not 0 < len(pattern) <= most:
+        raise RecipeError(f"a pattern has 1 to {most} letters")
     try:
         re.compile(re.sub(r"\(\?<(\w+)>", r"(?P<\1>", pattern))
     except re.error as e:
         raise RecipeError(f"no pattern: {e}") from None
     if re.search(r"\\[1-9]|\\k<|\(\?(?:=|!|<=|<!)", pattern):
         raise RecipeError("back references and lookaround are not allowed")
-    if re.search(r"[+*]\)[+*{]|\}\)[+*]", pattern):
-        raise RecipeError("nested unbounded quantifiers are not allowed")
-    if any(int(n) > MAX_QUANTIFIER for q in re.findall(r"\{([\d,]+)\}", pattern) for n in q.split(",") if n):
+    left = _OPEN.sub("(", pattern)
+    left = _ATOM.sub(_PLAIN, left)
+    if any(int(high if comma else low) > MAX_QUANTIFIER for low, comma, high in _TIMES.findall(left) if high or not comma):
         raise RecipeError(f"a quantifier is over {MAX_QUANTIFIER}")
+    while (read := _INNERMOST.sub(lambda m: _VARIES if _CHOICE.search(m[1]) else _PLAIN, left)) != left:
+        left = read
+        if _ENDLESS.search(left):
+            raise RecipeError("an endless quantifier on a group that varies is not allowed")
 
 
 def check(recipe: Recipe) -> Recipe:
@@ -55,7 +74,7 @@ def check(recipe: Recipe) -> Recipe:
     if recipe.kind not in ("json", "embedded", "rows"):
         raise RecipeError(f"unknown kind {recipe.kind}")
     if recipe.kind == "rows":
-        check_pattern(recipe.items)
+        check_pattern(recipe.items, MAX_ROW_PATTERN)
     if "id" not in recipe.map or set(recipe.map) - set(FIELDS):
         raise RecipeError(f"fields are id and any of {', '.join(FIELDS[1:])}")
     for one in recipe.map.values():

@@ -372,7 +372,7 @@ t AS (SELECT page_id, host, href, CASE WHEN regexp_matches(href, '(?i)^/[a-f]')
 
 @query(f"""WITH {_TARGETS},
 k AS (SELECT *, CASE source WHEN 'remembered' THEN 0 WHEN 'common_route' THEN 1 ELSE 2 END AS kind, CASE WHEN source = 'link' THEN family ELSE '' END AS fam FROM t),
-n AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind, fam ORDER BY score DESC, href) AS turn FROM k)
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind, fam ORDER BY score DESC, href COLLATE en, href) AS turn FROM k)
 SELECT page_id, href AS url, row_number() OVER (PARTITION BY page_id ORDER BY kind, turn, fam) AS rank FROM n""")
 def frontier_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(scans.anchors(F.col("html")))).alias("url"))

@@ -113,7 +113,7 @@ RESOURCES = ["/invoice", "/billing/plan", "/x", "/receipt/charge", "/plan"]
 WITH c AS (SELECT user_id, event_id, {_list(RESOURCES, 'event_id')} || '/' || (event_id % 7) AS url FROM events),
 f AS (SELECT user_id, url, min(event_id) AS event_id FROM c GROUP BY 1, 2),
 s AS (SELECT *, CASE WHEN url LIKE '/invoice%' THEN 100 WHEN url LIKE '/billing%' THEN 75 WHEN url LIKE '/receipt%' THEN 150 WHEN url LIKE '/plan%' THEN 25 ELSE 0 END AS score FROM f),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, url) AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, url COLLATE en, url) AS rank FROM s)
 SELECT user_id, event_id, url, score, rank::INT AS rank FROM r WHERE rank <= 12""")
 def resource_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.concat(_pick(RESOURCES, "event_id"), F.lit("/"), (F.col("event_id") % 7).cast("string"))

@@ -445,7 +445,7 @@ WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '\\bhref="([^"]+)"',
 t AS (SELECT page_id, url, CASE WHEN url = '/the' THEN 'remembered' WHEN url LIKE '/and%' THEN 'common_route' ELSE 'link' END AS source, CASE WHEN regexp_matches(url, '(?i)^/[a-m]') THEN 'a' ELSE 'b' END AS family FROM l),
 s AS (SELECT page_id, url, source, family, max(CASE source WHEN 'remembered' THEN 160 WHEN 'common_route' THEN 100 ELSE 85 END + CASE WHEN contains(lower(url), 'in') THEN 5 ELSE 0 END - 1) AS score FROM t GROUP BY ALL),
 n AS (SELECT *, CASE source WHEN 'remembered' THEN 0 WHEN 'common_route' THEN 1 ELSE 2 END AS kind, CASE WHEN source = 'link' THEN family ELSE '' END AS fam FROM s),
-k AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind, fam ORDER BY score DESC, url) AS turn FROM n),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind, fam ORDER BY score DESC, url COLLATE en, url) AS turn FROM n),
 r AS (SELECT page_id, url, score, row_number() OVER (PARTITION BY page_id ORDER BY kind, turn, fam) AS rank FROM k)
 SELECT page_id, url, score::BIGINT AS score, rank FROM r WHERE rank <= 4""")
 def frontier_score(spark: SparkSession, sf_dir: str) -> DataFrame:
