@@ -35,13 +35,22 @@ class Recipe:
     map: Mapping[str, Extract] = field(default_factory=dict)
 
 
-# A literal, an escape or a class; what opens a group; how often; and marks for groups that were read.
-_ATOM, _OPEN = re.compile(r"\\.|\[(?:\\.|[^\]\\])*\]|[^()\[\]{}*+?|\\]", re.DOTALL), re.compile(r"\(\?(?::|P?<[A-Za-z_]\w*>)")
-_TIMES = re.compile(r"\{(\d+)(,?)(\d*)\}")
-_PLAIN, _VARIES = "\0", "\1"
-_INNERMOST = re.compile(r"\(([^()]*)\)")
-_CHOICE = re.compile(rf"[*+?|{_VARIES}]|\{{\d+(?:,\d*)?\}}")
-_ENDLESS = re.compile(rf"{_VARIES}(?:[*+]|\{{\d+,\}})")
+# What opens a group; an escape, a class, a count or a literal; and marks for what was read.
+_OPEN = re.compile(r"\(\?(?::|P?<[A-Za-z_]\w*>)")
+_PART = re.compile(r"(?P<atom>\\.|\[(?:\\.|[^\]\\])*\])|\{(?P<low>\d+)(?P<comma>,?)(?P<high>\d*)\}|[^()*+?|]", re.DOTALL)
+_PLAIN, _VARIES, _TIMES = "\0", "\1", "\2"
+_INNERMOST, _CHOICE, _ENDLESS = re.compile(r"\(([^()]*)\)"), re.compile(rf"[*+?|{_VARIES}{_TIMES}]"), re.compile(rf"{_VARIES}[*+]")
+
+
+def _reduced(part: re.Match) -> str:
+    """The mark of a part of a pattern; a count without an end is a plus."""
+    if part["low"] is None:
+        return _PLAIN
+    if part["comma"] and not part["high"]:
+        return "+"
+    if int(part["high"] or part["low"]) > MAX_QUANTIFIER:
+        raise RecipeError(f"a quantifier is over {MAX_QUANTIFIER}")
+    return _TIMES
 
 
 def check_pattern(pattern: str, most: int = MAX_PATTERN) -> None:
@@ -58,10 +67,7 @@ def check_pattern(pattern: str, most: int = MAX_PATTERN) -> None:
         raise RecipeError(f"no pattern: {e}") from None
     if re.search(r"\\[1-9]|\\k<|\(\?(?:=|!|<=|<!)", pattern):
         raise RecipeError("back references and lookaround are not allowed")
-    left = _OPEN.sub("(", pattern)
-    left = _ATOM.sub(_PLAIN, left)
-    if any(int(high if comma else low) > MAX_QUANTIFIER for low, comma, high in _TIMES.findall(left) if high or not comma):
-        raise RecipeError(f"a quantifier is over {MAX_QUANTIFIER}")
+    left = _PART.sub(_reduced, _OPEN.sub("(", pattern))
     while (read := _INNERMOST.sub(lambda m: _VARIES if _CHOICE.search(m[1]) else _PLAIN, left)) != left:
         left = read
         if _ENDLESS.search(left):

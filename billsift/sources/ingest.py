@@ -68,7 +68,7 @@ def bounded(evidence: DataFrame, expected: str, name: str = "evidence", resource
     }
     rest = [x for x in evidence.columns if x not in {f.split()[0] for f in EVIDENCE.split(", ")}]
     out = rows.select(
-        *rest, "origin", "url", *map(short, ("title", "application", "site")), F.when(~_long(c("html"), HTML_CHARS), c("html")).otherwise("").alias("html"), c("_hosts").alias("hosts"), kept.alias("resources"), good_links.alias("links"),
+        *rest, "origin", "url", *map(short, ("title", "application", "site")), F.when(F.length("html") <= HTML_CHARS, c("html")).otherwise("").alias("html"), c("_hosts").alias("hosts"), kept.alias("resources"), good_links.alias("links"),
         F.transform_values(counts, lambda k, v: F.when(is_count(k, v), v).otherwise(0)).alias("counts"), F.struct(*[n.cast("int").alias(k) for k, n in lost.items()]).alias("dropped"), "_ok",
     )
     seen = Observation(name)

@@ -128,15 +128,6 @@ def test_private_data(spark):
     assert "user@example.com" in one(spark, values.redacted(F.lit(text)))
 
 
-def test_canonical_pdf(spark):
-    make = lambda day, body=b"x": b"%PDF-1.4 /CreationDate (D:" + day + b") /ID [<aa> <bb>] stream\n/CreationDate (k)" + body + b"endstream end"
-    assert content.canonical(make(b"1")) == content.canonical(make(b"2"))
-    assert content.canonical(make(b"1")) != content.canonical(make(b"1", b"y"))
-    assert content.canonical(b"%PDF stream\nopen /ModDate (1)").endswith(b"(1)")
-    df = spark.createDataFrame([(bytearray(make(b"1")),), (None,)], "c binary")
-    assert df.select(content.canonical_pdf(spark, "c").alias("c")).where("c IS NOT NULL").count() == 1
-
-
 def deliveries(spark, *rows):
     return spark.createDataFrame([(o, k, s, d, p, t, f"doc {p}") for o, k, s, d, p, t in rows], "owner string, key string, source string, destination string, path string, updated long, text string")
 
