@@ -252,6 +252,51 @@ def scalars(df: DataFrame, body: str) -> DataFrame:
     return found.select(*rest, "_scalar.*")
 
 
+_FIELD = pa.struct([("list", pa.string()), ("turn", pa.int32()), ("n_items", pa.int32()), ("prefix", pa.string()), ("item", pa.int32()), ("place", pa.int32()), ("key", pa.string()), ("kind", pa.string()), ("value", pa.string())])
+_FIELD_DDL = "array<struct<list:string,turn:int,n_items:int,prefix:string,item:int,place:int,key:string,kind:string,value:string>>"
+LIST_DEPTH = 6
+ENVELOPES = ("node", "attributes")
+
+
+def _fields_of(text: str) -> list[dict]:
+    lists: list[tuple[str, list[dict]]] = []
+
+    def find(value, path: str, depth: int) -> None:
+        if depth > LIST_DEPTH:
+            return
+        if isinstance(value, dict):
+            for k, x in value.items():
+                find(x, f"{path}.{k}" if path else k, depth + 1)
+        elif isinstance(value, list) and value and all(isinstance(x, dict) for x in value):
+            lists.append((path or "$", value))
+
+    find(loaded(text), "", 0)
+    plain = lambda x: SURROGATE.sub("\ufffd", x)
+    out = []
+    for turn, (path, items) in enumerate(lists):
+        inside = next((e for e in ENVELOPES if isinstance(items[0].get(e), (dict, list)) and items[0][e] is not None), None)
+        about = {"list": plain(path), "turn": turn, "n_items": len(items), "prefix": f"{inside}." if inside else ""}
+        for i, item in enumerate(items):
+            row = item.get(inside, item) if inside else item
+            row = item if row is None else row
+            for place, (k, x) in enumerate(row.items() if isinstance(row, dict) else ()):
+                kind = "null" if x is None else "boolean" if isinstance(x, bool) else "string" if isinstance(x, str) else "number" if isinstance(x, (int, float)) else "other"
+                out.append(about | {"item": i, "place": place, "key": plain(k), "kind": kind, "value": plain(x) if kind == "string" else json.dumps(x) if kind in ("number", "boolean") else None})
+    return out
+
+
+def listed_fields(df: DataFrame, body: str) -> DataFrame:
+    """`df` without `body`, with a row for each member of each object of the lists of objects in its JSON: list, turn, n_items, prefix, item, place, key, kind, value.
+
+    Lists are found through objects, six levels deep; turn is a list's number. If a list's first object has a `node` or `attributes`, that is
+    the envelope of all (prefix), and members are those inside it. A value that is no scalar is null, of kind `other`. What is no JSON has no rows.
+    """
+    ship(df.sparkSession)
+    rest = [c for c in df.columns if c != body]
+    found = df.select(*rest, F.explode(each_text(_fields_of, pa.list_(_FIELD), _FIELD_DDL)(body)).alias("_field"))
+    return found.select(*rest, "_field.*")
+
+
 def document_fields(df: DataFrame, body: str) -> DataFrame:
     """The rows of `json_strings` whose field is named as one that holds a document's address, without `typed`."""
     found = json_strings(df, body)
