@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import policy
-from .operators import tracing
+from .operators import drafts, tracing
+from .operators.numbering import written
 from .queries import query, table
 from .sources import graphql
 
@@ -116,3 +117,50 @@ def entry_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.concat(F.regexp_replace("url", "[?#].*$", ""), by(id, text(""), text("/team/", number, "/billing"), text("/team/", number, "/x")))
     tail = by(id, text(""), text("?page=", id), text("#settings/Billing"), text("#/invoices/", id, "/", 1_000_000 + id), text("#/invoices/", id))
     return table(spark, sf_dir, "pages").select("page_id", policy.entry_url(F.concat(bare, tail)).alias("entry"))
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A customer's orders as a session: who is signed in, and a listing as a plain answer, one in envelopes, or a page's data."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    item = F.struct(
+        text("ord", key).alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issued_at"), F.round(F.col("o_totalprice") * 100).cast("long").alias("amount"), F.lit("eur").alias("currency"), text("/orders/", key, "/pdf").alias("pdf_url"), F.array(F.struct(key.alias("line_id"))).alias("lines")
+    )
+    listed = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), item.alias("item")))).alias("rows"))
+    items, edges = F.to_json(F.transform("rows", lambda r: r["item"])), F.to_json(F.transform("rows", lambda r: F.struct(r["item"].alias("node"))))
+    body = by(customer, text('{"data":', items, ',"next_cursor":"c","has_more":true}'), text('{"data":{"orders":{"edges":', edges, "}}}"), text('<html><script type="application/json">{"x":1}</script><script type="application/json">{"page":{"rows":', items, "}}</script></html>"))
+    lists = listed.select(
+        F.col("o_custkey").alias("session"), F.lit(1).cast("long").alias("pos"), by(customer, text("https://e.com/api/list?cursor=x"), text("https://e.com/graphql"), text("https://e.com/page/", customer)).alias("url"), F.lit("GET").alias("method"), F.lit(200).alias("status"),
+        by(customer, text("application/json"), text("application/json"), text("text/html")).alias("content_type"), F.lit(None).cast("string").alias("request_body"), body.alias("response_body"),
+    )
+    me = lists.select("session", F.lit(0).cast("long").alias("pos"), F.lit("https://e.com/api/me").alias("url"), "method", F.when(F.col("session") % 2 == 0, 200).otherwise(404).alias("status"), F.lit("application/json").alias("content_type"), "request_body", F.lit('{"user":"x"}').alias("response_body"))
+    return lists.unionByName(me), lists.select("session", F.lit("https://e.com").alias("origin"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey, count(*) AS n, o_custkey % 3 AS kind FROM orders GROUP BY 1)
+SELECT o_custkey AS session, ['data', 'data.orders.edges', 'page.rows'][kind + 1] AS items, n::INTEGER AS n_items, (CASE kind WHEN 1 THEN 'node.' ELSE '' END) || 'id' AS id, (CASE kind WHEN 1 THEN 'node.' ELSE '' END) || 'amount' AS total, (CASE kind WHEN 1 THEN 'node.' ELSE '' END) || 'pdf_url' AS document,
+  ['https://e.com/api/list?cursor={cursor}', 'https://e.com/graphql', 'https://e.com/page/' || o_custkey][kind + 1] AS request, CASE kind WHEN 0 THEN 'cursor' END AS paginate, CASE WHEN kind = 2 THEN 1 ELSE 0 END AS script, CASE WHEN n >= 2 AND o_custkey % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence FROM o""")
+def recipe_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drafts.drafts(*_sessions(spark, sf_dir)).select("session", "items", "n_items", "id", "total", "document", "request", "paginate", "script", "confidence")
+
+
+@query("""
+SELECT o_custkey AS session, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS item, 'ord' || o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS issued_at,
+  (round(o_totalprice * 100)::BIGINT / 100)::DECIMAL(28, 2)::VARCHAR AS total, 'EUR' AS currency, 'https://e.com/orders/' || o_orderkey || '/pdf' AS document_url FROM orders""")
+def recipe_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts run again over the answers that they were drafted from give every order back."""
+    entries, origins = _sessions(spark, sf_dir)
+    entries = written(entries, "sessions")
+    return drafts.replayed(drafts.drafts(entries, origins), entries)[0]
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS session, count(*) AS n, o_custkey % 3 AS kind, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1),
+c AS (SELECT session, CASE WHEN kind < 2 THEN 'network-json' ELSE 'embedded-json' END AS adapter, CASE WHEN kind < 2 THEN 1 ELSE 2 END AS place, n AS preview FROM o
+  UNION ALL SELECT session, 'dom-links', 3, f FROM o WHERE f > 0 UNION ALL SELECT session, 'dom-actions', 4, p FROM o WHERE f = 0 AND p > 0)
+SELECT session, adapter, place, preview::INTEGER AS preview FROM c""")
+def compiled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts of sessions beside their finished orders as links and their pending ones as controls."""
+    counted = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("session")).agg(F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("n_links"), F.count(F.when(F.col("o_orderstatus") == "P", 1)).alias("n_controls"))
+    counted = counted.select("session", F.lit("https://e.com/x").alias("url"), "n_links", "n_controls", F.lit(0).alias("n_sections"))
+    return drafts.compiled(drafts.drafts(*_sessions(spark, sf_dir)), counted, counted).select("session", "adapter", "place", "preview")
