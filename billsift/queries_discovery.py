@@ -88,24 +88,6 @@ def evidence_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("user_id", F.array_join("evidence", " ").alias("evidence"))
 
 
-HREFS = ["https://e.com/a/inv_12345.pdf?token=1", "https://e.com/a/inv_12345#x", "https://e.com/b/inv_12345", "https://e.com/c/inv_777", "https://e.com/download?id=5"]
-
-
-@query("""
-WITH d AS (SELECT unnest([0, 2, 3, 4]) AS pos, unnest(['https://e.com/a/inv_12345', 'https://e.com/b/inv_12345', 'https://e.com/c/inv_777', 'https://e.com/download?id=5']) AS document,
-  unnest(['https://e.com/a/inv_12345.pdf?token=1', 'https://e.com/b/inv_12345', 'https://e.com/c/inv_777', 'https://e.com/download?id=5']) AS url,
-  unnest(['inv_12345', 'inv_12345', 'inv_777', 'document']) AS stem, unnest([NULL, NULL, 'inv_777', NULL]) AS alias, unnest([2, 1, 0, 1]) AS n_evidence)
-SELECT n_nationkey, document, url, stem || '-' || substr(sha256(document), 1, 24) AS id, alias, pos, n_evidence FROM nation, d""")
-def document_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of a page as documents, with the evidence about each."""
-    links = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(F.array(*map(F.lit, HREFS))).alias("pos", "href"))
-    refs = actions.link_refs(links, ["n_nationkey"], "href", "pos")
-    told = links.where("pos <> 3").select("n_nationkey", actions.urls.canonical_document_url(F.col("href")).alias("document"), "pos")
-    evidence = actions.merged_evidence(told, ["n_nationkey", "document"], F.struct("pos"), "pos")
-    both = actions.with_evidence(refs, evidence, ["n_nationkey", "document"])
-    return both.select("n_nationkey", "document", "url", "id", "alias", "pos", F.size("evidence").alias("n_evidence"))
-
-
 RESOURCES = ["/invoice", "/billing/plan", "/x", "/receipt/charge", "/plan"]
 
 
@@ -244,65 +226,6 @@ def destination_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", exploration.destination_state(*parts).alias("state"))
 
 
-NOTES = ["  two   words ", "see https://e.com", "acct 12345678", "my password is x", "tokens are fine", "", "a@b"]
-
-
-@query(f"SELECT event_id, {_case(NOTES, ['two words', None, None, None, 'tokens are fine', None, None], 'event_id')} AS note, {_case(NOTES, [False, True, True, True, False, False, True], 'event_id')} AS refused FROM events")
-def feedback_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", exploration.feedback_note(_pick(NOTES, "event_id")).alias("n")).select("event_id", "n.*")
-
-
-TEMPLATES = ["https://e.com/teams/{teamId}/billing", "https://e.com/download/{token}", "https://e.com/x/{id}", "https://e.com/teams/a{id}", "https://e.com/orgs/{org}/secret", "https://e.com/list", "https://e.com/teams/{id}/members/{m}"]
-
-
-@query(f"SELECT event_id, {_case(TEMPLATES, [True, False, False, False, False, True, False], 'event_id')} AS safe FROM events")
-def template_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", exploration.is_safe_template_path(_pick(TEMPLATES, "event_id")).alias("safe"))
-
-
-HEADERS = ["X-App: 1|Authorization: Bearer abc", "Accept: */*|Cookie: a=b|X-Y: 2", "Content-Type: Application/JSON; charset=utf-8", "authorization: Basic eHg=|content-type: nonsense", "Accept: a"]
-
-
-@query(f"""SELECT event_id, {_case(HEADERS, ['bearer', 'custom', 'none', 'basic', 'none'], 'event_id')} AS scheme, {_case(HEADERS, ['authorization', 'cookie', None, 'authorization', None], 'event_id')} AS header,
-  {_case(HEADERS, [None, None, 'application/json', None, None], 'event_id')} AS kept FROM events""")
-def request_auths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = lambda h: F.struct(F.split_part(h, F.lit(": "), F.lit(1)).alias("name"), F.split_part(h, F.lit(": "), F.lit(2)).alias("value"))
-    headers = F.transform(F.split(_pick(HEADERS, "event_id"), r"\|"), pair)
-    return table(spark, sf_dir, "events").select("event_id", exploration.request_auth(headers).alias("a"), exploration.kept_headers(headers).alias("kept")).select("event_id", "a.*", "kept")
-
-
-ADDRESSES = ["https://me:pw@e.com/a?year=2024&api_key=1#top", "https://e.com/a?x=Bearer%20abcdefgh12&y=2", "https://e.com/a", "https://e.com/REDACTED/b?q=1", "https://e.com/a?mytoken=1&session-id=2"]
-
-
-@query(f"""SELECT event_id, {_case(ADDRESSES, ['https://e.com/a?year=2024&api_key=REDACTED', 'https://e.com/a?x=REDACTED&y=2', 'https://e.com/a', 'https://e.com/REDACTED/b?q=1', 'https://e.com/a?mytoken=1&session-id=REDACTED'], 'event_id')} AS url,
-  {_case(ADDRESSES, [True, True, False, True, True], 'event_id')} AS unbound FROM events""")
-def replayable_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = exploration.replayable_url(_pick(ADDRESSES, "event_id"))
-    return table(spark, sf_dir, "events").select("event_id", kept.alias("url"), exploration.unbound_redaction(kept).alias("unbound"))
-
-
-ITEMS = ['{"node":{"id":7}}', '{"attributes":{"id":8},"node":null}', '{"id":9,"node":"{x"}', '{"node":[1],"attributes":{}}', "[1]"]
-
-
-@query(f"SELECT event_id, {_case(ITEMS, ['node.', 'attributes.', '', 'node.', ''], 'event_id')} AS prefix, {_case(ITEMS, ['7', '8', '9', None, None], 'event_id')} AS id FROM events")
-def list_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = F.try_parse_json(_pick(ITEMS, "event_id"))
-    prefix = exploration.envelope(item)
-    return table(spark, sf_dir, "events").select("event_id", prefix.alias("prefix"), F.try_variant_get(exploration.unwrapped(item, prefix), "$.id", "string").alias("id"))
-
-
-_COUNTS = '"counts":{"accepted":1,"verified":1,"documentActions":0,"pageOwnedDownloads":0,"failedScopes":0,"emptyScopes":%s}'
-RECORDS = [
-    '{"trigger":"manual","status":"ok","elapsedMs":12,' + _COUNTS % "2" + "}", '{"trigger":"manual","status":"ok","elapsedMs":12,' + _COUNTS % "1.5" + "}", '{"trigger":"never","status":"ok","elapsedMs":12,' + _COUNTS % "2" + "}",
-    '{"trigger":"connect","status":"partial","elapsedMs":3600001,' + _COUNTS % "2" + "}", '{"trigger":"connect","status":"error","elapsedMs":0}', "no json", '{"trigger":"scheduled","status":"error","elapsedMs":0,' + _COUNTS % '"2"' + "}",
-]
-
-
-@query(f"SELECT event_id, {_case(RECORDS, [True, False, False, False, False, False, False], 'event_id')} AS readable FROM events")
-def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", exploration.is_run_record(_pick(RECORDS, "event_id")).alias("readable"))
-
-
 # Walks over bodies and pages
 
 

@@ -10,9 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import policy, transforms, urls, values
+from .functions import policy, urls, values
 from .operators import identity, inference, outcomes, ranking, retrieval, views
-from .plans import recipe
 from .queries import _HOST, _bodies, query, table
 from .sources import scans
 
@@ -31,40 +30,6 @@ def _case(samples: Sequence[str], answers: Sequence, id: str) -> str:
     return f"CASE {id} % {len(samples)} " + " ".join(f"WHEN {i} THEN {a}" for i, a in enumerate(told)) + " END"
 
 
-HOSTS = ["www.acme.com", "billing.acme.co.uk", "app.stripe-like.io", "com", "portal.x_y.de", "acme", "", "a.b.c.se", "my.account.com", "-q-.net"]
-
-
-@query(f"SELECT event_id, {_case(HOSTS, ['acme', 'acme', 'stripe-like', 'com', 'x-y', 'acme', 'vendor', 'c', 'com', 'q'], 'event_id')} AS vendor FROM events")
-def vendor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", urls.vendor_id(_pick(HOSTS, "event_id")).alias("vendor"))
-
-
-DATES = ["2024-03-05", "5.3.2024", "25/12/2023", "12/25/2023", "March 5, 2024", "5 Mar 2024", "2024-02-30", "1999-01-01", "n/a", "x 2024/3/5 y"]
-
-
-@query(f"SELECT o_orderkey, {_case(DATES, ['2024-03-05', None, '2023-12-25', '2023-12-25', '2024-03-05', '2024-03-05', None, None, None, '2024-03-05'], 'o_orderkey')} AS day FROM orders")
-def displayed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", values.displayed_date(_pick(DATES, "o_orderkey")).alias("day"))
-
-
-AMOUNTS = ["$1,234.50", "1.234,50 EUR", "1 234,50", "1,234", "£12.5", "1,234,567", "-7", "free", "€ 3.141"]
-
-
-@query(f"""SELECT o_orderkey, {_case(AMOUNTS, ['1234.50', '1234.50', '1234.50', None, '12.5', '1234567', '-7', None, None], 'o_orderkey')} AS amount,
-  {_case(AMOUNTS, [None, 'EUR', None, None, 'GBP', None, None, None, 'EUR'], 'o_orderkey')} AS currency FROM orders""")
-def displayed_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = _pick(AMOUNTS, "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", values.displayed_amount(shown).alias("amount"), values.currency_of(shown).alias("currency"))
-
-
-WAITS = ["120", " 7 ", "999999", "soon", "Thu, 01 Jan 1970 00:10:00 GMT", "-3", ""]
-
-
-@query(f"SELECT event_id, {_case(WAITS, [120, 7, 86400, 30, 540, 30, 30], 'event_id')}::BIGINT AS wait FROM events")
-def retry_after_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", values.retry_after(_pick(WAITS, "event_id"), F.lit(60).cast("long")).alias("wait"))
-
-
 @query("SELECT o_orderkey, sha256(o_custkey::VARCHAR || chr(0) || 'orders' || chr(0) || 'pdf-content' || chr(0) || sha256(o_comment)) AS key FROM (SELECT o_orderkey, o_custkey, o_orderpriority AS o_comment FROM orders)")
 def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = values.content_key(F.col("o_custkey").cast("string"), F.lit("orders"), F.col("o_orderpriority").cast("binary"))
@@ -80,37 +45,6 @@ def origin_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", values.origin_id(F.col("url")).alias("id"))
 
 
-DOCS = [
-    "https://Pay.Example.com/d/inv_12345.pdf?x-amz-date=1&b=2&a=1#top", "https://e.com/download?token=abc&id=7", "https://e.com/download?token=abc", "https://e.com/i/acct_1/inv_2?s=db", "https://e.com/file", "https://e.com/x/INV-99/pdf",
-]
-
-
-@query(f"""SELECT event_id, {_case(DOCS, ['https://pay.example.com/d/inv_12345?a=1&b=2', 'https://e.com/download?id=7', 'https://e.com/download?token=abc', 'https://e.com/i/acct_1/inv_2?s=db', 'https://e.com/file', 'https://e.com/x/INV-99/pdf'], 'event_id')} AS canonical,
-  {_case(DOCS, [DOCS[0], DOCS[1], DOCS[2], 'https://e.com/invoice/acct_1/inv_2/pdf', DOCS[4], DOCS[5]], 'event_id')} AS hosted, {_case(DOCS, [0, 1, 1, 0, 0, 2], 'event_id')}::INT AS stable,
-  CASE WHEN event_id % 6 IN (0, 3) THEN {_case(DOCS, ['inv_12345', '', '', 'inv_2', '', ''], 'event_id')} ELSE 'document' END || '-' || substr(sha256({_list(DOCS, 'event_id')}), 1, 24) AS id FROM events""")
-def document_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = _pick(DOCS, "event_id")
-    plain = F.regexp_replace(url, r"\?.*$", "")
-    stable = urls.stability_score(url).cast("int")
-    return table(spark, sf_dir, "events").select("event_id", urls.canonical_document_url(url).alias("canonical"), urls.provider_document(url).alias("hosted"), F.when(plain.endswith(".pdf"), 0).otherwise(stable).alias("stable"), policy.id_from_href(url).alias("id"))
-
-
-LINKS = ['<https://a/2>; rel="next"', '<https://a/1>; rel="prev", <https://a/3>; rel="last next"', "<https://a/4>; rel=next; title=x", '<https://a/5>; rel="nextish"', "", '<https://a/6>;rel="first"']
-
-
-@query(f"SELECT event_id, {_case(LINKS, ['https://a/2', 'https://a/3', 'https://a/4', None, None, None], 'event_id')} AS target FROM events")
-def next_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", urls.next_in_link_header(_pick(LINKS, "event_id")).alias("target"))
-
-
-TURNS = ["/list?page=2", "https://api.example.com/list#x", "http://api.example.com/list", "https://other.example.com/a", "https://me@api.example.com/a", "?cursor=9", "next"]
-
-
-@query(f"SELECT event_id, {_case(TURNS, ['https://api.example.com/list?page=2', 'https://api.example.com/list', None, None, None, 'https://api.example.com/v1/items?cursor=9', 'https://api.example.com/v1/next'], 'event_id')} AS url FROM events")
-def same_origin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", recipe.same_origin(_pick(TURNS, "event_id"), F.lit("https://api.example.com/v1/items?limit=5")).alias("url"))
-
-
 PATHS = ["/billing/invoice", "/settings/history", "/account/payment", "/x", "/Receipts"]
 
 
@@ -119,22 +53,6 @@ def path_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", urls.path_score(_pick(PATHS, "event_id")).cast("int").alias("score"))
 
 
-FLAGS = ["true", "False", " no ", "0", "", "null", "yes", "OFF", "1"]
-
-
-@query(f"SELECT event_id, {_case(FLAGS, [True, False, False, False, False, False, True, False, True], 'event_id')} AS more FROM events")
-def continuation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", transforms.truthy(_pick(FLAGS, "event_id")).alias("more"))
-
-
-FOLDERS = ["Accounting/2026", " a / .. /b", "a:b/c*", "../..", "1/2/3/4/5/6/7", ".hidden/x", "a\\b  c"]
-
-
-@query(f"SELECT event_id, {_case(FOLDERS, ['Accounting/2026', 'a/b', 'a-b/c-', '', '1/2/3/4/5/6', 'hidden/x', 'a/b c'], 'event_id')} AS folder FROM events")
-def save_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", policy.folder_path(_pick(FOLDERS, "event_id")).alias("folder"))
-
-
 @query("SELECT o_orderkey, 'root/' || regexp_replace(o_orderpriority, '[:/]', '-', 'g') || '/' || CASE WHEN o_orderkey % 5 = 0 THEN 'undated' ELSE strftime(o_orderdate, '%Y-%m-%d') END || '/o-' || o_orderkey || '.pdf' AS path FROM orders")
 def save_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.when(F.col("o_orderkey") % 5 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
@@ -148,86 +66,6 @@ def scoped_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", id.alias("id"))
 
 
-TYPES = ["application/pdf", "text/html; charset=utf-8", "application/ld+json", " TEXT/csv ", "image/png", "application/octet-stream", "", "application/zip", "application/xhtml+xml"]
-
-
-@query(f"SELECT event_id, {_case(TYPES, ['pdf', 'html', 'json', 'text', 'image', 'binary', 'missing', 'other', 'html'], 'event_id')} AS class FROM events")
-def content_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", policy.content_class(_pick(TYPES, "event_id")).alias("class"))
-
-
-NAMES = ['attachment; filename="a.pdf"', "attachment; filename*=UTF-8''%C3%A5%20b.pdf; filename=c.pdf", "inline; filename=x/y\\z.pdf ", "attachment", 'attachment; filename=""', "attachment; filename*=UTF-8''a+b.pdf"]
-
-
-@query(f"SELECT event_id, {_case(NAMES, ['a.pdf', 'å b.pdf', 'z.pdf', None, '\"\"', 'a+b.pdf'], 'event_id')} AS name FROM events")
-def disposition_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", policy.disposition_filename(_pick(NAMES, "event_id")).alias("name"))
-
-
-KEYS = ["accessToken", "teamId", "page", "api-key", "X Session", "organizations", "secretary", "csrf_x", "customer_id"]
-
-
-@query(f"""SELECT event_id, {_case(KEYS, ['access_token', 'team_id', 'page', 'api_key', 'x_session', 'organizations', 'secretary', 'csrf_x', 'customer_id'], 'event_id')} AS key,
-  {_case(KEYS, [True, False, False, True, True, False, False, True, False], 'event_id')} AS secret, {_case(KEYS, [False, True, False, False, False, True, False, False, True], 'event_id')} AS tenant FROM events""")
-def policy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = _pick(KEYS, "event_id")
-    return table(spark, sf_dir, "events").select("event_id", policy.policy_key(name).alias("key"), policy.is_secret_name(name).alias("secret"), policy.is_tenant_name(name).alias("tenant"))
-
-
-PAIRS = ["page=2", "token=abc", "team_id=12345678", "q=two words", "range={from}", "id=0123456789abcdef01234567", "op=ListInvoices", "n=12345678901"]
-
-
-@query(f"SELECT event_id, {_case(PAIRS, [True, False, True, False, True, False, True, True], 'event_id')} AS kept FROM events")
-def query_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = _pick(PAIRS, "event_id")
-    return table(spark, sf_dir, "events").select("event_id", policy.is_query_value(F.split_part(pair, F.lit("="), F.lit(1)), F.split_part(pair, F.lit("="), F.lit(2))).alias("kept"))
-
-
-ORIGINS = ["https://a.com/*", "https://10.0.0.1/*", "http://a.com/*", "https://localhost/*", "https://*.a.com/*", "https://8.8.8.8:443/*", "https://a.com/x"]
-
-
-@query(f"SELECT event_id, {_case(ORIGINS, [True, False, False, False, False, True, False], 'event_id')} AS exact FROM events")
-def origin_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", policy.is_origin_pattern(_pick(ORIGINS, "event_id")).alias("exact"))
-
-
-FINALS = ["https://a.com/login?n=1", "https://sso.b.com/x", "https://b.com/billing", "https://a.com/billing/", "https://a.com/other", "", "https://a.com/billing?x=1"]
-
-
-@query(f"SELECT event_id, {_case(FINALS, ['session_expired', 'session_expired', 'blocked_or_challenged', None, 'blocked_or_challenged', 'blocked_or_challenged', 'blocked_or_challenged'], 'event_id')} AS outcome FROM events")
-def redirect_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", policy.redirect_outcome(_pick(FINALS, "event_id"), F.lit("https://a.com/billing")).alias("outcome"))
-
-
-ANSWERS = ["200", "201d", "409d", "409", "401", "403d", "500", "302"]
-
-
-@query(f"SELECT event_id, {_case(ANSWERS, ['accepted', 'deduped', 'deduped', 'failed', 'unauthorized', 'unauthorized', 'failed', 'failed'], 'event_id')} AS outcome FROM events")
-def sink_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answer = _pick(ANSWERS, "event_id")
-    return table(spark, sf_dir, "events").select("event_id", policy.sink_outcome(F.substring(answer, 1, 3).cast("int"), F.length(answer) == 4).alias("outcome"))
-
-
-HEADERS = ["Authorization: Bearer x", "Authorization: Basic y", "authorization: Digest z", "Cookie: a=b", "X-Thing: 1", "Accept: */*", "My-Api-Key: k", "Bad Name: x"]
-
-
-@query(f"SELECT event_id, {_case(HEADERS, ['bearer', 'basic', 'custom', 'custom', 'custom', None, 'custom', None], 'event_id')} AS scheme FROM events")
-def header_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    header = _pick(HEADERS, "event_id")
-    return table(spark, sf_dir, "events").select("event_id", policy.header_marker(F.split_part(header, F.lit(": "), F.lit(1)), F.split_part(header, F.lit(": "), F.lit(2))).alias("scheme"))
-
-
-CLAIMS = ["  a\n b ", "2024-02-30", "2024-02-29T10:00", "1 234,5", "12,345.6", "usd", "us", "a/b\\c", ""]
-
-
-@query(f"""SELECT event_id, {_case(CLAIMS, ['a b', '2024-02-30', '2024-02-29T10:00', '1 234,5', '12,345.6', 'usd', 'us', 'a/b\\c', None], 'event_id')} AS number, {_case(CLAIMS, [None, None, '2024-02-29', None, None, None, None, None, None], 'event_id')} AS day,
-  {_case(CLAIMS, [None, None, None, '1234.5', None, None, None, None, None], 'event_id')} AS total, {_case(CLAIMS, [None, None, None, None, None, 'USD', None, None, None], 'event_id')} AS currency, {_case(CLAIMS, ['a b', '2024-02-30', '2024-02-29T10:00', '1 234,5', '12,345.6', 'usd', 'us', 'a_b_c', None], 'event_id')} AS filename FROM events""")
-def claim_normalisers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _pick(CLAIMS, "event_id")
-    names = {"number": "invoiceNumber", "day": "issuedAt", "total": "total", "currency": "currency", "filename": "filename"}
-    return table(spark, sf_dir, "events").select("event_id", *[policy.normalised(f, c).alias(n) for n, f in names.items()])
-
-
 @query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'time_cap' WHEN event_type = 'signup' OR user_id % 20 >= 12 THEN 'action_cap' WHEN value * 1000 >= 60000 THEN 'time_cap' WHEN event_id % 700 >= 500 THEN 'document_cap' END AS cause FROM events""")
 def continuation_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from billsift import queries
-from billsift.functions import content, transforms, values
-from billsift.operators import evidence, identity, inference, ledger, outcomes, ranking, retrieval, views
+from billsift.functions import transforms, values
+from billsift.operators import evidence, identity, ledger, outcomes, ranking, retrieval, views
 from billsift.plans import recipe
 from billsift.sources import scans, sinks
 from billsift.streaming import state
