@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import folds
+
 MAX_ALIASES = 4
 
 
@@ -65,24 +67,15 @@ def migrated(refs: DataFrame, seen: DataFrame, key: str = "key", aliases: str =
 def emitted_once(refs: DataFrame, scope: Sequence[str], key: str = "key", aliases: str = "aliases", pos: str = "pos") -> DataFrame:
     """Refs that a run emits: in order of `pos`, one is dropped if its key or an alias is already held.
 
-    A kept ref holds its key and aliases, a dropped one its key alone, so the rule is no closure and
-    needs the order. It is a fold over each scope's refs. Scopes where no key is named twice can't drop
-    anything and skip the fold, so the gathered scopes are those with repeats.
+    A kept ref holds its key and aliases, a dropped one its key alone, so the rule is no closure and needs the order. A fold
+    over each scope's refs, sorted by Spark; its state is the names that are held. Scopes where no name comes twice can't drop
+    anything and are not folded.
     """
-    names = F.concat(F.array(F.col(key)), F.slice(F.coalesce(F.col(aliases), F.array().cast("array<string>")), 1, MAX_ALIASES))
-    each = refs.select(*scope, F.col(pos).alias("_p"), F.array_distinct(names).alias("_names"))
+    names = F.array_distinct(F.concat(F.array(F.col(key)), F.slice(F.coalesce(F.col(aliases), F.array().cast("array<string>")), 1, MAX_ALIASES)))
+    each = refs.select(*scope, F.col(pos).alias("_p"), names.alias("_names"))
     repeated = each.select(*scope, F.explode("_names").alias("_k")).groupBy(*scope, "_k").count().where("count > 1").select(*scope).distinct()
-    empty = F.struct(F.array().cast("array<string>").alias("held"), F.array().cast(f"array<{dict(each.dtypes)['_p']}>").alias("kept"))
-
-    def step(state: Column, ref: Column) -> Column:
-        fresh = ~F.arrays_overlap(state["held"], ref["_names"])
-        return F.struct(
-            F.when(fresh, F.concat(state["held"], ref["_names"])).otherwise(F.concat(state["held"], F.slice(ref["_names"], 1, 1))).alias("held"),
-            F.when(fresh, F.concat(state["kept"], F.array(ref["_p"]))).otherwise(state["kept"]).alias("kept"),
-        )
-
-    hot = each.join(repeated, list(scope), "left_semi").groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("_p", "_names"))).alias("_refs"))
-    kept = hot.select(*scope, F.explode(F.aggregate("_refs", empty, step)["kept"]).alias(pos))
+    kind = dict(each.dtypes)["_p"]
+    kept = folds.folded(each.join(repeated, list(scope), "left_semi"), scope, [F.col("_p")], [F.col("_p"), F.col("_names")], folds.Emitted, f"`{pos}` {kind}")
     return refs.join(repeated, list(scope), "left_anti").unionByName(refs.join(kept, [*scope, pos], "left_semi").select(*refs.columns))
 
 

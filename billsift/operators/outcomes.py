@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import folds
+
 from ..functions.values import CAUSES
 
 MAX_MISSES = 3
@@ -36,25 +38,13 @@ def route_memory(events: DataFrame, keys: Sequence[str], order: Sequence[str], r
     """(keys, route, previous, misses): what is remembered of each key's route after its confirmations and misses.
 
     A confirmation sets the route and no misses, and keeps the route before it; the third miss in a row
-    falls back to the route before, or forgets the key. The rule is a fold in order of time over each
-    key's events, with the misses before the first confirmation left out. A confirmation without a route says nothing.
+    falls back to the route before, or forgets the key. A fold in order of time over each key's events; a confirmation
+    without a route says nothing.
     """
     told = events.where(~confirmed | F.col(route).isNotNull())
-    each = told.select(*keys, F.struct(*order, F.when(confirmed, F.col(route)).alias("_route")).alias("_e"))
-    none = F.struct(*[F.lit(None).cast("string").alias(n) for n in ("route", "previous")], F.lit(0).alias("misses"))
-
-    def step(s: Column, e: Column) -> Column:
-        hit, held = e["_route"].isNotNull(), s["route"].isNotNull()
-        last = s["misses"] + 1 >= MAX_MISSES
-        return (
-            F.when(hit, F.struct(e["_route"].alias("route"), F.when(held & (s["route"] != e["_route"]), s["route"]).otherwise(F.when(held, s["previous"])).alias("previous"), F.lit(0).alias("misses")))
-            .when(held & last, F.struct(s["previous"].alias("route"), F.lit(None).cast("string").alias("previous"), F.lit(0).alias("misses")))
-            .when(held, F.struct(s["route"].alias("route"), s["previous"].alias("previous"), (s["misses"] + 1).alias("misses")))
-            .otherwise(s)
-        )
-
-    folded = each.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list("_e")), none, step).alias("_s"))
-    return folded.select(*keys, F.col("_s.route").alias("route"), F.col("_s.previous").alias("previous"), F.col("_s.misses").cast("long").alias("misses")).where("route IS NOT NULL")
+    hit = F.when(confirmed, F.col(route).cast("string"))
+    found = folds.folded(told, keys, [*map(F.col, order), hit], [hit], lambda: folds.Remembered(MAX_MISSES), "route string, previous string, misses long")
+    return found.select(*keys, "route", "previous", "misses")
 
 
 def watermark(suppliers: DataFrame, complete: str, last_run: str, ok: Column) -> DataFrame:

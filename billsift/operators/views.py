@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import folds
 from .numbering import numbered, written
 
 JOURNAL_CAP, CANDIDATES, MAX_ORIGINS, CAPTURES, CAPTURE_CHARS, SLOWEST = 500, 3, 8, 12, 768_000, 8
@@ -110,15 +111,8 @@ def candidate_set(ranked: DataFrame, keys: Sequence[str], order: Sequence[str],
     key is folded, as others are never kept once it is met, and a rejected one brings the same origins again.
     """
     first = ranked.groupBy(*keys, key).agg(F.min(F.struct(*order, F.array_distinct(origins).alias("_o"))).alias("_c"))
-    listed = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.col(f"_c.{o}").alias(o) for o in order], F.col(key).alias("_k"), F.col("_c._o").alias("_o")))).alias("_all"))
-    empty = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("origins"))
-
-    def step(s: Column, c: Column) -> Column:
-        union = F.array_union(s["origins"], c["_o"])
-        fits = (F.size(s["kept"]) < most) & (F.size(union) <= most_origins)
-        return F.struct(F.when(fits, F.concat(s["kept"], F.array(c["_k"].cast("string")))).otherwise(s["kept"]).alias("kept"), F.when(fits, union).otherwise(s["origins"]).alias("origins"))
-
-    return listed.select(*keys, F.posexplode(F.aggregate("_all", empty, step)["kept"]).alias("place", key))
+    kept = folds.folded(first, keys, [*[F.col(f"_c.{o}") for o in order], F.col(key)], [F.col(key).cast("string"), F.col("_c._o")], lambda: folds.Chosen(most, most_origins), f"`{key}` string, place int")
+    return kept.select(*keys, "place", key)
 
 
 def first_working(attempts: DataFrame, keys: Sequence[str], place: str, status: Column, code: Column, documents: Column) -> DataFrame:
@@ -178,18 +172,11 @@ def capture_buffer(captures: DataFrame, keys: Sequence[str], pos: str, request:
 
     One that comes in takes the place of an older one of the same request, then pushes out the oldest until `most` are left
     and their sizes add up to `chars` at most; one over `chars` never comes in. What was pushed out by one that is replaced
-    later stays out, so it is a fold in order; its state has `most` entries, and only numbers and hashes are gathered.
+    later stays out, so it is a fold in order, whose state has `most` entries.
     """
-    entry = F.struct(F.col(pos).alias("pos"), F.xxhash64(request).alias("key"), F.col(size).cast("long").alias("size"))
-    listed = captures.where(F.col(size) <= chars).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
-    kind = dict(listed.dtypes)["_all"]
-
-    def step(held: Column, new: Column) -> Column:
-        others = F.filter(held, lambda x: x["key"] != new["key"])
-        behind = lambda i: F.aggregate(F.slice(others, i + 1, F.lit(most)), F.lit(0).cast("long"), lambda n, x: n + x["size"])
-        return F.concat(F.filter(others, lambda x, i: (i > F.size(others) - most) & (behind(i) + new["size"] <= chars)), F.array(new))
-
-    return listed.select(*keys, F.explode(F.aggregate("_all", F.array().cast(kind), step)).alias("_x")).select(*keys, F.col("_x.pos").alias(pos))
+    fit = captures.where(F.col(size) <= chars)
+    kind = dict(fit.dtypes)[pos]
+    return folds.folded(fit, keys, [F.col(pos)], [F.col(pos), F.xxhash64(request), F.col(size).cast("long")], lambda: folds.Buffered(most, chars), f"`{pos}` {kind}")
 
 
 def suppliers_by_destination(suppliers: DataFrame, destination: str, name: str) -> DataFrame:

@@ -129,10 +129,17 @@ def alias_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT o_custkey, o_orderdate, min(o_orderkey) AS k FROM orders GROUP BY 1, 2)
-SELECT k AS pos, o_custkey FROM f""")
+WITH RECURSIVE r AS (SELECT o_custkey, o_orderkey AS p, list_distinct(['n' || (o_orderkey * 13 % 23), 'n' || (o_orderkey * 7 % 31), 'n' || (o_orderkey * 5 % 29)]) AS names, 'n' || (o_orderkey * 13 % 23) AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+s(o_custkey, i, p, kept, held) AS (
+  SELECT DISTINCT o_custkey, 0::BIGINT, NULL::BIGINT, false, []::VARCHAR[] FROM r
+  UNION ALL
+  SELECT s.o_custkey, r.i, r.p, NOT list_has_any(s.held, r.names), CASE WHEN list_has_any(s.held, r.names) THEN list_distinct(list_append(s.held, r.key)) ELSE list_concat(s.held, r.names) END FROM s JOIN r ON r.o_custkey = s.o_custkey AND r.i = s.i + 1)
+SELECT p AS pos, o_custkey FROM s WHERE kept""")
 def emitted_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("pos"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("key"), F.array(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("aliases"))
+    """A customer's orders under a name and two others that meet those of earlier orders in part."""
+    key = F.col("o_orderkey")
+    name = lambda a, n: F.concat(F.lit("n"), (key * a % n).cast("string"))
+    refs = table(spark, sf_dir, "orders").select("o_custkey", key.alias("pos"), name(13, 23).alias("key"), F.array(name(7, 31), name(5, 29)).alias("aliases"))
     return identity.emitted_once(refs, ["o_custkey"]).select("pos", "o_custkey")
 
 

@@ -243,3 +243,44 @@ def test_lease_query_is_a_table_of_files(spark, sf_dir):
     shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     files = queries.stream_dedup_lease(spark, sf_dir).inputFiles()
     assert files and all(f.removeprefix("file://").startswith(shared) for f in files)
+
+
+def test_folds_of_hot_keys(spark):
+    """One key has a third of all rows, over many batches; results are those of plain Python."""
+    import random
+
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 == 0 else f"k{i % 700}", i, f"n{rng.randrange(400)}", [f"n{rng.randrange(4000)}"], rng.randrange(100_000)) for i in range(60_000)]
+    df = spark.createDataFrame(rows, "k string, pos long, key string, aliases array<string>, size long").repartition(5)
+    held: dict = {}
+    want = []
+    for k, pos, key, aliases, _ in rows:
+        names = held.setdefault(k, set())
+        if names.isdisjoint([key, *aliases]):
+            want.append((k, pos))
+            names.update([key, *aliases])
+        else:
+            names.add(key)
+    assert sorted((r["k"], r["pos"]) for r in identity.emitted_once(df, ["k"]).collect()) == sorted(want)
+    buffers: dict = {}
+    for k, pos, key, _, size in rows:
+        b = buffers[k] = [x for x in buffers.get(k, []) if x[1] != key] + [(pos, key, size)]
+        while len(b) > 12 or sum(x[2] for x in b) > 768_000:
+            b.pop(0)
+    assert sorted((r["k"], r["pos"]) for r in views.capture_buffer(df, ["k"], "pos", "key", "size").collect()) == sorted((k, x[0]) for k, b in buffers.items() for x in b)
+    memory: dict = {}
+    for k, pos, key, _, size in rows:
+        route, previous, misses = memory.get(k, (None, None, 0))
+        if size % 4 == 0:
+            memory[k] = (key, route if route != key else previous, 0)
+        elif route is not None:
+            memory[k] = (previous, None, 0) if misses == 2 else (route, previous, misses + 1)
+    found = outcomes.route_memory(df, ["k"], ["pos"], "key", F.col("size") % 4 == 0).collect()
+    assert sorted(map(tuple, found)) == sorted((k, *m) for k, m in memory.items() if m[0] is not None)
+
+
+def test_folds_of_nulls_and_nothing(spark):
+    df = spark.createDataFrame([(None, 1, "a", None), (None, 2, "a", ["b"]), ("x", 1, "b", ["b"])], "k string, pos long, key string, aliases array<string>")
+    # a null scope joins nothing, so its refs are not folded and none is lost
+    assert sorted((str(r["k"]), r["pos"]) for r in identity.emitted_once(df, ["k"]).collect()) == [("None", 1), ("None", 2), ("x", 1)]
+    assert identity.emitted_once(df.limit(0), ["k"]).collect() == [] == views.capture_buffer(df.limit(0).withColumn("size", F.lit(1)), ["k"], "pos", "key", "size").collect()
