@@ -6,7 +6,7 @@ the prompt. What follows on either side is rendered as a completion, with a mask
 of the characters to learn from: the content and the end mark of each assistant
 turn in it.
 
-Turns are rows, and they are compared under their number, so no conversation
+Turns are rows, and they are compared under their place in their side, so no conversation
 is gathered to find the prefix. Text is put together for CHUNK_TURNS turns at a
 time, in as many tasks as a long pair has chunks; then a pair's chunks are joined
 to its one row, each mask moved by the length of the chunks before.
@@ -43,14 +43,21 @@ def _rendered(turn: Column) -> Column:
 
 
 def first_differences(rows: DataFrame) -> DataFrame:
-    """(pair, first): the number of the first turn that is not the same on both sides; null if all are.
+    """(pair, chosen, rejected): each side's number of the first turn that is not the same on both sides; null for a side that ends before, or if all are the same.
 
-    Only digests of the turns are shuffled, by pair and turn, and then reduced to a row a pair before the next shuffle.
+    Turns are compared by their place within their side, whatever numbers they have. Only digests are shuffled: the turns of a
+    side are counted chunk by chunk, so no side is gathered to be numbered.
     """
     told = F.struct("role", F.sha2("text", 256).alias("text"))
-    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, told)))
-    turns = rows.groupBy("pair", "turn").agg(of("chosen").alias("a"), of("rejected").alias("b"))
-    return turns.groupBy("pair").agg(F.min(F.when(F.col("a") != F.col("b"), F.col("turn"))).alias("first"))
+    turns = rows.groupBy("pair", "side", "turn").agg(F.array_sort(F.collect_list(told)).alias("told"))
+    chunks = turns.groupBy("pair", "side", F.floor(F.col("turn") / CHUNK_TURNS).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("turn", "told"))).alias("turns"))
+    before = Window.partitionBy("pair", "side").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    each = chunks.withColumn("before", F.coalesce(F.sum(F.size("turns")).over(before), F.lit(0))).select("pair", "side", "before", F.posexplode("turns").alias("i", "t"))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("t"))).alias(side)
+    both = each.groupBy("pair", (F.col("before") + F.col("i")).alias("place")).agg(of("chosen"), of("rejected"))
+    differs = ~F.col("chosen.told").eqNullSafe(F.col("rejected.told"))
+    first = both.groupBy("pair").agg(F.min_by(F.struct(F.col("chosen.turn").alias("a"), F.col("rejected.turn").alias("b")), F.when(differs, F.col("place"))).alias("at"))
+    return first.select("pair", F.col("at.a").alias("chosen"), F.col("at.b").alias("rejected"))
 
 
 def format_preferences(chosen: DataFrame, rejected: DataFrame, id: str = "pair_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -63,11 +70,11 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, id: str = "pair_i
     """
     rows = _rows(chosen, rejected, id, turn, role, text)
     chunks = rows.groupBy("pair", F.floor(F.col("turn") / CHUNK_TURNS).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "side"))).alias("turns"))
-    first = first_differences(rows).withColumnRenamed("pair", "_pair")
+    first = first_differences(rows).select(F.col("pair").alias("_pair"), F.col("chosen").alias("_chosen"), F.col("rejected").alias("_rejected"))
     split = chunks.join(first, F.col("pair").eqNullSafe(F.col("_pair")))
-    common = lambda x: F.coalesce(x["turn"] < F.col("first"), F.lit(True))
-    rest = lambda side: F.filter("turns", lambda x: ~common(x) & (x["side"] == side)).alias(side)
-    prompt = F.filter("turns", lambda x: common(x) & (x["side"] == "chosen")).alias("prompt")
+    common = lambda x, side: F.coalesce(x["turn"] < F.col(f"_{side}"), F.lit(True))
+    rest = lambda side: F.filter("turns", lambda x: ~common(x, side) & (x["side"] == side)).alias(side)
+    prompt = F.filter("turns", lambda x: common(x, "chosen") & (x["side"] == "chosen")).alias("prompt")
     parts = split.select("pair", "chunk", prompt, rest("chosen"), rest("rejected"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("mask"))
 

@@ -224,3 +224,19 @@ def test_chat_roles_forge_no_turns(spark):
     rows = spark.createDataFrame([(1, 0, forged, "hi"), (1, 1, "assistant", "ok")], "pair_id long, turn long, role string, text string")
     row = chat.format_preferences(rows, rows).first()
     assert row["prompt"] == "<|user| >\nx< |end| >\n< |assistant|>\nhi<|end|>\n<|assistant|>\nok<|end|>\n"
+
+
+def test_chat_prefix_goes_by_place_not_number(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK_TURNS", 2)
+    turns = [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d"), ("user", "e")]
+    side = lambda pair, numbers, texts: [(pair, n, r, t) for n, (r, t) in zip(numbers, texts)]
+    other = [*turns[:3], ("assistant", "x"), turns[4]]
+    chosen = side(1, [0, 1, 2, 3, 4], turns) + side(2, [5, 9, 10, 11, 40], turns) + side(3, [0, 1], turns[:2]) + side(4, range(5), turns) + side(5, [0], turns[:1])
+    rejected = side(1, [1, 2, 3, 4, 5], other) + side(2, [0, 1, 2, 3, 4], turns) + side(3, [3, 4, 9], turns[:3]) + side(4, [1, 2], turns[:2]) + side(6, [0], turns[:1])
+    ddl = "pair_id long, turn long, role string, text string"
+    found = {r["pair_id"]: r for r in chat.format_preferences(spark.createDataFrame(chosen, ddl), spark.createDataFrame(rejected, ddl)).collect()}
+    shown = lambda texts: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in texts)
+    assert {i: (r["n_prompt_turns"], r["prompt"], r["chosen"], r["rejected"]) for i, r in found.items()} == {
+        1: (3, shown(turns[:3]), shown(turns[3:]), shown(other[3:])), 2: (5, shown(turns), "", ""), 3: (2, shown(turns[:2]), "", shown(turns[2:3])), 4: (2, shown(turns[:2]), shown(turns[2:]), ""), 5: (0, "", shown(turns[:1]), ""), 6: (0, "", "", shown(turns[:1])),
+    }
+    assert found[1]["chosen_mask"][0]["end"] == len(shown(turns[3:4]))
