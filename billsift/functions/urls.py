@@ -35,6 +35,16 @@ def path_of(url: Column) -> Column:
     return F.when(path == "", F.lit("/")).otherwise(path)
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root with its segments `.` and `..` (also escaped) followed."""
+    segments = F.split(path, "/", -1)
+    dots = lambda s, n: F.lower(s).rlike(r"^(?:\.|%2e){" + str(n) + "}$")
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))
+    followed = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array(F.lit("")), lambda a, s: F.when(dots(s, 2), up(a)).when(dots(s, 1), a).otherwise(F.concat(a, F.array(s))))
+    ends = F.when(dots(F.element_at(segments, -1), 1) | dots(F.element_at(segments, -1), 2), F.lit("/")).otherwise("")
+    return F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|$)"), F.concat(F.array_join(followed, "/"), ends)).otherwise(path)
+
+
 def query_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import values
+from .numbering import numbered
+
 SEEN_CAP, LEDGER_CAP = 20_000, 1_000
 MERGED_VALUES = 32
 
@@ -31,8 +34,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], earliest: Sequen
     return both.select(*out)
 
 
-def newest(rows: DataFrame, order: Sequence[Column], cap: int = LEDGER_CAP, keys: Sequence[str] = ()) -> DataFrame:
-    """The first `cap` rows by `order` (of each key): the retention rule of a ledger or seen store."""
+def newest(rows: DataFrame, order: Sequence[Column], cap: int = LEDGER_CAP, keys: Sequence[str] = (), exempt: Column | None = None) -> DataFrame:
+    """The first `cap` rows by `order` (of each key): the retention rule of a ledger or seen store. Rows that are `exempt` (reservations) stay beside them."""
+    if exempt is not None:
+        held = F.coalesce(exempt, F.lit(False))
+        return newest(rows.where(~held), order, cap, keys).unionByName(rows.where(held))
     if not keys:
         return rows.orderBy(*order).limit(cap)
     turn = Window.partitionBy(*keys).orderBy(*order)
@@ -46,12 +52,26 @@ def by_vendor(entries: DataFrame, vendor: str, name: str, collected: str, amount
     )
 
 
-def in_range(day: Column, today: Column, range: str) -> Column:
-    """Whether a date is within `all`, `30d`, `90d` or `year` up to today; the future is outside of all but `all`."""
+def in_range(day: Column, today: Column, range: str, collected: Column | None = None, now: Column | None = None) -> Column:
+    """Whether a date is within `all`, `30d`, `90d` or `year` up to today; the future is outside of all but `all`. Without a date, when it was collected counts, up to now."""
     if range == "all":
         return F.lit(True)
     start = F.trunc(today, "year") if range == "year" else F.date_sub(today, int(range.rstrip("d")))
-    return F.coalesce(day.between(start, today), F.lit(False))
+    own = day.between(start, today)
+    if collected is not None:
+        own = F.when(day.isNotNull(), own).otherwise(collected.between(start.cast("timestamp"), now))
+    return F.coalesce(own, F.lit(False))
+
+
+def supplier_groups(entries: DataFrame, vendor: str, name: str, collected: str, issued: str) -> DataFrame:
+    """`entries` with `group_place` and `place`: suppliers by their latest entry, then name in locale order; a supplier's entries by their date (when they were collected, without one), then when they were collected, latest first.
+
+    Both places are numbered by ranges, so a supplier with very many entries is not sorted in one task.
+    """
+    latest = entries.groupBy(vendor).agg(F.max(collected).alias("_latest"), F.max_by(name, F.struct(collected, name)).alias("_name"))
+    groups = numbered(latest, [], [F.desc("_latest"), values.locale(F.col("_name")).asc(), F.asc(vendor)], "group_place").select(F.col(vendor).alias("_v"), "group_place")
+    placed = numbered(entries, [vendor], [F.coalesce(F.col(issued).cast("timestamp"), F.col(collected)).desc(), F.desc(collected)])
+    return placed.join(groups, F.col(vendor).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def month_state(day: Column, month: str) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import values
+from ..functions import urls, values
 from ..operators.numbering import numbered, written
 from ..session import ship
 from .walks import KEEP, PAYMENT_KEY, SENSITIVE_KEY, dumped, each_text, hidden_names, is_payment, loaded, policy_key, rewritten
@@ -70,13 +70,8 @@ def form_body(body: Column) -> Column:
 
 def resolved_path(path: Column) -> Column:
     """A path from the root, its dot segments followed and what a path may not hold escaped."""
-    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    segments = F.split(F.translate(rooted, "\\", "/"), "/", -1)
-    dots = lambda s, n: F.lower(s).rlike(r"^(?:\.|%2e){" + str(n) + "}$")
-    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))
-    followed = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array(F.lit("")), lambda a, s: F.when(dots(s, 2), up(a)).when(dots(s, 1), a).otherwise(F.concat(a, F.array(s))))
-    ends = F.when(dots(F.element_at(segments, -1), 1) | dots(F.element_at(segments, -1), 2), F.lit("/")).otherwise("")
-    plain = F.when(rooted.rlike(r"(?i)(?:^|[/\\])(?:\.|%2e){1,2}(?:[/\\]|$)"), F.concat(F.array_join(followed, "/"), ends)).otherwise(F.translate(rooted, "\\", "/"))
+    rooted = F.translate(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)), "\\", "/")
+    plain = urls.without_dots(rooted)
     escaped = F.array_join(F.transform(F.split(plain, ""), lambda c: F.when(c.rlike(r"[^\x21\x24-\x3b\x3d\x40-\x5f\x61-\x7a\x7c\x7e]"), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)), "")
     return F.when(plain.rlike(r"[^\x21\x24-\x3b\x3d\x40-\x5f\x61-\x7a\x7c\x7e]"), escaped).otherwise(plain)
 

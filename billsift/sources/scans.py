@@ -91,12 +91,26 @@ def without_raw_text(html: Column) -> Column:
 
 
 def absolute(url: Column, base: Column) -> Column:
-    """A link as seen from the page at `base`."""
+    """A link as seen from the page at `base`, with its dot segments followed."""
     folder = F.regexp_replace(F.concat(urls.origin_of(base), urls.path_of(base)), r"[^/]*\z", "")
-    return (
+    full = (
         F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(urls.scheme_of(base), F.lit(":"), url)).when(url.startswith("/"), F.concat(urls.origin_of(base), url))
         .when(url.startswith("?"), F.concat(urls.origin_of(base), urls.path_of(base), url)).when(url.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), url)).otherwise(F.concat(folder, url))
     )
+    head = F.regexp_extract(full, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    tail = F.regexp_extract(full, r"(?s)^[^?#]*(.*)$", 1)
+    return F.when(full.rlike(r"(?i)^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*/(?:\.|%2e){1,2}(?:[/?#]|$)"), F.concat(head, urls.without_dots(urls.path_of(full)), tail)).otherwise(full)
+
+
+def page_names(html: Column) -> Column:
+    """struct<title, application, site>: what a page calls itself in its title and in the two names of its head, 160 letters at most; null where it says nothing."""
+    def meta(mark: str) -> Column:
+        tag = F.regexp_extract(html, rf"""(?is)<meta\b(?=[^>]*\b{mark})([^>]*)>""", 1)
+        said = F.coalesce(*[F.nullif(F.regexp_extract(tag, rf"(?is)\bcontent\s*=\s*{q}([^{q}]*){q}", 1), F.lit("")) for q in ('"', "'")])
+        return F.nullif(F.substring(said, 1, 160), F.lit(""))
+
+    named = (("application", r"""name\s*=\s*["']application-name["']"""), ("site", r"""property\s*=\s*["']og:site_name["']"""))
+    return F.struct(F.nullif(title_of(html), F.lit("")).alias("title"), *[meta(mark).alias(n) for n, mark in named])
 
 
 def document_links(df: DataFrame, html: str, base: str, cap: int = LIKELY_LINKS) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from billsift import queries_admission, queries_captures, queries_discovery, queries_ingest, queries_rules, queries_streams, queries_tracing, queries_values  # noqa: F401 (they register their queries)
+from billsift import queries_admission, queries_captures, queries_discovery, queries_ingest, queries_rules, queries_store, queries_streams, queries_tracing, queries_values  # noqa: F401 (they register their queries)
 from billsift.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
