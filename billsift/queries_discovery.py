@@ -16,30 +16,6 @@ from .sources import walks
 
 # Controls and rows
 
-CONTROLS = [
-    ("Download invoice", "", "", "", "", "explicit_document_label"), ("Download", "2024-01-02", "", "Billing history", "", "invoice_context_action"),
-    ("file-text", "No 7 2024-01-02", "Actions", "Billing", "", "invoice_table_action"), ("Cancel invoice download", "", "", "", "", None),
-    ("Privacy policy pdf", "", "", "", "Invoices", None), ("Download", "", "", "Songs", "", None), ("  Hämta\n faktura ", "", "", "", "", "explicit_document_label"),
-]
-
-
-@query(f"SELECT event_id, CASE WHEN event_id % 11 > 0 THEN {_case(CONTROLS, [c[5] for c in CONTROLS], 'event_id')} END AS basis FROM events")
-def control_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [_pick([c[i] for c in CONTROLS], "event_id") for i in range(5)]
-    return table(spark, sf_dir, "events").select("event_id", controls.control_basis(*parts, F.col("event_id") % 11 > 0).alias("basis"))
-
-
-SECTIONS = ["Invoices", "Billing", "Sign out", "Anna, open account menu", "Receipt history", "Settings", "Delete account", "Fakturering", "Home", "Past  Invoices"]
-
-
-@query(f"""SELECT event_id, {_case(SECTIONS, [True, False, False, False, True, False, False, False, False, True], 'event_id')} AS section,
-  {_case(SECTIONS, [False, True, False, True, True, True, False, True, False, True], 'event_id')} AS navigation, event_id % 2 = 0 AND event_id % 3 > 0 AS opens FROM events""")
-def navigation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label, id = _pick(SECTIONS, "event_id"), F.col("event_id")
-    opens = controls.is_menu_trigger(id % 2 == 0, F.lit(True), F.lit(True), id % 3 == 0)
-    return table(spark, sf_dir, "events").select("event_id", controls.is_invoice_section(label).alias("section"), controls.is_navigation_label(label).alias("navigation"), opens.alias("opens"))
-
-
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as rows of a portal's table: a number under its header, in the row's text alone, or left open there."""
     key, kind = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 3

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import exploration, policy, transforms, urls, values
+from .functions import controls, exploration, policy, transforms, urls, values
 from .operators import actions
 from .plans import recipe
 from .queries import query, table
@@ -281,3 +281,38 @@ def request_auths(spark: SparkSession, sf_dir: str) -> DataFrame:
         of((F.when(even, text("X-", kind)).otherwise(kind), user.cast("string")), ("Content-Type", "nonsense")), of(("Content-Type", text("Application/", kind, "+JSON; charset=utf-8"))), of(("Bad Name", text("Bearer ", user))),
     ), (id % 6).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", exploration.request_auth(headers).alias("a"), exploration.kept_headers(headers).alias("kept")).select("event_id", "a.*", "kept")
+
+
+def _re(pattern: str) -> str:
+    """A fixed pattern in DuckDB's dialect, as a literal."""
+    return "'" + pattern.replace("(?iu)", "(?i)").replace("'", "''") + "'"
+
+
+@query(f"""
+WITH c AS (SELECT p_partkey, p_partkey % 5 > 0 AS usable, ['Download ' || p_name, 'Get  invoice ' || p_size, 'file-text', 'Delete invoice download', p_name, 'Ladda ner faktura ' || p_brand, 'Save help ' || p_size][p_partkey % 7 + 1] AS m,
+    CASE WHEN p_size % 2 = 0 THEN 'No ' || p_size || ' 2024-01-02' ELSE p_name END AS r, CASE WHEN p_size % 3 > 0 THEN 'Actions' ELSE p_type END AS k, CASE WHEN p_size % 5 < 2 THEN 'Billing history ' || p_brand ELSE p_brand END AS t, CASE WHEN p_size % 7 < 2 THEN 'Past invoices' ELSE p_type END AS g FROM part),
+b AS (SELECT *, regexp_replace(m, '\\s+', ' ', 'g') AS mat FROM c)
+SELECT p_partkey, CASE WHEN NOT usable OR regexp_matches(mat, {_re(controls.UNSAFE_LABEL)}) OR regexp_matches(mat, {_re(controls.UNRELATED)}) THEN NULL
+  WHEN regexp_matches(mat, {_re(controls.EXPLICIT_ACTION)}) AND regexp_matches(mat, {_re(controls.DOCUMENT_CONTEXT)}) THEN 'explicit_document_label'
+  WHEN regexp_matches(mat, {_re(controls.EXPLICIT_ACTION)}) AND regexp_matches(r || ' ' || t || ' ' || g, {_re(controls.DOCUMENT_CONTEXT)}) THEN 'invoice_context_action'
+  WHEN regexp_matches(mat, {_re(controls.DOCUMENT_ICON)}) AND regexp_matches(k, {_re(controls.ACTION_COLUMN)}) AND (regexp_matches(r, {_re(controls.INVOICE_ROW)}) OR regexp_matches(t, {_re(controls.INVOICE_CONTEXT)})) AND regexp_matches(t || ' ' || g, {_re(controls.INVOICE_CONTEXT)}) THEN 'invoice_table_action' END AS basis FROM b""")
+def control_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as controls: labels, icons and their rows, columns, tables and pages, with and without a word about invoices."""
+    size, name, brand = F.col("p_size"), F.col("p_name"), F.col("p_brand")
+    material = by(F.col("p_partkey"), text("Download ", name), text("Get  invoice ", size), text("file-text"), text("Delete invoice download"), name, text("Ladda ner faktura ", brand), text("Save help ", size))
+    row, column = F.when(size % 2 == 0, text("No ", size, " 2024-01-02")).otherwise(name), F.when(size % 3 > 0, "Actions").otherwise(F.col("p_type"))
+    shown, page = F.when(size % 5 < 2, text("Billing history ", brand)).otherwise(brand), F.when(size % 7 < 2, "Past invoices").otherwise(F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", controls.control_basis(material, row, column, shown, page, F.col("p_partkey") % 5 > 0).alias("basis"))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, regexp_extract(trim(text), '^[^\\s,]+') AS w FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, trim([w || ', open  account menu', 'Receipt history', w, 'Delete account', 'Past  Invoices', w || ' invoices', 'Historique des factures', 'Account ' || w][doc_id % 8 + 1]) AS l FROM w),
+b AS (SELECT doc_id, substr(regexp_replace(l, '\\s+', ' ', 'g'), 1, 120) AS l FROM l)
+SELECT doc_id, regexp_matches(l, {_re(controls.INVOICE_SECTION)}) AS section, NOT regexp_matches(l, {_re(controls.UNSAFE_LABEL)}) AND regexp_matches(l, {_re(controls.NAVIGATION)}) AS navigation, doc_id % 2 = 0 AND doc_id % 3 > 0 AS opens FROM b""")
+def navigation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First words of documents as people's names and as labels, beside labels of sections and menus."""
+    id, word = F.col("doc_id"), F.regexp_extract(F.trim("text"), r"^[^\s,]+", 0)
+    label = by(id, text(word, ", open  account menu"), text("Receipt history"), word, text("Delete account"), text("Past  Invoices"), text(word, " invoices"), text("Historique des factures"), text("Account ", word))
+    opens = controls.is_menu_trigger(id % 2 == 0, F.lit(True), F.lit(True), id % 3 == 0)
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", controls.is_invoice_section(label).alias("section"), controls.is_navigation_label(label).alias("navigation"), opens.alias("opens"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from billsift.functions import exploration, policy, transforms, urls, values
+from billsift.functions import controls, exploration, policy, transforms, urls, values
 from billsift.plans import recipe
 
 COUNTS = '"counts":{"accepted":1,"verified":1,"documentActions":0,"pageOwnedDownloads":0,"failedScopes":0,"emptyScopes":%s}'
@@ -49,3 +49,22 @@ def test_rule(spark, name):
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string").select("i", rule(F.col("s")).alias("r")).orderBy("i").collect()
     assert dict(zip(samples, [r["r"] for r in rows])) == samples
     assert rule(F.col("s")) is not None and spark.createDataFrame([(None,)], "s string").select(rule(F.col("s"))).count() == 1
+
+
+CONTROLS = [
+    ("Download invoice", "", "", "", "", "explicit_document_label"), ("Download", "2024-01-02", "", "Billing history", "", "invoice_context_action"),
+    ("file-text", "No 7 2024-01-02", "Actions", "Billing", "", "invoice_table_action"), ("Cancel invoice download", "", "", "", "", None),
+    ("Privacy policy pdf", "", "", "", "Invoices", None), ("Download", "", "", "Songs", "", None), ("  Hämta\n faktura ", "", "", "", "", "explicit_document_label"), (None, "", "", "Invoices", "", None),
+]
+SECTIONS = {"Invoices": (True, False), "Billing": (False, True), "Sign out": (False, False), "Anna, open account menu": (False, True), "Receipt history": (True, True), "Settings": (False, True), "Delete account": (False, False), "Fakturering": (False, True), "Home": (False, False), "Past  Invoices": (True, True)}
+
+
+def test_controls(spark):
+    rows = spark.createDataFrame([(i, *c[:5]) for i, c in enumerate(CONTROLS)], "i int, a string, b string, c string, d string, e string")
+    found = rows.select("i", controls.control_basis(*map(F.col, "abcde"), F.lit(True)).alias("basis"), controls.control_basis(*map(F.col, "abcde"), F.lit(None).cast("boolean")).alias("unusable")).orderBy("i").collect()
+    assert [r["basis"] for r in found] == [c[5] for c in CONTROLS] and not any(r["unusable"] for r in found)
+
+
+def test_sections(spark):
+    rows = spark.createDataFrame([(s,) for s in SECTIONS], "s string").select("s", controls.is_invoice_section(F.col("s")).alias("a"), controls.is_navigation_label(F.col("s")).alias("b")).collect()
+    assert {r["s"]: (r["a"], r["b"]) for r in rows} == SECTIONS
