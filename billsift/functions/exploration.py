@@ -50,13 +50,19 @@ def checkpoint(mode: Column, pages: Column, linked: Column, common: Column, elap
     kept_common = within(common, kept - kept_linked)
     kept_ms, kept_slices = within(elapsed_ms, _budget(mode, 2)), within(slices, _budget(mode, 3))
     same = (kept == pages) & (kept_linked == linked) & (kept_common == common) & (kept_ms == elapsed_ms) & (kept_slices == slices)
-    out = F.struct(kept.alias("pages"), kept_linked.alias("linked"), kept_common.alias("common"), kept_ms.alias("elapsed_ms"), kept_slices.alias("slices"), F.coalesce(same, F.lit(False)).alias("valid"))
+    out = F.struct(
+        kept.alias("pages"), kept_linked.alias("linked"), kept_common.alias("common"), kept_ms.alias("elapsed_ms"), kept_slices.alias("slices"),
+        F.coalesce(same, F.lit(False)).alias("valid"),
+    )
     return F.when(mode.isin(*BUDGETS), out)
 
 
 def resumable(frontier: Column) -> Column:
     """The targets of array<struct<key,route,source,hint>> that a deeper search may go on with: those found, not guessed."""
-    return F.filter(frontier, lambda t: t["route"].isNotNull() & t["source"].isNotNull() & (t["source"] != "common_route") & (F.coalesce(t["hint"], F.lit("")) != "common_fallback"))
+    return F.filter(
+        frontier,
+        lambda t: t["route"].isNotNull() & t["source"].isNotNull() & (t["source"] != "common_route") & (F.coalesce(t["hint"], F.lit("")) != "common_fallback"),
+    )
 
 
 def continued_mode(mode: Column, frontier: Column) -> Column:
@@ -67,7 +73,9 @@ def continued_mode(mode: Column, frontier: Column) -> Column:
 def state_at(stage: Column, updated: Column, now: Column) -> Column:
     """A search's stage at `now`; `idle` once it has been kept for its time."""
     ttl = F.coalesce(*[F.when(stage == s, F.lit(t)) for s, t in KEPT.items()], F.lit(ACTIVE))
-    return F.when(stage.isNull() | (F.unix_micros(now.cast("timestamp")) - F.unix_micros(updated.cast("timestamp")) > ttl.cast("long") * 1_000_000), "idle").otherwise(stage)
+    return F.when(
+        stage.isNull() | (F.unix_micros(now.cast("timestamp")) - F.unix_micros(updated.cast("timestamp")) > ttl.cast("long") * 1_000_000), "idle",
+    ).otherwise(stage)
 
 
 def moved(stage: Column, move: Column, same_run: Column, limit_reached: Column) -> Column:
@@ -79,7 +87,9 @@ def moved(stage: Column, move: Column, same_run: Column, limit_reached: Column)
     steps = [F.when((move == m) & stage.isin(*froms) & (same_run | (move == "scan")), F.lit(to)) for m, (froms, to) in MOVES.items()]
     return F.coalesce(
         F.when(move == "begin", "awaiting_permission"), F.when(move == "clear", "idle"), *steps,
-        F.when((move == "fail") & stage.isin("scanning", "confirming") & same_run, "failed"), F.when((move == "continue") & (stage == "failed") & limit_reached, "scanning"),
+        F.when(
+            (move == "fail") & stage.isin("scanning", "confirming") & same_run, "failed",
+        ), F.when((move == "continue") & (stage == "failed") & limit_reached, "scanning"),
     )
 
 
@@ -131,7 +141,10 @@ def is_safe_template_path(url: Column) -> Column:
 
 def request_auth(headers: Column) -> Column:
     """struct<scheme, header> of array<struct<name,value>>: the first bearer or basic header, else the first custom one, else none. 100 headers count."""
-    marks = F.transform(F.slice(headers, 1, 100), lambda h: F.struct(policy.header_marker(h["name"], F.substring(h["value"], 1, 8192)).alias("scheme"), F.lower(h["name"]).alias("header")))
+    marks = F.transform(
+        F.slice(headers, 1, 100),
+        lambda h: F.struct(policy.header_marker(h["name"], F.substring(h["value"], 1, 8192)).alias("scheme"), F.lower(h["name"]).alias("header")),
+    )
     strong, weak = (F.get(F.filter(marks, lambda m: m["scheme"].isin(*kinds)), F.lit(0)) for kinds in (("bearer", "basic"), ("custom",)))
     return F.coalesce(strong, weak, F.struct(F.lit("none").alias("scheme"), F.lit(None).cast("string").alias("header")))
 
@@ -154,7 +167,9 @@ def replayable_url(url: Column) -> Column:
     value = lambda kv: F.coalesce(F.try_url_decode(F.regexp_extract(kv, "(?s)^[^=]*=(.*)$", 1)), F.lit(""))
     key = lambda kv: F.regexp_extract(kv, "^([^=]*)", 1)
     secret = lambda kv: key(kv).rlike(CREDENTIAL_KEY) | F.trim(value(kv)).rlike(CREDENTIAL_VALUE)
-    clean = F.array_join(F.transform(F.split(urls.query_of(bare), "&"), lambda kv: F.when(secret(kv), F.concat(key(kv), F.lit("=REDACTED"))).otherwise(kv)), "&")
+    clean = F.array_join(
+        F.transform(F.split(urls.query_of(bare), "&"), lambda kv: F.when(secret(kv), F.concat(key(kv), F.lit("=REDACTED"))).otherwise(kv)), "&",
+    )
     return F.when(bare.contains("?"), F.concat(F.regexp_extract(bare, r"^([^?]*)", 1), F.lit("?"), clean)).otherwise(bare)
 
 
@@ -166,7 +181,9 @@ def envelope(item: Column) -> Column:
 
 def unwrapped(item: Column, prefix: Column) -> Column:
     """A row out of its wrapper; itself where it has none."""
-    inside = F.when(prefix == "node.", F.try_variant_get(item, "$.node", "variant")).when(prefix == "attributes.", F.try_variant_get(item, "$.attributes", "variant"))
+    inside = F.when(prefix == "node.", F.try_variant_get(item, "$.node", "variant")).when(
+        prefix == "attributes.", F.try_variant_get(item, "$.attributes", "variant"),
+    )
     return F.coalesce(inside, item)
 
 

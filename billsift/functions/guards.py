@@ -26,9 +26,13 @@ def continuation_url(url: Column, origin: Column) -> Column:
     full = F.when(url.startswith("/"), F.concat(origin, url)).otherwise(url)
     path = urls.path_of(full)
     pairs = F.filter(F.split(urls.query_of(full), "&"), lambda kv: kv != "")
-    key, value = (lambda kv: F.regexp_extract(kv, "^([^=]*)", 1)), (lambda kv: F.coalesce(F.try_url_decode(F.regexp_extract(kv, "(?s)^[^=]*=(.*)$", 1)), F.lit("")))
+    key, value = (lambda kv: F.regexp_extract(kv, "^([^=]*)", 1)), (
+        lambda kv: F.coalesce(F.try_url_decode(F.regexp_extract(kv, "(?s)^[^=]*=(.*)$", 1)), F.lit(""))
+    )
     asks = F.forall(pairs, lambda kv: key(kv).rlike(PAGE_KEY) & ~key(kv).rlike(policy.SECRET_KEY) & (F.length(value(kv)) <= VALUE_CHARS))
-    good = _plain(full) & (urls.origin_of(full) == origin) & ~full.contains("#") & (F.length(path) <= PATH_CHARS) & path.rlike(BILLING) & ~path.rlike(MUTATING) & asks & ((F.size(pairs) > 0) | path.rlike(PAGE_PATH))
+    good = _plain(full) & (urls.origin_of(full) == origin) & ~full.contains("#") & (F.length(path) <= PATH_CHARS) & path.rlike(BILLING) & ~path.rlike(MUTATING) & asks & (
+        (F.size(pairs) > 0) | path.rlike(PAGE_PATH)
+    )
     return F.when((F.length(url) <= CONTINUATION_CHARS) & good, full)
 
 
@@ -54,6 +58,8 @@ def sink_refusal(endpoint: Column, headers: Column, token: Column, token_hosts:
     local = host.isin("localhost", "127.0.0.1")
     named = F.exists(token_hosts, lambda h: F.lower(F.trim(h)) == host)
     return (
-        F.when((host == "") | (urls.scheme_of(endpoint) != "https") & ~local, "endpoint").when(F.exists(headers, lambda h: F.lower(h).isin(*policy.RESERVED_HEADERS)), "header")
+        F.when((host == "") | (urls.scheme_of(endpoint) != "https") & ~local, "endpoint").when(
+            F.exists(headers, lambda h: F.lower(h).isin(*policy.RESERVED_HEADERS)), "header",
+        )
         .when(token.isNotNull() & ~F.coalesce(named, F.lit(False)), "token")
     )

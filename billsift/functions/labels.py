@@ -25,7 +25,9 @@ def ordinal_day(day: Column) -> Column:
 
 def count_label(visible: Column, total: Column) -> Column:
     """How many invoices are shown, and of how many."""
-    return F.when(visible == total, F.concat(total.cast("string"), F.when(total == 1, " invoice").otherwise(" invoices"))).otherwise(F.concat_ws(" of ", visible.cast("string"), total.cast("string")))
+    return F.when(
+        visible == total, F.concat(total.cast("string"), F.when(total == 1, " invoice").otherwise(" invoices")),
+    ).otherwise(F.concat_ws(" of ", visible.cast("string"), total.cast("string")))
 
 
 def invoice_label(number: Column, filename: Column) -> Column:

@@ -134,7 +134,9 @@ def disposition_filename(header: Column) -> Column:
     """The file name of a Content-Disposition header: its encoded form first, else the quoted or bare one; the last path part, null if blank or over 240 letters."""
     encoded = F.regexp_replace(F.regexp_extract(header, r"(?i)filename\*\s*=\s*UTF-8''([^;]+)", 1), "^[\"']|[\"']$", "")
     quoted, bare = F.regexp_extract(header, r'(?i)filename\s*=\s*"([^"]+)"', 1), F.trim(F.regexp_extract(header, r"(?i)filename\s*=\s*([^;]+)", 1))
-    name = F.coalesce(F.try_url_decode(F.nullif(F.replace(encoded, F.lit("+"), F.lit("%2B")), F.lit(""))), F.nullif(quoted, F.lit("")), F.nullif(bare, F.lit("")))
+    name = F.coalesce(
+        F.try_url_decode(F.nullif(F.replace(encoded, F.lit("+"), F.lit("%2B")), F.lit(""))), F.nullif(quoted, F.lit("")), F.nullif(bare, F.lit("")),
+    )
     last = F.trim(F.element_at(F.split(name, r"[\\/]"), -1))
     return F.when((last != "") & (F.length(last) <= 240), F.regexp_replace(last, r"[\x00-\x1f\x7f]", "_"))
 
@@ -142,7 +144,10 @@ def disposition_filename(header: Column) -> Column:
 def id_from_href(href: Column) -> Column:
     """An id for a document's address: its last segment if that names something, with 24 digits of the address' hash; else `document-` and those."""
     digest = F.substring(F.sha2(href, 256), 1, 24)
-    last = F.regexp_replace(F.coalesce(F.element_at(F.filter(F.split(F.split_part(href, F.lit("?"), F.lit(1)), "/"), lambda s: s != ""), -1), F.lit("")), r"(?i)\.pdf$", "")
+    last = F.regexp_replace(
+        F.coalesce(F.element_at(F.filter(F.split(F.split_part(href, F.lit("?"), F.lit(1)), "/"), lambda s: s != ""), -1), F.lit("")), r"(?i)\.pdf$",
+        "",
+    )
     names = (F.length(last) > 3) & ~F.lower(last).rlike(f"^(?:{urls.GENERIC_SEGMENT})$")
     return F.when(names, F.concat(last, F.lit("-"), digest)).otherwise(F.concat(F.lit("document-"), digest))
 
@@ -150,7 +155,9 @@ def id_from_href(href: Column) -> Column:
 def folder_path(root: Column, depth: int = 6) -> Column:
     """A folder as segments that are safe to save under: parts of dots alone go, forbidden characters become dashes, `depth` parts at most."""
     parts = F.filter(F.transform(F.split(root, r"[/\\]+"), lambda p: F.trim(p)), lambda p: (p != "") & ~p.rlike(r"^\.+$"))
-    clean = lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r'[/\\:*?"<>|]', "-"), r"[\x00-\x1f]", ""), r"\s+", " "), r"^\.+", ""))
+    clean = lambda p: F.trim(
+        F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r'[/\\:*?"<>|]', "-"), r"[\x00-\x1f]", ""), r"\s+", " "), r"^\.+", "")
+    )
     return F.array_join(F.slice(F.filter(F.transform(parts, clean), lambda p: p != ""), 1, depth), "/")
 
 
@@ -170,7 +177,9 @@ def normalised(field: str, c: Column) -> Column:
 
 def continuation_end(timed_out: Column, capped: Column, actions: Column, elapsed_ms: Column, documents: Column, most: tuple[int, int, int]) -> Column:
     """Why a page's continuation stops, the first of: time_cap and action_cap of the page, action_cap, time_cap, document_cap; null to go on."""
-    return F.when(timed_out, "time_cap").when(capped | (actions >= most[0]), "action_cap").when(elapsed_ms >= most[1], "time_cap").when(documents >= most[2], "document_cap")
+    return F.when(timed_out, "time_cap").when(
+        capped | (actions >= most[0]), "action_cap",
+    ).when(elapsed_ms >= most[1], "time_cap").when(documents >= most[2], "document_cap")
 
 
 def month_bounds(first: Column, last: Column) -> Sequence[Column]:

@@ -33,7 +33,14 @@ def dated(c: Column, epoch: str | None = None) -> Column:
         at = F.timestamp_seconds(text.try_cast("bigint")) if epoch == "s" else F.timestamp_millis(text.try_cast("bigint"))
     else:
         bare = F.regexp_replace(text, "^[A-Za-z]{3,9}, (?=[0-9])", "")  # the weekday of a mail header
-        at = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSS]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d MMM yyyy HH:mm:ss z")])
+        at = F.coalesce(
+            *[
+                F.try_to_timestamp(bare, F.lit(f)) for f in (
+                    "yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSS]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MMM d, yyyy",
+                    "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d MMM yyyy HH:mm:ss z",
+                )
+            ]
+        )
     return F.coalesce(F.date_format(at, "yyyy-MM-dd"), text)
 
 

@@ -18,7 +18,10 @@ VOLATILE_KEY = "x-amz-|x-goog-|signature$|sig$|expires?$|token$|policy$|key-pair
 GENERIC_SEGMENT = "download|document|file|invoice|pdf|receipt|view"
 PAGE_KEYS = ("page", "offset", "limit", "per_page", "cursor")
 # Reserved IPv4 blocks, as address and prefix length.
-RESERVED = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "224.0.0.0/3", "100.64.0.0/10", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24")
+RESERVED = (
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "224.0.0.0/3", "100.64.0.0/10", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
+    "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24",
+)
 
 
 def scheme_of(url: Column) -> Column:
@@ -40,7 +43,10 @@ def without_dots(path: Column) -> Column:
     segments = F.split(path, "/", -1)
     dots = lambda s, n: F.lower(s).rlike(r"^(?:\.|%2e){" + str(n) + "}$")
     up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))
-    followed = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array(F.lit("")), lambda a, s: F.when(dots(s, 2), up(a)).when(dots(s, 1), a).otherwise(F.concat(a, F.array(s))))
+    followed = F.aggregate(
+        F.slice(segments, 2, F.size(segments)), F.array(F.lit("")),
+        lambda a, s: F.when(dots(s, 2), up(a)).when(dots(s, 1), a).otherwise(F.concat(a, F.array(s))),
+    )
     ends = F.when(dots(F.element_at(segments, -1), 1) | dots(F.element_at(segments, -1), 2), F.lit("/")).otherwise("")
     return F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|$)"), F.concat(F.array_join(followed, "/"), ends)).otherwise(path)
 
@@ -83,7 +89,12 @@ def safe_route(url: Column) -> Column:
 def route_template(url: Column) -> Column:
     """The path with known words kept, identifiers as `:id` and the rest as `:segment`; 12 segments and 160 characters at most."""
     segments = F.slice(F.filter(F.split(path_of(url), "/"), lambda s: s != ""), 1, 12)
-    named = F.transform(segments, lambda s: F.when(F.lower(s).rlike(f"^(?:{ROUTE_WORDS})$"), F.lower(s)).when(F.lower(s).rlike(f"^(?:{ROUTE_ID})$"), F.lit(":id")).otherwise(F.lit(":segment")))
+    named = F.transform(
+        segments,
+        lambda s: F.when(
+            F.lower(s).rlike(f"^(?:{ROUTE_WORDS})$"), F.lower(s),
+        ).when(F.lower(s).rlike(f"^(?:{ROUTE_ID})$"), F.lit(":id")).otherwise(F.lit(":segment")),
+    )
     route = F.concat(F.lit("/"), F.array_join(named, "/"))
     return F.when(F.length(route) <= 160, route).otherwise(F.lit("/:segment"))
 
@@ -96,7 +107,9 @@ def path_score(path: Column) -> Column:
 def stability_score(url: Column) -> Column:
     """How stable a document URL looks: a path that ends in `.pdf` 3, with a segment `pdf` 2, with a segment `download` 1, other 0, no URL -1."""
     path = F.lower(path_of(url))
-    return F.when(host_of(url) == "", F.lit(-1)).when(path.endswith(".pdf"), F.lit(3)).when(path.rlike(r"(?:^|/)pdf(?:/|\z)"), F.lit(2)).when(path.rlike(r"(?:^|/)download(?:/|\z)"), F.lit(1)).otherwise(F.lit(0))
+    return F.when(host_of(url) == "", F.lit(-1)).when(path.endswith(".pdf"), F.lit(3)).when(path.rlike(r"(?:^|/)pdf(?:/|\z)"), F.lit(2)).when(
+        path.rlike(r"(?:^|/)download(?:/|\z)"), F.lit(1),
+    ).otherwise(F.lit(0))
 
 
 def canonical_document_url(url: Column) -> Column:

@@ -61,7 +61,9 @@ def displayed_amount(c: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(c, r"(?<![A-Za-z])[A-Za-z]{3}(?![A-Za-z])", ""), r"[€£$¥\s ']", "")
     comma, dot = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))), F.length(bare) - F.length(F.replace(bare, F.lit("."), F.lit("")))
     last_comma, last_dot = F.instr(F.reverse(bare), ","), F.instr(F.reverse(bare), ".")
-    both = F.when(last_comma < last_dot, F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(bare, F.lit(","), F.lit("")))
+    both = F.when(
+        last_comma < last_dot, F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")),
+    ).otherwise(F.replace(bare, F.lit(","), F.lit("")))
     tail = F.regexp_extract(bare, r"[.,](\d*)$", 1)
     single = F.when(F.length(tail) == 3, F.lit(None)).otherwise(F.replace(bare, F.lit(","), F.lit(".")))
     many = F.when(bare.rlike(r"^-?\d+(?:[.,]\d{3})+$"), F.regexp_replace(bare, "[.,]", ""))
@@ -123,7 +125,9 @@ def auth_outcome(status: Column, redirected_to_login: Column, matched: Column) -
     """The first rule that holds decides; order matters."""
     return (
         F.when(status == 0, "transport_failed").when(redirected_to_login, "session_expired").when(status == 401, "session_expired").when(status == 407, "transport_failed")
-        .when(status == 403, "insufficient_scope").when(status.isin(408, 425) | (status >= 500), "transport_failed").when(matched, "authenticated").otherwise("blocked_or_challenged")
+        .when(status == 403, "insufficient_scope").when(
+            status.isin(408, 425) | (status >= 500), "transport_failed",
+        ).when(matched, "authenticated").otherwise("blocked_or_challenged")
     )
 
 

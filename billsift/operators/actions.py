@@ -29,7 +29,9 @@ def enumeration(candidates: DataFrame, keys: Sequence[str], url: str = "url", ac
     direct = F.sum("_direct")
     counted = each.groupBy(*keys).agg(
         F.sum("_n").alias("observed"), direct.alias("direct"), taken.alias("actions"), (direct + taken).alias("resolved"),
-        F.greatest(F.sum("_n") - direct - taken, F.lit(0)).alias("unresolved"), F.coalesce(F.sum(F.when(~named, F.col("_n") - F.col("_direct"))), F.lit(0)).alias("unstable"),
+        F.greatest(F.sum("_n") - direct - taken, F.lit(0)).alias("unresolved"), F.coalesce(
+            F.sum(F.when(~named, F.col("_n") - F.col("_direct"))), F.lit(0),
+        ).alias("unstable"),
         F.coalesce(F.sum(F.when(named & (F.col("_n") > 1), F.col("_n"))), F.lit(0)).alias("ambiguous"), (stable > taken).alias("truncated"),
     )
     return counted
@@ -67,7 +69,9 @@ def with_evidence(refs: DataFrame, evidence: DataFrame, keys: Sequence[str]) ->
     return refs.join(evidence, list(keys), "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
 
 
-def ranked_resources(resources: DataFrame, keys: Sequence[str], method: str, url: str, body: str, request: str, order: str, most: int = MAX_RESOURCES) -> DataFrame:
+def ranked_resources(
+    resources: DataFrame, keys: Sequence[str], method: str, url: str, body: str, request: str, order: str, most: int = MAX_RESOURCES,
+) -> DataFrame:
     """The first response of each request (method, address, body sent), the `most` that speak most of billing, then by address, with `score` and `rank`.
 
     The first 4,000 characters of a body are looked at; this is the rule for ranking, bodies stay whole.

@@ -27,10 +27,14 @@ def previews(candidates: DataFrame, refs: DataFrame, key: str) -> DataFrame:
     first = met.groupBy(key, "id").agg(F.min_by(F.struct("pos", "document_url", "action", "origins", "requests"), "pos").alias("_r")).select(key, "id", "_r.*")
     there = (urls.scheme_of(url) == "https") & ~url.rlike("^[^/]*//[^/?#]*@") & F.array_contains("origins", urls.origin_of(url))
     code = (
-        F.when(blank, "invalid_identity").when(url.isNull() & ~F.col("requests") & ~F.coalesce("action", F.lit(False)), "invalid_document_path").when(url.isNotNull() & (urls.host_of(url) == ""), "invalid_document_path")
+        F.when(blank, "invalid_identity").when(
+            url.isNull() & ~F.col("requests") & ~F.coalesce("action", F.lit(False)), "invalid_document_path",
+        ).when(url.isNotNull() & (urls.host_of(url) == ""), "invalid_document_path")
         .when(url.isNotNull() & ~there, "unapproved_document_origin")
     )
-    judged = first.withColumn("_code", code).groupBy(key).agg(F.count("*").alias("_n"), F.min_by("_code", F.when(F.col("_code").isNotNull(), F.col("pos"))).alias("_bad"))
+    judged = first.withColumn("_code", code).groupBy(key).agg(
+        F.count("*").alias("_n"), F.min_by("_code", F.when(F.col("_code").isNotNull(), F.col("pos"))).alias("_bad"),
+    )
     counted = met.groupBy(key).agg(F.count("*").alias("_refs"))
     out = candidates.select(key).join(judged, key, "left").join(counted, key, "left")
     why = F.when(F.col("_refs") > DOCUMENTS, "too_many_documents").when(F.col("_bad").isNotNull(), F.col("_bad")).when(F.col("_refs").isNull(), "no_documents")
@@ -124,4 +128,7 @@ def connected_companies(destinations: DataFrame, suppliers: DataFrame, id: str)
     bound = suppliers.groupBy(F.col(id).alias("_id")).agg(F.count("*").alias("_n"), F.max("last").alias("_last"))
     mine = destinations.where((F.col("kind") != "filesystem") & F.col("company").isNotNull() & F.col("held"))
     out = mine.join(bound, F.col(id) == F.col("_id"), "left")
-    return out.select(id, "company", F.coalesce("name", "company").alias("name"), F.coalesce("_n", F.lit(0)).alias("suppliers"), F.col("_last").alias("last"), (F.col("kind") == "unavailable").alias("reconnect"))
+    return out.select(
+        id, "company", F.coalesce("name", "company").alias("name"), F.coalesce("_n", F.lit(0)).alias("suppliers"), F.col("_last").alias("last"),
+        (F.col("kind") == "unavailable").alias("reconnect"),
+    )

@@ -89,7 +89,9 @@ def scoped_identity(scope: Sequence[tuple[str, Column]], id: Column) -> Column:
 
 def same_content(rows: DataFrame, content: Column, order: str) -> DataFrame:
     """(content_sha256, first, n_copies): the least `order` of each content; null content counts as empty."""
-    return rows.groupBy(F.sha2(F.coalesce(content.cast("binary"), F.lit(b"")), 256).alias("content_sha256")).agg(F.min(order).alias("first"), F.count("*").alias("n_copies"))
+    return rows.groupBy(
+        F.sha2(F.coalesce(content.cast("binary"), F.lit(b"")), 256).alias("content_sha256")
+    ).agg(F.min(order).alias("first"), F.count("*").alias("n_copies"))
 
 
 def repaired(docs: DataFrame, accepted: DataFrame, key: str = "key", content: str = "content_key") -> DataFrame:

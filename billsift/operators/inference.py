@@ -61,7 +61,9 @@ def leaves(df: DataFrame, body: str) -> DataFrame:
 
 def array_scores(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, list, n_items, score): the share of an array's items that have a date and an amount, or a date, an id and a document."""
-    on = lambda pattern, test=None: F.max((F.col("key").rlike(pattern) & F.col("value").isNotNull() & (F.lit(True) if test is None else test)).cast("int"))
+    on = lambda pattern, test=None: F.max(
+        (F.col("key").rlike(pattern) & F.col("value").isNotNull() & (F.lit(True) if test is None else test)).cast("int")
+    )
     dated = F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}|^\d{10}(?:\d{3})?$")
     items = found.where("list IS NOT NULL").groupBy(*keys, "list", "pos").agg(
         on(DATE, dated).alias("d"), on(MONEY, F.col("value").rlike(r"^-?\d+(?:\.\d+)?$")).alias("m"), on(IDENT).alias("i"), on(DOCUMENT).alias("u")

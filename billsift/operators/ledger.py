@@ -69,7 +69,9 @@ def supplier_groups(entries: DataFrame, vendor: str, name: str, collected: str,
     Both places are numbered by ranges, so a supplier with very many entries is not sorted in one task.
     """
     latest = entries.groupBy(vendor).agg(F.max(collected).alias("_latest"), F.max_by(name, F.struct(collected, name)).alias("_name"))
-    groups = numbered(latest, [], [F.desc("_latest"), values.locale(F.col("_name")).asc(), F.asc(vendor)], "group_place").select(F.col(vendor).alias("_v"), "group_place")
+    groups = numbered(
+        latest, [], [F.desc("_latest"), values.locale(F.col("_name")).asc(), F.asc(vendor)], "group_place",
+    ).select(F.col(vendor).alias("_v"), "group_place")
     placed = numbered(entries, [vendor], [F.coalesce(F.col(issued).cast("timestamp"), F.col(collected)).desc(), F.desc(collected)])
     return placed.join(groups, F.col(vendor).eqNullSafe(F.col("_v"))).drop("_v")
 

@@ -31,7 +31,9 @@ def failures_in_row(runs: DataFrame, keys: Sequence[str], order: Sequence[str],
     good = runs.groupBy(*keys).agg(F.max(F.when(~failed, at)).alias("_good"))
     after = runs.join(good, list(keys)).where(F.col("_good").isNull() | (at > F.col("_good")))
     counted = after.groupBy(*keys).agg(F.count("*").alias("failures"))
-    return good.join(counted, list(keys), "left").select(*keys, F.coalesce("failures", F.lit(0)).cast("long").alias("failures"), F.col(f"_good.{order[0]}").alias("last_good"))
+    return good.join(counted, list(keys), "left").select(
+        *keys, F.coalesce("failures", F.lit(0)).cast("long").alias("failures"), F.col(f"_good.{order[0]}").alias("last_good"),
+    )
 
 
 def route_memory(events: DataFrame, keys: Sequence[str], order: Sequence[str], route: str, confirmed: Column) -> DataFrame:
@@ -50,7 +52,9 @@ def route_memory(events: DataFrame, keys: Sequence[str], order: Sequence[str], r
 def watermark(suppliers: DataFrame, complete: str, last_run: str, ok: Column) -> DataFrame:
     """(covered_until, pending): the least complete time (or last good run's) of all suppliers; null while some have none."""
     own = F.coalesce(F.col(complete), F.when(ok, F.col(last_run)))
-    return suppliers.agg(F.min(own).alias("_least"), F.count_if(own.isNull()).alias("pending")).select(F.when(F.col("pending") == 0, F.col("_least")).alias("covered_until"), "pending")
+    return suppliers.agg(F.min(own).alias("_least"), F.count_if(own.isNull()).alias("pending")).select(
+        F.when(F.col("pending") == 0, F.col("_least")).alias("covered_until"), "pending",
+    )
 
 
 def first_failure(phases: Column) -> Column:

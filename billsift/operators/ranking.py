@@ -78,7 +78,9 @@ BASES = {"remembered": 160, "common_route": 100, "link": 85}
 PLANNED = 79
 
 
-def planned_targets(links: DataFrame, keys: Sequence[str], url: str, source: str, family: str, path: Column, semantic: Column, depth: Column, most: int = PLANNED) -> DataFrame:
+def planned_targets(
+    links: DataFrame, keys: Sequence[str], url: str, source: str, family: str, path: Column, semantic: Column, depth: Column, most: int = PLANNED,
+) -> DataFrame:
     """The targets that a search goes to next, with `score` and `rank`: the best of each URL by base, path and label less depth, in the frontier's order, `most` of each key."""
     base = F.coalesce(*[F.when(F.col(source) == k, F.lit(n)) for k, n in BASES.items()], F.lit(0))
     scored = links.select(*keys, url, source, family, (base + path + semantic - depth).alias("score"))

@@ -42,13 +42,18 @@ def walked(pages: DataFrame, source: str, seq: str, more: Column, state: Column,
     of a source that says there is more without a reason to stop is a failed continuation as well.
     Only the first `cap` pages are ever walked; repeats are found by (source, state), not by gathering pages.
     """
-    p = pages.select(F.col(source), F.col(seq).alias("_seq"), F.coalesce(more, F.lit(False)).alias("_more"), state.cast("string").alias("_state"), items.alias("_items"))
+    p = pages.select(
+        F.col(source), F.col(seq).alias("_seq"), F.coalesce(more, F.lit(False)).alias("_more"), state.cast("string").alias("_state"),
+        items.alias("_items"),
+    )
     p = p.where(F.col("_seq") < cap)
     first = p.where("_more").groupBy(source, "_state").agg(F.min("_seq").alias("_first"))
     told = p.join(first, [source, "_state"], "left")
     blank = F.coalesce(F.trim("_state") == "", F.lit(True))
     cause = (
-        F.when(~F.col("_more"), "explicit_end").when(blank, "continuation_failed").when(F.col("_first") < F.col("_seq"), "repeated_state").when(F.col("_seq") == cap - 1, "page_cap")
+        F.when(~F.col("_more"), "explicit_end").when(blank, "continuation_failed").when(
+            F.col("_first") < F.col("_seq"), "repeated_state",
+        ).when(F.col("_seq") == cap - 1, "page_cap")
     )
     causes = told.withColumn("_cause", cause)
     ends = causes.where("_cause IS NOT NULL").groupBy(source).agg(F.min(F.struct("_seq", "_cause")).alias("_end"))
@@ -77,10 +82,14 @@ def scopes(options: DataFrame, keys: Sequence[str], option: str, value: str, ord
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("string").alias("_v")))), lambda x: x["_v"])
     each = given.groupBy(*keys, option).agg(F.array_distinct(ordered).alias("_values"))
     fits = F.when(F.size("_values") > SCOPE_VALUES, F.raise_error(F.lit(f"an option has over {SCOPE_VALUES} values"))).otherwise(F.col("_values"))
-    per = each.withColumn("_values", fits).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(option).alias("o"), F.col("_values").alias("v")))).alias("_o"))
+    per = each.withColumn("_values", fits).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(option).alias("o"), F.col("_values").alias("v")))).alias("_o")
+    )
     count = F.aggregate("_o", F.lit(1).cast("long"), lambda n, x: n * F.size(x["v"]))
     none = F.array(F.create_map().cast("map<string,string>"))
-    grown = F.aggregate("_o", none, lambda done, x: F.flatten(F.transform(done, lambda d: F.transform(x["v"], lambda v: F.map_concat(d, F.create_map(x["o"], v))))))
+    grown = F.aggregate(
+        "_o", none, lambda done, x: F.flatten(F.transform(done, lambda d: F.transform(x["v"], lambda v: F.map_concat(d, F.create_map(x["o"], v))))),
+    )
     bounded = F.when(count > SCOPES, F.raise_error(F.lit(f"over {SCOPES} scopes")).cast("array<map<string,string>>")).otherwise(grown)
     return per.select(*keys, F.explode(bounded).alias("scope"))
 
@@ -91,10 +100,18 @@ def preview_scopes(options: DataFrame, keys: Sequence[str], option: str, value:
     Built option after option and cut to `most` each time, so no more than `most` times an option's values are ever held.
     """
     given = options.where(F.trim(F.col(value).cast("string")) != "")
-    ordered = F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("string").alias("_v")))), lambda x: x["_v"])), 1, most)
-    per = given.groupBy(*keys, option).agg(ordered.alias("_values")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(option).alias("o"), F.col("_values").alias("v")))).alias("_o"))
+    ordered = F.slice(
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("string").alias("_v")))), lambda x: x["_v"])), 1,
+        most,
+    )
+    per = given.groupBy(*keys, option).agg(ordered.alias("_values")).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(option).alias("o"), F.col("_values").alias("v")))).alias("_o")
+    )
     none = F.array(F.create_map().cast("map<string,string>"))
-    grown = F.aggregate("_o", none, lambda done, x: F.slice(F.flatten(F.transform(done, lambda d: F.transform(x["v"], lambda v: F.map_concat(d, F.create_map(x["o"], v))))), 1, most))
+    grown = F.aggregate(
+        "_o", none,
+        lambda done, x: F.slice(F.flatten(F.transform(done, lambda d: F.transform(x["v"], lambda v: F.map_concat(d, F.create_map(x["o"], v))))), 1, most),
+    )
     return per.select(*keys, F.posexplode(grown).alias("place", "scope"))
 
 

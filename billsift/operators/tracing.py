@@ -26,7 +26,10 @@ def query_pairs(url: Column) -> Column:
     """array<struct<key,value>> of a URL's query, decoded."""
     plain = lambda c: F.coalesce(F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")), c)
     pairs = F.filter(F.split(urls.query_of(url), "&"), lambda kv: kv != "")
-    return F.transform(pairs, lambda kv: F.struct(plain(F.regexp_extract(kv, "(?s)^([^=]*)", 1)).alias("key"), plain(F.regexp_extract(kv, "(?s)^[^=]*=(.*)$", 1)).alias("value")))
+    return F.transform(
+        pairs,
+        lambda kv: F.struct(plain(F.regexp_extract(kv, "(?s)^([^=]*)", 1)).alias("key"), plain(F.regexp_extract(kv, "(?s)^[^=]*=(.*)$", 1)).alias("value")),
+    )
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -67,22 +70,44 @@ def pagination(pages: DataFrame, keys: Sequence[str], url: str, body: str) -> Da
     nearest = F.array_min(F.transform("_flags", lambda f: F.struct((-_shared(F.col("_cursor"), f["path"])).alias("a"), f["place"], f["path"])))["path"]
     kind = (
         F.when(F.col("_next").isNotNull(), "next-url").when(F.col("_cursor").isNotNull() & asks(*CURSOR_QUERY), "cursor")
-        .when(F.exists("_query", lambda p: F.lower(p["key"]) == "offset") & flag.isNotNull(), "offset").when(F.exists("_query", lambda p: F.lower(p["key"]).isin("page", "p")) & flag.isNotNull(), "page")
+        .when(F.exists("_query", lambda p: F.lower(p["key"]) == "offset") & flag.isNotNull(), "offset").when(
+            F.exists("_query", lambda p: F.lower(p["key"]).isin("page", "p")) & flag.isNotNull(), "page",
+        )
     )
     judged = by_body.withColumn("kind", kind).where("kind IS NOT NULL")
     is_kind = lambda *names: F.col("kind").isin(*names)
     return judged.select(
         *keys, "kind", F.when(is_kind("next-url"), F.col("_next")).when(is_kind("cursor"), F.col("_cursor")).alias("path"), F.when(is_kind("cursor"), nearest).when(is_kind("offset", "page"), flag).alias("more"),
-        F.when(is_kind("offset"), F.coalesce(size(OFFSET_SIZES), F.lit(OFFSET_SIZE))).alias("step"), F.when(is_kind("offset"), F.coalesce(size(OFFSET_SIZES), F.lit(OFFSET_SIZE))).when(is_kind("page"), size(PAGE_SIZES)).alias("page_size"),
+        F.when(
+            is_kind("offset"), F.coalesce(size(OFFSET_SIZES), F.lit(OFFSET_SIZE)),
+        ).alias("step"), F.when(is_kind("offset"), F.coalesce(size(OFFSET_SIZES), F.lit(OFFSET_SIZE))).when(is_kind("page"), size(PAGE_SIZES)).alias("page_size"),
     )
 
 
 def id_tokens(requests: DataFrame, keys: Sequence[str], url: str, body: str) -> DataFrame:
     """(keys, token, field, location, turn): the ids in a request: in its query, its path, and the texts of its JSON body, in this order."""
-    addressed = requests.select(*keys, F.concat(F.filter(query_pairs(F.col(url)), lambda p: p["value"].rlike(ID)), F.transform(F.filter(F.split(urls.path_of(F.col(url)), "/"), lambda s: s.rlike(ID)), lambda s: F.struct(F.lit(None).cast("string").alias("key"), s.alias("value")))).alias("_t"))
-    in_url = addressed.select(*keys, F.posexplode("_t").alias("turn", "_t")).select(*keys, F.col("_t.value").alias("token"), F.col("_t.key").alias("field"), F.lit("url").alias("location"), "turn")
-    in_body = walks.scalars(requests.select(*keys, F.col(body).alias("_b")), "_b").where((F.col("kind") == "string") & (F.col("value").rlike(ID) | F.col("value").rlike(REFERENCE)))
-    return in_url.unionByName(in_body.select(*keys, F.col("value").alias("token"), F.col("key").alias("field"), F.lit("body").alias("location"), ((1 << 30) + F.col("place")).cast("int").alias("turn")))
+    addressed = requests.select(
+        *keys,
+        F.concat(
+            F.filter(query_pairs(F.col(url)), lambda p: p["value"].rlike(ID)),
+            F.transform(
+                F.filter(F.split(urls.path_of(F.col(url)), "/"), lambda s: s.rlike(ID)),
+                lambda s: F.struct(F.lit(None).cast("string").alias("key"), s.alias("value")),
+            ),
+        ).alias("_t"),
+    )
+    in_url = addressed.select(*keys, F.posexplode("_t").alias("turn", "_t")).select(
+        *keys, F.col("_t.value").alias("token"), F.col("_t.key").alias("field"), F.lit("url").alias("location"), "turn",
+    )
+    in_body = walks.scalars(requests.select(*keys, F.col(body).alias("_b")), "_b").where(
+        (F.col("kind") == "string") & (F.col("value").rlike(ID) | F.col("value").rlike(REFERENCE))
+    )
+    return in_url.unionByName(
+        in_body.select(
+            *keys, F.col("value").alias("token"), F.col("key").alias("field"), F.lit("body").alias("location"),
+            ((1 << 30) + F.col("place")).cast("int").alias("turn"),
+        )
+    )
 
 
 def provenance(entries: DataFrame, lists: DataFrame, session: str = "session", pos: str = "pos") -> DataFrame:
@@ -99,20 +124,29 @@ def provenance(entries: DataFrame, lists: DataFrame, session: str = "session", p
     tokens = id_tokens(asked.select(F.col(session).alias("_s"), "url", "request_body"), ["_s"], "url", "request_body")
     named = tokens.groupBy("_s", "token").agg(F.min_by("field", F.when(F.col("field").isNotNull(), F.col("turn"))).alias("_named"))
     others = entries.join(wanted, mine & (F.col(pos) != F.col("_list"))).where(~F.coalesce(F.col("content_type"), F.lit("")).contains("html"))
-    given = walks.scalars(others.select(session, F.col(pos).alias("source"), "url", "request_body", "response_body"), "response_body").where((F.col("kind") == "string") & (F.size(F.split("path", r"\.")) <= walks.DEPTH))
+    given = walks.scalars(
+        others.select(session, F.col(pos).alias("source"), "url", "request_body", "response_body"), "response_body",
+    ).where((F.col("kind") == "string") & (F.size(F.split("path", r"\.")) <= walks.DEPTH))
     met = given.join(named, mine & (F.col("value") == F.col("token")))
     echo = F.col("url").contains(F.col("token")) | F.coalesce(F.col("request_body").contains(F.col("token")), F.lit(False))
     parts = F.split("path", r"\.")
     last = F.element_at(parts, -1)
     score = F.when(last.rlike("(?i)id$"), 3.0).otherwise(0.0) + F.when(F.col("url").rlike(ACCOUNT_URL), 2.0).otherwise(0.0) - F.when(last.rlike("^[0-9]+$"), 1.0).otherwise(0.0) - F.length("path") / 100.0
     usable = met.where(~echo & ~F.array_contains(parts, F.col("token"))).withColumn("_score", score)
-    best = usable.groupBy("_s", "token").agg(F.min_by(F.struct("source", "path", "_named"), F.struct((-F.col("_score")).alias("a"), "source", "place")).alias("_b"))
+    best = usable.groupBy("_s", "token").agg(
+        F.min_by(F.struct("source", "path", "_named"), F.struct((-F.col("_score")).alias("a"), "source", "place")).alias("_b")
+    )
     field = F.element_at(F.split("_b.path", r"\."), -1)
     name = F.coalesce(F.col("_b._named"), F.when(field.rlike("[A-Za-z]"), field), F.lit("scopeId"))
     clean = F.nullif(F.regexp_replace(F.regexp_replace(name, "[^a-zA-Z0-9_]", "_"), "^_+|_+$", ""), F.lit(""))
-    found = best.select(F.col("_s").alias("_k"), F.col("token").alias("_t"), F.coalesce(clean, F.lit("scopeId")).alias("config_id"), F.col("_b.source").alias("source"), F.col("_b.path").alias("path"))
+    found = best.select(
+        F.col("_s").alias("_k"), F.col("token").alias("_t"), F.coalesce(clean, F.lit("scopeId")).alias("config_id"),
+        F.col("_b.source").alias("source"), F.col("_b.path").alias("path"),
+    )
     places = tokens.select("_s", "token", "location").distinct()
-    return places.join(found, F.col("_s").eqNullSafe(F.col("_k")) & (F.col("token") == F.col("_t"))).select(F.col("_s").alias(session), "token", "location", "config_id", "source", "path")
+    return places.join(found, F.col("_s").eqNullSafe(F.col("_k")) & (F.col("token") == F.col("_t"))).select(
+        F.col("_s").alias(session), "token", "location", "config_id", "source", "path",
+    )
 
 
 def scope_id(key: Column, parent: Column) -> Column:
@@ -133,17 +167,28 @@ def tenant_bindings(pages: DataFrame, resources: DataFrame, key: str = "page") -
     ids = F.filter(F.filter(F.split(urls.path_of(url), "/"), lambda s: s != ""), lambda s: F.coalesce(decoded(s).rlike(policy.TENANT_ID), F.lit(False)))
     plain = (urls.query_of(url) == "") & (urls.scheme_of(url) == "https")
     is_entry = (urls.query_of(url) == "") & F.coalesce(policy.entry_url(url) == url, F.lit(False))
-    open_ = pages.where(plain & ~is_entry & (F.size(ids) == 1)).select(F.col(key).alias("_k"), url.alias("_open"), "hosts", F.get(ids, F.lit(0)).alias("_segment")).withColumn("_tenant", decoded(F.col("_segment")))
+    open_ = pages.where(plain & ~is_entry & (F.size(ids) == 1)).select(
+        F.col(key).alias("_k"), url.alias("_open"), "hosts", F.get(ids, F.lit(0)).alias("_segment"),
+    ).withColumn("_tenant", decoded(F.col("_segment")))
     material = F.coalesce(decoded(F.concat(urls.path_of(url), urls.query_of(url))), F.lit(""))
-    own = (F.coalesce(F.col("method"), F.lit("GET")) == "GET") & F.col("request_body").isNull() | (F.col("method") == "POST") & F.coalesce(F.col("safe_post"), F.lit(False)) & ~F.coalesce(F.col("request_body").contains(F.col("_tenant")), F.lit(False))
+    own = (F.coalesce(F.col("method"), F.lit("GET")) == "GET") & F.col("request_body").isNull() | (F.col("method") == "POST") & F.coalesce(F.col("safe_post"), F.lit(False)) & ~F.coalesce(
+        F.col("request_body").contains(F.col("_tenant")), F.lit(False),
+    )
     allowed = (urls.origin_of(url) == urls.origin_of(F.col("_open"))) | (urls.scheme_of(url) == "https") & F.array_contains("hosts", urls.host_of(url))
-    able = resources.join(open_, F.col(key).eqNullSafe(F.col("_k"))).where(allowed & ~url.contains("#") & ~url.contains("REDACTED") & ~material.contains(F.col("_tenant")) & own)
-    fields = walks.scalars(able.select("_k", "_open", "_segment", "_tenant", F.col("pos").alias("source"), "body"), "body").where(F.col("turn").isNotNull() & F.col("kind").isin("string", "number") & (F.col("value") == F.col("_tenant")))
+    able = resources.join(open_, F.col(key).eqNullSafe(F.col("_k"))).where(
+        allowed & ~url.contains("#") & ~url.contains("REDACTED") & ~material.contains(F.col("_tenant")) & own
+    )
+    fields = walks.scalars(able.select("_k", "_open", "_segment", "_tenant", F.col("pos").alias("source"), "body"), "body").where(
+        F.col("turn").isNotNull() & F.col("kind").isin("string", "number") & (F.col("value") == F.col("_tenant"))
+    )
     typed = fields.withColumn("scope", scope_id(F.col("key"), F.col("parent"))).where("scope IS NOT NULL")
     best = typed.groupBy("_k", "_open", "_segment").agg(F.min_by(F.struct("scope", "path", "source"), F.struct("source", "turn")).alias("_b"))
     template = F.concat(F.lit("{"), F.col("_b.scope"), F.lit("}"))
     head = urls.origin_of(F.col("_open"))
-    path = F.array_join(F.transform(F.split(F.regexp_replace(urls.path_of(F.col("_open")), "/+$", ""), "/"), lambda s: F.when(s == F.col("_segment"), template).otherwise(s)), "/")
+    path = F.array_join(
+        F.transform(F.split(F.regexp_replace(urls.path_of(F.col("_open")), "/+$", ""), "/"), lambda s: F.when(s == F.col("_segment"), template).otherwise(s)),
+        "/",
+    )
     bound = best.select(F.col("_k").alias(key), F.concat(head, path).alias("open_url"), "_b.scope", "_b.path", "_b.source")
     as_is = pages.where(is_entry).select(key, url.alias("open_url"), *[F.lit(None).cast(dict(bound.dtypes)[c]).alias(c) for c in ("scope", "path", "source")])
     return as_is.unionByName(bound)

@@ -12,13 +12,21 @@ from .numbering import numbered, written
 
 JOURNAL_CAP, CANDIDATES, MAX_ORIGINS, CAPTURES, CAPTURE_CHARS, SLOWEST = 500, 3, 8, 12, 768_000, 8
 # The families of places that a search may look at, and failures that concern one candidate alone.
-FAMILIES = ("exact_entry", "observed_navigation", "tenant_contextual_route", "common_billing_route", "observed_network", "embedded_data", "document_provider", "semantic_download")
-LOCAL_CODES = ("document_invalid", "retrieval_incomplete", "recipe_incompatible", "unstable_action_identity", "document_action_ambiguous", "browser_download_unsupported", "document_action_side_effect", "document_action_timeout", "unknown")
+FAMILIES = (
+    "exact_entry", "observed_navigation", "tenant_contextual_route", "common_billing_route", "observed_network", "embedded_data", "document_provider",
+    "semantic_download",
+)
+LOCAL_CODES = (
+    "document_invalid", "retrieval_incomplete", "recipe_incompatible", "unstable_action_identity", "document_action_ambiguous",
+    "browser_download_unsupported", "document_action_side_effect", "document_action_timeout", "unknown",
+)
 
 
 def valid_journal(rows: DataFrame) -> DataFrame:
     """The journal's rows that can be read: a 64-digit identity, a destination, a path, a known status and a time."""
-    return rows.where(F.col("identity").rlike("^[0-9a-f]{64}$") & F.col("destination").isNotNull() & F.col("path").isNotNull() & F.col("status").isin("pending", "committed") & F.col("updated").isNotNull())
+    return rows.where(
+        F.col("identity").rlike("^[0-9a-f]{64}$") & F.col("destination").isNotNull() & F.col("path").isNotNull() & F.col("status").isin("pending", "committed") & F.col("updated").isNotNull()
+    )
 
 
 ENTRY = ("identity", "source", "destination", "path", "status", "updated")
@@ -37,21 +45,38 @@ def delivery_changes(journal: DataFrame, new: DataFrame, owner: str, cap: int =
     same = F.coalesce(F.col("destination") == F.col("_destination"), F.lit(False))
     other = F.coalesce(F.col("_source") != F.col("source"), F.lit(False))
     met = new.join(old, mine, "left").withColumn("outcome", F.when(same & other, "refused:supplier").when(same, "again").otherwise("fresh"))
-    told = met.select(owner, "identity", "source", "destination", F.when(F.col("outcome") == "again", F.col("_path")).otherwise(F.col("path")).alias("path"), F.when(F.col("outcome") == "again", F.col("_status")).when(F.col("outcome") == "fresh", "pending").alias("status"), F.when(F.col("outcome") == "again", F.col("_updated")).otherwise(F.col("updated")).alias("updated"), "outcome")
+    told = met.select(
+        owner, "identity", "source", "destination", F.when(F.col("outcome") == "again", F.col("_path")).otherwise(F.col("path")).alias("path"),
+        F.when(F.col("outcome") == "again", F.col("_status")).when(F.col("outcome") == "fresh", "pending").alias("status"),
+        F.when(F.col("outcome") == "again", F.col("_updated")).otherwise(F.col("updated")).alias("updated"), "outcome",
+    )
     used = told.where("outcome IN ('again', 'fresh')").select(F.col(owner).alias("_o"), F.col("identity").alias("_identity"))
     kept = journal.join(used, mine, "left_anti").select(owner, *ENTRY, F.lit("kept").alias("outcome"))
     has = lambda what: F.count(F.when(what, 1))
     counts = told.unionByName(kept).where("outcome <> 'refused:supplier'").groupBy(F.col(owner).alias("_o")).agg(
-        (F.count("*") - cap).alias("_over"), has(F.col("outcome") == "fresh").alias("_fresh"), has((F.col("outcome") == "kept") & (F.col("status") == "committed")).alias("_committed")
+        (F.count("*") - cap).alias("_over"), has(F.col("outcome") == "fresh").alias("_fresh"), has(
+            (F.col("outcome") == "kept") & (F.col("status") == "committed")
+        ).alias("_committed")
+    )
+    counts = counts.where("_over > 0").select(
+        "_o", F.least("_over", "_committed").alias("_gone"),
+        (F.col("_fresh") - F.greatest(F.lit(0), F.col("_over") - F.col("_committed"))).alias("_room"),
+        (F.col("_over") > F.col("_committed")).alias("_full"),
     )
-    counts = counts.where("_over > 0").select("_o", F.least("_over", "_committed").alias("_gone"), (F.col("_fresh") - F.greatest(F.lit(0), F.col("_over") - F.col("_committed"))).alias("_room"), (F.col("_over") > F.col("_committed")).alias("_full"))
     # an owner's committed entries are no more than `cap` in a journal that is kept by this rule; a batch has no such bound, so it is numbered by ranges
-    ranked = kept.where("status = 'committed'").join(counts, F.col(owner).eqNullSafe(F.col("_o"))).withColumn("_turn", F.row_number().over(Window.partitionBy(owner).orderBy("updated", "identity")))
+    ranked = kept.where("status = 'committed'").join(counts, F.col(owner).eqNullSafe(F.col("_o"))).withColumn(
+        "_turn", F.row_number().over(Window.partitionBy(owner).orderBy("updated", "identity")),
+    )
     evicted = ranked.where("_turn <= _gone").select(owner, *ENTRY, F.lit("evicted").alias("outcome"))
-    turns = numbered(told.where("outcome = 'fresh'").join(counts.where("_full"), F.col(owner).eqNullSafe(F.col("_o"))), [owner], [F.asc("updated"), F.asc("identity")], "_turn")
+    turns = numbered(
+        told.where("outcome = 'fresh'").join(counts.where("_full"), F.col(owner).eqNullSafe(F.col("_o"))), [owner],
+        [F.asc("updated"), F.asc("identity")], "_turn",
+    )
     late = turns.where("_turn > _room").select(F.col(owner).alias("_o"), F.col("identity").alias("_identity"), F.lit(True).alias("_late"))
     full = F.coalesce(F.col("_late"), F.lit(False)) & (F.col("outcome") == "fresh")
-    told = told.join(late, mine, "left").withColumns({"outcome": F.when(full, "refused:full").otherwise(F.col("outcome")), "status": F.when(~full, F.col("status"))})
+    told = told.join(late, mine, "left").withColumns(
+        {"outcome": F.when(full, "refused:full").otherwise(F.col("outcome")), "status": F.when(~full, F.col("status"))}
+    )
     return told.select(owner, *ENTRY, "outcome").unionByName(evicted)
 
 
@@ -70,12 +95,19 @@ def commit_deliveries(journal: DataFrame, done: DataFrame, owner: str) -> tuple[
 
     What is no longer in the journal (`missing`) or there for another destination or path (`changed`) is a conflict, and changes nothing.
     """
-    mine = done.select(F.col(owner).alias("_o"), F.col("identity").alias("_i"), F.col("destination").alias("_d"), F.col("path").alias("_p"), F.col("updated").alias("_u"))
+    mine = done.select(
+        F.col(owner).alias("_o"), F.col("identity").alias("_i"), F.col("destination").alias("_d"), F.col("path").alias("_p"),
+        F.col("updated").alias("_u"),
+    )
     here = F.col(owner).eqNullSafe(F.col("_o")) & (F.col("identity") == F.col("_i"))
     same = F.coalesce((F.col("destination") == F.col("_d")) & (F.col("path") == F.col("_p")), F.lit(False))
-    out = journal.join(mine, here, "left").withColumns({"status": F.when(same, "committed").otherwise(F.col("status")), "updated": F.when(same, F.col("_u")).otherwise(F.col("updated"))}).drop("_o", "_i", "_d", "_p", "_u")
+    out = journal.join(mine, here, "left").withColumns(
+        {"status": F.when(same, "committed").otherwise(F.col("status")), "updated": F.when(same, F.col("_u")).otherwise(F.col("updated"))}
+    ).drop("_o", "_i", "_d", "_p", "_u")
     met = mine.join(journal.select(owner, "identity", "destination", "path"), here, "left")
-    conflicts = met.where(~same).select(F.col("_o").alias(owner), F.col("_i").alias("identity"), F.when(F.col("identity").isNull(), "missing").otherwise("changed").alias("why"))
+    conflicts = met.where(~same).select(
+        F.col("_o").alias(owner), F.col("_i").alias("identity"), F.when(F.col("identity").isNull(), "missing").otherwise("changed").alias("why"),
+    )
     return out, conflicts
 
 
@@ -91,7 +123,9 @@ def is_fresh(verified: Column, review: Column, now: Column, days: int = 90) -> C
 
 def is_runnable(stage: Column, health: Column, complete: Column, fresh: Column) -> Column:
     """Whether a supplier's recipe may run: a pilot unless its health holds it, a supported one if healthy, fully attested and fresh."""
-    return F.when(stage == "pilot", health.isin("needs_verification", "healthy", "verification_stale")).otherwise((stage == "supported") & (health == "healthy") & complete & fresh)
+    return F.when(
+        stage == "pilot", health.isin("needs_verification", "healthy", "verification_stale"),
+    ).otherwise((stage == "supported") & (health == "healthy") & complete & fresh)
 
 
 def lifecycle_label(stage: Column, health: Column, verified: Column, fresh: Column) -> Column:
@@ -99,19 +133,26 @@ def lifecycle_label(stage: Column, health: Column, verified: Column, fresh: Colu
     runs = health.isin("needs_verification", "healthy", "verification_stale")
     return (
         F.when(stage == "retired", "Retired").when(stage == "experimental", "Experimental").when(stage == "degraded", F.concat(F.lit("Degraded: "), reason))
-        .when((stage == "pilot") & ~runs, F.concat(F.lit("Pilot: "), reason)).when((stage == "pilot") & (health == "healthy") & fresh, "Pilot: live verified").when(stage == "pilot", "Pilot: bundled recipe")
+        .when((stage == "pilot") & ~runs, F.concat(F.lit("Pilot: "), reason)).when(
+            (stage == "pilot") & (health == "healthy") & fresh, "Pilot: live verified",
+        ).when(stage == "pilot", "Pilot: bundled recipe")
         .when(verified.isNull(), "Supported: verification needed").when(~fresh, "Supported: verification stale").otherwise("Supported: live verified")
     )
 
 
-def candidate_set(ranked: DataFrame, keys: Sequence[str], order: Sequence[str], key: str, origins: str, most: int = CANDIDATES, most_origins: int = MAX_ORIGINS) -> DataFrame:
+def candidate_set(
+    ranked: DataFrame, keys: Sequence[str], order: Sequence[str], key: str, origins: str, most: int = CANDIDATES, most_origins: int = MAX_ORIGINS,
+) -> DataFrame:
     """(keys, key, place): candidates in order that are kept: each key once, `most` at most, and none that would bring the origins of all kept over `most_origins`.
 
     A candidate that brings too many is skipped, and later ones may still fit, so it is a fold; only the first row of each
     key is folded, as others are never kept once it is met, and a rejected one brings the same origins again.
     """
     first = ranked.groupBy(*keys, key).agg(F.min(F.struct(*order, F.array_distinct(origins).alias("_o"))).alias("_c"))
-    kept = folds.folded(first, keys, [*[F.col(f"_c.{o}") for o in order], F.col(key)], [F.col(key).cast("string"), F.col("_c._o")], lambda: folds.Chosen(most, most_origins), f"`{key}` string, place int")
+    kept = folds.folded(
+        first, keys, [*[F.col(f"_c.{o}") for o in order], F.col(key)], [F.col(key).cast("string"), F.col("_c._o")],
+        lambda: folds.Chosen(most, most_origins), f"`{key}` string, place int",
+    )
     return kept.select(*keys, "place", key)
 
 
@@ -132,13 +173,20 @@ def family_coverage(attempts: DataFrame, keys: Sequence[str], family: str, exhau
     all_ = F.array(*map(F.lit, FAMILIES))
     met = attempts.groupBy(*keys).agg(F.collect_set(F.when(F.col(family).isin(*FAMILIES), F.col(family))).alias("_met"), F.bool_and(exhausted).alias("_done"))
     joined = lambda x: F.array_join(F.array_sort(x), ",")
-    return met.select(*keys, joined(F.col("_met")).alias("attempted"), F.when(F.col("_done"), joined(F.array_intersect(all_, "_met"))).otherwise("").alias("exhausted"), F.when(F.col("_done"), joined(F.array_except(all_, "_met"))).otherwise("").alias("unavailable"))
+    return met.select(
+        *keys, joined(F.col("_met")).alias("attempted"),
+        F.when(F.col("_done"), joined(F.array_intersect(all_, "_met"))).otherwise("").alias("exhausted"),
+        F.when(F.col("_done"), joined(F.array_except(all_, "_met"))).otherwise("").alias("unavailable"),
+    )
 
 
 def scope_summary(scopes: DataFrame, keys: Sequence[str], status: str, code: str) -> DataFrame:
     """(keys, total, succeeded, empty, failed, codes): how a run's scopes ended, and the different codes of failures."""
     count = lambda s: F.count_if(F.col(status) == s).alias(s)
-    return scopes.groupBy(*keys).agg(F.count("*").alias("total"), count("succeeded"), count("empty"), count("failed"), F.array_join(F.array_sort(F.collect_set(F.when(F.col(status) == "failed", F.col(code)))), ",").alias("codes"))
+    return scopes.groupBy(*keys).agg(
+        F.count("*").alias("total"), count("succeeded"), count("empty"), count("failed"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col(status) == "failed", F.col(code)))), ",").alias("codes"),
+    )
 
 
 def run_rollup(runs: DataFrame, keys: Sequence[str], place: str, status: str, count: str) -> DataFrame:
@@ -176,7 +224,9 @@ def capture_buffer(captures: DataFrame, keys: Sequence[str], pos: str, request:
     """
     fit = captures.where(F.col(size) <= chars)
     kind = dict(fit.dtypes)[pos]
-    return folds.folded(fit, keys, [F.col(pos)], [F.col(pos), F.xxhash64(request), F.col(size).cast("long")], lambda: folds.Buffered(most, chars), f"`{pos}` {kind}")
+    return folds.folded(
+        fit, keys, [F.col(pos)], [F.col(pos), F.xxhash64(request), F.col(size).cast("long")], lambda: folds.Buffered(most, chars), f"`{pos}` {kind}",
+    )
 
 
 def suppliers_by_destination(suppliers: DataFrame, destination: str, name: str) -> DataFrame:

@@ -110,7 +110,9 @@ def dedup_keep_first_best_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    refs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), key("o", "o_orderkey").alias("key"), F.array(key("c", "o_custkey")).alias("aliases"))
+    refs = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("pos"), key("o", "o_orderkey").alias("key"), F.array(key("c", "o_custkey")).alias("aliases"),
+    )
     seen = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.explode(F.array(key("c", "user_id"), key("o", "event_id"))).alias("key"))
     return refs, seen
 
@@ -118,12 +120,16 @@ def _refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _SEEN = "WITH s AS (SELECT DISTINCT unnest(['c' || user_id, 'o' || event_id]) AS k FROM events WHERE event_type = 'purchase')"
 
 
-@query(f"{_SEEN} SELECT o_orderkey AS pos, 'o' || o_orderkey AS key FROM orders WHERE 'o' || o_orderkey NOT IN (SELECT k FROM s) AND 'c' || o_custkey NOT IN (SELECT k FROM s)")
+@query(
+    f"{_SEEN} SELECT o_orderkey AS pos, 'o' || o_orderkey AS key FROM orders WHERE 'o' || o_orderkey NOT IN (SELECT k FROM s) AND 'c' || o_custkey NOT IN (SELECT k FROM s)"
+)
 def seen_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.unseen(*_refs(spark, sf_dir), aliases="aliases").select("pos", "key")
 
 
-@query(f"{_SEEN} SELECT DISTINCT 'o' || o_orderkey AS key FROM orders WHERE 'c' || o_custkey IN (SELECT k FROM s) AND 'o' || o_orderkey NOT IN (SELECT k FROM s)")
+@query(
+    f"{_SEEN} SELECT DISTINCT 'o' || o_orderkey AS key FROM orders WHERE 'c' || o_custkey IN (SELECT k FROM s) AND 'o' || o_orderkey NOT IN (SELECT k FROM s)"
+)
 def alias_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.migrated(*_refs(spark, sf_dir))
 
@@ -152,7 +158,9 @@ b AS (SELECT o_custkey AS k, min(o_orderdate) AS at, max(o_totalprice) AS total
 SELECT coalesce(a.k, b.k) AS k, strftime(least(a.at, b.at), '%Y-%m-%d') AS at, coalesce(b.total, a.total) AS total FROM a FULL JOIN b ON a.k = b.k""")
 def ledger_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    part = lambda c: orders.where(c).groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderdate").alias("at"), F.max("o_totalprice").alias("total"))
+    part = lambda c: orders.where(c).groupBy(F.col("o_custkey").alias("k")).agg(
+        F.min("o_orderdate").alias("at"), F.max("o_totalprice").alias("total"),
+    )
     merged = ledger.upsert(part("o_orderstatus <> 'P'"), part("o_orderstatus = 'P'"), ["k"], earliest=["at"])
     return merged.withColumn("at", F.date_format("at", "yyyy-MM-dd"))
 
@@ -234,7 +242,9 @@ FROM w JOIN (SELECT conv_id, count(*) FILTER (role = 'user') AS n_user, count(*)
 
 
 def _proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roles = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role").isin("user", "assistant")).alias("known"), F.count_if(F.col("role") == "system").alias("rest"))
+    roles = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.count_if(F.col("role").isin("user", "assistant")).alias("known"), F.count_if(F.col("role") == "system").alias("rest"),
+    )
     joined = _walked(spark, sf_dir).join(roles, "conv_id")
     return retrieval.proof(joined, F.col("termination"), F.col("n_pages"), F.col("observed"), F.col("known"), F.col("rest"))
 
@@ -255,16 +265,23 @@ def retrieval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT r_regionkey, n_name AS nation, s AS status FROM region JOIN nation ON n_regionkey = r_regionkey, (SELECT unnest(['open', 'paid']) AS s)""")
 def scope_cross_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
-    status = table(spark, sf_dir, "region").select("r_regionkey", F.lit("status").alias("option"), F.explode(F.array(F.lit("open"), F.lit("paid"))).alias("value"))
+    status = table(spark, sf_dir, "region").select(
+        "r_regionkey", F.lit("status").alias("option"), F.explode(F.array(F.lit("open"), F.lit("paid"))).alias("value"),
+    )
     options = nations.select("r_regionkey", F.lit("nation").alias("option"), F.col("n_name").alias("value")).unionByName(status)
-    return retrieval.scopes(options, ["r_regionkey"], "option", "value", ["value"]).select("r_regionkey", F.col("scope")["nation"].alias("nation"), F.col("scope")["status"].alias("status"))
+    return retrieval.scopes(options, ["r_regionkey"], "option", "value", ["value"]).select(
+        "r_regionkey", F.col("scope")["nation"].alias("nation"), F.col("scope")["status"].alias("status"),
+    )
 
 
 @query("""
 WITH r AS (SELECT DISTINCT n_nationkey AS k FROM nation), e AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1)
 SELECT k, 'missing' AS problem FROM r WHERE k NOT IN (SELECT k FROM e) UNION ALL SELECT k, 'orphan' FROM e WHERE k NOT IN (SELECT k FROM r) UNION ALL SELECT k, 'duplicate' FROM e WHERE n > 1""")
 def lifecycle_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.coverage(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), "k")
+    return retrieval.coverage(
+        table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")),
+        table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), "k",
+    )
 
 
 # Recipes and scans
@@ -284,8 +301,12 @@ def transform_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("o_totalprice") * 100).cast("long").cast("string")
     steps = lambda c, *s: transforms.applied(c, s)
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", steps(cents, {"kind": "divide", "by": 100}).alias("total"), steps(F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string"), {"kind": "date", "epoch": "s"}).alias("issued"),
-        steps(F.col("o_orderpriority"), {"kind": "regex", "pattern": r"^(\d)-", "group": 1}).alias("rank"), steps(F.col("o_orderkey").cast("string"), {"kind": "template", "text": "order-{value}.pdf"}).alias("file"),
+        "o_orderkey", steps(cents, {"kind": "divide", "by": 100}).alias("total"), steps(
+            F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string"), {"kind": "date", "epoch": "s"},
+        ).alias("issued"),
+        steps(F.col("o_orderpriority"), {"kind": "regex", "pattern": r"^(\d)-", "group": 1}).alias("rank"), steps(
+            F.col("o_orderkey").cast("string"), {"kind": "template", "text": "order-{value}.pdf"},
+        ).alias("file"),
         steps(F.col("o_orderpriority"), {"kind": "replace", "pattern": r"(\d)-", "with": "P$1 "}, {"kind": "lower"}).alias("label"),
     )
 
@@ -293,30 +314,55 @@ def transform_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, 'https://api.example/c/' || o_custkey || '/orders/' || o_orderkey || '?s=' || o_orderstatus AS url FROM orders")
 def template_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"customer": F.col("o_custkey"), "order": F.col("o_orderkey"), "status": F.col("o_orderstatus")}
-    return table(spark, sf_dir, "orders").select("o_orderkey", transforms.rendered("https://api.example/c/{customer}/orders/{order}?s={status}", names).alias("url"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", transforms.rendered("https://api.example/c/{customer}/orders/{order}?s={status}", names).alias("url"),
+    )
 
 
 def _portal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An HTML page for each order: data scripts, a receipt row and links."""
     key = F.col("o_orderkey").cast("string")
-    blob = F.to_json(F.struct(F.array(F.struct(key.alias("id"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issued"))).alias("invoices")))
+    blob = F.to_json(
+        F.struct(
+            F.array(
+                F.struct(
+                    key.alias("id"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
+                    F.date_format("o_orderdate", "yyyy-MM-dd").alias("issued"),
+                )
+            ).alias("invoices")
+        )
+    )
     html = F.concat(
-        F.lit("<html><title>Billing</title><script type=\"application/json\">{broken</script><script type=\"application/json\">"), F.replace(blob, F.lit('"'), F.lit("&quot;")),
-        F.lit('</script><table><tr class="r"><td>'), key, F.lit("</td><td>"), F.col("o_orderstatus"), F.lit('</td></tr></table><a href="/receipts/'), key, F.lit('.pdf">Receipt</a><a href="/terms.pdf">Terms</a></html>'),
+        F.lit(
+            "<html><title>Billing</title><script type=\"application/json\">{broken</script><script type=\"application/json\">"
+        ), F.replace(blob, F.lit('"'), F.lit("&quot;")),
+        F.lit('</script><table><tr class="r"><td>'), key, F.lit("</td><td>"), F.col("o_orderstatus"), F.lit('</td></tr></table><a href="/receipts/'), key, F.lit(
+            '.pdf">Receipt</a><a href="/terms.pdf">Terms</a></html>'
+        ),
     )
     return table(spark, sf_dir, "orders").select("o_orderkey", html.alias("body"))
 
 
-@query("SELECT o_orderkey, 0::BIGINT AS pos, o_orderkey::VARCHAR AS id, printf('%.2f', round(o_totalprice * 100)::BIGINT / 100.0) AS total, strftime(o_orderdate, '%Y-%m-%d') AS issued FROM orders")
+@query(
+    "SELECT o_orderkey, 0::BIGINT AS pos, o_orderkey::VARCHAR AS id, printf('%.2f', round(o_totalprice * 100)::BIGINT / 100.0) AS total, strftime(o_orderdate, '%Y-%m-%d') AS issued FROM orders"
+)
 def json_embedded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = recipe.Recipe("orders", "embedded", "invoices", {"id": recipe.Extract("id"), "total": recipe.Extract("cents", [{"kind": "divide", "by": 100}]), "issuedAt": recipe.Extract("issued", [{"kind": "date"}])})
+    shape = recipe.Recipe(
+        "orders", "embedded", "invoices",
+        {
+            "id": recipe.Extract("id"), "total": recipe.Extract("cents", [{"kind": "divide", "by": 100}]),
+            "issuedAt": recipe.Extract("issued", [{"kind": "date"}]),
+        },
+    )
     found, _ = recipe.refs(shape, _portal(spark, sf_dir))
     return found.select("o_orderkey", F.col("pos").cast("long").alias("pos"), "id", "total", F.col("issuedAt").alias("issued"))
 
 
 @query("SELECT o_orderkey, o_orderkey::VARCHAR AS id, o_orderstatus AS status FROM orders")
 def row_regex_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.regex_rows(_portal(spark, sf_dir), "body", r'<tr class="r"><td>(?<id>[^<]*)</td><td>(?<status>[^<]*)</td>').select("o_orderkey", "id", "status")
+    return scans.regex_rows(
+        _portal(spark, sf_dir), "body", r'<tr class="r"><td>(?<id>[^<]*)</td><td>(?<status>[^<]*)</td>',
+    ).select("o_orderkey", "id", "status")
 
 
 @query("SELECT o_orderkey, 'https://billing.example.com/receipts/' || o_orderkey || '.pdf' AS link, 'Receipt' AS label FROM orders")
@@ -325,9 +371,13 @@ def likely_document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.document_links(portal, "body", "base").select("o_orderkey", "link", "label")
 
 
-@query("""SELECT page_id, unnest(range(len(h))) AS pos, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '\\bhref="([^"]+)"', 1) AS h FROM pages)""")
+@query(
+    """SELECT page_id, unnest(range(len(h))) AS pos, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '\\bhref="([^"]+)"', 1) AS h FROM pages)"""
+)
 def anchor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(scans.anchors(F.col("html"))).alias("pos", "href")).withColumn("pos", F.col("pos").cast("long"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.posexplode(scans.anchors(F.col("html"))).alias("pos", "href"),
+    ).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"SELECT page_id, {_HOST} AS host, contains({_HOST}, '.') AND NOT regexp_matches({_HOST}, '(?:^|\\.)(?:localhost|local)$') AS public FROM pages")
@@ -472,9 +522,13 @@ def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("user_id", "failures", values.retry_delay(F.lit("transport_failed"), F.col("failures")).alias("delay_s"))
 
 
-@query("SELECT event_id, epoch(ts)::BIGINT + least(greatest(floor(value)::BIGINT * 1000, 5), 86400) AS until FROM (SELECT event_id, date_trunc('second', ts) AS ts, value FROM events)")
+@query(
+    "SELECT event_id, epoch(ts)::BIGINT + least(greatest(floor(value)::BIGINT * 1000, 5), 86400) AS until FROM (SELECT event_id, date_trunc('second', ts) AS ts, value FROM events)"
+)
 def rate_limit_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", values.rate_limit_until(F.unix_seconds(F.col("ts").cast("timestamp")), F.floor("value") * 1000).alias("until"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", values.rate_limit_until(F.unix_seconds(F.col("ts").cast("timestamp")), F.floor("value") * 1000).alias("until"),
+    )
 
 
 @query("""
@@ -490,7 +544,10 @@ s(user_id, i, route, previous, misses) AS (
   FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
 SELECT user_id, route, previous, misses FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS k FROM s) WHERE k = 1 AND route IS NOT NULL""")
 def route_memory_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcomes.route_memory(table(spark, sf_dir, "events").withColumn("route", F.get_json_object("props", "$.k")), ["user_id"], ["ts", "event_id"], "route", F.col("event_type") == "view")
+    return outcomes.route_memory(
+        table(spark, sf_dir, "events").withColumn("route", F.get_json_object("props", "$.k")), ["user_id"], ["ts", "event_id"], "route",
+        F.col("event_type") == "view",
+    )
 
 
 @query("""
@@ -500,10 +557,14 @@ FROM (SELECT o_orderkey, o_orderdate, last_day(o_orderdate) + INTERVAL 9 HOUR AS
 def next_sync_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.col("o_orderdate").cast("timestamp")
     at = lambda mode, day: F.date_format(values.next_run(mode, now, day), "yyyy-MM-dd HH")
-    return table(spark, sf_dir, "orders").select("o_orderkey", at("monthly", 31).alias("monthly"), at("daily", 1).alias("daily"), at("weekly", 1).alias("weekly"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", at("monthly", 31).alias("monthly"), at("daily", 1).alias("daily"), at("weekly", 1).alias("weekly"),
+    )
 
 
-@query("SELECT user_id, coalesce(max(ts) FILTER (event_type = 'view') > max(ts) FILTER (event_type = 'error'), max(ts) FILTER (event_type = 'error') IS NULL) AS healthy FROM events GROUP BY 1")
+@query(
+    "SELECT user_id, coalesce(max(ts) FILTER (event_type = 'view') > max(ts) FILTER (event_type = 'error'), max(ts) FILTER (event_type = 'error') IS NULL) AS healthy FROM events GROUP BY 1"
+)
 def attention_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.coalesce(last("view") > last("error"), last("error").isNull()).alias("healthy"))
@@ -514,13 +575,18 @@ def attention_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON body for each customer with orders, as a portal would list them."""
-    item = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issued_at"), F.when(F.col("o_orderstatus") != "P", F.round(F.col("o_totalprice") * 100).cast("long")).alias("amount"))
+    item = F.struct(
+        F.col("o_orderkey").cast("string").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issued_at"),
+        F.when(F.col("o_orderstatus") != "P", F.round(F.col("o_totalprice") * 100).cast("long")).alias("amount"),
+    )
     listed = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
     body = F.struct(F.struct(F.col("items")).alias("data"), F.struct(F.lit("abc123").alias("next_cursor"), F.lit(True).alias("has_more")).alias("page"))
     return listed.select("o_custkey", F.to_json(body).alias("body"))
 
 
-@query("SELECT o_custkey, 'data.items' AS list, count(*) AS n_items, round(avg(CASE WHEN o_orderstatus <> 'P' THEN 1.0 ELSE 0.0 END), 9) AS score FROM orders GROUP BY 1")
+@query(
+    "SELECT o_custkey, 'data.items' AS list, count(*) AS n_items, round(avg(CASE WHEN o_orderstatus <> 'P' THEN 1.0 ELSE 0.0 END), 9) AS score FROM orders GROUP BY 1"
+)
 def invoice_array_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = inference.array_scores(inference.leaves(_bodies(spark, sf_dir), "body"), ["o_custkey"])
     return scores.withColumn("score", F.round("score", 9))
@@ -539,7 +605,9 @@ def stream_dedup_lease(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/leased-{uuid.uuid4().hex}"
     events = state.event_stream(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")
     kept = state.leased(events, ["user_id", "event_type"], ties=["event_id"]).select("event_id", "user_id", "event_type")
-    run = kept.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).outputMode("append").start(f"{path}/rows")
+    run = kept.writeStream.format("parquet").option(
+        "checkpointLocation", f"{path}/checkpoint",
+    ).trigger(availableNow=True).outputMode("append").start(f"{path}/rows")
     run.awaitTermination()
     return spark.read.schema(kept.schema).parquet(f"{path}/rows")
 
@@ -556,5 +624,8 @@ FROM orders LEFT JOIN e ON l_orderkey = o_orderkey""")
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     resolved = evidence_resolution(spark, sf_dir).withColumnRenamed("l_orderkey", "o_orderkey").select("o_orderkey", "value", "conflict")
-    refs = table(spark, sf_dir, "orders").select("o_orderkey", values.identity_key(text("o_custkey"), F.lit("orders"), text("o_orderkey")).alias("key"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    refs = table(spark, sf_dir, "orders").select(
+        "o_orderkey", values.identity_key(text("o_custkey"), F.lit("orders"), text("o_orderkey")).alias("key"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+    )
     return refs.join(resolved, "o_orderkey", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))

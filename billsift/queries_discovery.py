@@ -44,10 +44,13 @@ def action_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT user_id, CASE WHEN event_type = 'click' THEN 'https://e.com/' || event_id END AS url, CASE WHEN event_id % 3 > 0 THEN event_type || (event_id % 40) END AS action FROM events),
+WITH c AS (SELECT user_id, CASE WHEN event_type = 'click' THEN 'https://e.com/' || event_id END AS url, CASE
+    WHEN event_id % 3 > 0 THEN event_type || (event_id % 40) END AS action FROM events),
 g AS (SELECT user_id, CASE WHEN url IS NULL THEN action END AS a, count(*) AS n, count(url) AS d FROM c GROUP BY 1, 2),
-t AS (SELECT user_id, sum(n) AS observed, sum(d) AS direct, count(*) FILTER (a IS NOT NULL AND n = 1) AS stable, coalesce(sum(n - d) FILTER (a IS NULL), 0) AS unstable, coalesce(sum(n) FILTER (a IS NOT NULL AND n > 1), 0) AS ambiguous FROM g GROUP BY 1)
-SELECT user_id, observed::BIGINT AS observed, direct::BIGINT AS direct, least(stable, 12) AS actions, (direct + least(stable, 12))::BIGINT AS resolved, (observed - direct - least(stable, 12))::BIGINT AS unresolved,
+t AS (SELECT user_id, sum(n) AS observed, sum(d) AS direct, count(*) FILTER (a IS NOT NULL AND n = 1) AS stable,
+    coalesce(sum(n - d) FILTER (a IS NULL), 0) AS unstable, coalesce(sum(n) FILTER (a IS NOT NULL AND n > 1), 0) AS ambiguous FROM g GROUP BY 1)
+SELECT user_id, observed::BIGINT AS observed, direct::BIGINT AS direct, least(stable, 12) AS actions, (direct + least(stable,
+    12))::BIGINT AS resolved, (observed - direct - least(stable, 12))::BIGINT AS unresolved,
   unstable::BIGINT AS unstable, ambiguous::BIGINT AS ambiguous, stable > 12 AS truncated FROM t""")
 def action_enumerations(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.when(F.col("event_type") == "click", F.concat(F.lit("https://e.com/"), F.col("event_id").cast("string")))
@@ -70,12 +73,15 @@ RESOURCES = ["/invoice", "/billing/plan", "/x", "/receipt/charge", "/plan"]
 @query(f"""
 WITH c AS (SELECT user_id, event_id, {_list(RESOURCES, 'event_id')} || '/' || (event_id % 7) AS url FROM events),
 f AS (SELECT user_id, url, min(event_id) AS event_id FROM c GROUP BY 1, 2),
-s AS (SELECT *, CASE WHEN url LIKE '/invoice%' THEN 100 WHEN url LIKE '/billing%' THEN 75 WHEN url LIKE '/receipt%' THEN 150 WHEN url LIKE '/plan%' THEN 25 ELSE 0 END AS score FROM f),
+s AS (SELECT *, CASE WHEN url LIKE '/invoice%' THEN 100 WHEN url LIKE '/billing%' THEN 75 WHEN url LIKE '/receipt%' THEN 150
+    WHEN url LIKE '/plan%' THEN 25 ELSE 0 END AS score FROM f),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, url COLLATE en, url) AS rank FROM s)
 SELECT user_id, event_id, url, score, rank::INT AS rank FROM r WHERE rank <= 12""")
 def resource_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.concat(_pick(RESOURCES, "event_id"), F.lit("/"), (F.col("event_id") % 7).cast("string"))
-    seen = table(spark, sf_dir, "events").select("user_id", "event_id", url.alias("url"), F.col("props").alias("body"), F.lit("GET").alias("method"), F.lit(None).cast("string").alias("sent"))
+    seen = table(spark, sf_dir, "events").select(
+        "user_id", "event_id", url.alias("url"), F.col("props").alias("body"), F.lit("GET").alias("method"), F.lit(None).cast("string").alias("sent"),
+    )
     return actions.ranked_resources(seen, ["user_id"], "method", "url", "body", "sent", "event_id").select("user_id", "event_id", "url", "score", "rank")
 
 
@@ -87,11 +93,15 @@ WHERE event_id % 3 = 1 AND event_type <> 'error' AND event_id % 5 IN (0, 1, 4) G
 def auth_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     id = F.col("event_id")
     method, status = F.when(id % 3 == 1, "GET").otherwise("POST"), F.when(F.col("event_type") != "error", 200).otherwise(401)
-    seen = table(spark, sf_dir, "events").select("user_id", "event_id", _pick(PROBES, "event_id").alias("url"), method.alias("method"), status.alias("status"), F.lit("https://e.com").alias("origin"))
+    seen = table(spark, sf_dir, "events").select(
+        "user_id", "event_id", _pick(PROBES, "event_id").alias("url"), method.alias("method"), status.alias("status"),
+        F.lit("https://e.com").alias("origin"),
+    )
     return actions.auth_probe(seen, ["user_id"], "origin", "method", "status", "url", "event_id")
 
 
-@query("""SELECT 'n' || n_nationkey AS id, n_name AS name, 'official' AS kind, n_nationkey::BIGINT AS place FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0)
+@query("""SELECT 'n' || n_nationkey AS id, n_name AS name, 'official' AS kind, n_nationkey::BIGINT AS place FROM nation
+    WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0)
 UNION ALL SELECT 's' || s_suppkey, s_name, 'discovered', NULL FROM supplier""")
 def source_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
@@ -104,12 +114,18 @@ def source_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH n AS (SELECT DISTINCT s_nationkey AS k, 'https://s' || (s_suppkey % 7) || '.com' AS origin, s_suppkey % 5 AS provider FROM supplier),
 j AS (SELECT n_nationkey AS k, origin, coalesce(provider = n_regionkey, FALSE) OR n_nationkey % 4 = 0 AS fits FROM nation LEFT JOIN n ON n.k = n_nationkey)
-SELECT k, array_to_string(list_sort(list_distinct(list_append(coalesce(list(origin) FILTER (fits AND origin IS NOT NULL), []), 'https://a.com'))), ' ') AS origins,
+SELECT k, array_to_string(list_sort(list_distinct(list_append(coalesce(list(origin) FILTER (fits AND origin IS NOT NULL),
+    []), 'https://a.com'))), ' ') AS origins,
   coalesce(string_agg(DISTINCT origin, ' ' ORDER BY origin) FILTER (NOT fits AND origin IS NOT NULL), '') AS unmatched FROM j GROUP BY 1""")
 def document_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.array(F.lit("https://a.com")).alias("origins"), F.col("n_regionkey").cast("long").alias("provider"), (F.col("n_nationkey") % 4 == 0).alias("semantic"))
+    profiles = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("k"), F.array(F.lit("https://a.com")).alias("origins"), F.col("n_regionkey").cast("long").alias("provider"),
+        (F.col("n_nationkey") % 4 == 0).alias("semantic"),
+    )
     origin = F.concat(F.lit("https://s"), (F.col("s_suppkey") % 7).cast("string"), F.lit(".com"))
-    needed = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), origin.alias("origin"), (F.col("s_suppkey") % 5).cast("long").alias("provider"))
+    needed = table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").alias("k"), origin.alias("origin"), (F.col("s_suppkey") % 5).cast("long").alias("provider"),
+    )
     found = actions.extended_origins(profiles, needed, "k", "origins", "provider", "semantic")
     return found.select("k", F.array_join("origins", " ").alias("origins"), F.array_join("unmatched", " ").alias("unmatched"))
 
@@ -119,20 +135,26 @@ def document_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOUND = ["dom-links", "network-json,dom-links", "", "dom-actions", "embedded-json"]
 
 
-@query(f"SELECT event_id, CASE event_id % 5 WHEN 1 THEN TRUE WHEN 4 THEN TRUE WHEN 2 THEN FALSE WHEN 0 THEN event_id % 2 = 0 ELSE event_id % 2 = 0 AND event_id % 3 >= 1 END AS enough, event_id % 7 > 0 AND event_id % 2 = 0 AS strong FROM events")
+@query(
+    f"SELECT event_id, CASE event_id % 5 WHEN 1 THEN TRUE WHEN 4 THEN TRUE WHEN 2 THEN FALSE WHEN 0 THEN event_id % 2 = 0 ELSE event_id % 2 = 0 AND event_id % 3 >= 1 END AS enough, event_id % 7 > 0 AND event_id % 2 = 0 AS strong FROM events"
+)
 def proof_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     id = F.col("event_id")
     adapters = F.filter(F.split(_pick(FOUND, "event_id"), ","), lambda a: a != "")
     scores = F.when(id % 7 > 0, F.array(F.lit(200), F.lit(210), F.when(id % 2 == 0, 400).otherwise(199))).otherwise(F.array(F.lit(300)))
-    return table(spark, sf_dir, "events").select("event_id", exploration.proof_suffices(adapters, id % 2 == 0, id % 3).alias("enough"), exploration.enough_strong(scores).alias("strong"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", exploration.proof_suffices(adapters, id % 2 == 0, id % 3).alias("enough"), exploration.enough_strong(scores).alias("strong"),
+    )
 
 
 MODES = ["fast", "deep", "self_heal", "other"]
 
 
 @query(f"""
-WITH i AS (SELECT event_id, {_list(MODES, 'event_id')} AS mode, event_id % 100 - 5 AS p, event_id % 50 AS l, event_id % 30 AS c, (event_id % 30) * 10000 AS e, event_id % 8 AS s FROM events),
-a AS (SELECT *, greatest(0, least(p, CASE mode WHEN 'fast' THEN 40 WHEN 'deep' THEN 60 ELSE 80 END)) AS pages, greatest(0, least(e, CASE mode WHEN 'fast' THEN 60000 WHEN 'deep' THEN 120000 ELSE 180000 END)) AS elapsed_ms,
+WITH i AS (SELECT event_id, {_list(MODES, 'event_id')} AS mode, event_id % 100 - 5 AS p, event_id % 50 AS l, event_id % 30 AS c,
+    (event_id % 30) * 10000 AS e, event_id % 8 AS s FROM events),
+a AS (SELECT *, greatest(0, least(p, CASE mode WHEN 'fast' THEN 40 WHEN 'deep' THEN 60 ELSE 80 END)) AS pages, greatest(0, least(e, CASE mode
+    WHEN 'fast' THEN 60000 WHEN 'deep' THEN 120000 ELSE 180000 END)) AS elapsed_ms,
   greatest(0, least(s, CASE mode WHEN 'self_heal' THEN 5 ELSE 1 END)) AS slices FROM i WHERE mode <> 'other'),
 b AS (SELECT *, least(l, pages) AS linked, least(c, pages - least(l, pages)) AS common FROM a)
 SELECT event_id, pages, linked, common, elapsed_ms, slices, pages = p AND linked = l AND common = c AND elapsed_ms = e AND slices = s AS valid FROM b""")
@@ -149,30 +171,43 @@ def frontier_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = lambda route, source, hint: F.struct(F.lit("k").alias("key"), route.alias("route"), source.alias("source"), hint.alias("hint"))
     one = target(F.when(id % 3 > 0, "/billing"), F.when(id % 5 == 2, "common_route").otherwise("link"), nothing)
     frontier = F.array(one, target(F.lit("/x"), F.lit("link"), F.lit("common_fallback")), target(F.lit("/y"), nothing, nothing))
-    return table(spark, sf_dir, "events").select("event_id", exploration.continued_mode(_pick(MODES, "event_id"), frontier).alias("mode"), F.size(exploration.resumable(frontier)).alias("left"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", exploration.continued_mode(_pick(MODES, "event_id"), frontier).alias("mode"),
+        F.size(exploration.resumable(frontier)).alias("left"),
+    )
 
 
-STAGES, MOVES = ["scanning", "preview", "confirming", "complete", "failed", "awaiting_permission"], ["begin", "scan", "preview", "connect", "restore", "complete", "fail", "continue", "clear", "checkpoint", "other"]
+STAGES, MOVES = ["scanning", "preview", "confirming", "complete", "failed", "awaiting_permission"], [
+    "begin", "scan", "preview", "connect", "restore", "complete", "fail", "continue", "clear", "checkpoint", "other",
+]
 _OPEN = [
-    ("scan", "awaiting_permission", "scanning"), ("scan", "scanning", "scanning"), ("checkpoint", "scanning", "scanning"), ("preview", "scanning", "preview"), ("connect", "preview", "confirming"),
+    (
+        "scan", "awaiting_permission", "scanning",
+    ), ("scan", "scanning", "scanning"), ("checkpoint", "scanning", "scanning"), ("preview", "scanning", "preview"), ("connect", "preview", "confirming"),
     ("restore", "confirming", "preview"), ("complete", "confirming", "complete"), ("fail", "scanning", "failed"), ("fail", "confirming", "failed"), ("continue", "failed", "scanning"),
 ]
 
 
 @query(f"""
-WITH i AS (SELECT event_id, {_list(STAGES, 'event_id')} AS stage, {_list(MOVES, 'event_id')} AS move, epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(ts) AS age FROM events),
+WITH i AS (SELECT event_id, {_list(STAGES, 'event_id')} AS stage, {_list(MOVES, 'event_id')} AS move,
+    epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(ts) AS age FROM events),
 m(move, stage, target) AS (VALUES {', '.join(f"('{a}', '{b}', '{c}')" for a, b, c in _OPEN)})
-SELECT i.event_id, CASE WHEN age > (CASE i.stage WHEN 'complete' THEN 45 WHEN 'failed' THEN 86400 ELSE 900 END) * 1000000::BIGINT THEN 'idle' ELSE i.stage END AS now,
-  CASE WHEN i.move = 'begin' THEN 'awaiting_permission' WHEN i.move = 'clear' THEN 'idle' WHEN m.move IN ('scan') OR (m.move = 'continue' AND event_id % 2 = 0) OR (m.move <> 'continue' AND event_id % 5 > 0) THEN m.target END AS after
+SELECT i.event_id, CASE WHEN age > (CASE i.stage WHEN 'complete' THEN 45 WHEN 'failed' THEN 86400 ELSE 900 END) * 1000000::BIGINT THEN 'idle'
+    ELSE i.stage END AS now,
+  CASE WHEN i.move = 'begin' THEN 'awaiting_permission' WHEN i.move = 'clear' THEN 'idle' WHEN m.move IN ('scan') OR (m.move = 'continue'
+      AND event_id % 2 = 0) OR (m.move <> 'continue' AND event_id % 5 > 0) THEN m.target END AS after
 FROM i LEFT JOIN m ON m.move = i.move AND m.stage = i.stage""")
 def search_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage, id = _pick(STAGES, "event_id"), F.col("event_id")
     now = exploration.state_at(stage, F.col("ts"), F.lit("2024-02-01 00:00:00").cast("timestamp"))
-    return table(spark, sf_dir, "events").select("event_id", now.alias("now"), exploration.moved(stage, _pick(MOVES, "event_id"), id % 5 > 0, id % 2 == 0).alias("after"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", now.alias("now"), exploration.moved(stage, _pick(MOVES, "event_id"), id % 5 > 0, id % 2 == 0).alias("after"),
+    )
 
 
 @query("""
-WITH i AS (SELECT event_id, event_id % 5 = 0 AS off, CASE WHEN event_id % 3 > 0 THEN ts + to_minutes(event_id % 7 - 3) END AS next_at, CASE WHEN event_id % 4 < 2 THEN ts + to_minutes(event_id % 11 - 5) END AS lease,
+WITH i AS (SELECT event_id, event_id % 5 = 0 AS off, CASE WHEN event_id % 3 > 0 THEN ts + to_minutes(event_id % 7 - 3) END AS next_at, CASE
+    WHEN event_id % 4 < 2 THEN ts + to_minutes(event_id % 11 - 5) END AS lease,
   event_id % 2 = 0 AS whole, event_id % 13 = 0 AS retry, ts FROM events),
 d AS (SELECT *, coalesce(lease <= ts, FALSE) AS expired FROM i),
 w AS (SELECT *, (expired AND whole) OR next_at IS NULL OR next_at <= ts AS due, lease IS NOT NULL AND NOT expired AS held FROM d),
@@ -186,9 +221,15 @@ def schedule_wakes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STORED = [
-    ("filesystem", " Bills/2024 ", "invoice", None, None, None, "filesystem"), ("filesystem", "..", "invoice", None, None, None, "unavailable:invalid_stored_destination"),
-    ("filesystem", "a", "never", None, None, None, "unavailable:invalid_stored_destination"), ("company", None, None, "c1", "Acme", None, "company"), ("company", None, None, "c1", " ", None, "unavailable:invalid_stored_destination"),
-    ("unavailable", None, None, None, None, "connection_expired", "unavailable:connection_expired"), ("ftp", None, None, None, None, None, "unavailable:invalid_stored_destination"),
+    ("filesystem", " Bills/2024 ", "invoice", None, None, None, "filesystem"), (
+        "filesystem", "..", "invoice", None, None, None, "unavailable:invalid_stored_destination",
+    ),
+    (
+        "filesystem", "a", "never", None, None, None, "unavailable:invalid_stored_destination",
+    ), ("company", None, None, "c1", "Acme", None, "company"), ("company", None, None, "c1", " ", None, "unavailable:invalid_stored_destination"),
+    (
+        "unavailable", None, None, None, None, "connection_expired", "unavailable:connection_expired",
+    ), ("ftp", None, None, None, None, None, "unavailable:invalid_stored_destination"),
 ]
 
 
@@ -214,7 +255,9 @@ NESTED = '{"data":{"items":[{"invoice_pdf":"/i/%.pdf","note":"x"},{"invoicePdf":
 
 
 @query("""
-WITH s AS (SELECT unnest([0, 1, 3, 4, 6]) AS place, unnest(['.pdf-url', '.pdfurl', '.data.download_url', '.data.items.invoice_pdf', '.data.items.invoicePdf']) AS path, unnest(['/p', '/q', '/d/%', '/i/%.pdf', '/j']) AS text)
+WITH s AS (SELECT unnest([0, 1, 3, 4, 6]) AS place,
+    unnest(['.pdf-url', '.pdfurl', '.data.download_url', '.data.items.invoice_pdf', '.data.items.invoicePdf']) AS path,
+    unnest(['/p', '/q', '/d/%', '/i/%.pdf', '/j']) AS text)
 SELECT o_orderkey, place, path, replace(text, '%', o_orderkey::VARCHAR) AS text FROM orders, s""")
 def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.document_fields(table(spark, sf_dir, "orders").select("o_orderkey", _with_key(NESTED, "o_orderkey").alias("body")), "body")
@@ -235,13 +278,18 @@ def structured_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SITES = """
-WITH p AS (SELECT page_id, page_id % 50 AS site, html || '<a href="/invoice/' || (page_id % 120) || '">' || '<a href="/files/' || page_id || '.pdf">' AS html FROM pages WHERE html IS NOT NULL),
-l AS (SELECT site, page_id, unnest(regexp_extract_all(html, '(?i)\\bhref="([^"]+)"', 1)) AS link, generate_subscripts(regexp_extract_all(html, '(?i)\\bhref="([^"]+)"', 1), 1) AS pos FROM p)"""
+WITH p AS (SELECT page_id, page_id % 50 AS site,
+    html || '<a href="/invoice/' || (page_id % 120) || '">' || '<a href="/files/' || page_id || '.pdf">' AS html FROM pages WHERE html IS NOT NULL),
+l AS (SELECT site, page_id, unnest(regexp_extract_all(html, '(?i)\\bhref="([^"]+)"', 1)) AS link,
+    generate_subscripts(regexp_extract_all(html, '(?i)\\bhref="([^"]+)"', 1), 1) AS pos FROM p)"""
 
 
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with two links to documents more, dealt over 50 sites."""
-    more = F.concat("html", F.lit('<a href="/invoice/'), (F.col("page_id") % 120).cast("string"), F.lit('"><a href="/files/'), F.col("page_id").cast("string"), F.lit('.pdf">'))
+    more = F.concat(
+        "html", F.lit('<a href="/invoice/'), (F.col("page_id") % 120).cast("string"), F.lit('"><a href="/files/'), F.col("page_id").cast("string"),
+        F.lit('.pdf">'),
+    )
     return table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", (F.col("page_id") % 50).alias("site"), more.alias("html"))
 
 
@@ -256,12 +304,15 @@ def document_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SITES + """,
 t AS (SELECT site, token, learned, min(t) AS t FROM (SELECT site, '/files/' AS token, TRUE AS learned, page_id AS t FROM p WHERE site % 3 = 0
   UNION ALL SELECT site, unnest(['receipt', 'invoice', 'billing', 'download', '.pdf']), FALSE, unnest([0, 1, 2, 3, 4]) FROM p) GROUP BY 1, 2, 3),
-c AS (SELECT l.site, page_id AS page, token, learned, t, count(DISTINCT link) AS n_links FROM l JOIN t ON t.site = l.site AND contains(link, token) GROUP BY ALL),
+c AS (SELECT l.site, page_id AS page, token, learned, t, count(DISTINCT link) AS n_links FROM l JOIN t ON t.site = l.site AND contains(link, token)
+    GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY NOT learned, n_links DESC, page, t) AS k FROM c)
 SELECT site, page, token, learned, n_links FROM r WHERE k = 1""")
 def link_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _sites(spark, sf_dir)
-    pdfs = pages.where("site % 3 = 0").select("site", "page_id", F.concat(F.lit("https://e.com/files/"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("url"))
+    pdfs = pages.where("site % 3 = 0").select(
+        "site", "page_id", F.concat(F.lit("https://e.com/files/"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("url"),
+    )
     return walks.best_link_token(pages, pdfs, ["site"], "html", "page_id")
 
 
@@ -279,7 +330,9 @@ NO_PEOPLE = (
 def redacted_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies with people, payments and tokens; each ninth is no JSON."""
     body = F.replace(_with_key(PEOPLE, "c_custkey"), F.lit("!"), F.lit("@"))
-    return walks.fixture(table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 9 > 0, body).otherwise("{oops").alias("body")), "body")
+    return walks.fixture(
+        table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 9 > 0, body).otherwise("{oops").alias("body")), "body",
+    )
 
 
 SECRETS = '{"access_token":"t","data":{"accessToken":"u","customer":{"id":%}},"list":[{"v":"Bearer abcdefghij"},{"v":"plain"}],"iban":["x"],"a b":{"otp":1}}'

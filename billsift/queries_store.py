@@ -17,13 +17,18 @@ from .sources import scans, sinks
 
 @query("""
 WITH a AS (SELECT o_custkey, 'k' || (o_orderkey % 12) AS key, 'd' || (o_orderkey % 2) AS d, 's' || (o_orderkey % 5 // 4) AS s, o_orderkey AS t FROM orders),
-one AS (SELECT o_custkey, key, arg_min(d, (t, d)) AS d, arg_min(s, (t, d)) AS s, min(t) AS t FROM a WHERE t % 2 = 0 GROUP BY 1, 2), two AS (SELECT o_custkey, key, arg_min(d, (t, d)) AS d, arg_min(s, (t, d)) AS s, min(t) AS t FROM a WHERE t % 2 = 1 OR t % 3 = 0 GROUP BY 1, 2)
-SELECT two.o_custkey::VARCHAR AS owner, two.key AS identity, NOT coalesce(one.d = two.d AND one.s <> two.s, false) AS accepted, coalesce(one.d = two.d AND one.s = two.s, false) AS deduped, CASE WHEN one.d = two.d AND one.s <> two.s THEN 'supplier' END AS why FROM two LEFT JOIN one USING (o_custkey, key)""")
+one AS (SELECT o_custkey, key, arg_min(d, (t, d)) AS d, arg_min(s, (t, d)) AS s, min(t) AS t FROM a WHERE t % 2 = 0 GROUP BY 1, 2),
+    two AS (SELECT o_custkey, key, arg_min(d, (t, d)) AS d, arg_min(s, (t, d)) AS s, min(t) AS t FROM a WHERE t % 2 = 1 OR t % 3 = 0 GROUP BY 1, 2)
+SELECT two.o_custkey::VARCHAR AS owner, two.key AS identity, NOT coalesce(one.d = two.d AND one.s <> two.s, false) AS accepted, coalesce(one.d = two.d
+    AND one.s = two.s, false) AS deduped, CASE WHEN one.d = two.d AND one.s <> two.s THEN 'supplier' END AS why FROM two LEFT
+    JOIN one USING (o_custkey, key)""")
 def delivery_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders delivered in two batches of a new sink in the shared folder: receipts of the second, after the first and a lost try of the second."""
     key = F.col("o_orderkey")
     docs = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").cast("string").alias("owner"), text("k", key % 12).alias("key"), text("s", F.floor(key % 5 / 4)).alias("source"), text("d", key % 2).alias("destination"), text("d", key % 2, "/", F.lpad(key.cast("string"), 9, "0")).alias("path"), key.alias("updated"), "o_totalprice",
+        F.col("o_custkey").cast("string").alias("owner"), text("k", key % 12).alias("key"), text("s", F.floor(key % 5 / 4)).alias("source"), text("d", key % 2).alias("destination"), text(
+            "d", key % 2, "/", F.lpad(key.cast("string"), 9, "0"),
+        ).alias("path"), key.alias("updated"), "o_totalprice",
     )
     root = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
     sinks.deliver(docs.where("updated % 2 = 0"), root, 1)
@@ -33,7 +38,8 @@ def delivery_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT user_id, event_id, event_type = 'signup' AS held, row_number() OVER (PARTITION BY user_id, event_type = 'signup' ORDER BY ts DESC, event_id DESC) AS k FROM events)
+WITH e AS (SELECT user_id, event_id, event_type = 'signup' AS held, row_number() OVER (PARTITION BY user_id, event_type = 'signup' ORDER BY ts DESC,
+    event_id DESC) AS k FROM events)
 SELECT user_id, event_id, held FROM e WHERE held OR k <= 20""")
 def seen_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's 20 latest keys; reservations are not counted and stay."""
@@ -43,7 +49,9 @@ def seen_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate::DATE END AS d, o_orderdate + INTERVAL 36 HOUR AS c FROM orders)
-SELECT o_orderkey, CASE WHEN d IS NOT NULL THEN d BETWEEN DATE '1998-05-16' AND DATE '1998-06-15' ELSE c BETWEEN TIMESTAMP '1998-05-16' AND TIMESTAMP '1998-06-15 12:00:00' END AS last_30d, CASE WHEN d IS NOT NULL THEN d BETWEEN DATE '1998-01-01' AND DATE '1998-06-15' ELSE c BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-06-15 12:00:00' END AS this_year FROM o""")
+SELECT o_orderkey, CASE WHEN d IS NOT NULL THEN d BETWEEN DATE '1998-05-16' AND DATE '1998-06-15' ELSE c BETWEEN TIMESTAMP '1998-05-16'
+    AND TIMESTAMP '1998-06-15 12:00:00' END AS last_30d, CASE WHEN d IS NOT NULL THEN d BETWEEN DATE '1998-01-01' AND DATE '1998-06-15'
+    ELSE c BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-06-15 12:00:00' END AS this_year FROM o""")
 def ledger_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the orders has no date, so when they were collected counts."""
     day = F.when(F.col("o_orderkey") % 3 > 0, F.to_date("o_orderdate"))
@@ -54,17 +62,23 @@ def ledger_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate::DATE END AS d, TIMESTAMP '2024-01-01' + to_minutes(o_orderkey) AS c FROM orders),
+WITH e AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate::DATE END AS d,
+    TIMESTAMP '2024-01-01' + to_minutes(o_orderkey) AS c FROM orders),
 g AS (SELECT o_custkey, row_number() OVER (ORDER BY max(c) DESC) AS group_place FROM e GROUP BY 1)
-SELECT o_orderkey, group_place, row_number() OVER (PARTITION BY e.o_custkey ORDER BY coalesce(d::TIMESTAMP, c) DESC, c DESC) AS place FROM e JOIN g USING (o_custkey)""")
+SELECT o_orderkey, group_place, row_number() OVER (PARTITION BY e.o_custkey ORDER BY coalesce(d::TIMESTAMP, c) DESC, c DESC) AS place FROM e
+    JOIN g USING (o_custkey)""")
 def ledger_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", text("c", F.col("o_custkey")).alias("name"), F.when(key % 4 > 0, F.to_date("o_orderdate")).alias("issued"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=key.cast("int"))).alias("collected"))
+    rows = table(spark, sf_dir, "orders").select(
+        "o_custkey", "o_orderkey", text("c", F.col("o_custkey")).alias("name"), F.when(key % 4 > 0, F.to_date("o_orderdate")).alias("issued"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=key.cast("int"))).alias("collected"),
+    )
     return ledger.supplier_groups(rows, "o_custkey", "name", "collected", "issued").select("o_orderkey", "group_place", "place")
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN k < 8 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'on ' || o_orderkey END AS day FROM (SELECT *, o_orderkey % 9 AS k FROM orders)""")
+SELECT o_orderkey, CASE WHEN k < 8 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'on ' || o_orderkey END AS day FROM (SELECT *, o_orderkey % 9 AS k
+    FROM orders)""")
 def dates_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates as bodies have them: ISO with and without a time, with slashes, with a month's name, as a mail's header; and what is none."""
     forms = ("yyyy-MM-dd", "yyyy-MM-dd'T10:00:00Z'", "yyyy/MM/dd", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "EEE, d MMM yyyy '10:00:00 GMT'")
@@ -74,36 +88,57 @@ def dates_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS o, html FROM pages)
-SELECT page_id, [o || '/c/' || page_id || '?x=../y', o || '/', o || '/a/d#./e', o || '/a/' || page_id || '/', o || '/f', 'https://z.example.com/g'][page_id % 6 + 1] AS url FROM p""")
+SELECT page_id, [o || '/c/' || page_id || '?x=../y', o || '/', o || '/a/d#./e', o || '/a/' || page_id || '/',
+    o || '/f', 'https://z.example.com/g'][page_id % 6 + 1] AS url FROM p""")
 def absolute_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links with dot segments, from a page two folders down."""
     id = F.col("page_id")
-    link = by(id, text("../../c/./", id, "?x=../y"), text("/../.."), text("../d#./e"), text("../", id, "/x/.."), text("/b/%2E%2e/f"), text("//z.example.com/h/../g"))
+    link = by(
+        id, text("../../c/./", id, "?x=../y"), text("/../.."), text("../d#./e"), text("../", id, "/x/.."), text("/b/%2E%2e/f"),
+        text("//z.example.com/h/../g"),
+    )
     origin = F.lower(F.regexp_extract("url", "^(https?://[^/?#]+)", 1))
     shown = scans.absolute(link, text(origin, "/a/b/page?q=1"))
     return table(spark, sf_dir, "pages").select("page_id", F.when(id % 6 == 5, F.regexp_replace(shown, "^http:", "https:")).otherwise(shown).alias("url"))
 
 
 @query("""
-WITH t AS (SELECT page_id, nullif(substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), 1, 160), '') AS title, url FROM pages WHERE html IS NOT NULL)
-SELECT page_id, title, CASE WHEN page_id % 3 = 0 THEN 'App ' || page_id END AS application, CASE WHEN page_id % 2 = 0 THEN substr(repeat(url, 20), 1, 160) END AS site FROM t""")
+WITH t AS (SELECT page_id, nullif(substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), 1,
+    160), '') AS title, url FROM pages WHERE html IS NOT NULL)
+SELECT page_id, title, CASE WHEN page_id % 3 = 0 THEN 'App ' || page_id END AS application, CASE WHEN page_id % 2 = 0 THEN substr(repeat(url, 20), 1,
+    160) END AS site FROM t""")
 def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose heads were given names of their own."""
     id = F.col("page_id")
-    head = F.concat(F.when(id % 3 == 0, text("<meta content='App ", id, "' name=\"application-name\">")).otherwise("<meta name=\"application-names\" content=\"x\">"), F.when(id % 2 == 0, text('<META property="og:site_name" content="', F.repeat("url", F.lit(20)), '"/>')).otherwise('<meta property="og:title" content="y">'))
+    head = F.concat(
+        F.when(id % 3 == 0, text("<meta content='App ", id, "' name=\"application-name\">")).otherwise("<meta name=\"application-names\" content=\"x\">"),
+        F.when(
+            id % 2 == 0, text('<META property="og:site_name" content="', F.repeat("url", F.lit(20)), '"/>'),
+        ).otherwise('<meta property="og:title" content="y">'),
+    )
     pages = table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.concat("html", head).alias("html"))
     return pages.select("page_id", scans.page_names(F.col("html")).alias("n")).select("page_id", "n.*")
 
 
 @query("""
-SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INTEGER - 1 AS pos, 'o' || o_orderkey AS id, round(o_totalprice * 100)::BIGINT::VARCHAR AS total FROM orders WHERE o_custkey % 4 > 0""")
+SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INTEGER - 1 AS pos, 'o' || o_orderkey AS id,
+    round(o_totalprice * 100)::BIGINT::VARCHAR AS total FROM orders WHERE o_custkey % 4 > 0""")
 def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of orders in JSON bodies; a fourth of the bodies is broken or has no list."""
-    item = F.struct(text("o", F.col("o_orderkey")).alias("id"), F.round(F.col("o_totalprice") * 100).cast("long").alias("total"), F.col("o_orderkey").alias("n"))
-    listed = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), item.alias("item")))), lambda x: x["item"]).alias("items"))
-    body = F.when(F.col("o_custkey") % 4 > 0, text('{"data":{"0":{"rows":', F.to_json("items"), "}}}")).when(F.col("o_custkey") % 8 == 0, text('{"data":{"0":{"rows":', F.to_json("items"))).otherwise('{"data":{"0":{"rows":{}}}}')
+    item = F.struct(
+        text("o", F.col("o_orderkey")).alias("id"), F.round(F.col("o_totalprice") * 100).cast("long").alias("total"), F.col("o_orderkey").alias("n"),
+    )
+    listed = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), item.alias("item")))), lambda x: x["item"]).alias("items")
+    )
+    body = F.when(
+        F.col("o_custkey") % 4 > 0, text('{"data":{"0":{"rows":', F.to_json("items"), "}}}"),
+    ).when(F.col("o_custkey") % 8 == 0, text('{"data":{"0":{"rows":', F.to_json("items"))).otherwise('{"data":{"0":{"rows":{}}}}')
     found = scans.json_items(listed.select("o_custkey", body.alias("body")), "body", "data.0.rows")
-    return found.select(scans.at_path(F.col("item"), "n", "bigint").alias("o_orderkey"), "pos", scans.at_path(F.col("item"), "id").alias("id"), scans.at_path(F.col("item"), "total").alias("total"))
+    return found.select(
+        scans.at_path(F.col("item"), "n", "bigint").alias("o_orderkey"), "pos", scans.at_path(F.col("item"), "id").alias("id"),
+        scans.at_path(F.col("item"), "total").alias("total"),
+    )
 
 
 @query("""

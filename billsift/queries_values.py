@@ -41,7 +41,10 @@ SELECT o_orderkey, CASE WHEN year(d) BETWEEN 2000 AND 2100 AND (kind NOT IN (1,
 def displayed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates of orders as pages show them: one form of each order; day and month can't be told apart up to the 12th."""
     day = F.date_add(F.col("o_orderdate").cast("date"), 3650)
-    shown = by(F.col("o_orderkey"), *[F.date_format(day, f) for f in ("yyyy-MM-dd", "d.M.yyyy", "M/d/yyyy", "MMMM d, yyyy", "d MMM yyyy", "'due 'yyyy/M/d' now'")])
+    shown = by(
+        F.col("o_orderkey"),
+        *[F.date_format(day, f) for f in ("yyyy-MM-dd", "d.M.yyyy", "M/d/yyyy", "MMMM d, yyyy", "d MMM yyyy", "'due 'yyyy/M/d' now'")],
+    )
     return table(spark, sf_dir, "orders").select("o_orderkey", values.displayed_date(shown).alias("day"))
 
 
@@ -54,14 +57,23 @@ def displayed_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of orders as pages show them; one separator before three digits leaves an amount open."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     whole, rest = F.floor(cents / 100), F.lpad((cents % 100).cast("string"), 2, "0")
-    shown = by(F.col("o_orderkey"), text("$", F.format_number(whole, 0), ".", rest), text(F.translate(F.format_number(whole, 0), ",", "."), ",", rest, " EUR"), text("£", whole, ".", F.left(rest, F.lit(1))), F.format_number(whole, 0), text("about ", whole))
+    shown = by(
+        F.col("o_orderkey"), text("$", F.format_number(whole, 0), ".", rest),
+        text(F.translate(F.format_number(whole, 0), ",", "."), ",", rest, " EUR"), text("£", whole, ".", F.left(rest, F.lit(1))),
+        F.format_number(whole, 0), text("about ", whole),
+    )
     return table(spark, sf_dir, "orders").select("o_orderkey", values.displayed_amount(shown).alias("amount"), values.currency_of(shown).alias("currency"))
 
 
-@query("""SELECT event_id, least(greatest(CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN user_id WHEN 2 THEN epoch(date_trunc('second', ts))::BIGINT - 1705276800 ELSE 30 END, 0), 86400)::BIGINT AS wait FROM events""")
+@query(
+    """SELECT event_id, least(greatest(CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN user_id WHEN 2 THEN epoch(date_trunc('second', ts))::BIGINT - 1705276800 ELSE 30 END, 0), 86400)::BIGINT AS wait FROM events"""
+)
 def retry_after_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers with seconds, times of events, and words, read at noon of the month's middle."""
-    header = by(F.col("event_id"), text(F.col("event_id")), text(" ", F.col("user_id"), " "), F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.col("event_type"))
+    header = by(
+        F.col("event_id"), text(F.col("event_id")), text(" ", F.col("user_id"), " "), F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"),
+        F.col("event_type"),
+    )
     return table(spark, sf_dir, "events").select("event_id", values.retry_after(header, F.lit(1705276800).cast("long")).alias("wait"))
 
 
@@ -73,16 +85,26 @@ SELECT page_id, CASE kind WHEN 0 THEN o || '/d/inv_' || i || '?a=' || i || '&b=2
 def document_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the pages' hosts, with volatile and lasting query keys."""
     i = F.col("page_id")
-    path = by(i, text("/d/inv_", i, ".pdf?x-amz-date=", i, "&b=2&a=", i, "#top"), text("/download?token=t&id=", i), text("/download?token=", i), text("/i/acct_", i, "/inv_", i, "?s=db"), text("/file?Expires=1&Signature=", i), text("/x/INV-", i, "/pdf"))
+    path = by(
+        i, text("/d/inv_", i, ".pdf?x-amz-date=", i, "&b=2&a=", i, "#top"), text("/download?token=t&id=", i), text("/download?token=", i),
+        text("/i/acct_", i, "/inv_", i, "?s=db"), text("/file?Expires=1&Signature=", i), text("/x/INV-", i, "/pdf"),
+    )
     docs = _pages(spark, sf_dir).select("page_id", text("https://", F.col("host"), path).alias("u"))
     url = F.col("u")
-    return docs.select("page_id", urls.canonical_document_url(url).alias("canonical"), urls.provider_document(url).alias("hosted"), urls.stability_score(url).cast("int").alias("stable"), policy.id_from_href(url).alias("id"))
+    return docs.select(
+        "page_id", urls.canonical_document_url(url).alias("canonical"), urls.provider_document(url).alias("hosted"),
+        urls.stability_score(url).cast("int").alias("stable"), policy.id_from_href(url).alias("id"),
+    )
 
 
 @query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN url || 'n' WHEN 2 THEN url END AS target FROM pages")
 def next_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
-    header = by(F.col("page_id"), text("<", url, '>; rel="next"'), text("<", url, '>; rel="prev", <', url, 'n>; rel="last next"'), text("<", url, ">; rel=next; title=x"), text("<", url, '>; rel="nextish"'), text(""), text("<", url, '>;rel="first"', F.repeat(F.lit(" "), F.lit(5000))))
+    header = by(
+        F.col("page_id"), text("<", url, '>; rel="next"'), text("<", url, '>; rel="prev", <', url, 'n>; rel="last next"'),
+        text("<", url, ">; rel=next; title=x"), text("<", url, '>; rel="nextish"'), text(""),
+        text("<", url, '>;rel="first"', F.repeat(F.lit(" "), F.lit(5000))),
+    )
     return table(spark, sf_dir, "pages").select("page_id", urls.next_in_link_header(header).alias("target"))
 
 
@@ -90,7 +112,10 @@ def next_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_PAGES} SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://' || host || '/list?page=' || page_id WHEN 1 THEN CASE WHEN url LIKE 'https:%' THEN regexp_replace(url, '#.*$', '') END WHEN 2 THEN 'https://' || host || '/v1/items?cursor=' || page_id WHEN 3 THEN 'https://' || host || '/v1/next/' || page_id END AS url FROM p""")
 def same_origin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     id, host = F.col("page_id"), F.col("host")
-    link = by(id, text("/list?page=", id), F.col("url"), text("?cursor=", id, "#x"), text("next/", id), text("//other.example.com/", id), text("https://me@", host, "/a"))
+    link = by(
+        id, text("/list?page=", id), F.col("url"), text("?cursor=", id, "#x"), text("next/", id), text("//other.example.com/", id),
+        text("https://me@", host, "/a"),
+    )
     return _pages(spark, sf_dir).select("page_id", recipe.same_origin(link, text("https://", host, "/v1/items?limit=5")).alias("url"))
 
 
@@ -98,7 +123,10 @@ def same_origin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH f AS (SELECT event_id, [(user_id % 3)::VARCHAR, upper((event_type = 'click')::VARCHAR), ' ' || CASE WHEN user_id % 2 = 0 THEN 'no' ELSE 'Off' END || ' ', event_type, ''][event_id % 5 + 1] AS f FROM events)
 SELECT event_id, lower(trim(f)) NOT IN ('', 'false', 'no', '0', 'null', 'off') AS more FROM f""")
 def continuation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag = by(F.col("event_id"), text(F.col("user_id") % 3), F.upper((F.col("event_type") == "click").cast("string")), text(" ", F.when(F.col("user_id") % 2 == 0, "no").otherwise("Off"), " "), F.col("event_type"), text(""))
+    flag = by(
+        F.col("event_id"), text(F.col("user_id") % 3), F.upper((F.col("event_type") == "click").cast("string")),
+        text(" ", F.when(F.col("user_id") % 2 == 0, "no").otherwise("Off"), " "), F.col("event_type"), text(""),
+    )
     return table(spark, sf_dir, "events").select("event_id", transforms.truthy(flag).alias("more"))
 
 
@@ -111,7 +139,11 @@ def save_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, ['other', 'text', 'image', 'json', 'pdf', 'html', 'missing', 'binary'][p_partkey % 8 + 1] AS class FROM part")
 def content_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, name = F.lower("p_type"), F.col("p_name")
-    told = by(F.col("p_partkey"), text("application/", kind), text(" TEXT/", kind, "; charset=", name), text("image/", F.col("p_brand")), text("application/", kind, "+JSON"), text("Application/PDF ;", name), text("text/html;", name), text(" ;", name), text("application/octet-stream;", name))
+    told = by(
+        F.col("p_partkey"), text("application/", kind), text(" TEXT/", kind, "; charset=", name), text("image/", F.col("p_brand")),
+        text("application/", kind, "+JSON"), text("Application/PDF ;", name), text("text/html;", name), text(" ;", name),
+        text("application/octet-stream;", name),
+    )
     return table(spark, sf_dir, "part").select("p_partkey", policy.content_class(told).alias("class"))
 
 
@@ -121,7 +153,10 @@ SELECT doc_id, CASE WHEN w = '' AND doc_id % 4 IN (1, 2) THEN CASE doc_id % 4 WH
 def disposition_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names of the first words of documents, which have accents: encoded, quoted with a folder, bare, or none."""
     word = F.regexp_extract("text", r"\p{L}+", 0)
-    header = by(F.col("doc_id"), text("attachment; filename*=UTF-8''", F.url_encode(word), "%20+.pdf; filename=c.pdf"), text('attachment; filename="x/', word, '.pdf"'), text("inline; filename=a\\", word, " "), text("attachment; name=", word))
+    header = by(
+        F.col("doc_id"), text("attachment; filename*=UTF-8''", F.url_encode(word), "%20+.pdf; filename=c.pdf"),
+        text('attachment; filename="x/', word, '.pdf"'), text("inline; filename=a\\", word, " "), text("attachment; name=", word),
+    )
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", policy.disposition_filename(header).alias("name"))
 
 
@@ -131,8 +166,14 @@ k AS (SELECT *, lower(regexp_replace(regexp_replace(n, '([a-z0-9])([A-Z])', '\\1
 SELECT p_partkey, key, regexp_matches(key, '{policy.SECRET_KEY}') OR regexp_matches(key, '{policy.SECRET_NAME}') AS secret, regexp_matches(key, '{policy.TENANT_NAME}') AS tenant FROM k""")
 def policy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
-    name = by(F.col("p_partkey"), text(F.lower("p_type"), "Token"), F.col("p_name"), text(F.col("p_brand"), "-api-key"), text("Team", F.when(size % 2 == 0, " Id").otherwise("Ids")), text(F.col("p_type"), " session ", size), text("secret", size), text("customers_id"))
-    return table(spark, sf_dir, "part").select("p_partkey", policy.policy_key(name).alias("key"), policy.is_secret_name(name).alias("secret"), policy.is_tenant_name(name).alias("tenant"))
+    name = by(
+        F.col("p_partkey"), text(F.lower("p_type"), "Token"), F.col("p_name"), text(F.col("p_brand"), "-api-key"),
+        text("Team", F.when(size % 2 == 0, " Id").otherwise("Ids")), text(F.col("p_type"), " session ", size), text("secret", size),
+        text("customers_id"),
+    )
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", policy.policy_key(name).alias("key"), policy.is_secret_name(name).alias("secret"), policy.is_tenant_name(name).alias("tenant"),
+    )
 
 
 @query("""
@@ -141,18 +182,26 @@ SELECT c_custkey, k <> 'access_token' AND (contains(v, '{') OR (k = 'team_id' AN
 def query_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, name = F.col("c_custkey"), F.col("c_name")
     keys = by(key, *map(F.lit, ("page", "access_token", "team_id", "q", "range", "op")))
-    given = by(key, text(key), name, text(9_999_500 + key), F.replace(name, F.lit("#"), F.lit(" ")), text("{", F.lower("c_mktsegment"), "}"), F.replace(name, F.lit("#"), F.lit("-")))
+    given = by(
+        key, text(key), name, text(9_999_500 + key), F.replace(name, F.lit("#"), F.lit(" ")), text("{", F.lower("c_mktsegment"), "}"),
+        F.replace(name, F.lit("#"), F.lit("-")),
+    )
     return table(spark, sf_dir, "customer").select("c_custkey", policy.is_query_value(keys, given).alias("kept"))
 
 
 @query("SELECT page_id, page_id % 6 IN (0, 5) AS exact FROM pages")
 def origin_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     id, host = F.col("page_id"), F.col("host")
-    told = by(id, text("https://", host, "/*"), text("http://", host, "/*"), text("https://", host), text("https://*.", host, "/*"), text("https://10.", id % 256, ".0.1/*"), text("https://8.8.", id % 256, ".8:443/*"))
+    told = by(
+        id, text("https://", host, "/*"), text("http://", host, "/*"), text("https://", host), text("https://*.", host, "/*"),
+        text("https://10.", id % 256, ".0.1/*"), text("https://8.8.", id % 256, ".8:443/*"),
+    )
     return _pages(spark, sf_dir).select("page_id", policy.is_origin_pattern(told).alias("exact"))
 
 
-@query("SELECT page_id, CASE page_id % 6 WHEN 1 THEN 'session_expired' WHEN 2 THEN 'session_expired' WHEN 3 THEN 'blocked_or_challenged' WHEN 4 THEN 'blocked_or_challenged' END AS outcome FROM pages")
+@query(
+    "SELECT page_id, CASE page_id % 6 WHEN 1 THEN 'session_expired' WHEN 2 THEN 'session_expired' WHEN 3 THEN 'blocked_or_challenged' WHEN 4 THEN 'blocked_or_challenged' END AS outcome FROM pages"
+)
 def redirect_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each page's address to itself, to its host's login, to another page of it, to nothing, and to itself with a slash and a hash."""
     id, host = F.col("page_id"), F.col("host")
@@ -165,7 +214,9 @@ def redirect_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT event_id, 190 + event_id % 330 AS s, event_type = 'click' AS d FROM events)
 SELECT event_id, CASE WHEN s = 409 AND d THEN 'deduped' WHEN s IN (401, 403) THEN 'unauthorized' WHEN s < 200 OR s > 299 THEN 'failed' WHEN d THEN 'deduped' ELSE 'accepted' END AS outcome FROM s""")
 def sink_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", policy.sink_outcome((190 + F.col("event_id") % 330).cast("int"), F.col("event_type") == "click").alias("outcome"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", policy.sink_outcome((190 + F.col("event_id") % 330).cast("int"), F.col("event_type") == "click").alias("outcome"),
+    )
 
 
 @query("""
@@ -173,7 +224,10 @@ WITH h AS (SELECT event_id, event_type, ['Authorization', 'Cookie', 'X-' || even
 SELECT event_id, CASE WHEN contains(n, ' ') OR lower(n) = event_type THEN NULL WHEN contains(lower(n), 'authorization') AND v LIKE 'Bearer %' THEN 'bearer' WHEN contains(lower(n), 'authorization') AND v LIKE 'basic %' THEN 'basic' ELSE 'custom' END AS scheme FROM h""")
 def header_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
-    name = by(F.col("event_id"), text("Authorization"), text("Cookie"), text("X-", kind), kind, text("My-", kind, "-Key"), text("Bad ", kind), text("proxy-authorization"))
+    name = by(
+        F.col("event_id"), text("Authorization"), text("Cookie"), text("X-", kind), kind, text("My-", kind, "-Key"), text("Bad ", kind),
+        text("proxy-authorization"),
+    )
     value = text(by(F.col("user_id"), text("Bearer "), text("basic "), text("Bearer")), F.col("user_id"))
     return table(spark, sf_dir, "events").select("event_id", policy.header_marker(name, value).alias("scheme"))
 
@@ -185,7 +239,10 @@ SELECT doc_id, CASE WHEN NOT refused THEN nullif(t, '') END AS note, refused AND
 def feedback_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beginnings of documents as notes, some too long, some with addresses, numbers or a secret's name."""
     id = F.col("doc_id")
-    note = F.concat(F.substring("text", F.lit(1), (450 + id % 100).cast("int")), F.when(id % 5 == 1, text(" id ", id * 1000)).when(id % 5 == 2, F.lit(" the  Token")).otherwise(""))
+    note = F.concat(
+        F.substring("text", F.lit(1), (450 + id % 100).cast("int")),
+        F.when(id % 5 == 1, text(" id ", id * 1000)).when(id % 5 == 2, F.lit(" the  Token")).otherwise(""),
+    )
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", exploration.feedback_note(note).alias("n")).select("doc_id", "n.*")
 
 
@@ -193,9 +250,16 @@ def feedback_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_custkey, ['node.', 'attributes.', '', 'node.', ''][c_custkey % 5 + 1] AS prefix, CASE WHEN c_custkey % 5 < 3 THEN c_custkey::VARCHAR END AS id FROM customer""")
 def list_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, name = F.col("c_custkey"), F.col("c_name")
-    item = F.try_parse_json(by(key, text('{"node":{"id":', key, "}}"), text('{"attributes":{"id":', key, '},"node":null}'), text('{"id":', key, ',"node":"', name, '"}'), text('{"node":["', name, '"],"attributes":{}}'), text("[", key, "]")))
+    item = F.try_parse_json(
+        by(
+            key, text('{"node":{"id":', key, "}}"), text('{"attributes":{"id":', key, '},"node":null}'), text('{"id":', key, ',"node":"', name, '"}'),
+            text('{"node":["', name, '"],"attributes":{}}'), text("[", key, "]"),
+        )
+    )
     prefix = exploration.envelope(item)
-    return table(spark, sf_dir, "customer").select("c_custkey", prefix.alias("prefix"), F.try_variant_get(exploration.unwrapped(item, prefix), "$.id", "string").alias("id"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", prefix.alias("prefix"), F.try_variant_get(exploration.unwrapped(item, prefix), "$.id", "string").alias("id"),
+    )
 
 
 @query("""
@@ -204,8 +268,13 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as records of runs: some with a trigger or status that is none, too long a time, a count that is not whole, a missing one, or no JSON."""
     id = F.col("event_id")
     trigger = by(F.col("user_id"), text("never"), *map(F.lit, exploration.TRIGGERS))
-    status = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(s)) for k, s in (("view", "ok"), ("click", "partial"), ("error", "error"))], F.col("event_type"))
-    counts = text('"counts":{"accepted":', F.when(id % 7 == 3, F.lit("1.5")).otherwise(text(id % 100_000)), ',"verified":1,"documentActions":0,"pageOwnedDownloads":0,"failedScopes":0', F.when(id % 11 == 5, "").otherwise(',"emptyScopes":2'), "}")
+    status = F.coalesce(
+        *[F.when(F.col("event_type") == k, F.lit(s)) for k, s in (("view", "ok"), ("click", "partial"), ("error", "error"))], F.col("event_type"),
+    )
+    counts = text(
+        '"counts":{"accepted":', F.when(id % 7 == 3, F.lit("1.5")).otherwise(text(id % 100_000)),
+        ',"verified":1,"documentActions":0,"pageOwnedDownloads":0,"failedScopes":0', F.when(id % 11 == 5, "").otherwise(',"emptyScopes":2'), "}",
+    )
     record = text('{"trigger":"', trigger, '","status":"', status, '","elapsedMs":', id * 3600, ",", counts, F.when(id % 13 == 2, "").otherwise("}"))
     return table(spark, sf_dir, "events").select("event_id", exploration.is_run_record(record).alias("readable"))
 
@@ -214,7 +283,10 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_PAGES} SELECT page_id, CASE page_id % 5 WHEN 0 THEN bare || '?year=' || page_id || '&api_key=REDACTED' WHEN 1 THEN bare || '?x=REDACTED&y=' || page_id WHEN 2 THEN regexp_replace(url, '#.*$', '') WHEN 3 THEN bare || '/REDACTED/' || page_id ELSE bare || '?mytoken=' || page_id || '&session-id=REDACTED' END AS url, page_id % 5 <> 2 AS unbound FROM p""")
 def replayable_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     id, bare = F.col("page_id"), F.col("bare")
-    given = by(id, text(F.regexp_replace(bare, "://", "://me:pw@"), "?year=", id, "&api_key=", id, "#top"), text(bare, "?x=Bearer%20abcdefgh12&y=", id), F.col("url"), text(bare, "/REDACTED/", id), text(bare, "?mytoken=", id, "&session-id=", id))
+    given = by(
+        id, text(F.regexp_replace(bare, "://", "://me:pw@"), "?year=", id, "&api_key=", id, "#top"), text(bare, "?x=Bearer%20abcdefgh12&y=", id),
+        F.col("url"), text(bare, "/REDACTED/", id), text(bare, "?mytoken=", id, "&session-id=", id),
+    )
     kept = exploration.replayable_url(given)
     return _pages(spark, sf_dir).select("page_id", kept.alias("url"), exploration.unbound_redaction(kept).alias("unbound"))
 
@@ -222,7 +294,10 @@ def replayable_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, page_id % 6 IN (0, 4) AS safe FROM pages")
 def template_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     id, bare = F.col("page_id"), F.regexp_replace("bare", "/$", "")
-    told = by(id, text(bare, "/teams/{teamId}/billing"), text(bare, "/download/{token}"), text(bare, "/{id}/", id), text(bare, "/teams/a{id}"), bare, text(bare, "/orgs/{org}/secret"))
+    told = by(
+        id, text(bare, "/teams/{teamId}/billing"), text(bare, "/download/{token}"), text(bare, "/{id}/", id), text(bare, "/teams/a{id}"), bare,
+        text(bare, "/orgs/{org}/secret"),
+    )
     return _pages(spark, sf_dir).select("page_id", exploration.is_safe_template_path(told).alias("safe"))
 
 
@@ -259,7 +334,9 @@ def claim_normalisers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, cents = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("long")
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     c = by(
-        key, text("  a\n ", key, " "), F.date_format("o_orderdate", "yyyy-MM-dd'T10:00'"), text("2024-02-", pad(key % 40, 2)), text(F.floor(cents / 100_000), "  ", pad(F.floor(cents / 100) % 1000, 3), ",", pad(cents % 100, 2)),
+        key, text("  a\n ", key, " "), F.date_format("o_orderdate", "yyyy-MM-dd'T10:00'"), text("2024-02-", pad(key % 40, 2)), text(
+            F.floor(cents / 100_000), "  ", pad(F.floor(cents / 100) % 1000, 3), ",", pad(cents % 100, 2),
+        ),
         F.left("o_orderpriority", F.lit(3)), text(F.col("o_orderpriority"), "/b\\", key),
     )
     names = {"number": "invoiceNumber", "day": "issuedAt", "total": "total", "currency": "currency", "filename": "filename"}
@@ -277,10 +354,16 @@ def request_auths(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda *pairs: F.array(*[pair(n if isinstance(n, Column) else F.lit(n), v if isinstance(v, Column) else F.lit(v)) for n, v in pairs])
     even = user % 2 == 0
     headers = F.get(F.array(
-        of(("X-App", kind), ("Authorization", text("Bearer ", user))), of(("Accept", kind), ("authorization", F.when(even, text("Basic ", user)).otherwise(text("Digest ", user)))), of(("Accept", "*/*"), ("Cookie", text("a=", user))),
-        of((F.when(even, text("X-", kind)).otherwise(kind), user.cast("string")), ("Content-Type", "nonsense")), of(("Content-Type", text("Application/", kind, "+JSON; charset=utf-8"))), of(("Bad Name", text("Bearer ", user))),
+        of(("X-App", kind), ("Authorization", text("Bearer ", user))), of(
+            ("Accept", kind), ("authorization", F.when(even, text("Basic ", user)).otherwise(text("Digest ", user))),
+        ), of(("Accept", "*/*"), ("Cookie", text("a=", user))),
+        of(
+            (F.when(even, text("X-", kind)).otherwise(kind), user.cast("string")), ("Content-Type", "nonsense"),
+        ), of(("Content-Type", text("Application/", kind, "+JSON; charset=utf-8"))), of(("Bad Name", text("Bearer ", user))),
     ), (id % 6).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", exploration.request_auth(headers).alias("a"), exploration.kept_headers(headers).alias("kept")).select("event_id", "a.*", "kept")
+    return table(spark, sf_dir, "events").select(
+        "event_id", exploration.request_auth(headers).alias("a"), exploration.kept_headers(headers).alias("kept"),
+    ).select("event_id", "a.*", "kept")
 
 
 def _re(pattern: str) -> str:
@@ -299,10 +382,15 @@ SELECT p_partkey, CASE WHEN NOT usable OR regexp_matches(mat, {_re(controls.UNSA
 def control_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as controls: labels, icons and their rows, columns, tables and pages, with and without a word about invoices."""
     size, name, brand = F.col("p_size"), F.col("p_name"), F.col("p_brand")
-    material = by(F.col("p_partkey"), text("Download ", name), text("Get  invoice ", size), text("file-text"), text("Delete invoice download"), name, text("Ladda ner faktura ", brand), text("Save help ", size))
+    material = by(
+        F.col("p_partkey"), text("Download ", name), text("Get  invoice ", size), text("file-text"), text("Delete invoice download"), name,
+        text("Ladda ner faktura ", brand), text("Save help ", size),
+    )
     row, column = F.when(size % 2 == 0, text("No ", size, " 2024-01-02")).otherwise(name), F.when(size % 3 > 0, "Actions").otherwise(F.col("p_type"))
     shown, page = F.when(size % 5 < 2, text("Billing history ", brand)).otherwise(brand), F.when(size % 7 < 2, "Past invoices").otherwise(F.col("p_type"))
-    return table(spark, sf_dir, "part").select("p_partkey", controls.control_basis(material, row, column, shown, page, F.col("p_partkey") % 5 > 0).alias("basis"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", controls.control_basis(material, row, column, shown, page, F.col("p_partkey") % 5 > 0).alias("basis"),
+    )
 
 
 @query(f"""
@@ -313,6 +401,11 @@ SELECT doc_id, regexp_matches(l, {_re(controls.INVOICE_SECTION)}) AS section, NO
 def navigation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First words of documents as people's names and as labels, beside labels of sections and menus."""
     id, word = F.col("doc_id"), F.regexp_extract(F.trim("text"), r"^[^\s,]+", 0)
-    label = by(id, text(word, ", open  account menu"), text("Receipt history"), word, text("Delete account"), text("Past  Invoices"), text(word, " invoices"), text("Historique des factures"), text("Account ", word))
+    label = by(
+        id, text(word, ", open  account menu"), text("Receipt history"), word, text("Delete account"), text("Past  Invoices"),
+        text(word, " invoices"), text("Historique des factures"), text("Account ", word),
+    )
     opens = controls.is_menu_trigger(id % 2 == 0, F.lit(True), F.lit(True), id % 3 == 0)
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", controls.is_invoice_section(label).alias("section"), controls.is_navigation_label(label).alias("navigation"), opens.alias("opens"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select(
+        "doc_id", controls.is_invoice_section(label).alias("section"), controls.is_navigation_label(label).alias("navigation"), opens.alias("opens"),
+    )

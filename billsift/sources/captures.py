@@ -59,7 +59,13 @@ def _decoded(c: Column, form: bool = False) -> Column:
 def _pairs(query: Column) -> Column:
     """The keys and values of a query or form, decoded, in order."""
     pairs = F.filter(F.split(query, "&"), lambda kv: kv != "")
-    return F.transform(pairs, lambda kv: F.struct(_decoded(F.regexp_extract(kv, "(?s)^([^=]*)", 1), True).alias("key"), _decoded(F.regexp_extract(kv, "(?s)^[^=]*=(.*)$", 1), True).alias("value")))
+    return F.transform(
+        pairs,
+        lambda kv: F.struct(
+            _decoded(F.regexp_extract(kv, "(?s)^([^=]*)", 1), True).alias("key"),
+            _decoded(F.regexp_extract(kv, "(?s)^[^=]*=(.*)$", 1), True).alias("value"),
+        ),
+    )
 
 
 def form_body(body: Column) -> Column:
@@ -72,7 +78,13 @@ def resolved_path(path: Column) -> Column:
     """A path from the root, its dot segments followed and what a path may not hold escaped."""
     rooted = F.translate(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)), "\\", "/")
     plain = urls.without_dots(rooted)
-    escaped = F.array_join(F.transform(F.split(plain, ""), lambda c: F.when(c.rlike(r"[^\x21\x24-\x3b\x3d\x40-\x5f\x61-\x7a\x7c\x7e]"), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)), "")
+    escaped = F.array_join(
+        F.transform(
+            F.split(plain, ""),
+            lambda c: F.when(c.rlike(r"[^\x21\x24-\x3b\x3d\x40-\x5f\x61-\x7a\x7c\x7e]"), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c),
+        ),
+        "",
+    )
     return F.when(plain.rlike(r"[^\x21\x24-\x3b\x3d\x40-\x5f\x61-\x7a\x7c\x7e]"), escaped).otherwise(plain)
 
 
@@ -96,12 +108,25 @@ def sanitised_url(url: Column, aliased: bool = False) -> Column:
         person = parent.rlike(PERSON_PARENT) & (own.rlike(f"^{MAIL}$") | own.rlike(PERSON_NAME))
         return F.when(secret | person, gone(own)).otherwise(s)
 
-    pairs = F.transform(_pairs(query), lambda p, i: F.struct(i.alias("i"), p["key"].alias("key"), p["value"].alias("value"), (F.lower(p["key"]).isin(*SAFE_QUERY_KEYS) & p["value"].rlike(SAFE_QUERY_VALUE)).alias("safe")))
+    pairs = F.transform(
+        _pairs(query),
+        lambda p, i: F.struct(
+            i.alias("i"), p["key"].alias("key"), p["value"].alias("value"),
+            (F.lower(p["key"]).isin(*SAFE_QUERY_KEYS) & p["value"].rlike(SAFE_QUERY_VALUE)).alias("safe"),
+        ),
+    )
     bad = lambda key: F.get(F.filter(pairs, lambda q: (q["key"] == key) & ~q["safe"]), F.lit(0))
     first = lambda p: p["i"] == F.get(F.filter(pairs, lambda q: q["key"] == p["key"]), F.lit(0))["i"]
     hidden = lambda v: F.when(v.rlike(f"^{OPAQUE}$"), gone(v)).otherwise("REDACTED") if aliased else F.lit("REDACTED")
-    told = F.transform(F.filter(pairs, lambda p: bad(p["key"]).isNull() | first(p)), lambda p: F.concat(F.url_encode(p["key"]), F.lit("="), F.when(bad(p["key"]).isNull(), F.url_encode(p["value"])).otherwise(hidden(bad(p["key"])["value"]))))
-    search = F.when(query == "", "").when(F.forall(pairs, lambda p: p["safe"]), F.concat(F.lit("?"), query)).otherwise(F.concat(F.lit("?"), F.array_join(told, "&")))
+    told = F.transform(
+        F.filter(pairs, lambda p: bad(p["key"]).isNull() | first(p)),
+        lambda p: F.concat(
+            F.url_encode(p["key"]), F.lit("="), F.when(bad(p["key"]).isNull(), F.url_encode(p["value"])).otherwise(hidden(bad(p["key"])["value"])),
+        ),
+    )
+    search = F.when(query == "", "").when(
+        F.forall(pairs, lambda p: p["safe"]), F.concat(F.lit("?"), query),
+    ).otherwise(F.concat(F.lit("?"), F.array_join(told, "&")))
     scheme = F.lower(F.regexp_extract(text, "(?i)^(https?)://", 1))
     port = F.when(scheme == "https", ":443").otherwise(":80")
     lower = F.lower(host)
@@ -192,7 +217,12 @@ def _walked(request: bool, aliased: bool):
 
 
 _PAIR = pa.struct([("kind", pa.string()), ("text", pa.string())])
-_WALKED = pa.struct([("parts", pa.list_(pa.string())), ("holes", pa.list_(_PAIR)), ("gone", pa.list_(pa.string())), ("named", pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())])))])
+_WALKED = pa.struct(
+    [
+        ("parts", pa.list_(pa.string())), ("holes", pa.list_(_PAIR)), ("gone", pa.list_(pa.string())),
+        ("named", pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))),
+    ]
+)
 _WALKED_DDL = "struct<parts:array<string>,holes:array<struct<kind:string,text:string>>,gone:array<string>,named:array<struct<path:string,text:string>>>"
 
 
@@ -200,7 +230,9 @@ def _filled(walked: Column) -> Column:
     """A JSON text with its addresses sanitised and its identifiers marked."""
     def text(h: Column) -> Column:
         clean = F.regexp_replace(values.redacted(sanitised_url(h["text"])), MAIL, "user@example.com")
-        return F.when(h["kind"] == "url", F.replace(F.replace(clean, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))).otherwise(F.concat(F.lit(MARK), h["text"], F.lit(END)))
+        return F.when(
+            h["kind"] == "url", F.replace(F.replace(clean, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')),
+        ).otherwise(F.concat(F.lit(MARK), h["text"], F.lit(END)))
 
     filled = F.transform(walked["holes"], text)
     return F.array_join(F.transform(walked["parts"], lambda p, i: F.concat(p, F.coalesce(F.get(filled, i), F.lit("")))), "")
@@ -219,7 +251,9 @@ def sanitised_bodies(df: DataFrame, body: str, content_type: str, request: bool
     text = F.col(body)
     is_json = kind.contains("json") | text.rlike(r"^\s*[\[{]")
     outcome = (
-        F.when(F.length(text) > most, "truncated").when(kind.contains("multipart/form-data"), "multipart").when(kind.contains("application/x-www-form-urlencoded"), "form")
+        F.when(F.length(text) > most, "truncated").when(kind.contains("multipart/form-data"), "multipart").when(
+            kind.contains("application/x-www-form-urlencoded"), "form",
+        )
         .when(kind.contains("html"), "html").when(is_json, "json").otherwise("text")
     )
     judged = df.withColumn("_outcome", F.when(text.isNotNull(), outcome))
@@ -228,11 +262,16 @@ def sanitised_bodies(df: DataFrame, body: str, content_type: str, request: bool
     bad = (F.col("_outcome") == "json") & F.col("_walked").isNull()
     value = (
         F.when(F.col("_outcome") == "truncated", TRUNCATED).when(F.col("_outcome") == "multipart", MULTIPART).when(F.col("_outcome") == "form", form_body(text))
-        .when(F.col("_outcome") == "html", html_links(text)).when(F.col("_outcome") == "json", F.coalesce(_filled(F.col("_walked")), F.lit(MALFORMED))).when(F.col("_outcome") == "text", values.redacted(text))
+        .when(F.col("_outcome") == "html", html_links(text)).when(
+            F.col("_outcome") == "json", F.coalesce(_filled(F.col("_walked")), F.lit(MALFORMED)),
+        ).when(F.col("_outcome") == "text", values.redacted(text))
     )
     none = F.array().cast("array<string>")
     named = F.coalesce("_walked.named", F.array().cast("array<struct<path:string,text:string>>"))
-    out = F.struct(value.alias("value"), F.when(bad, "malformed").otherwise(F.col("_outcome")).alias("outcome"), F.coalesce("_walked.gone", none).alias("gone"), named.alias("named"))
+    out = F.struct(
+        value.alias("value"), F.when(bad, "malformed").otherwise(F.col("_outcome")).alias("outcome"), F.coalesce("_walked.gone", none).alias("gone"),
+        named.alias("named"),
+    )
     return walked.withColumn(body, F.when(text.isNotNull(), out)).drop("_outcome", "_walked")
 
 
@@ -242,12 +281,19 @@ def captured(df: DataFrame, session: str, order: Sequence[str], url: str, body:
     References are numbered by first sight in a session: by `order` (unique in it), a body's before its address's. refs has the paths of a
     body's identifiers and their references. Identifiers are never part of a result or of its numbers.
     """
-    rows = sanitised_bodies(df.select(session, *order, F.col(url).alias("_url"), F.col(body).alias("_body"), F.col(content_type).alias("_type")), "_body", "_type", aliased=True, most=most)
+    rows = sanitised_bodies(
+        df.select(session, *order, F.col(url).alias("_url"), F.col(body).alias("_body"), F.col(content_type).alias("_type")), "_body", "_type",
+        aliased=True, most=most,
+    )
     rows = written(rows.withColumn("_url", sanitised_url(F.col("_url"), aliased=True)), "captures")
-    marked = F.regexp_extract_all(F.concat(F.coalesce(F.col("_body.value"), F.lit("")), F.coalesce("_url", F.lit(""))), F.lit(f"{MARK}([^{END}]*){END}"), F.lit(1))
+    marked = F.regexp_extract_all(
+        F.concat(F.coalesce(F.col("_body.value"), F.lit("")), F.coalesce("_url", F.lit(""))), F.lit(f"{MARK}([^{END}]*){END}"), F.lit(1),
+    )
     seen = rows.select(session, *order, F.posexplode(marked).alias("_place", "_text"))
     first = seen.groupBy(session, "_text").agg(F.min(F.struct(*order, "_place")).alias("_at"))
-    names = numbered(first, [session], [F.asc("_at")], "_number").select(F.col(session).alias("_s"), "_text", F.concat(F.lit("ref_"), F.col("_number").cast("string")).alias("_ref"))
+    names = numbered(first, [session], [F.asc("_at")], "_number").select(
+        F.col(session).alias("_s"), "_text", F.concat(F.lit("ref_"), F.col("_number").cast("string")).alias("_ref"),
+    )
     used = seen.select(session, *order, "_text").distinct().withColumnRenamed("_text", "_t")
     told = used.join(names, F.col(session).eqNullSafe(F.col("_s")) & (F.col("_t") == F.col("_text")))
     by_row = told.groupBy(session, *order).agg(F.map_from_entries(F.collect_list(F.struct("_text", "_ref"))).alias("_refs"))
@@ -260,7 +306,13 @@ def captured(df: DataFrame, session: str, order: Sequence[str], url: str, body:
 
     def put(c: Column, around: str) -> Column:
         pieces = F.split(c, f"[{MARK}{END}]", -1)
-        return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.concat(F.lit(around), F.try_element_at("_refs", p), F.lit(around)))), "")
+        return F.array_join(
+            F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.concat(F.lit(around), F.try_element_at("_refs", p), F.lit(around)))),
+            "",
+        )
 
     refs = F.transform("_body.named", lambda n: F.concat(n["path"], F.lit("="), F.try_element_at("_refs", n["text"])))
-    return joined.select(*keys, put(F.col("_url"), "__").alias("url"), put(F.col("_body.value"), "").alias("value"), F.col("_body.outcome").alias("outcome"), F.col("_body.gone").alias("gone"), F.coalesce(refs, F.array().cast("array<string>")).alias("refs"))
+    return joined.select(
+        *keys, put(F.col("_url"), "__").alias("url"), put(F.col("_body.value"), "").alias("value"), F.col("_body.outcome").alias("outcome"),
+        F.col("_body.gone").alias("gone"), F.coalesce(refs, F.array().cast("array<string>")).alias("refs"),
+    )

@@ -74,5 +74,7 @@ def read_only(method: Column, headers: Column, body: Column) -> Column:
     """Whether a request may be kept to be sent again: a POST with a JSON content type as its only header (array<struct<name,value>>) and a body
     that `is_read_only`. All else, null and what is no JSON is not."""
     only = F.get(headers, F.lit(0))
-    plain = (method == "POST") & (F.size(headers) == 1) & (F.lower(only["name"]) == "content-type") & (F.lower(only["value"]) == "application/json") & (F.length(body) <= BODY_CHARS)
+    plain = (method == "POST") & (F.size(headers) == 1) & (F.lower(only["name"]) == "content-type") & (
+        F.lower(only["value"]) == "application/json"
+    ) & (F.length(body) <= BODY_CHARS)
     return F.coalesce(each_text(is_read_only, pa.bool_(), "boolean")(F.when(plain, body)), F.lit(False))

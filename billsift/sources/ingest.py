@@ -40,36 +40,56 @@ def bounded(evidence: DataFrame, expected: str, name: str = "evidence", resource
     plain = (c("origin") == c(expected)) & ~_long(c("url"), URL_CHARS) & (urls.scheme_of(c("url")) == "https") & (urls.origin_of(c("url")) == c(expected)) & ~c("url").rlike("^[^/]*//[^/?#]*@")
     rows = evidence.withColumn("_ok", F.coalesce(plain, F.lit(False)))
     offered_hosts = F.coalesce("hosts", none(kinds["hosts"]))
-    is_host = lambda h: F.coalesce((F.length(h) <= HOST_CHARS) & policy.is_origin_pattern(F.concat(F.lit("https://"), h, F.lit("/*"))) & ~h.contains(":"), F.lit(False))
+    is_host = lambda h: F.coalesce(
+        (F.length(h) <= HOST_CHARS) & policy.is_origin_pattern(F.concat(F.lit("https://"), h, F.lit("/*"))) & ~h.contains(":"), F.lit(False),
+    )
     good_hosts = F.filter(F.slice(offered_hosts, 1, HOSTS), is_host)
     rows = rows.withColumns({"_hosts": F.array_distinct(good_hosts), "_no_hosts": _counted(good_hosts, offered_hosts) + c("hosts").isNull().cast("int")})
 
     offered = F.coalesce("resources", none(kinds["resources"]))
-    own = lambda u: (urls.origin_of(u) == c(expected)) | F.exists("_hosts", lambda h: urls.origin_of(u) == F.concat(F.lit("https://"), F.lower(h)))
+    own = lambda u: (urls.origin_of(u) == c(expected)) | F.exists(
+        "_hosts", lambda h: urls.origin_of(u) == F.concat(F.lit("https://"), F.lower(h)),
+    )
     fits = lambda r: F.coalesce(
-        (F.length(r["url"]) <= URL_CHARS) & r["status"].between(0, 599) & (F.length(r["content_type"]) <= TYPE_CHARS) & (F.length(r["body"]) <= BODY_CHARS) & F.coalesce(r["method"].isin("GET", "POST"), F.lit(True)) & ~_long(r["request_body"], REQUEST_CHARS)
+        (F.length(r["url"]) <= URL_CHARS) & r["status"].between(0, 599) & (F.length(r["content_type"]) <= TYPE_CHARS) & (F.length(r["body"]) <= BODY_CHARS) & F.coalesce(
+            r["method"].isin("GET", "POST"), F.lit(True),
+        ) & ~_long(r["request_body"], REQUEST_CHARS)
         & (urls.scheme_of(r["url"]) == "https") & own(r["url"]) & ~r["url"].contains("#") & ~r["url"].rlike("^[^/]*//[^/?#]*@"),
         F.lit(False),
     )
-    rows = rows.withColumn("_fit", F.filter(F.slice(offered, 1, resources), fits)).withColumn("_within", within_budget(F.transform("_fit", lambda r: F.length(r["body"])), ALL_BODIES))
+    rows = rows.withColumn("_fit", F.filter(F.slice(offered, 1, resources), fits)).withColumn(
+        "_within", within_budget(F.transform("_fit", lambda r: F.length(r["body"])), ALL_BODIES),
+    )
     kept = F.filter("_fit", lambda r, i: F.get("_within", i))
     offered_links = F.coalesce("links", none(kinds["links"]))
     tidy = lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))
-    route = lambda x: F.when((F.length(x["url"]) <= URL_CHARS) & ~_long(x["label"], LABEL_CHARS) & ~_long(x["context"], CONTEXT_CHARS) & (urls.origin_of(x["url"]) == c(expected)), urls.safe_route(x["url"]))
-    told = F.transform(F.slice(offered_links, 1, LINKS), lambda x: F.struct(route(x).alias("url"), tidy(x["label"]).alias("label"), tidy(x["context"]).alias("context")))
+    route = lambda x: F.when(
+        (F.length(x["url"]) <= URL_CHARS) & ~_long(x["label"], LABEL_CHARS) & ~_long(x["context"], CONTEXT_CHARS) & (urls.origin_of(x["url"]) == c(expected)),
+        urls.safe_route(x["url"]),
+    )
+    told = F.transform(
+        F.slice(offered_links, 1, LINKS),
+        lambda x: F.struct(route(x).alias("url"), tidy(x["label"]).alias("label"), tidy(x["context"]).alias("context")),
+    )
     good_links = F.filter(told, lambda x: x["url"].isNotNull())
     short = lambda name: F.when(~_long(c(name), NAME_CHARS), c(name)).alias(name)
     counts = F.coalesce("counts", F.create_map().cast("map<string,int>"))
     is_count = lambda k, v: F.coalesce(v.between(0, COUNT), F.lit(False))
     lost = {
-        "names": sum((_long(c(n), NAME_CHARS).cast("int") for n in ("title", "application", "site")), F.lit(0)), "html": (c("html").isNull() | _long(c("html"), HTML_CHARS)).cast("int"), "hosts": c("_no_hosts"),
+        "names": sum(
+            (_long(c(n), NAME_CHARS).cast("int") for n in ("title", "application", "site")), F.lit(0),
+        ), "html": (c("html").isNull() | _long(c("html"), HTML_CHARS)).cast("int"), "hosts": c("_no_hosts"),
         "resources": _counted(c("_fit"), offered) + c("resources").isNull().cast("int"), "bodies": _counted(kept, c("_fit")), "links": _counted(good_links, offered_links) + c("links").isNull().cast("int"),
         "counts": F.size(F.map_filter(counts, lambda k, v: ~is_count(k, v))),
     }
     rest = [x for x in evidence.columns if x not in {f.split()[0] for f in EVIDENCE.split(", ")}]
     out = rows.select(
-        *rest, "origin", "url", *map(short, ("title", "application", "site")), F.when(F.length("html") <= HTML_CHARS, c("html")).otherwise("").alias("html"), c("_hosts").alias("hosts"), kept.alias("resources"), good_links.alias("links"),
-        F.transform_values(counts, lambda k, v: F.when(is_count(k, v), v).otherwise(0)).alias("counts"), F.struct(*[n.cast("int").alias(k) for k, n in lost.items()]).alias("dropped"), "_ok",
+        *rest, "origin", "url", *map(short, ("title", "application", "site")), F.when(
+            F.length("html") <= HTML_CHARS, c("html"),
+        ).otherwise("").alias("html"), c("_hosts").alias("hosts"), kept.alias("resources"), good_links.alias("links"),
+        F.transform_values(
+            counts, lambda k, v: F.when(is_count(k, v), v).otherwise(0),
+        ).alias("counts"), F.struct(*[n.cast("int").alias(k) for k, n in lost.items()]).alias("dropped"), "_ok",
     )
     seen = Observation(name)
     sums = [F.sum(F.when(c("_ok"), c(f"dropped.{k}")).otherwise(0)).alias(k) for k in BOUNDS]

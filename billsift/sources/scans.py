@@ -94,12 +94,18 @@ def absolute(url: Column, base: Column) -> Column:
     """A link as seen from the page at `base`, with its dot segments followed."""
     folder = F.regexp_replace(F.concat(urls.origin_of(base), urls.path_of(base)), r"[^/]*\z", "")
     full = (
-        F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(urls.scheme_of(base), F.lit(":"), url)).when(url.startswith("/"), F.concat(urls.origin_of(base), url))
-        .when(url.startswith("?"), F.concat(urls.origin_of(base), urls.path_of(base), url)).when(url.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), url)).otherwise(F.concat(folder, url))
+        F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(
+            url.startswith("//"), F.concat(urls.scheme_of(base), F.lit(":"), url),
+        ).when(url.startswith("/"), F.concat(urls.origin_of(base), url))
+        .when(
+            url.startswith("?"), F.concat(urls.origin_of(base), urls.path_of(base), url),
+        ).when(url.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), url)).otherwise(F.concat(folder, url))
     )
     head = F.regexp_extract(full, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     tail = F.regexp_extract(full, r"(?s)^[^?#]*(.*)$", 1)
-    return F.when(full.rlike(r"(?i)^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*/(?:\.|%2e){1,2}(?:[/?#]|$)"), F.concat(head, urls.without_dots(urls.path_of(full)), tail)).otherwise(full)
+    return F.when(
+        full.rlike(r"(?i)^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*/(?:\.|%2e){1,2}(?:[/?#]|$)"), F.concat(head, urls.without_dots(urls.path_of(full)), tail),
+    ).otherwise(full)
 
 
 def page_names(html: Column) -> Column:
@@ -123,7 +129,9 @@ def document_links(df: DataFrame, html: str, base: str, cap: int = LIKELY_LINKS)
     clean = without_raw_text(F.col(html))
     heads = F.concat_ws(" ", title_of(F.col(html)), F.array_join(F.regexp_extract_all(clean, F.lit(r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]>"), F.lit(1)), " "))
     pairs = F.arrays_zip(F.regexp_extract_all(clean, F.lit(LINK), F.lit(1)).alias("link"), F.regexp_extract_all(clean, F.lit(LINK), F.lit(2)).alias("label"))
-    full = F.transform(pairs, lambda x: F.struct(absolute(x["link"], F.col(base)).alias("link"), F.trim(F.regexp_replace(x["label"], "<[^>]*>", "")).alias("label")))
+    full = F.transform(
+        pairs, lambda x: F.struct(absolute(x["link"], F.col(base)).alias("link"), F.trim(F.regexp_replace(x["label"], "<[^>]*>", "")).alias("label")),
+    )
     about = F.col("_heads").rlike(CONTEXT)
     good = lambda x: (
         x["link"].rlike("^https://[^/?#@]+(?:[/?#]|$)") & x["link"].rlike(DIRECT) & ~F.concat(x["link"], F.lit(" "), x["label"]).rlike(UNRELATED)

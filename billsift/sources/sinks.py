@@ -47,11 +47,16 @@ def journal(spark: SparkSession, root: str, buckets: list[int] | None = None, be
 
 def _write(rows: DataFrame, root: str, batch: int, version: int) -> None:
     """Log rows as this version of theirs, in place of what an earlier try of the batch wrote."""
-    rows = rows.select("owner", *views.ENTRY, F.lit(version).cast("long").alias("version"), _bucket("owner").alias("bucket"), F.lit(batch).cast("long").alias("batch"), F.lit(version % 2).alias("step"))
+    rows = rows.select(
+        "owner", *views.ENTRY, F.lit(version).cast("long").alias("version"), _bucket("owner").alias("bucket"),
+        F.lit(batch).cast("long").alias("batch"), F.lit(version % 2).alias("step"),
+    )
     rows.repartition("bucket").write.partitionBy("bucket", "batch", "step").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{root}/journal")
 
 
-def deliver(docs: DataFrame, root: str, batch: int, owner: str = "owner", identity: str = "key", at: str = "updated", cap: int = views.JOURNAL_CAP) -> DataFrame:
+def deliver(
+    docs: DataFrame, root: str, batch: int, owner: str = "owner", identity: str = "key", at: str = "updated", cap: int = views.JOURNAL_CAP,
+) -> DataFrame:
     """Write a batch's documents that were not delivered before, once each; receipts (owner, identity, accepted, deduped, why) come back.
 
     `docs` has an owner, an identity, source, destination, path and a time as a whole number, and any content. Batches are numbered
@@ -66,7 +71,9 @@ def deliver(docs: DataFrame, root: str, batch: int, owner: str = "owner", identi
     before = written(journal(spark, root, touched, batch), "before")
     changes = written(views.delivery_changes(before, named.select("owner", *[c for c in views.ENTRY if c != "status"]), "owner", cap), "changes")
     _write(changes.where("outcome IN ('again', 'fresh')"), root, batch, 2 * batch)
-    told = changes.where("outcome IN ('again', 'fresh')").select(F.col("owner").alias("_o"), F.col("identity").alias("_i"), F.col("path").alias("_path"), (F.col("status") == "committed").alias("_done"))
+    told = changes.where("outcome IN ('again', 'fresh')").select(
+        F.col("owner").alias("_o"), F.col("identity").alias("_i"), F.col("path").alias("_path"), (F.col("status") == "committed").alias("_done"),
+    )
     mine = F.col("owner").eqNullSafe(F.col("_o")) & (F.col("identity") == F.col("_i"))
     send = named.join(told.where("NOT _done"), mine).withColumn("path", F.col("_path")).drop("_o", "_i", "_path", "_done")
     send.write.mode("overwrite").parquet(f"{root}/documents/batch={batch}")
@@ -74,7 +81,10 @@ def deliver(docs: DataFrame, root: str, batch: int, owner: str = "owner", identi
     _write(done.withColumn("status", F.when(F.col("outcome") == "evicted", "evicted").otherwise("committed")), root, batch, 2 * batch + 1)
     sent = changes.where("outcome <> 'evicted'")
     refused = F.col("outcome").startswith("refused:")
-    return sent.select("owner", "identity", (~refused).alias("accepted"), F.coalesce(F.col("status") == "committed", F.lit(False)).alias("deduped"), F.when(refused, F.substring("outcome", 9, 20)).alias("why"))
+    return sent.select(
+        "owner", "identity", (~refused).alias("accepted"), F.coalesce(F.col("status") == "committed", F.lit(False)).alias("deduped"),
+        F.when(refused, F.substring("outcome", 9, 20)).alias("why"),
+    )
 
 
 def batch_writer(root: str, **options) -> Callable[[DataFrame, int], None]:
@@ -94,7 +104,9 @@ def compact(spark: SparkSession, root: str, upto: int) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     here = f"{root}/journal"
-    rows.withColumns({"bucket": _bucket("owner"), "batch": F.lit(upto).cast("long"), "step": F.lit(2)}).repartition("bucket").write.partitionBy("bucket", "batch", "step").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(here)
+    rows.withColumns(
+        {"bucket": _bucket("owner"), "batch": F.lit(upto).cast("long"), "step": F.lit(2)}
+    ).repartition("bucket").write.partitionBy("bucket", "batch", "step").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(here)
     for bucket in files.listStatus(spark._jvm.org.apache.hadoop.fs.Path(here)):
         if not bucket.isDirectory():
             continue

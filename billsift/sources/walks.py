@@ -25,7 +25,10 @@ DATA_SCRIPT = r"""(?is)<script\b[^>]*\btype=["']application/(?:ld\+)?json["'][^>
 HREF = r'(?i)\bhref="([^"]+)"'
 PII_KEY = re.compile(r"email|name|recipient|address|phone|vat|tax|ssn|personnummer|customer", re.I)
 SENSITIVE_KEY = re.compile(r"token|secret|password|passwd|passcode|credential|private[_-]?key|cookie|session|authorization|api[_-]?key|csrf|xsrf", re.I)
-PAYMENT_KEY = re.compile(r"(?:^|_)(?:card(?:_?(?:number|pan|cvc|cvv|security_?code))?|cvv|cvc|iban|bic|swift|bank(?:_?(?:account|number|routing|code))?|routing(?:_?number)?|account_?number|sort_?code)(?:_|$)", re.I)
+PAYMENT_KEY = re.compile(
+    r"(?:^|_)(?:card(?:_?(?:number|pan|cvc|cvv|security_?code))?|cvv|cvc|iban|bic|swift|bank(?:_?(?:account|number|routing|code))?|routing(?:_?number)?|account_?number|sort_?code)(?:_|$)",
+    re.I,
+)
 EMAIL, LONG_TOKEN = re.compile(r"(?<![^\s@])[^\s@]+@[^\s@]+\.[^\s@]+"), re.compile(r"[A-Za-z0-9_-]{24,}")
 UNSAFE_KEY = re.compile(r"[^\s@]+@[^\s@]+\.[^\s@]+\Z|[A-Za-z0-9_-]{24,}\Z|(?:sk|pk|rk|api)_(?:live|test|prod)_", re.I)
 SURROGATE = re.compile("[\ud800-\udfff]")
@@ -197,7 +200,12 @@ def json_strings(df: DataFrame, body: str) -> DataFrame:
     return df.select(*rest, F.posexplode(run(body)).alias("place", "_s")).select(*rest, "place", "_s.*")
 
 
-_SCALAR = pa.struct([("place", pa.int32()), ("turn", pa.int32()), ("path", pa.string()), ("key", pa.string()), ("parent", pa.string()), ("listed", pa.bool_()), ("kind", pa.string()), ("value", pa.string())])
+_SCALAR = pa.struct(
+    [
+        ("place", pa.int32()), ("turn", pa.int32()), ("path", pa.string()), ("key", pa.string()), ("parent", pa.string()), ("listed", pa.bool_()),
+        ("kind", pa.string()), ("value", pa.string()),
+    ]
+)
 _SCALAR_DDL = "array<struct<place:int,turn:int,path:string,key:string,parent:string,listed:boolean,kind:string,value:string>>"
 
 
@@ -233,7 +241,12 @@ def _scalars_of(text: str) -> list[dict]:
         else:
             kind = "null" if value is None else "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number"
             told = None if value is None else plain(value) if isinstance(value, str) else json.dumps(value)
-            out.append({"place": len(out), "turn": turn, "path": plain(path) or "$", "key": key and plain(key), "parent": parent and plain(parent), "listed": listed, "kind": kind, "value": told})
+            out.append(
+                {
+                    "place": len(out), "turn": turn, "path": plain(path) or "$", "key": key and plain(key), "parent": parent and plain(parent),
+                    "listed": listed, "kind": kind, "value": told,
+                }
+            )
 
     walk(root, "", None, None, False, None, 0)
     return out
@@ -252,7 +265,12 @@ def scalars(df: DataFrame, body: str) -> DataFrame:
     return found.select(*rest, "_scalar.*")
 
 
-_FIELD = pa.struct([("list", pa.string()), ("turn", pa.int32()), ("n_items", pa.int32()), ("prefix", pa.string()), ("item", pa.int32()), ("place", pa.int32()), ("key", pa.string()), ("kind", pa.string()), ("value", pa.string())])
+_FIELD = pa.struct(
+    [
+        ("list", pa.string()), ("turn", pa.int32()), ("n_items", pa.int32()), ("prefix", pa.string()), ("item", pa.int32()), ("place", pa.int32()),
+        ("key", pa.string()), ("kind", pa.string()), ("value", pa.string()),
+    ]
+)
 _FIELD_DDL = "array<struct<list:string,turn:int,n_items:int,prefix:string,item:int,place:int,key:string,kind:string,value:string>>"
 LIST_DEPTH = 6
 ENVELOPES = ("node", "attributes")
@@ -281,7 +299,12 @@ def _fields_of(text: str) -> list[dict]:
             row = item if row is None else row
             for place, (k, x) in enumerate(row.items() if isinstance(row, dict) else ()):
                 kind = "null" if x is None else "boolean" if isinstance(x, bool) else "string" if isinstance(x, str) else "number" if isinstance(x, (int, float)) else "other"
-                out.append(about | {"item": i, "place": place, "key": plain(k), "kind": kind, "value": plain(x) if kind == "string" else json.dumps(x) if kind in ("number", "boolean") else None})
+                out.append(
+                    about | {
+                        "item": i, "place": place, "key": plain(k), "kind": kind,
+                        "value": plain(x) if kind == "string" else json.dumps(x) if kind in ("number", "boolean") else None,
+                    }
+                )
     return out
 
 
@@ -338,7 +361,9 @@ def best_link_token(pages: DataFrame, pdfs: DataFrame, keys: Sequence[str], html
     """
     general = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(False).alias("learned"), F.lit(i).cast("long").alias("_t")) for i, t in enumerate(LINK_TOKENS)])
     learned = pdfs.select(*keys, link_token(F.col(url)).alias("token"), order).where("token IS NOT NULL").groupBy(*keys, "token").agg(F.min(order).alias("_t"))
-    links = pages.select(*keys, F.col(order).alias("page"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(1)))).alias("_link"))
+    links = pages.select(
+        *keys, F.col(order).alias("page"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(1)))).alias("_link"),
+    )
     by_pdf = links.join(learned, list(keys)).select(*links.columns, "token", F.lit(True).alias("learned"), F.col("_t").cast("long").alias("_t"))
     by_word = links.select("*", F.explode(general).alias("_g")).select(*links.columns, "_g.*")
     matched = by_pdf.unionByName(by_word).where(F.col("_link").contains(F.col("token")))

@@ -46,7 +46,10 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tokenizer = bpe.default_tokenizer()
     found = bpe.round_trip_column(F.col("text"), tokenizer, bpe.lexicon(docs, tokenizer), spark)
     coded = docs.select("doc_id", "lang", "source", found.alias("found"))
-    return coded.select("doc_id", "lang", "source", F.size("found.ids").cast("long").alias("n_tokens"), "found.ids", F.sha2("found.decoded", 256).alias("decoded_sha256"))
+    return coded.select(
+        "doc_id", "lang", "source", F.size("found.ids").cast("long").alias("n_tokens"), "found.ids",
+        F.sha2("found.decoded", 256).alias("decoded_sha256"),
+    )
 
 
 STAGES = [

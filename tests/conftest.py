@@ -9,7 +9,9 @@ def spark(tmp_path_factory):
     held = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", str(held / "warehouse")).config("spark.checkpoint.dir", f"file://{held}/checkpoints").getOrCreate()
+        .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", str(held / "warehouse")).config(
+            "spark.checkpoint.dir", f"file://{held}/checkpoints",
+        ).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

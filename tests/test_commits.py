@@ -66,7 +66,9 @@ def run(spark, path, out, one_by_one=True):
     reader = spark.readStream.schema(SCHEMA)
     stream = (reader.option("maxFilesPerTrigger", 1) if one_by_one else reader).parquet(path)
     found = commit.commits(stream, retention_s=4000)
-    query = found.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{out}/rows")
+    query = found.writeStream.format("parquet").option(
+        "checkpointLocation", f"{out}/checkpoint",
+    ).outputMode("append").trigger(availableNow=True).start(f"{out}/rows")
     query.awaitTermination()
     return sorted((r["scope"], r["pos"], r["result"]) for r in spark.read.parquet(f"{out}/rows").collect())
 
@@ -92,7 +94,10 @@ def test_a_restart_repeats_nothing(spark, tmp_path):
 
 def test_state_expires(spark, tmp_path):
     """Once the watermark has passed the retention, nothing of a scope is left but what came later."""
-    rows = [("a", 0, 0, "claim", 0, "k", None, "c"), ("a", 10, 1, "accept", 0, "k", None, "c"), ("b", 5000, 2, "claim", 1, "x", None, "y"), ("b", 9000, 4, "claim", 2, "z", None, "y"), ("b", 9001, 6, "claim", 3, "w", None, "y")]
+    rows = [
+        ("a", 0, 0, "claim", 0, "k", None, "c"), ("a", 10, 1, "accept", 0, "k", None, "c"), ("b", 5000, 2, "claim", 1, "x", None, "y"),
+        ("b", 9000, 4, "claim", 2, "z", None, "y"), ("b", 9001, 6, "claim", 3, "w", None, "y"),
+    ]
     for i, part in enumerate((rows[:2], rows[2:3], rows[3:4], rows[4:])):
         write(spark, part, f"{tmp_path}/in", i)
     run(spark, f"{tmp_path}/in", f"{tmp_path}/out")
@@ -108,12 +113,17 @@ def test_emitted_documents_are_delivered_once(spark, tmp_path):
     put = sinks.batch_writer(root)
 
     def deliver(batch, number):
-        sent = batch.where("result = 'emitted'").selectExpr("scope AS owner", "key || '/' || content || '/' || pos AS key", "'s' AS source", "'d' AS destination", "content AS path", "pos AS updated")
+        sent = batch.where("result = 'emitted'").selectExpr(
+            "scope AS owner", "key || '/' || content || '/' || pos AS key", "'s' AS source", "'d' AS destination", "content AS path",
+            "pos AS updated",
+        )
         for _ in range(2):  # as if the first try had been lost after it was done
             put(sent, number)
 
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    commit.commits(stream, retention_s=4000).writeStream.foreachBatch(deliver).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    commit.commits(stream, retention_s=4000).writeStream.foreachBatch(deliver).option(
+        "checkpointLocation", f"{tmp_path}/checkpoint",
+    ).trigger(availableNow=True).start().awaitTermination()
     want = sorted(pos for _, pos, result in folded(rows) if result == "emitted")
     assert sorted(r["updated"] for r in spark.read.parquet(f"{root}/documents").collect()) == want
     assert re.fullmatch("committed", "|".join({r["status"] for r in sinks.journal(spark, root).collect()}))

@@ -14,7 +14,9 @@ def test_nulls_have_no_basis_claim_or_identity(spark):
     texts = F.lit(None).cast("array<string>")
     claim = controls.row_claim(texts, texts, text)
     row = spark.range(1).select(
-        controls.control_basis(text, text, text, text, text, F.lit(True)).alias("basis"), claim.alias("claim"), controls.action_identity(text, claim).alias("id"),
+        controls.control_basis(
+            text, text, text, text, text, F.lit(True),
+        ).alias("basis"), claim.alias("claim"), controls.action_identity(text, claim).alias("id"),
         controls.is_navigation_label(text).alias("label"), exploration.is_run_record(text).alias("record"), exploration.is_safe_template_path(text).alias("path"),
     ).first()
     assert tuple(row) == (None, None, None, False, False, False)
@@ -24,7 +26,9 @@ def test_enumeration_of_equal_actions(spark):
     rows = [(1, None, "a"), (1, None, "a"), (1, None, "b"), (1, None, None), (1, "https://e.com", "b"), (2, None, None)]
     df = spark.createDataFrame(rows, "page int, url string, action string")
     found = {r["page"]: r for r in actions.enumeration(df, ["page"]).collect()}
-    assert found[1].asDict() == {"page": 1, "observed": 5, "direct": 1, "actions": 1, "resolved": 2, "unresolved": 3, "unstable": 1, "ambiguous": 2, "truncated": False}
+    assert found[1].asDict() == {
+        "page": 1, "observed": 5, "direct": 1, "actions": 1, "resolved": 2, "unresolved": 3, "unstable": 1, "ambiguous": 2, "truncated": False,
+    }
     assert (found[2]["observed"], found[2]["unstable"], found[2]["resolved"]) == (1, 1, 0)
     assert actions.enumeration(df.limit(0), ["page"]).count() == 0
 

@@ -33,9 +33,17 @@ def told(df, **options):
 
 def test_evidence_is_bounded_and_counted(spark):
     page, seen = told(evidence(
-        spark, title="t" * 161, site=None, html=None, hosts=["cdn.se", "localhost", "cdn.se", "a:1", "x" * 254, None, "d.se", "e.se", "f.se"], counts={"a": 5, "b": 1001, "c": -1},
-        resources=[res(), res(status=600), res(origin="https://cdn.se"), res(origin="https://evil.se"), res("/r#x"), res(body=None), res(method="PUT"), res(sent="x" * 65_537), res(origin="http://e.se"), res(method=None), res(kind="x" * 257)],
-        links=[(O + "/a?page=2&q=1", " a \n b ", None), ("https://f.se/a", None, None), (O + "/logout", None, None), (O + "/b", "x" * 161, None), (O + "/b", None, "x" * 241), (None, None, None)],
+        spark, title="t" * 161, site=None, html=None, hosts=[
+            "cdn.se", "localhost", "cdn.se", "a:1", "x" * 254, None, "d.se", "e.se", "f.se",
+        ], counts={"a": 5, "b": 1001, "c": -1},
+        resources=[
+            res(), res(status=600), res(origin="https://cdn.se"), res(origin="https://evil.se"), res("/r#x"), res(body=None), res(method="PUT"),
+            res(sent="x" * 65_537), res(origin="http://e.se"), res(method=None), res(kind="x" * 257),
+        ],
+        links=[
+            (O + "/a?page=2&q=1", " a \n b ", None), ("https://f.se/a", None, None), (O + "/logout", None, None), (O + "/b", "x" * 161, None),
+            (O + "/b", None, "x" * 241), (None, None, None),
+        ],
     ))
     assert page["title"] is None and page["html"] == "" and page["hosts"] == ["cdn.se", "d.se", "e.se"] and page["counts"] == {"a": 5, "b": 0, "c": 0}
     assert [r["url"] for r in page["resources"]] == [O + "/r", "https://cdn.se/r", O + "/r"] and [tuple(x) for x in page["links"]] == [(O + "/a?page=2", "a b", None)]
@@ -44,11 +52,20 @@ def test_evidence_is_bounded_and_counted(spark):
 
 
 def test_bodies_share_a_budget_and_later_ones_may_fit(spark):
-    page, seen = told(evidence(spark, resources=[res(f"/{i}", "x" * n) for i, n in enumerate((256_000, 256_000, 200_000, 100_000, 256_000, 56_000, 256_001, 1))]), resources=7)
+    page, seen = told(
+        evidence(spark, resources=[res(f"/{i}", "x" * n) for i, n in enumerate((256_000, 256_000, 200_000, 100_000, 256_000, 56_000, 256_001, 1))]),
+        resources=7,
+    )
     assert [r["url"][-1] for r in page["resources"]] == ["0", "1", "2", "5"] and page["dropped"]["bodies"] == 2 and page["dropped"]["resources"] == 2 and seen["bodies"] == 2
 
 
-@pytest.mark.parametrize("bad", [{"origin": "https://f.se"}, {"url": "http://e.se/x"}, {"url": "https://f.se/x"}, {"url": "https://u@e.se/x"}, {"url": None}, {"url": O + "/" + "x" * 2048}])
+@pytest.mark.parametrize(
+    "bad",
+    [
+        {"origin": "https://f.se"}, {"url": "http://e.se/x"}, {"url": "https://f.se/x"}, {"url": "https://u@e.se/x"}, {"url": None},
+        {"url": O + "/" + "x" * 2048},
+    ],
+)
 def test_other_pages_are_refused(spark, bad):
     page, seen = told(evidence(spark, title="t" * 161, **bad))
     assert page is None and seen["refused"] == 1 and seen["names"] == 0
@@ -96,13 +113,21 @@ def test_locale_order(spark):
     df = spark.createDataFrame([(n,) for n in names], "name string")
     found = {r["name"]: r["place"] for r in ranking.in_locale_order(df, "name").collect()}
     assert sorted(found, key=found.get) == [None, "", "_y", "-x", "a", "A", "å", "ä", "b", "e", "É", "f", "z", "Z"]
-    targets = spark.createDataFrame([(1, u, "link", "f", 5) for u in ("/b", "/B", "/a", "/ä", "/z")], "k int, url string, source string, family string, score int")
+    targets = spark.createDataFrame(
+        [(1, u, "link", "f", 5) for u in ("/b", "/B", "/a", "/ä", "/z")], "k int, url string, source string, family string, score int",
+    )
     assert [r["url"] for r in ranking.frontier(targets, ["k"]).orderBy("rank").collect()] == ["/a", "/ä", "/b", "/B", "/z"]
     assert spark.range(1).select(values.locale(F.lit("a")) < values.locale(F.lit("B"))).first()[0]
 
 
-SAFE = ["a+b?", "(?:ab)+c", "(a|b)c*", r"(?<id>\d{1,9})-(?:x|y)?", "[(a+)]*b", r"\(a+\)*", "(?:[a-z+*])+", "((a))*", "x{100}", "a{2,}b{3,5}", "(?:a|b){3}", "R+(R)*"]
-UNSAFE = ["(a+)+", "(?:a+b?)*", "(a|a)*b", "(?:a|ab)*c", "((a+))*", "(?:(?:a?)b)+", "(a{2}){1,}", "(x(y|z)w){2,}", "a{101}", "a{1,101}", r"(a)\1", "(?=a)", "(?<!a)b", "(", "", "a" * 201, r"(?<n>a*)+", "(?:\\d+|[a]){3,}"]
+SAFE = [
+    "a+b?", "(?:ab)+c", "(a|b)c*", r"(?<id>\d{1,9})-(?:x|y)?", "[(a+)]*b", r"\(a+\)*", "(?:[a-z+*])+", "((a))*", "x{100}", "a{2,}b{3,5}",
+    "(?:a|b){3}", "R+(R)*",
+]
+UNSAFE = [
+    "(a+)+", "(?:a+b?)*", "(a|a)*b", "(?:a|ab)*c", "((a+))*", "(?:(?:a?)b)+", "(a{2}){1,}", "(x(y|z)w){2,}", "a{101}", "a{1,101}", r"(a)\1", "(?=a)",
+    "(?<!a)b", "(", "", "a" * 201, r"(?<n>a*)+", "(?:\\d+|[a]){3,}",
+]
 
 
 @pytest.mark.parametrize("pattern", SAFE)

@@ -39,13 +39,17 @@ def test_aliases_are_no_closure(spark):
 
 def test_upsert_keeps_the_earliest(spark):
     schema = "k int, at int, name string, tags array<string>"
-    old, new = spark.createDataFrame([(1, 5, "a", ["x"]), (2, 1, "b", None)], schema), spark.createDataFrame([(1, 7, None, ["x", "y"]), (3, 2, "c", [])], schema)
+    old, new = spark.createDataFrame([(1, 5, "a", ["x"]), (2, 1, "b", None)], schema), spark.createDataFrame(
+        [(1, 7, None, ["x", "y"]), (3, 2, "c", [])], schema,
+    )
     rows = {r["k"]: tuple(r)[1:] for r in ledger.upsert(old, new, ["k"], ["at"], ["tags"]).collect()}
     assert rows == {1: (5, "a", ["x", "y"]), 2: (1, "b", []), 3: (2, "c", [])}
 
 
 @pytest.mark.parametrize("termination, observed, resolved, unresolved, want", [
-    ("explicit_end", 1, 1, 0, ("complete", 1, 0)), ("stable_end", 0, 0, 0, ("complete", 0, 0)), ("page_cap", 1, 1, 0, ("partial", 1, 0)), ("explicit_end", 3, 2, 1, ("partial", 2, 1)),
+    (
+        "explicit_end", 1, 1, 0, ("complete", 1, 0),
+    ), ("stable_end", 0, 0, 0, ("complete", 0, 0)), ("page_cap", 1, 1, 0, ("partial", 1, 0)), ("explicit_end", 3, 2, 1, ("partial", 2, 1)),
     ("explicit_end", 1, 2, 0, ("partial", 0, 1)), ("explicit_end", 10_001, 10_000, 0, ("partial", 0, 10_000)), ("explicit_end", None, 0, 0, ("partial", 0, 0)),
 ])
 def test_proof(spark, termination, observed, resolved, unresolved, want):
@@ -55,10 +59,16 @@ def test_proof(spark, termination, observed, resolved, unresolved, want):
 
 
 def test_walk(spark):
-    pages = [("end", 0, True, "a"), ("end", 1, False, None), ("loop", 0, True, "a"), ("loop", 1, True, "a"), ("fail", 0, True, " "), ("gone", 0, True, "z"), ("cap", 0, True, "a"), ("cap", 1, True, "b"), ("cap", 2, True, "c"), ("cap", 3, False, "")]
+    pages = [
+        ("end", 0, True, "a"), ("end", 1, False, None), ("loop", 0, True, "a"), ("loop", 1, True, "a"), ("fail", 0, True, " "),
+        ("gone", 0, True, "z"), ("cap", 0, True, "a"), ("cap", 1, True, "b"), ("cap", 2, True, "c"), ("cap", 3, False, ""),
+    ]
     df = spark.createDataFrame(pages, "s string, seq int, more boolean, state string")
     rows = retrieval.walked(df, "s", "seq", F.col("more"), F.col("state"), F.lit(1), 3).collect()
-    assert {r["s"]: (r["termination"], r["n_pages"]) for r in rows} == {"end": ("explicit_end", 2), "loop": ("repeated_state", 2), "fail": ("continuation_failed", 1), "gone": ("continuation_failed", 1), "cap": ("page_cap", 3)}
+    assert {r["s"]: (r["termination"], r["n_pages"]) for r in rows} == {
+        "end": ("explicit_end", 2), "loop": ("repeated_state", 2), "fail": ("continuation_failed", 1), "gone": ("continuation_failed", 1),
+        "cap": ("page_cap", 3),
+    }
 
 
 def test_scopes_are_bounded(spark):
@@ -99,9 +109,18 @@ def test_transforms(spark):
 
 
 def test_recipe(spark):
-    body = json.dumps({"data": {"invoices": [{"id": "in_1", "total": 4762, "end": "2026-06-14T00:00:00Z"}, {"id": " ", "total": 1}, {"id": "in_2", "total": 2000, "end": None}]}})
+    body = json.dumps(
+        {
+            "data": {
+                "invoices": [{"id": "in_1", "total": 4762, "end": "2026-06-14T00:00:00Z"}, {"id": " ", "total": 1}, {"id": "in_2", "total": 2000, "end": None}]
+            }
+        }
+    )
     E = recipe.Extract
-    shape = recipe.Recipe("rail", "json", "data.invoices", {"id": E("id"), "total": E("total", [{"kind": "divide", "by": 100}]), "issuedAt": E("end", [{"kind": "date"}])})
+    shape = recipe.Recipe(
+        "rail", "json", "data.invoices",
+        {"id": E("id"), "total": E("total", [{"kind": "divide", "by": 100}]), "issuedAt": E("end", [{"kind": "date"}])},
+    )
     found, bad = recipe.refs(shape, spark.createDataFrame([(1, body), (2, "{no json"), (3, None)], "src int, body string"))
     assert [(r["id"], r["total"], r["issuedAt"]) for r in found.orderBy("pos").collect()] == [("in_1", "47.62", "2026-06-14"), ("in_2", "20.00", None)]
     assert [(r["pos"], r["cause"]) for r in bad.collect()] == [(1, "schema_invalid")]
@@ -129,7 +148,10 @@ def test_private_data(spark):
 
 
 def deliveries(spark, *rows):
-    return spark.createDataFrame([(o, k, s, d, p, t, f"doc {p}") for o, k, s, d, p, t in rows], "owner string, key string, source string, destination string, path string, updated long, text string")
+    return spark.createDataFrame(
+        [(o, k, s, d, p, t, f"doc {p}") for o, k, s, d, p, t in rows],
+        "owner string, key string, source string, destination string, path string, updated long, text string",
+    )
 
 
 def told(receipts):
@@ -142,7 +164,10 @@ def test_delivery_is_idempotent(spark, tmp_path):
     fresh, again = (True, False, None), (True, True, None)
     for _ in range(2):  # the second time is the same batch, tried again
         assert told(sinks.deliver(one, root, 1)) == {("o", "a"): fresh, ("o", "b"): fresh}
-    two = deliveries(spark, ("o", "a", "s", "d", "new", 9), ("o", "b", "s", "d2", "pb2", 9), ("o", "c", "s", "d", "pc", 9), ("p", "a", "s", "d", "x", 9), ("o", "b", "t", "d", "y", 10))
+    two = deliveries(
+        spark, ("o", "a", "s", "d", "new", 9), ("o", "b", "s", "d2", "pb2", 9), ("o", "c", "s", "d", "pc", 9), ("p", "a", "s", "d", "x", 9),
+        ("o", "b", "t", "d", "y", 10),
+    )
     for _ in range(2):
         assert told(sinks.deliver(two, root, 2)) == {("o", "a"): again, ("o", "b"): fresh, ("o", "c"): fresh, ("p", "a"): fresh}
     assert sorted(r["path"] for r in spark.read.parquet(f"{root}/documents").collect()) == ["pa", "pb", "pb2", "pc", "x"]
@@ -174,7 +199,9 @@ def test_journal_keeps_its_cap_and_reads_its_own_buckets(spark, tmp_path):
     root = f"file://{tmp_path}/sink"
     sinks.deliver(deliveries(spark, *[("o", f"a{i}", "s", "d", f"a{i}", i) for i in range(5)], ("q", "z", "s", "d", "z", 1)), root, 1, cap=4)
     assert sorted(r["identity"] for r in sinks.journal(spark, root).where("owner = 'o'").collect()) == ["a0", "a1", "a2", "a3"]
-    found = told(sinks.deliver(deliveries(spark, *[("o", f"b{i}", "s", "d", f"b{i}", 10 + i) for i in range(6)], ("o", "a3", "s", "d", "x", 20)), root, 2, cap=4))
+    found = told(
+        sinks.deliver(deliveries(spark, *[("o", f"b{i}", "s", "d", f"b{i}", 10 + i) for i in range(6)], ("o", "a3", "s", "d", "x", 20)), root, 2, cap=4)
+    )
     assert {k for (_, k), (ok, *_) in found.items() if not ok} == {"b3", "b4", "b5"} and found["o", "a3"] == (True, True, None)
     state = lambda: sorted((r["owner"], r["identity"], r["status"]) for r in sinks.journal(spark, root).collect())
     want = [("o", "a3", "committed"), ("o", "b0", "committed"), ("o", "b1", "committed"), ("o", "b2", "committed"), ("q", "z", "committed")]
@@ -191,15 +218,37 @@ def test_journal_keeps_its_cap_and_reads_its_own_buckets(spark, tmp_path):
 
 def test_journal_conflicts_and_foreign_entries(spark):
     entry = "owner string, identity string, source string, destination string, path string, status string, updated long"
-    old = spark.createDataFrame([("o", "a", "s", "d", "p", "pending", 1), ("o", "b", "s", "d", "p", "committed", 2), (None, "a", "s", "d", "p", "pending", 3), ("o", "old", None, "d", "p", "committed", 4)], entry)
-    new = spark.createDataFrame([("o", "b", "t", "d", "n", 9), (None, "a", "s", "d", "n", 9), ("o", "old", "s", "d", "n", 9)], "owner string, identity string, source string, destination string, path string, updated long")
+    old = spark.createDataFrame(
+        [
+            ("o", "a", "s", "d", "p", "pending", 1), ("o", "b", "s", "d", "p", "committed", 2), (None, "a", "s", "d", "p", "pending", 3),
+            ("o", "old", None, "d", "p", "committed", 4),
+        ],
+        entry,
+    )
+    new = spark.createDataFrame(
+        [("o", "b", "t", "d", "n", 9), (None, "a", "s", "d", "n", 9), ("o", "old", "s", "d", "n", 9)],
+        "owner string, identity string, source string, destination string, path string, updated long",
+    )
     journal, refused = views.prepare_deliveries(old, new, "owner")
     assert [tuple(r) for r in refused.collect()] == [("o", "b", "supplier")]
-    assert sorted(map(repr, map(tuple, journal.collect()))) == sorted(map(repr, [("o", "a", "s", "d", "p", "pending", 1), ("o", "b", "s", "d", "p", "committed", 2), (None, "a", "s", "d", "p", "pending", 3), ("o", "old", "s", "d", "p", "committed", 4)]))
-    done = spark.createDataFrame([("o", "a", "d", "other", 5), ("o", "x", "d", "p", 5), (None, "a", "d", "p", 5)], "owner string, identity string, destination string, path string, updated long")
+    assert sorted(map(repr, map(tuple, journal.collect()))) == sorted(
+        map(
+            repr,
+            [
+                ("o", "a", "s", "d", "p", "pending", 1), ("o", "b", "s", "d", "p", "committed", 2), (None, "a", "s", "d", "p", "pending", 3),
+                ("o", "old", "s", "d", "p", "committed", 4),
+            ],
+        )
+    )
+    done = spark.createDataFrame(
+        [("o", "a", "d", "other", 5), ("o", "x", "d", "p", 5), (None, "a", "d", "p", 5)],
+        "owner string, identity string, destination string, path string, updated long",
+    )
     after, conflicts = views.commit_deliveries(old, done, "owner")
     assert sorted(map(tuple, conflicts.collect())) == [("o", "a", "changed"), ("o", "x", "missing")]
-    assert {(r["owner"], r["identity"]): r["status"] for r in after.collect()} == {("o", "a"): "pending", ("o", "b"): "committed", (None, "a"): "committed", ("o", "old"): "committed"}
+    assert {(r["owner"], r["identity"]): r["status"] for r in after.collect()} == {
+        ("o", "a"): "pending", ("o", "b"): "committed", (None, "a"): "committed", ("o", "old"): "committed",
+    }
 
 
 @pytest.mark.parametrize("files", [1, 3])
@@ -219,7 +268,9 @@ def test_leases_end(spark, tmp_path, files):
     rows.sort(key=lambda r: (r[1], r[2]))
     for k in range(files):
         part = rows[len(rows) * k // files : len(rows) * (k + 1) // files]
-        spark.createDataFrame([(key, base + dt.timedelta(seconds=s), i) for key, s, i in part], "key string, ts timestamp, id long").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        spark.createDataFrame(
+            [(key, base + dt.timedelta(seconds=s), i) for key, s, i in part], "key string, ts timestamp, id long",
+        ).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     stream = spark.readStream.schema("key string, ts timestamp, id long").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
     run = state.leased(stream, ["key"], ties=["id"]).writeStream.format("memory").queryName(f"leases{files}").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
@@ -267,7 +318,9 @@ def test_folds_of_hot_keys(spark):
         b = buffers[k] = [x for x in buffers.get(k, []) if x[1] != key] + [(pos, key, size)]
         while len(b) > 12 or sum(x[2] for x in b) > 768_000:
             b.pop(0)
-    assert sorted((r["k"], r["pos"]) for r in views.capture_buffer(df, ["k"], "pos", "key", "size").collect()) == sorted((k, x[0]) for k, b in buffers.items() for x in b)
+    assert sorted(
+        (r["k"], r["pos"]) for r in views.capture_buffer(df, ["k"], "pos", "key", "size").collect()
+    ) == sorted((k, x[0]) for k, b in buffers.items() for x in b)
     memory: dict = {}
     for k, pos, key, _, size in rows:
         route, previous, misses = memory.get(k, (None, None, 0))
@@ -283,4 +336,6 @@ def test_folds_of_nulls_and_nothing(spark):
     df = spark.createDataFrame([(None, 1, "a", None), (None, 2, "a", ["b"]), ("x", 1, "b", ["b"])], "k string, pos long, key string, aliases array<string>")
     # a null scope joins nothing, so its refs are not folded and none is lost
     assert sorted((str(r["k"]), r["pos"]) for r in identity.emitted_once(df, ["k"]).collect()) == [("None", 1), ("None", 2), ("x", 1)]
-    assert identity.emitted_once(df.limit(0), ["k"]).collect() == [] == views.capture_buffer(df.limit(0).withColumn("size", F.lit(1)), ["k"], "pos", "key", "size").collect()
+    assert identity.emitted_once(df.limit(0), ["k"]).collect() == [] == views.capture_buffer(
+        df.limit(0).withColumn("size", F.lit(1)), ["k"], "pos", "key", "size",
+    ).collect()
