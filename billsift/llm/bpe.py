@@ -559,7 +559,10 @@ def default_tokenizer() -> str:
 
 
 def digests(docs: DataFrame, ids: Column, decoded: Column) -> DataFrame:
-    return docs.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), common.lines_sha256(ids.cast("array<string>")).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
+    return docs.select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"), common.lines_sha256(ids.cast("array<string>")).alias("ids_sha256"),
+        F.sha2(decoded, 256).alias("decoded_sha256"),
+    )
 
 
 def encode_and_decode(docs: DataFrame, tokenizer: str | None = None, text: str = "text") -> DataFrame:

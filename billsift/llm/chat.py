@@ -50,13 +50,19 @@ def first_differences(rows: DataFrame) -> DataFrame:
     """
     told = F.struct("role", F.sha2("text", 256).alias("text"))
     turns = rows.groupBy("pair", "side", "turn").agg(F.array_sort(F.collect_list(told)).alias("told"))
-    chunks = turns.groupBy("pair", "side", F.floor(F.col("turn") / CHUNK_TURNS).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("turn", "told"))).alias("turns"))
+    chunks = turns.groupBy("pair", "side", F.floor(F.col("turn") / CHUNK_TURNS).alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "told"))).alias("turns")
+    )
     before = Window.partitionBy("pair", "side").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    each = chunks.withColumn("before", F.coalesce(F.sum(F.size("turns")).over(before), F.lit(0))).select("pair", "side", "before", F.posexplode("turns").alias("i", "t"))
+    each = chunks.withColumn(
+        "before", F.coalesce(F.sum(F.size("turns")).over(before), F.lit(0)),
+    ).select("pair", "side", "before", F.posexplode("turns").alias("i", "t"))
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("t"))).alias(side)
     both = each.groupBy("pair", (F.col("before") + F.col("i")).alias("place")).agg(of("chosen"), of("rejected"))
     differs = ~F.col("chosen.told").eqNullSafe(F.col("rejected.told"))
-    first = both.groupBy("pair").agg(F.min_by(F.struct(F.col("chosen.turn").alias("a"), F.col("rejected.turn").alias("b")), F.when(differs, F.col("place"))).alias("at"))
+    first = both.groupBy("pair").agg(
+        F.min_by(F.struct(F.col("chosen.turn").alias("a"), F.col("rejected.turn").alias("b")), F.when(differs, F.col("place"))).alias("at")
+    )
     return first.select("pair", F.col("at.a").alias("chosen"), F.col("at.b").alias("rejected"))
 
 
@@ -69,7 +75,9 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, id: str = "pair_i
     `unknown`, a null text is empty, a null id is a pair like any other. Other columns of the inputs are not used.
     """
     rows = _rows(chosen, rejected, id, turn, role, text)
-    chunks = rows.groupBy("pair", F.floor(F.col("turn") / CHUNK_TURNS).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "side"))).alias("turns"))
+    chunks = rows.groupBy("pair", F.floor(F.col("turn") / CHUNK_TURNS).alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text", "side"))).alias("turns")
+    )
     first = first_differences(rows).select(F.col("pair").alias("_pair"), F.col("chosen").alias("_chosen"), F.col("rejected").alias("_rejected"))
     split = chunks.join(first, F.col("pair").eqNullSafe(F.col("_pair")))
     common = lambda x, side: F.coalesce(x["turn"] < F.col(f"_{side}"), F.lit(True))
@@ -85,9 +93,14 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, id: str = "pair_i
 
     joined = lambda s: F.array_join(F.transform(s, _rendered), "").alias(s)
     mask = lambda s: F.aggregate(s, start, step, lambda acc: acc["mask"]).alias(f"{s}_mask")
-    made = parts.select("pair", "chunk", F.size("prompt").cast("long").alias("n"), joined("prompt"), joined("chosen"), mask("chosen"), joined("rejected"), mask("rejected"))
+    made = parts.select(
+        "pair", "chunk", F.size("prompt").cast("long").alias("n"), joined("prompt"), joined("chosen"), mask("chosen"), joined("rejected"),
+        mask("rejected"),
+    )
     before = Window.partitionBy("pair").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    shifted = lambda s: F.transform(f"{s}_mask", lambda m: F.struct(*[(m[k] + F.col(f"{s}_at")).alias(k) for k in ("start", "end")])).alias(f"{s}_mask")
+    shifted = lambda s: F.transform(
+        f"{s}_mask", lambda m: F.struct(*[(m[k] + F.col(f"{s}_at")).alias(k) for k in ("start", "end")]),
+    ).alias(f"{s}_mask")
     placed = made.withColumns({f"{s}_at": F.coalesce(F.sum(F.length(s)).over(before), F.lit(0)) for s in ("chosen", "rejected")})
     moved = placed.select("pair", "n", F.struct("chunk", "prompt", "chosen", shifted("chosen"), "rejected", shifted("rejected")).alias("part"))
     whole = moved.groupBy("pair").agg(F.sum("n").alias("n_prompt_turns"), F.array_sort(F.collect_list("part")).alias("parts"))
@@ -101,7 +114,9 @@ def reply_swaps(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     twin has its last assistant turn replaced by that of the conversation next to it (ids 2k and 2k+1 are neighbours;
     an empty reply if that has none)."""
     turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    last = turns.where((F.col("role") == LEARNT) & F.col("turn").isNotNull()).groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
+    last = turns.where((F.col("role") == LEARNT) & F.col("turn").isNotNull()).groupBy("pair_id").agg(
+        F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last")
+    )
     own = last.select("pair_id", F.col("last.turn").alias("_turn"))
     other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("last.text").alias("_text"))
     swap = (F.col("role") == LEARNT) & (F.col("turn") == F.col("_turn"))

@@ -38,8 +38,12 @@ OTHER, MAIN = 0, 1
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title template iframe noembed noframes".split())
 ENDLESS = frozenset("script style textarea title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img svg math object canvas noscript".split())
-CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img svg math object canvas noscript".split()
+)
+CLOSES_P = frozenset(
+    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
+)
 # Drawings and formulas lie within a line; HTML's own tags end them, but for those in the parts that may hold HTML.
 FOREIGN, HOSTS = frozenset("svg math".split()), frozenset("foreignobject annotation-xml".split())
 ENDS_FOREIGN = CLOSES_P | frozenset("b big body br center code dd dt em embed head i img li meta nobr ruby s small span strong strike sub sup tt u var".split())
@@ -48,7 +52,9 @@ UNSHOWN = frozenset("annotation annotation-xml defs desc metadata symbol".split(
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table article section div main aside nav body form".split())
 # Tags that features name; all others are one kind to them.
-NAMED = VOID | RAW | INLINE | CLOSES_P | ENDS_FOREIGN | frozenset("html head body button label select option optgroup legend tr td th thead tbody tfoot caption colgroup video audio picture iframe template slot dialog output progress meter".split())
+NAMED = VOID | RAW | INLINE | CLOSES_P | ENDS_FOREIGN | frozenset(
+    "html head body button label select option optgroup legend tr td th thead tbody tfoot caption colgroup video audio picture iframe template slot dialog output progress meter".split()
+)
 ABRUPT, COMMENT_END = re.compile("-?>"), re.compile("--!?>")
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 QUOTE_OR_END = re.compile("[\"'>]")
@@ -69,7 +75,9 @@ class Node:
 
     def __init__(self, parent: Node | None, tag: str | None, names: Sequence[str]):
         self.parent, self.total = parent, None
-        self.tag, self.above, self.tags, self.before, self.named = ("-", None, frozenset(), frozenset(), False) if parent is None else (parent.tag, parent.above, parent.tags, parent.before, parent.named)
+        self.tag, self.above, self.tags, self.before, self.named = ("-", None, frozenset(), frozenset(), False) if parent is None else (
+            parent.tag, parent.above, parent.tags, parent.before, parent.named,
+        )
         added = [f"name:{x}" for x in names]
         if tag is not None:
             self.above, self.before = self.tag if parent is not None and self.tags else None, self.tags
@@ -395,14 +403,33 @@ def train(pages: Sequence[tuple[Sequence[Block], Sequence[int]]], steps: int = S
 
 
 # What pages call their parts.
-ARTICLE = ("article", "main", "section class=post-body", "div class=content", "div class='article-body'", "div id=story", "div class='post entry'", "div class='entry-content'", "div role=main", "div itemprop=articleBody", "div class='page text'", "div")
-SIDE = ("aside", "div class=sidebar", "div id=secondary", "div class='widget related'", "section class=related-posts", "div class='recommended links'", "div class=popular", "aside class=trending")
-NOTICE = ("div class=cookie-banner", "div id=cookie-notice", "div role=alert", "div class='gdpr consent'", "section class=notice", "div class='notification bar'", "div class=alert", "div class='newsletter signup'", "div id=subscribe", "div class=paywall", "dialog", "div class=modal", "div class='popup overlay'")
-ADVERT = ("div class=ad", "div class='ads sponsored'", "div id=banner-ad", "aside class=promo", "div class=advertisement", "section class=sponsor", "div class='promoted box'", "ins class=adsbygoogle")
-COMMENT = ("section id=comments", "div class=comments", "div class='comment-list'", "ol class=commentlist", "div id=disqus_thread", "div class='reader-comments'", "section class=discussion", "ul class=replies")
+ARTICLE = (
+    "article", "main", "section class=post-body", "div class=content", "div class='article-body'", "div id=story", "div class='post entry'",
+    "div class='entry-content'", "div role=main", "div itemprop=articleBody", "div class='page text'", "div",
+)
+SIDE = (
+    "aside", "div class=sidebar", "div id=secondary", "div class='widget related'", "section class=related-posts", "div class='recommended links'",
+    "div class=popular", "aside class=trending",
+)
+NOTICE = (
+    "div class=cookie-banner", "div id=cookie-notice", "div role=alert", "div class='gdpr consent'", "section class=notice",
+    "div class='notification bar'", "div class=alert", "div class='newsletter signup'", "div id=subscribe", "div class=paywall", "dialog",
+    "div class=modal", "div class='popup overlay'",
+)
+ADVERT = (
+    "div class=ad", "div class='ads sponsored'", "div id=banner-ad", "aside class=promo", "div class=advertisement", "section class=sponsor",
+    "div class='promoted box'", "ins class=adsbygoogle",
+)
+COMMENT = (
+    "section id=comments", "div class=comments", "div class='comment-list'", "ol class=commentlist", "div id=disqus_thread",
+    "div class='reader-comments'", "section class=discussion", "ul class=replies",
+)
 HEAD = ("header", "div class=header", "div id=masthead", "div class=topbar", "header role=banner")
 FOOT = ("footer", "div class=footer", "div id=site-footer", "footer role=contentinfo", "div class=copyright")
-MENU = ("nav", "div class=menu", "ul class=nav", "div class=breadcrumbs", "div role=navigation", "nav class='pagination'", "div class='share social'", "div class=tags", "nav id=toc")
+MENU = (
+    "nav", "div class=menu", "ul class=nav", "div class=breadcrumbs", "div role=navigation", "nav class='pagination'", "div class='share social'",
+    "div class=tags", "nav id=toc",
+)
 
 
 def labelled_pages(count: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[str, list[int]]]:
@@ -442,7 +469,14 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[
             return within(rng.choice(MENU), items if rng.random() < 0.5 else f"<ul>{items}</ul>")
 
         def side() -> str:
-            return within(rng.choice(SIDE), block(rng.choice(["h2", "h3", "h4"]), words(2), OTHER) + "".join(block(rng.choice(["li", "p"]), rng.choice([f"<a href=#>{words(rng.randint(2, 9))}</a>", sentence(rng.randint(4, 20))]), OTHER) for _ in range(rng.randint(1, 6))))
+            return within(
+                rng.choice(SIDE),
+                block(rng.choice(["h2", "h3", "h4"]), words(2), OTHER) + "".join(
+                    block(
+                        rng.choice(["li", "p"]), rng.choice([f"<a href=#>{words(rng.randint(2, 9))}</a>", sentence(rng.randint(4, 20))]), OTHER,
+                    ) for _ in range(rng.randint(1, 6))
+                ),
+            )
 
         def notice() -> str:
             inner = "".join(block(rng.choice(["p", "p", "div", "h3"]), sentence(rng.randint(3, 25)), OTHER) for _ in range(rng.randint(1, 2)))
@@ -450,14 +484,29 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[
 
         def advert() -> str:
             tag = rng.choice(ADVERT)
-            return block(tag, rng.choice([sentence, words])(rng.randint(2, 25)), OTHER) if rng.random() < 0.6 else within(tag, block(rng.choice(["p", "div", "h4"]), sentence(rng.randint(3, 25)), OTHER))
+            return block(tag, rng.choice([sentence, words])(rng.randint(2, 25)), OTHER) if rng.random() < 0.6 else within(
+                tag, block(rng.choice(["p", "div", "h4"]), sentence(rng.randint(3, 25)), OTHER),
+            )
 
         def form() -> str:
-            return within("form" + rng.choice(["", " class=search", " id=contact"]), block("p", f"<label>{words(2)}</label><input name=q>", OTHER) + (block("button", words(1), OTHER) if rng.random() < 0.7 else ""))
+            return within(
+                "form" + rng.choice(["", " class=search", " id=contact"]),
+                block("p", f"<label>{words(2)}</label><input name=q>", OTHER) + (block("button", words(1), OTHER) if rng.random() < 0.7 else ""),
+            )
 
         def comments() -> str:
-            each = "".join(within(rng.choice(["div class=comment", "li class=comment", "article class=comment", "div"]), block(rng.choice(["p class=author", "h4", "div class=meta"]), words(2), OTHER) + "".join(block("p", prose(), OTHER) for _ in range(rng.randint(1, 2)))) for _ in range(rng.randint(1, 4)))
-            return within(rng.choice(COMMENT), (block(rng.choice(["h2", "h3"]), words(2), OTHER) if rng.random() < 0.7 else "") + each + (form() if rng.random() < 0.4 else ""))
+            each = "".join(
+                within(
+                    rng.choice(["div class=comment", "li class=comment", "article class=comment", "div"]),
+                    block(
+                        rng.choice(["p class=author", "h4", "div class=meta"]), words(2), OTHER,
+                    ) + "".join(block("p", prose(), OTHER) for _ in range(rng.randint(1, 2))),
+                ) for _ in range(rng.randint(1, 4))
+            )
+            return within(
+                rng.choice(COMMENT),
+                (block(rng.choice(["h2", "h3"]), words(2), OTHER) if rng.random() < 0.7 else "") + each + (form() if rng.random() < 0.4 else ""),
+            )
 
         def article() -> str:
             inner = ""
@@ -467,7 +516,9 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[
             for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 9, 14, 40])):
                 r = rng.random()
                 if r < 0.7:
-                    inner += f"<p><b>{prose()}<br>" if rng.random() < 0.15 and not label.append(MAIN) else block("p", prose() + rng.choice(["", "", f" <a href=#>{words(2)}</a>", f" <em>{words(1)}</em>"]), MAIN)
+                    inner += f"<p><b>{prose()}<br>" if rng.random() < 0.15 and not label.append(MAIN) else block(
+                        "p", prose() + rng.choice(["", "", f" <a href=#>{words(2)}</a>", f" <em>{words(1)}</em>"]), MAIN,
+                    )
                 elif r < 0.78:
                     inner += block(rng.choice(["h2", "h3"]), words(rng.randint(1, 6)), MAIN)
                 elif r < 0.86:
@@ -487,13 +538,21 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[
             return within(rng.choice(ARTICLE), inner)
 
         page = "<!DOCTYPE html><html><head><title>x</title><style>p{margin:0}</style></head><body>"
-        before = [menu, advert, notice, side, form, lambda: within(rng.choice(HEAD), (block(rng.choice(["h1", "p", "div", "a"]), words(3), OTHER) if rng.random() < 0.6 else "") + (menu() if rng.random() < 0.6 else ""))]
+        before = [
+            menu, advert, notice, side, form,
+            lambda: within(
+                rng.choice(HEAD),
+                (block(rng.choice(["h1", "p", "div", "a"]), words(3), OTHER) if rng.random() < 0.6 else "") + (menu() if rng.random() < 0.6 else ""),
+            ),
+        ]
         after = [comments, side, menu, advert, notice, form]
         page += "".join(rng.choice(before)() for _ in range(rng.choice([0, 1, 2, 2, 3, 4])))
         page += article()
         page += "".join(rng.choice(after)() for _ in range(rng.choice([0, 0, 1, 2, 3])))
         if rng.random() < 0.85:
-            page += within(rng.choice(FOOT), rng.choice(["", "&copy; "]) + words(rng.randint(2, 15)) + rng.choice(["", " &middot; " + sentence(12)])) if not label.append(OTHER) else ""
+            page += within(
+                rng.choice(FOOT), rng.choice(["", "&copy; "]) + words(rng.randint(2, 15)) + rng.choice(["", " &middot; " + sentence(12)]),
+            ) if not label.append(OTHER) else ""
         pages.append((page, label))
     return pages
 

@@ -71,7 +71,10 @@ def _class(score: Column) -> Column:
     return (F.signum(score) * F.floor(F.log2(F.abs(score) + 1.0) * CLASSES)).cast("int")
 
 
-def ranked(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED) -> DataFrame:
+def ranked(
+    docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS,
+    seed: int = SEED,
+) -> DataFrame:
     """One row a row of `docs`: its id, n_words, n_features, weight, score and rank (null if not drawn).
 
     Of the rows with at least `least_words` words, `percent` in a hundred are drawn (rounded down), by score, then id
@@ -85,7 +88,9 @@ def ranked(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "
     weight = F.aggregate(buckets_column(F.col("words")), F.lit(0).cast("long"), lambda sum_, b: sum_ + F.element_at(gain, b + 1))
     n = F.size("words")
     scored = words.select(
-        "id", n.cast("long").alias("n_words"), sum((F.greatest(n - k, F.lit(0)) for k in range(1, RUN)), n).cast("long").alias("n_features"), weight.alias("weight"),
+        "id", n.cast("long").alias("n_words"), sum(
+            (F.greatest(n - k, F.lit(0)) for k in range(1, RUN)), n,
+        ).cast("long").alias("n_features"), weight.alias("weight"),
         F.floor(-1000.0 * F.log(-F.log((F.col("h") + 0.5) / 4294967296.0))).alias("noise"), F.monotonically_increasing_id().alias("row"),
     ).withColumn("score", F.col("weight") + F.col("noise")).drop("noise")
     scored = common.written(scored, "scored")
@@ -110,7 +115,9 @@ def ranked(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "
     placed = numbered.join(F.broadcast(starts), F.shiftright("at", 33) == F.col("range"))
     rank = F.col("before") + F.col("at").bitwiseAND(F.lit(2**33 - 1)) + 1
     columns = [F.col("id").alias(id), "n_words", "n_features", "weight", "score"]
-    return placed.select(*columns, F.when(rank <= drawn, rank).alias("rank")).unionByName(scored.where(~high).select(*columns, F.lit(None).cast("long").alias("rank")))
+    return placed.select(*columns, F.when(rank <= drawn, rank).alias("rank")).unionByName(
+        scored.where(~high).select(*columns, F.lit(None).cast("long").alias("rank"))
+    )
 
 
 def resampled(docs: DataFrame, target: DataFrame, id: str = "doc_id", **options) -> DataFrame:

@@ -160,7 +160,10 @@ def _kept(rows: DataFrame, keys: list[str], top: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def search(docs: DataFrame, queries: DataFrame, id: str = "doc_id", text: str = "text", query_id: str = "item_id", query_text: str = "text", top: int = TOP, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+def search(
+    docs: DataFrame, queries: DataFrame, id: str = "doc_id", text: str = "text", query_id: str = "item_id", query_text: str = "text", top: int = TOP,
+    block_pairs: int = BLOCK_PAIRS,
+) -> DataFrame:
     """For each query the `top` documents with the highest scores above 0: query, doc, score, rank (from 1).
 
     Ids are whole numbers. Rows of one query id are one query with the terms of all; a null id is a query like any

@@ -184,7 +184,9 @@ def beside_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     dealt = rows.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(0)).otherwise(below + 1))
     first = dealt.groupBy("bucket").agg(F.max("id").alias("first"))
     met = sorted((r["bucket"], r["first"]) for r in first.collect())  # a row a range
-    also = [(b, value, met[i + 1][0], False) for i, (b, value) in enumerate(met) if i + 1 < len(met)] + [(met[-1][0], met[-1][1], met[0][0], True) for _ in met[:1]]
+    also = [
+        (b, value, met[i + 1][0], False) for i, (b, value) in enumerate(met) if i + 1 < len(met)
+    ] + [(met[-1][0], met[-1][1], met[0][0], True) for _ in met[:1]]
     heads = F.broadcast(spark.createDataFrame(also, "_of int, _first long, _to int, _late boolean"))
     met_heads = dealt.join(heads, (F.col("bucket") == F.col("_of")) & F.col("id").eqNullSafe(F.col("_first")), "left")
     at = lambda bucket, late, own: F.struct(bucket.alias("bucket"), late.alias("late"), F.lit(own).alias("own"))
@@ -207,7 +209,9 @@ def edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         held: list = []  # the row that waits for its next: bucket, own, id, text, fingerprint
 
         def each(batch):
-            out: dict[str, list] = {c: [] for c in ("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_paragraphs")}
+            out: dict[str, list] = {
+                c: [] for c in ("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_paragraphs")
+            }
             for bucket, own, i, value in zip(*(batch.column(c).to_pylist() for c in ("bucket", "own", "id", "text"))):
                 mark = fingerprint(value)
                 if held and held[0] == bucket and held[1]:

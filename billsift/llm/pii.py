@@ -87,7 +87,10 @@ def running(steps: Column) -> Column:
 def cut(text: Column, pattern: str, where: Column) -> Column:
     """The matches of `pattern` and the texts between them (one more); none where `where` is false."""
     none = F.array().cast("array<string>")
-    return F.struct(F.when(where, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none).alias("hits"), F.when(where, F.split(text, pattern, -1)).otherwise(none).alias("gaps"))
+    return F.struct(
+        F.when(where, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none).alias("hits"),
+        F.when(where, F.split(text, pattern, -1)).otherwise(none).alias("gaps"),
+    )
 
 
 def digits_of(hit: Column) -> Column:
@@ -110,7 +113,10 @@ def is_iban(hit: Column) -> Column:
     """Whether the number, its first four characters moved to its end and letters counted from 10, leaves 1 when divided by 97."""
     plain = F.replace(hit, F.lit(" "), F.lit(""))
     value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
-    rest = F.aggregate(F.split(F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4))), ""), F.lit(0), lambda a, c: (a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
+    rest = F.aggregate(
+        F.split(F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4))), ""), F.lit(0),
+        lambda a, c: (a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97,
+    )
     return rest == 1
 
 
@@ -136,14 +142,33 @@ _address = lambda h: _either(~h.rlike(r"^\.|\.\.|\.@|^.{65}"))
 BASE: dict[str, Source] = {
     "email": ("email", EMAIL, _any, lambda h: F.lit(1), _domain, _address),
     "ip": ("ip", IP, _any, lambda h: _either(is_ip(h)), lambda h: _either(~h.rlike(RESERVED)), lambda h: _either(~h.rlike(r"(?:^|\.)0\d"))),
-    "card": ("card", CARD, lambda h: F.length(digits_of(h)).between(13, 19), lambda h: _either(passes_luhn(digits_of(h))), lambda h: _either(digits_of(h).rlike(ISSUERS)), lambda h: _either(h.rlike(r"^(?:\d+|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})$") & _grouped(digits_of(h)))),
-    "phone": ("phone", PHONE, lambda h: F.length(digits_of(h)).between(7, 17), lambda h: _either(F.length(digits_of(h)).between(9, 15)), lambda h: _either(h.rlike(CALLING)), lambda h: _either(~h.rlike(r"[ ().-]{4}|\([^)]*\(") & _grouped(digits_of(h)))),
+    "card": (
+        "card", CARD, lambda h: F.length(digits_of(h)).between(13, 19), lambda h: _either(passes_luhn(digits_of(h))),
+        lambda h: _either(digits_of(h).rlike(ISSUERS)),
+        lambda h: _either(h.rlike(r"^(?:\d+|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})$") & _grouped(digits_of(h))),
+    ),
+    "phone": (
+        "phone", PHONE, lambda h: F.length(digits_of(h)).between(7, 17), lambda h: _either(F.length(digits_of(h)).between(9, 15)),
+        lambda h: _either(h.rlike(CALLING)), lambda h: _either(~h.rlike(r"[ ().-]{4}|\([^)]*\(") & _grouped(digits_of(h))),
+    ),
 }
 LOOSE: dict[str, Source] = {
     "spelt": ("email", SPELT, _any, lambda h: F.lit(0), lambda h: _either(F.lower(h).rlike(rf"[^a-z](?:{DOMAINS})$")), lambda h: _either(~h.rlike(r"^.{100}"))),
-    "colons": ("ip", COLONS, lambda h: F.length(F.regexp_replace(h, "[^:]", "")) >= 2, lambda h: vote(h.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"), ~h.rlike("::")), lambda h: vote(h.rlike("(?i)^2[0-9a-f]{3}:"), h.rlike("(?i)^(?:fe80|::1|f[cd])")), lambda h: vote(h.rlike("[A-Fa-f]"), h.rlike(r"^\d\d?:\d\d:\d\d$"))),
-    "local": ("phone", LOCAL, lambda h: F.length(digits_of(h)).between(7, 15), lambda h: vote(h.rlike(r"^(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}$"), h.rlike(r"^(?:19|20)\d\d|(?:19|20)\d\d$")), lambda h: vote(h.rlike(r"^\(?0[1-9]"), h.rlike(r"^\(?00")), lambda h: _either(_grouped(digits_of(h)) & ~h.rlike(r"[./].*[ -]|[ -].*[./]"))),
-    "iban": ("iban", IBAN, _any, lambda h: _either(is_iban(h)), lambda h: _either(h.rlike(f"^(?:{BANKS})")), lambda h: _either(h.rlike(r"^\S+$|^\S{4}(?: \S{4})+(?: \S{1,3})?$"))),
+    "colons": (
+        "ip", COLONS, lambda h: F.length(F.regexp_replace(h, "[^:]", "")) >= 2,
+        lambda h: vote(h.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"), ~h.rlike("::")),
+        lambda h: vote(h.rlike("(?i)^2[0-9a-f]{3}:"), h.rlike("(?i)^(?:fe80|::1|f[cd])")),
+        lambda h: vote(h.rlike("[A-Fa-f]"), h.rlike(r"^\d\d?:\d\d:\d\d$")),
+    ),
+    "local": (
+        "phone", LOCAL, lambda h: F.length(digits_of(h)).between(7, 15),
+        lambda h: vote(h.rlike(r"^(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}$"), h.rlike(r"^(?:19|20)\d\d|(?:19|20)\d\d$")),
+        lambda h: vote(h.rlike(r"^\(?0[1-9]"), h.rlike(r"^\(?00")), lambda h: _either(_grouped(digits_of(h)) & ~h.rlike(r"[./].*[ -]|[ -].*[./]")),
+    ),
+    "iban": (
+        "iban", IBAN, _any, lambda h: _either(is_iban(h)), lambda h: _either(h.rlike(f"^(?:{BANKS})")),
+        lambda h: _either(h.rlike(r"^\S+$|^\S{4}(?: \S{4})+(?: \S{1,3})?$")),
+    ),
     "name": ("name", NAME, _any, lambda h: F.lit(1), lambda h: vote(h.rlike(rf"\b(?:{GIVEN})\b")), lambda h: vote(h.rlike(r"\x20\S+\x20"))),
 }
 SOURCES = (*BASE, *LOOSE)
@@ -159,7 +184,9 @@ def _candidates(found: Column, name: str, source: Source) -> Column:
     kind, _, fits, form, gazetteer, shape = source
     hits, gaps = found["hits"], found["gaps"]
     steps = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: (F.length(h) + F.length(g)).cast("long"))
-    rows = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("before"), F.slice(gaps, 2, F.size(hits)).alias("after"), running(steps).alias("at"))
+    rows = F.arrays_zip(
+        hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("before"), F.slice(gaps, 2, F.size(hits)).alias("after"), running(steps).alias("at"),
+    )
 
     def one(x: Column) -> Column:
         hit, before, after = x["hit"], F.right(x["before"], F.lit(CONTEXT)), F.left(x["after"], F.lit(1))
@@ -168,10 +195,21 @@ def _candidates(found: Column, name: str, source: Source) -> Column:
         spaced = lambda words: rf"(?i)(?<!\p{{L}})(?:{words})(?!\p{{L}})"
         n = F.length(digits_of(hit))
         bits = sum((hit.contains(s).cast("int") for s in "-."), hit.contains(" ").cast("int"))
-        votes = [form(hit), gazetteer(hit), vote(before.rlike(spaced(CUES[kind])), before.rlike(spaced(AGAINST))), vote(~left.isin(2, 3) & ~right.isin(2, 3), left.isin(2, 3) & right.isin(2, 3)), shape(hit)]
-        values = {"source": F.lit(SOURCES.index(name)), "before": left, "after": right, "digits": F.when(n == 0, 0).when(n < 7, 1).when(n < 9, 2).when(n < 11, 3).when(n < 13, 4).when(n < 17, 5).otherwise(6), "between": F.when(bits > 1, 4).when(hit.contains(" "), 1).when(hit.contains("-"), 2).when(hit.contains("."), 3).otherwise(0)}
+        votes = [
+            form(hit), gazetteer(hit), vote(before.rlike(spaced(CUES[kind])), before.rlike(spaced(AGAINST))),
+            vote(~left.isin(2, 3) & ~right.isin(2, 3), left.isin(2, 3) & right.isin(2, 3)), shape(hit),
+        ]
+        values = {
+            "source": F.lit(SOURCES.index(name)), "before": left, "after": right,
+            "digits": F.when(n == 0, 0).when(n < 7, 1).when(n < 9, 2).when(n < 11, 3).when(n < 13, 4).when(n < 17, 5).otherwise(6),
+            "between": F.when(bits > 1, 4).when(hit.contains(" "), 1).when(hit.contains("-"), 2).when(hit.contains("."), 3).otherwise(0),
+        }
         votes = [v.cast("int") for v in votes]
-        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.cast("long").alias("start"), (start + F.length(hit)).cast("long").alias("end"), (votes[0] == 1).alias("base") if name in BASE else F.lit(False).alias("base"), F.array(*votes).alias("votes"), F.array(*[values[f].cast("int") if f in values else F.lit(0) for f in FEATURES]).alias("features"))
+        return F.struct(
+            F.lit(KINDS.index(kind)).alias("kind"), start.cast("long").alias("start"), (start + F.length(hit)).cast("long").alias("end"),
+            (votes[0] == 1).alias("base") if name in BASE else F.lit(False).alias("base"), F.array(*votes).alias("votes"),
+            F.array(*[values[f].cast("int") if f in values else F.lit(0) for f in FEATURES]).alias("features"),
+        )
 
     return F.transform(F.filter(rows, lambda x: fits(x["hit"])), one)
 
@@ -187,12 +225,18 @@ def candidates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     """A row a row of `docs`: its id, and all candidate spans of its text."""
     df = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     df = df.withColumn("digit", F.col("text").rlike("[0-9]"))
-    may = {"email": F.contains("text", F.lit("@")), "ip": F.col("digit") & F.contains("text", F.lit(".")), "card": F.col("digit"), "phone": F.col("digit") & F.contains("text", F.lit("+"))}
+    may = {
+        "email": F.contains("text", F.lit("@")), "ip": F.col("digit") & F.contains("text", F.lit(".")), "card": F.col("digit"),
+        "phone": F.col("digit") & F.contains("text", F.lit("+")),
+    }
     df = df.select("id", "text", "digit", *[cut(F.col("text"), BASE[k][1], may[k]).alias(k) for k in BASE])
     df = df.withColumn("rest", _hidden(F.col("email"), F.col("text"), BASE["email"][2]))
     for k in ("phone", "ip", "card"):
         df = df.withColumn("again", cut(F.col("rest"), BASE[k][1], may[k])).withColumn("rest", _hidden(F.col("again"), F.col("rest"), BASE[k][2]))
-    may = {"spelt": F.col("rest").rlike(r"(?i)[\[({]\x20?at\x20?[\])}]"), "colons": F.contains("rest", F.lit(":")), "local": F.col("digit"), "iban": F.col("digit"), "name": F.col("rest").rlike(rf"(?:{TITLES})\.?\x20\p{{Lu}}")}
+    may = {
+        "spelt": F.col("rest").rlike(r"(?i)[\[({]\x20?at\x20?[\])}]"), "colons": F.contains("rest", F.lit(":")), "local": F.col("digit"),
+        "iban": F.col("digit"), "name": F.col("rest").rlike(rf"(?:{TITLES})\.?\x20\p{{Lu}}"),
+    }
     df = df.select("id", *BASE, *[cut(F.col("rest"), LOOSE[k][1], may[k]).alias(k) for k in LOOSE])
     return df.select("id", F.concat(*[_candidates(F.col(k), k, s) for k, s in (BASE | LOOSE).items()]).alias("found"))
 
@@ -266,28 +310,49 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float =
     df = candidates(docs, id, text)
     names, at = list(FEATURES), {"form": 0, "gazetteer": 1, "cue": 2, "shape": 4}
     full = lambda c: F.array(*[c["votes"][at[f]] + 1 if f in at else c["features"][i] for i, f in enumerate(names)])
-    df = df.withColumn("found", F.transform("found", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), pattern_of(c["kind"], c["votes"]).alias("pattern"), full(c).alias("features"))))
+    df = df.withColumn(
+        "found",
+        F.transform(
+            "found",
+            lambda c: F.struct(
+                c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"),
+                pattern_of(c["kind"], c["votes"]).alias("pattern"), full(c).alias("features"),
+            ),
+        ),
+    )
     df = common.written(df, "candidates")
     each = df.where(F.size("found") > 0).select(F.explode("found").alias("c")).select("c.*")
     truth = reliabilities({r["pattern"]: r["count"] for r in each.groupBy("pattern").count().collect()})
-    rows = each.groupBy("features").agg(F.count("*").alias("n"), F.sum(F.round(F.element_at(_literal(truth), F.col("pattern") + 1) * 1e6).cast("long")).alias("label")).collect()
+    rows = each.groupBy("features").agg(
+        F.count("*").alias("n"), F.sum(F.round(F.element_at(_literal(truth), F.col("pattern") + 1) * 1e6).cast("long")).alias("label"),
+    ).collect()
     weights = classifier(sorted((list(r["features"]), r["n"], r["label"] / 1e6) for r in rows))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     cue, form = names.index("cue"), names.index("form")
 
     def judged(c: Column) -> Column:
         score = sum((F.element_at(_literal(ws), c["features"][f] + 1) for f, ws in enumerate(weights)), F.lit(0.0))
-        return F.struct(c["kind"].alias("rank"), F.element_at(kinds, c["kind"] + 1).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), ((c["features"][cue] == 2) | (c["features"][cue] == 1) & (c["features"][form] == 2)).alias("said"), (1 / (1 + F.exp(-score))).alias("likelihood"))
+        return F.struct(
+            c["kind"].alias("rank"), F.element_at(kinds, c["kind"] + 1).alias("kind"), c["start"].alias("start"), c["end"].alias("end"),
+            c["base"].alias("base"), ((c["features"][cue] == 2) | (c["features"][cue] == 1) & (c["features"][form] == 2)).alias("said"),
+            (1 / (1 + F.exp(-score))).alias("likelihood"),
+        )
 
     chosen = F.filter(F.transform("found", judged), lambda c: c["base"] | c["said"] & (c["likelihood"] >= least))
     sorted_ = F.array_sort(F.transform(chosen, lambda c: F.struct(c["rank"], c["start"], c["end"], c["kind"], c["base"], c["likelihood"])))
-    return df.select(F.col("id").alias(id), F.transform(sorted_, lambda c: F.struct(c["kind"], c["start"], c["end"], c["base"], c["likelihood"])).alias("spans"))
+    return df.select(
+        F.col("id").alias(id), F.transform(sorted_, lambda c: F.struct(c["kind"], c["start"], c["end"], c["base"], c["likelihood"])).alias("spans"),
+    )
 
 
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's personal data: base spans counted by kind, with digests, and all spans."""
     found = find(common.documents(spark, sf_dir))
-    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",",
+    )
     base = F.filter("spans", lambda x: x["base"])
     count = lambda kind: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )

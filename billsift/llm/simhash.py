@@ -170,7 +170,9 @@ def components(edges: DataFrame) -> DataFrame:
         now = common.written(step, "links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
+            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(
+                now.select(F.col("a").alias("node"), F.col("a").alias("root"))
+            ).distinct()
         seen = state
 
 
@@ -215,7 +217,10 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id"
         fp, turn = common.fresh(docs, "fp"), common.fresh(docs, "turn")
         again = docs.join(often, docs[id] == often[_id]).withColumn(fp, fingerprint_column(text)).where(F.col(fp) == F.col(_fp))
         out = out.union(again.withColumn(turn, F.row_number().over(Window.partitionBy(id, fp).orderBy(text))).where(F.col(turn) == 1).select(*docs.columns))
-    nameless = common.written(marked.where("id IS NULL").select("fp").distinct().join(classes, "fp").where("component IS NULL").select(F.col("fp").alias(_fp), "root"), "nameless")
+    nameless = common.written(
+        marked.where("id IS NULL").select("fp").distinct().join(classes, "fp").where("component IS NULL").select(F.col("fp").alias(_fp), "root"),
+        "nameless",
+    )
     if not nameless.isEmpty():
         row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
         alone = docs.where(F.col(id).isNull()).select(fingerprint_column(text).alias("fp"), F.coalesce(text, F.lit("")).alias("text"), row)

@@ -23,7 +23,11 @@ def texts(sf_dir):
 def small(spark, tmp_path_factory):
     """Documents with nulls, empty, blank and repeated texts, and an empty benchmark."""
     root = tmp_path_factory.mktemp("small")
-    rows = [(0, None, None, "a", 0), (1, "", "en", None, 0), (2, " \t\n", "en", "a", 3), (3, "the quick brown fox", "en", "a", 19), (4, "the quick brown fox", "en", "a", 19), (5, "x" * 50_000, "de", "b", 50_000), (5, "x" * 50_000, "de", "b", 50_000), (6, "Ünï çödé \U0001f600 ﬁ", "fr", "b", 11)]
+    rows = [
+        (0, None, None, "a", 0), (1, "", "en", None, 0), (2, " \t\n", "en", "a", 3), (3, "the quick brown fox", "en", "a", 19),
+        (4, "the quick brown fox", "en", "a", 19), (5, "x" * 50_000, "de", "b", 50_000), (5, "x" * 50_000, "de", "b", 50_000),
+        (6, "Ünï çödé \U0001f600 ﬁ", "fr", "b", 11),
+    ]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
     spark.createDataFrame([(0, "http://a", None), (1, "http://b", "")], "page_id long, url string, html string").write.parquet(f"{root}/pages.parquet")
@@ -151,13 +155,26 @@ def test_secrets_long_runs_take_linear_time():
 
 
 @pytest.mark.parametrize("page, found", [
-    ('<p>See <a href="/hidden-gems">these gems</a> now</p>', ["See these gems now"]), ('<p aria-hidden="false">shown</p>', ["shown"]), ('<article data-title="The Hidden Life"><p>one<p>two</article>', ["one", "two"]),
-    ("<p class=hidden-x data-hidden>shown</p>", ["shown"]), ("<p hidden>not</p><p HIDDEN=''>not</p><p title='a' hidden/>not</p><p style='color:red; display: none'>not</p><p data-style='display:none'>shown</p>", ["shown"]),
-    *[(f"<p>one</p><{t}><p>two</p><p>three</p>", ["one", "two", "three"]) for t in ("svg", "math", "object", "canvas", "select", "noscript", "template", "iframe")],
+    (
+        '<p>See <a href="/hidden-gems">these gems</a> now</p>', ["See these gems now"],
+    ), ('<p aria-hidden="false">shown</p>', ["shown"]), ('<article data-title="The Hidden Life"><p>one<p>two</article>', ["one", "two"]),
+    ("<p class=hidden-x data-hidden>shown</p>", ["shown"]), (
+        "<p hidden>not</p><p HIDDEN=''>not</p><p title='a' hidden/>not</p><p style='color:red; display: none'>not</p><p data-style='display:none'>shown</p>",
+        ["shown"],
+    ),
+    *[
+        (f"<p>one</p><{t}><p>two</p><p>three</p>", ["one", "two", "three"]) for t in (
+            "svg", "math", "object", "canvas", "select", "noscript", "template", "iframe",
+        )
+    ],
     ("<p>one</p><svg><path d='M0'><p>two</p><p>three</p>", ["one", "two", "three"]), ("<div><svg><g></div><p>two</p><p>three</p>", ["two", "three"]),
     *[(f"<p>one</p><{t}>two", ["one"]) for t in ("script", "style", "textarea", "title")],
-    ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>TeX</annotation></math> then</p>", ["if x=1 then"]), ("<p>an <svg viewBox='0 0 1 1'><path d='M0 0'/><g><path d='M1'></path></g></svg> icon</p><p>next</p>", ["an icon", "next"]),
-    ("<p>a <object data=x>fallback</object> text</p><noscript><p>plain</p></noscript>", ["a fallback text", "plain"]), ("<svg><text>A</text><text>B</text></svg><p>c", ["A B", "c"]),
+    ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>TeX</annotation></math> then</p>", ["if x=1 then"]), (
+        "<p>an <svg viewBox='0 0 1 1'><path d='M0 0'/><g><path d='M1'></path></g></svg> icon</p><p>next</p>", ["an icon", "next"],
+    ),
+    (
+        "<p>a <object data=x>fallback</object> text</p><noscript><p>plain</p></noscript>", ["a fallback text", "plain"],
+    ), ("<svg><text>A</text><text>B</text></svg><p>c", ["A B", "c"]),
 ])
 def test_html_keeps_what_is_shown(page, found):
     assert [b.text for b in html_extraction.blocks_of(page)] == found
@@ -186,7 +203,9 @@ def test_lm_learns_over_words(spark):
     text = " ".join(words * 30)
     other = words[:]
     rng.shuffle(other)
-    docs = spark.createDataFrame([(i, text, True) for i in range(20)] + [(100, text, False), (101, " ".join(other * 30), False)], "doc_id long, text string, learn boolean")
+    docs = spark.createDataFrame(
+        [(i, text, True) for i in range(20)] + [(100, text, False), (101, " ".join(other * 30), False)], "doc_id long, text string, learn boolean",
+    )
     got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, F.col("learn")).collect()}
     assert got[100] > 0.5 * got[101]
 

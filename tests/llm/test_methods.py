@@ -129,10 +129,22 @@ def test_masks():
 
 
 PAGES = [
-    ("<body><div class='nav menu'><a href=/a>Home</a> <a href=/b>About us</a></div><main><h1>How bees see</h1><p>Bees see light that we do not, and flowers show it.</p><ul><li>Blue is bright to them.</li><li>Red is dark.</li></ul></main><footer>© 2020 Bees Ltd</footer>", ["How bees see", "Bees see light that we do not, and flowers show it.", "Blue is bright to them.", "Red is dark."]),
-    ("<header><p>Daily News</p></header><div id=story><h2>Rain again</h2><p>It rained in the north for the ninth day, officials said on Monday.<p>More is on its way.</div><aside><h3>Related</h3><a href=/x>Sun at last</a></aside><section id=comments><h3>Comments</h3><p>First! I like rain very much, thank you all.</p></section>", ["Rain again", "It rained in the north for the ninth day, officials said on Monday.", "More is on its way."]),
-    ("<nav><ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul></nav><div class=cookie-banner><p>We use cookies to make this site better for you.</p><button>Accept</button></div><article><h1>On soups</h1><p>Stock first: bones, water, patience.</p><blockquote>Soup is a conversation, she said.</blockquote><p>Salt last.</p></article>", ["On soups", "Stock first: bones, water, patience.", "Soup is a conversation, she said.", "Salt last."]),
-    ("<div class=ad>Buy two, get one free today only at our shop!</div><section class=post-body><h1>Knots</h1><p>The bowline holds &amp; is easily undone.</p><pre>over under through</pre></section><form class=search><p><label>Search</label><input name=q></p></form><footer><p>Imprint</p></footer>", ["Knots", "The bowline holds & is easily undone.", "over under through"]),
+    (
+        "<body><div class='nav menu'><a href=/a>Home</a> <a href=/b>About us</a></div><main><h1>How bees see</h1><p>Bees see light that we do not, and flowers show it.</p><ul><li>Blue is bright to them.</li><li>Red is dark.</li></ul></main><footer>© 2020 Bees Ltd</footer>",
+        ["How bees see", "Bees see light that we do not, and flowers show it.", "Blue is bright to them.", "Red is dark."],
+    ),
+    (
+        "<header><p>Daily News</p></header><div id=story><h2>Rain again</h2><p>It rained in the north for the ninth day, officials said on Monday.<p>More is on its way.</div><aside><h3>Related</h3><a href=/x>Sun at last</a></aside><section id=comments><h3>Comments</h3><p>First! I like rain very much, thank you all.</p></section>",
+        ["Rain again", "It rained in the north for the ninth day, officials said on Monday.", "More is on its way."],
+    ),
+    (
+        "<nav><ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul></nav><div class=cookie-banner><p>We use cookies to make this site better for you.</p><button>Accept</button></div><article><h1>On soups</h1><p>Stock first: bones, water, patience.</p><blockquote>Soup is a conversation, she said.</blockquote><p>Salt last.</p></article>",
+        ["On soups", "Stock first: bones, water, patience.", "Soup is a conversation, she said.", "Salt last."],
+    ),
+    (
+        "<div class=ad>Buy two, get one free today only at our shop!</div><section class=post-body><h1>Knots</h1><p>The bowline holds &amp; is easily undone.</p><pre>over under through</pre></section><form class=search><p><label>Search</label><input name=q></p></form><footer><p>Imprint</p></footer>",
+        ["Knots", "The bowline holds & is easily undone.", "over under through"],
+    ),
 ]
 
 
@@ -155,7 +167,13 @@ def test_viterbi_against_all_labellings():
         assert worth(field.decode(blocks)) == pytest.approx(max(map(worth, itertools.product((0, 1), repeat=len(blocks)))))
 
 
-@pytest.mark.parametrize("page", ["<div>x" * 60_000, "<a " * 300_000, "<iframe>x" * 60_000, "".join(f"<div class=c{i}>x" for i in range(40_000)), "<a title='x>" * 60_000, "<" * 400_000, "<svg><p>x" * 40_000])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>x" * 60_000, "<a " * 300_000, "<iframe>x" * 60_000, "".join(f"<div class=c{i}>x" for i in range(40_000)), "<a title='x>" * 60_000,
+        "<" * 400_000, "<svg><p>x" * 40_000,
+    ],
+)
 def test_pages_take_linear_time(page):
     began = time.time()
     field = html_extraction.Field(np.zeros(html_extraction.WIDTH), np.zeros((2, 2)))
@@ -228,7 +246,9 @@ def test_long_and_odd_conversations(spark):
     other = [(*t[:3], t[3] if t[1] < 700 else "else") for t in turns]
     odd = [(2, None, None, None), (2, 0, "assistant", "<|x"), (2, 0, "assistant", "<|x"), (None, 3, "user", "a"), (3, 1, "assistant", "alone")]
     schema = "pair_id long, turn long, role string, text string"
-    got = {r["pair_id"]: r for r in chat.format_preferences(spark.createDataFrame(turns + odd, schema), spark.createDataFrame(other + odd[:-1], schema)).collect()}
+    got = {
+        r["pair_id"]: r for r in chat.format_preferences(spark.createDataFrame(turns + odd, schema), spark.createDataFrame(other + odd[:-1], schema)).collect()
+    }
     assert set(got) == {1, 2, 3, None}
     shown = lambda rows: "".join(f"<|{r}|>\n{x}<|end|>\n" for _, _, r, x in rows)
     one = got[1]
@@ -255,7 +275,11 @@ def test_pruning_loses_no_link(spark):
 
 def test_one_row_of_each_group_stays(spark):
     long = " ".join(f"word{i}" for i in range(60))
-    rows = [(5, long, 1), (3, long, 2), (3, long, 2), (None, long, 3), (None, "no id here at all, my friend", 4), (None, "no id here at all, my friend", 4), (7, None, 5), (8, "", 6), (9, "a text of its own, with other words", 7), (9, "another text under the same id, quite different", 8)]
+    rows = [
+        (5, long, 1), (3, long, 2), (3, long, 2), (None, long, 3), (None, "no id here at all, my friend", 4),
+        (None, "no id here at all, my friend", 4), (7, None, 5), (8, "", 6), (9, "a text of its own, with other words", 7),
+        (9, "another text under the same id, quite different", 8),
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp long").withColumn("kept_id", F.lit("x")).withColumn("root", F.col("fp"))
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns
@@ -272,7 +296,10 @@ def test_clashing_shard_names(spark):
 
 
 def test_empty_tables(spark, tmp_path):
-    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string"), ("conversations", "conv_id long, turn long, role string, text string")):
+    for name, schema in (
+        ("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"),
+        ("pages", "page_id long, url string, html string"), ("conversations", "conv_id long, turn long, role string, text string"),
+    ):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in registry.queries().items():
         assert query(spark, str(tmp_path)).collect() == [], name
@@ -289,7 +316,10 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     prose = lambda words, n: " ".join(rng.choices(words, k=n))
     texts = [(prose(english, 60), "en") for _ in range(8)] + [(prose(german, 60), "de") for _ in range(8)]
     leak = "seven green apples were hidden under the old wooden bridge"
-    texts += [texts[0], texts[9], (None, "en"), ("", None), (" 12 34 .", "en"), (f"{prose(english, 30)} {leak} {prose(english, 30)}", None), (f"{prose(english, 40)} token = \"{'0a' * 20}\" {prose(english, 5)}", "en"), (texts[0][0], None)]
+    texts += [
+        texts[0], texts[9], (None, "en"), ("", None), (" 12 34 .", "en"), (f"{prose(english, 30)} {leak} {prose(english, 30)}", None),
+        (f"{prose(english, 40)} token = \"{'0a' * 20}\" {prose(english, 5)}", "en"), (texts[0][0], None),
+    ]
     rows = [(i, t, lang, "s", len(t or "")) for i, (t, lang) in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, leak), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

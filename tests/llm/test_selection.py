@@ -67,7 +67,9 @@ def test_radix_order():
 
 
 def test_search_blocks_chunks_ties_and_nulls(spark, monkeypatch):
-    docs = [(i, f"word{i % 3} common Éa x" + " pad" * (i % 5)) for i in range(60)] + [(7, "word1 common"), (None, "word1 common"), (100, None), (101, ""), (102, "...")]
+    docs = [(i, f"word{i % 3} common Éa x" + " pad" * (i % 5)) for i in range(60)] + [
+        (7, "word1 common"), (None, "word1 common"), (100, None), (101, ""), (102, "..."),
+    ]
     items = [(1, "word1 COMMON"), (2, "éa ÉA"), (2, "word2"), (None, "common"), (3, None), (4, "absent"), (5, "pad x")]
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     q = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
@@ -136,7 +138,9 @@ def test_pii_adds_what_labelers_agree_on(spark, sf_dir):
         "My tel. (555) 123-4567, thanks": "(555) 123-4567", "contact: john [at] example [dot] com now": "john [at] example [dot] com", "IBAN DE89 3704 0044 0532 0130 00 is mine": "DE89 3704 0044 0532 0130 00",
         "host 2001:db8:0:1:1:1:1:1 up": "2001:db8:0:1:1:1:1:1", "Dear Dr. Maria Lopez, hello": "Dr. Maria Lopez", "order 555-123-4567 shipped": None, "at 10:22:33 we met 2024-05-06 7890": None, "IBAN DE88 3704 0044 0532 0130 00": None, "plain words, nothing else": None,
     }
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr("doc_id + 1000 AS doc_id"), "text"))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").unionByName(
+        spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr("doc_id + 1000 AS doc_id"), "text")
+    )
     found = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
     for i, (text, want) in enumerate(rows.items()):
         assert [text[s["start"] : s["end"]] for s in found[i]] == ([want] if want else [])
@@ -153,7 +157,10 @@ def test_pii_is_native(spark, sf_dir):
 def test_pii_reliabilities_find_the_truth():
     """Votes are drawn from known reliabilities; the fit must rank labelers and patterns as they were drawn."""
     rng = np.random.default_rng(3)
-    says = {True: [(0.02, 0.08, 0.9), (0.1, 0.2, 0.7), (0.05, 0.45, 0.5), (0.1, 0.1, 0.8), (0.2, 0.1, 0.7)], False: [(0.9, 0.08, 0.02), (0.6, 0.2, 0.2), (0.3, 0.65, 0.05), (0.5, 0.2, 0.3), (0.4, 0.2, 0.4)]}
+    says = {
+        True: [(0.02, 0.08, 0.9), (0.1, 0.2, 0.7), (0.05, 0.45, 0.5), (0.1, 0.1, 0.8), (0.2, 0.1, 0.7)],
+        False: [(0.9, 0.08, 0.02), (0.6, 0.2, 0.2), (0.3, 0.65, 0.05), (0.5, 0.2, 0.3), (0.4, 0.2, 0.4)],
+    }
     counts, truth = {}, {}
     for _ in range(4000):
         y = bool(rng.random() < 0.3)
@@ -173,7 +180,9 @@ def test_pii_reliabilities_find_the_truth():
 
 def test_running_sums(spark):
     for n in (0, 1, 255, 256, 257, 70_000):
-        row = spark.range(1).select(pii.running(F.transform(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>"), lambda x: x.cast("long"))).alias("s")).first()
+        row = spark.range(1).select(
+            pii.running(F.transform(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>"), lambda x: x.cast("long"))).alias("s")
+        ).first()
         assert row["s"] == [k * (k + 1) // 2 for k in range(n)]
 
 
@@ -195,7 +204,10 @@ def test_secrets_dsa_keys_and_long_token_runs():
     key = b"\x30" + size(len(body)) + body
     plain = base64.b64encode(key).decode()
     lines = "\n".join(plain[k : k + 64] for k in range(0, len(plain), 64))
-    for text in (plain, f"so {plain} it", f"-----BEGIN DSA PRIVATE KEY-----\n{lines}\n-----END DSA PRIVATE KEY-----", key.hex(), base64.b64encode(lines.encode()).decode()):
+    for text in (
+        plain, f"so {plain} it", f"-----BEGIN DSA PRIVATE KEY-----\n{lines}\n-----END DSA PRIVATE KEY-----", key.hex(),
+        base64.b64encode(lines.encode()).decode(),
+    ):
         assert any(k >= 4 for _, k, _ in secrets.scan(text))
     assert not any(k >= 4 for _, k, _ in secrets.scan(base64.b64encode(b"\x30" + size(len(body) - 25) + body[:-25]).decode()))
     coded = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=").decode()
@@ -211,8 +223,12 @@ def test_secrets_dsa_keys_and_long_token_runs():
 @pytest.mark.parametrize(
     ("page", "want"),
     [
-        ("<article><!--><p>One two</p>", ["One two"]), ("<article><!---><p>One</p>", ["One"]), ("<p>a</p><!-- x --!><p>b</p>", ["a", "b"]), ("<p>a<!-- never closed <p>b", ["a"]), ("<p>a<!-- - -- > --><p>b", ["a", "b"]),
-        ('<script src="a.js"/>var x=1;</script><p>t', ["t"]), ("<script src=//cdn/x/>var x=1;</script><p>t", ["t"]), ("<svg><title>q</title><script/></svg><p>z", ["z"]), ("<style/>p{}</style><p>y", ["y"]), ("<![CDATA[x]]><p>k", ["k"]), ("<!doctype html><?php a ?><p>b", ["b"]),
+        (
+            "<article><!--><p>One two</p>", ["One two"],
+        ), ("<article><!---><p>One</p>", ["One"]), ("<p>a</p><!-- x --!><p>b</p>", ["a", "b"]), ("<p>a<!-- never closed <p>b", ["a"]), ("<p>a<!-- - -- > --><p>b", ["a", "b"]),
+        ('<script src="a.js"/>var x=1;</script><p>t', ["t"]), (
+            "<script src=//cdn/x/>var x=1;</script><p>t", ["t"],
+        ), ("<svg><title>q</title><script/></svg><p>z", ["z"]), ("<style/>p{}</style><p>y", ["y"]), ("<![CDATA[x]]><p>k", ["k"]), ("<!doctype html><?php a ?><p>b", ["b"]),
     ],
 )
 def test_html_reads_comments_and_scripts_as_browsers_do(page, want):
@@ -237,6 +253,8 @@ def test_chat_prefix_goes_by_place_not_number(spark, monkeypatch):
     found = {r["pair_id"]: r for r in chat.format_preferences(spark.createDataFrame(chosen, ddl), spark.createDataFrame(rejected, ddl)).collect()}
     shown = lambda texts: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in texts)
     assert {i: (r["n_prompt_turns"], r["prompt"], r["chosen"], r["rejected"]) for i, r in found.items()} == {
-        1: (3, shown(turns[:3]), shown(turns[3:]), shown(other[3:])), 2: (5, shown(turns), "", ""), 3: (2, shown(turns[:2]), "", shown(turns[2:3])), 4: (2, shown(turns[:2]), shown(turns[2:]), ""), 5: (0, "", shown(turns[:1]), ""), 6: (0, "", "", shown(turns[:1])),
+        1: (
+            3, shown(turns[:3]), shown(turns[3:]), shown(other[3:]),
+        ), 2: (5, shown(turns), "", ""), 3: (2, shown(turns[:2]), "", shown(turns[2:3])), 4: (2, shown(turns[:2]), shown(turns[2:]), ""), 5: (0, "", shown(turns[:1]), ""), 6: (0, "", "", shown(turns[:1])),
     }
     assert found[1]["chosen_mask"][0]["end"] == len(shown(turns[3:4]))
