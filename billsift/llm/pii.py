@@ -303,7 +303,7 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float =
     """One row a row of `docs`: its id and `spans`, an array of (kind, start, end, base, likelihood) by kind, then start.
 
     Offsets are code points, ends exclusive. Base spans always stay. Other candidates are reported if the classifier
-    gives at least `least`, and a cue speaks for them, or their own form does and no cue against. Null and empty texts have no spans; repeated
+    gives at least `least`, and their form and the cues before them together speak for them; a form that fails its check never is. Null and empty texts have no spans; repeated
     rows each have theirs; an empty table gives no rows. Other columns are not read.
     """
     # four of the votes are features as well: what the classifier adds is how they go together with the surroundings
@@ -334,7 +334,7 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float =
         score = sum((F.element_at(_literal(ws), c["features"][f] + 1) for f, ws in enumerate(weights)), F.lit(0.0))
         return F.struct(
             c["kind"].alias("rank"), F.element_at(kinds, c["kind"] + 1).alias("kind"), c["start"].alias("start"), c["end"].alias("end"),
-            c["base"].alias("base"), ((c["features"][cue] == 2) | (c["features"][cue] == 1) & (c["features"][form] == 2)).alias("said"),
+            c["base"].alias("base"), ((c["features"][cue] + c["features"][form] >= 3) & (c["features"][form] > 0)).alias("said"),
             (1 / (1 + F.exp(-score))).alias("likelihood"),
         )
 

