@@ -142,6 +142,11 @@ def rate_limit_until(now: Column, wait_s: Column) -> Column:
     return now + F.least(F.greatest(wait_s, F.lit(5)), F.lit(86_400))
 
 
+def eligible_at(until: Column, now: Column) -> Column:
+    """Epoch seconds when a limited source may be asked again, if that is still ahead and no further than a wait can be, with five minutes for clocks that differ; null else."""
+    return F.when((until > now) & (until <= now + 86_400 + 300), until)
+
+
 def retry_after(header: Column, now: Column) -> Column:
     """Seconds of a Retry-After header (a number or an HTTP date), from 0 to 24 hours; 30 if it can't be read."""
     date = F.regexp_extract(header, r"^\s*[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT\s*$", 1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Weights of the confidence labels.
+MOST = 32
 WEIGHTS = {"low": 1, "medium": 2, "high": 3}
 
 
@@ -29,6 +30,12 @@ def resolve(claims: DataFrame, keys: Sequence[str], value: str = "value", weight
     return tied.groupBy(*keys).agg(F.when(alone, F.min(value)).alias("value"), F.when(alone, F.min("_n")).alias("n_claims"), (~alone).alias("conflict"))
 
 
+def bounded_claims(claims: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int = MOST) -> DataFrame:
+    """The first `most` pieces of evidence of each record, in order: direct fields should come first. What is beyond does not count."""
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return claims.withColumn("_turn", turn).where(F.col("_turn") <= most).drop("_turn")
+
+
 def fields_as_claims(df: DataFrame, keys: Sequence[str], fields: Sequence[str], weight: Column) -> DataFrame:
     """(keys, field, value, weight): one row for each field that is not null."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])

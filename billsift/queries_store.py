@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import transforms, values
-from .operators import ledger
+from .operators import evidence, ledger
 from .queries import query, table
 from .queries_tracing import by, text
 from .session import shared_dir
@@ -155,3 +155,52 @@ def iban_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = text("DE", F.when(key % 3 < 2, right).otherwise(wrong), digits)
     shown = F.when(key % 3 == 1, F.trim(F.regexp_replace(plain, "(.{4})", "$1 "))).otherwise(plain)
     return table(spark, sf_dir, "customer").select("c_custkey", F.get(values.ibans(text("pay to ", shown, ", soon")), F.lit(0)).alias("iban"))
+
+
+@query("""
+WITH p AS (SELECT page_id, page_id % 3 < 2 AS about, page_id::VARCHAR AS i FROM pages),
+l AS (SELECT page_id, about, unnest([0, 1, 2, 4, 7]) AS k, unnest(['https://e.com/files/' || i || '.pdf', 'https://e.com/invoices/' || i || '.pdf', 'https://e.com/x/' || i, 'https://invoice.stripe.com/i/acct/' || i,
+  'https://e.com/y/' || i]) AS link, unnest(['Open', 'Open it', 'Receipt', 'View', 'Open']) AS label FROM p)
+SELECT page_id, link, label, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INTEGER AS pos FROM l WHERE about OR k IN (1, 2, 4)""")
+def document_link_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose title or caption is about payments, or neither, with links of nine kinds."""
+    i = F.col("page_id")
+    html = text(
+        "<title>", F.when(i % 3 == 0, "Past  payments").otherwise("Home"), "</title><table><caption>", F.when(i % 3 == 1, "<b>Transactions</b>").otherwise("x"), "</caption>",
+        '<a href="/files/', i, '.pdf">Open</a><a class="z" href="/invoices/', i, '.pdf"><b>Open</b> it</a><a href="/x/', i, '" download>Receipt</a><a href="/z/', i, '" data-download="1">Receipt</a>',
+        '<a href="https://invoice.stripe.com/i/acct/', i, '">View</a><a href="/guide/', i, '/help.pdf">Invoice</a><a href="http://e.com/invoice/', i, '.pdf">I</a><a href="/y/', i, '" title="Download it">Open<a href="/invoices/', i, '.pdf">again</a>',
+    )
+    pages = table(spark, sf_dir, "pages").select("page_id", html.alias("html"), F.lit("https://e.com/invoices/home").alias("base"))
+    return scans.document_links(pages, "html", "base").select("page_id", "link", "label", "pos")
+
+
+@query("""
+WITH c AS (SELECT user_id, event_type AS v, CASE WHEN value > 60 THEN 3 ELSE 1 END AS w, row_number() OVER (PARTITION BY user_id ORDER BY value > 60 DESC, event_id) AS k FROM events),
+g AS (SELECT user_id, v, max(w) AS w, count(*) AS n FROM c WHERE k <= 32 GROUP BY 1, 2),
+r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY w DESC, n DESC) AS k FROM g)
+SELECT user_id, CASE WHEN count(*) = 1 THEN min(v) END AS value, count(*) > 1 AS conflict FROM r WHERE k = 1 GROUP BY 1""")
+def bounded_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as evidence of which the first 32 count, the certain ones first."""
+    high = F.col("value") > 60
+    claims = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("value"), F.when(high, 3).otherwise(1).alias("weight"))
+    kept = evidence.bounded_claims(claims, ["user_id"], [F.desc("weight"), F.asc("event_id")])
+    return evidence.resolve(kept, ["user_id"]).select("user_id", "value", "conflict")
+
+
+@query("SELECT event_id, CASE WHEN user_id * 1000 + event_id % 977 > 70000 AND user_id * 1000 + event_id % 977 <= 156700 THEN user_id * 1000 + event_id % 977 END AS at_s FROM events")
+def eligible_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    until = F.col("user_id") * 1000 + F.col("event_id") % 977
+    return table(spark, sf_dir, "events").select("event_id", values.eligible_at(until, F.lit(70_000)).alias("at_s"))
+
+
+@query("""
+WITH f AS (SELECT user_id, event_id % 2 AS side, min(ts) AS seen, list(DISTINCT event_type || (event_id % 9)) AS s, max(value) FILTER (value < 70) AS v FROM events GROUP BY 1, 2),
+a AS (SELECT * FROM f WHERE side = 0), b AS (SELECT * FROM f WHERE side = 1)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, epoch_us(least(a.seen, b.seen)) AS seen, coalesce(b.v, a.v) AS v,
+  least(len(list_distinct(list_concat(coalesce(a.s, []), coalesce(b.s, [])))), 32)::VARCHAR AS n FROM a FULL JOIN b ON a.user_id = b.user_id""")
+def merged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's even events as stored entries, the odd ones as what comes in: new values win, the earlier time stays, lists are joined without repeats, 32 at most."""
+    kind = F.concat("event_type", (F.col("event_id") % 9).cast("string"))
+    side = lambda k: table(spark, sf_dir, "events").where(F.col("event_id") % 2 == k).groupBy("user_id").agg(F.min("ts").alias("seen"), F.array_sort(F.collect_set(kind)).alias("s"), F.max(F.when(F.col("value") < 70, F.col("value"))).alias("v"))
+    merged = ledger.upsert(side(0), side(1), ["user_id"], ["seen"], ["s"])
+    return merged.select("user_id", F.unix_micros(F.col("seen").cast("timestamp")).alias("seen"), "v", F.size("s").cast("string").alias("n"))

@@ -8,17 +8,19 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import controls, urls
 
 ROW_INPUT = 524_288
 SCRIPT = r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/(?:ld\+)?json["'][^>]*>(.*?)</script>"""
 ANCHOR = r'\bhref="([^"]+)"'
-LINK = r"""(?is)<a\b[^>]*\bhref="([^"]+)"[^>]*>(.*?)</a>"""
-# The entities that are decoded before a second try, and the words that make a page or link one about invoices.
+#: The attributes of a link, and its text up to its end or the next link.
+LINK = r"(?is)<a\b([^>]*)>((?:(?!</?a\b).){0,500})"
+HEADING = r"(?is)<(?:h1|h2|h3|caption)\b[^>]*>(.{0,400}?)</(?:h1|h2|h3|caption)>"
+HEADINGS, HEADING_CHARS, LABEL_CHARS = 12, 2000, 500
+# The entities that are decoded before a second try, and the addresses of documents.
 ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
-CONTEXT = r"(?i)invoice|receipt|billing"
-DIRECT = r"(?i)\.pdf(?:$|[?#])|/(?:download|pdf)(?:/|$|[?#])"
-UNRELATED = r"(?i)terms|privacy|policy|brochure|manual|datasheet"
+DIRECT = r"\.pdf$|(?:^|/)(?:download|pdf)(?:/|$)"
+HOSTED = r"(?i)^https://invoice\.stripe\.com/i/[^/?#]+/[^/?#]+(?:[?#]|$)"
 LIKELY_LINKS = 100
 
 
@@ -120,25 +122,42 @@ def page_names(html: Column) -> Column:
 
 
 def document_links(df: DataFrame, html: str, base: str, cap: int = LIKELY_LINKS) -> DataFrame:
-    """`df` without `html`, with (pos, link, label): the links of a page that are likely invoice documents, the first `cap`.
+    """`df` without `html`, with (pos, link, label): the links of a page that are likely invoice documents, each once, the first `cap`.
 
-    A likely link is https without user data, is a direct document, is not one of an unrelated kind, and
-    has an invoice context in the page's title or headings, its label or its address.
+    A likely link is https without user data and is not of an unrelated kind. It is marked as a download or is a direct document,
+    and has an invoice context: in the page's title, headings or captions, or in its own address, attributes or label. A hosted invoice page
+    needs neither. Whether the page's own route sounds like invoices does not count.
     """
     rest = [c for c in df.columns if c != html]
-    clean = without_raw_text(F.col(html))
-    heads = F.concat_ws(" ", title_of(F.col(html)), F.array_join(F.regexp_extract_all(clean, F.lit(r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]>"), F.lit(1)), " "))
-    pairs = F.arrays_zip(F.regexp_extract_all(clean, F.lit(LINK), F.lit(1)).alias("link"), F.regexp_extract_all(clean, F.lit(LINK), F.lit(2)).alias("label"))
-    full = F.transform(
-        pairs, lambda x: F.struct(absolute(x["link"], F.col(base)).alias("link"), F.trim(F.regexp_replace(x["label"], "<[^>]*>", "")).alias("label")),
+    clean = F.regexp_replace(without_raw_text(F.col(html)), "(?i)&nbsp;", " ")
+    bare = lambda text: F.regexp_replace(text, "<[^>]*>", " ")
+    heads = F.transform(F.slice(F.regexp_extract_all(clean, F.lit(HEADING), F.lit(1)), 1, HEADINGS), bare)
+    about = F.concat_ws(" ", title_of(F.col(html)), F.substring(F.array_join(heads, " "), 1, HEADING_CHARS)).rlike(controls.DOCUMENT_CONTEXT)
+    found = [F.regexp_extract_all(clean, F.lit(LINK), F.lit(k)) for k in (1, 2)]
+    pairs = F.filter(
+        F.transform(
+            F.arrays_zip(found[0].alias("a"), found[1].alias("t")),
+            lambda x: F.struct(
+                x["a"].alias("marks"), F.regexp_extract(x["a"], r'(?i)\bhref="([^"]+)"', 1).alias("href"),
+                F.when(F.length(x["t"]) < LABEL_CHARS, F.trim(F.regexp_replace(bare(x["t"]), r"\s+", " "))).otherwise("").alias("label"),
+            ),
+        ),
+        lambda x: x["href"] != "",
     )
-    about = F.col("_heads").rlike(CONTEXT)
-    good = lambda x: (
-        x["link"].rlike("^https://[^/?#@]+(?:[/?#]|$)") & x["link"].rlike(DIRECT) & ~F.concat(x["link"], F.lit(" "), x["label"]).rlike(UNRELATED)
-        & (about | x["label"].rlike(CONTEXT) | x["link"].rlike(CONTEXT))
-    )
-    found = df.select("*", heads.alias("_heads"), full.alias("_links")).withColumn("_links", F.slice(F.filter("_links", good), 1, cap))
-    return found.select(*rest, F.posexplode("_links").alias("pos", "_x")).select(*rest, "pos", "_x.*")
+    full = F.transform(pairs, lambda x: F.struct(absolute(x["href"], F.col(base)).alias("link"), x["label"].alias("label"), x["marks"].alias("marks")))
+
+    def likely(x: Column) -> Column:
+        path = F.lower(urls.path_of(x["link"]))
+        plain = x["link"].rlike("^https://[^/?#@]+(?:[/?#]|$)")
+        unrelated = F.concat_ws(" ", F.element_at(F.split(path, "/"), -1), x["label"], x["marks"]).rlike(controls.UNRELATED)
+        marked = x["marks"].rlike(r"(?i)(?:^|\s)download(?=[\s=>]|$)") | x["marks"].rlike(r'(?i)\b(?:aria-label|title)="[^"]*download[^"]*"')
+        context = F.col("_about") | F.concat_ws(" ", path, x["marks"], x["label"]).rlike(controls.DOCUMENT_CONTEXT)
+        return plain & ~unrelated & (x["link"].rlike(HOSTED) | (marked | path.rlike(DIRECT)) & context)
+
+    rows = df.select(*rest, about.alias("_about"), full.alias("_all"))
+    rows = rows.select(*rest, F.transform(F.filter("_all", likely), lambda x: F.struct(x["link"].alias("link"), x["label"].alias("label"))).alias("_links"))
+    first = F.filter("_links", lambda x, i: F.array_position(F.transform("_links", lambda y: y["link"]), x["link"]) == i + 1)
+    return rows.select(*rest, F.posexplode(F.slice(first, 1, cap)).alias("pos", "_x")).select(*rest, "pos", "_x.*")
 
 
 def inline_pdf(url: Column, cap: int = 8 << 20) -> Column:
