@@ -152,18 +152,6 @@ def fingerprint_column(text: str | Column) -> Column:
     return common.text_udf(lambda: lambda text: (fingerprint(text),), "f string")(text)["f"]
 
 
-def likeness_column(a: str | Column, b: str | Column) -> Column:
-    """The likeness of two fingerprint columns; null if either is."""
-    import pyarrow as pa
-
-    @F.arrow_udf("double")
-    def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([None if p is None or q is None else likeness(p, q) for p, q in zip(x.to_pylist(), y.to_pylist())], type=pa.float64())
-
-    common.ship(SparkSession.getActiveSession())
-    return run(a, b)
-
-
 def beside_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(bucket, late, own, id, text), sorted so that within a bucket each own row is followed by the next one in descending id.
 

@@ -22,7 +22,6 @@ fingerprints that meet at a variant are linked.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +29,6 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-BLANKS = b"\t\n\x0b\x0c\r "
 #: All values within two bits of zero.
 BALL = np.array(
     [0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i in range(64) for j in range(i)], dtype=np.uint64
