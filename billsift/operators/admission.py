@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls, values
 from . import folds
+from .numbering import numbered
 
 SCOPES, DOCUMENTS, PAGES, VALUES, CURSOR_CHARS, PROFILES = 20, 500, 20, 50, 2048, 50
 
@@ -132,3 +133,43 @@ def connected_companies(destinations: DataFrame, suppliers: DataFrame, id: str)
         id, "company", F.coalesce("name", "company").alias("name"), F.coalesce("_n", F.lit(0)).alias("suppliers"), F.col("_last").alias("last"),
         (F.col("kind") == "unavailable").alias("reconnect"),
     )
+
+
+def united_origins(rows: DataFrame, keys: Sequence[str], origins: Sequence[str]) -> DataFrame:
+    """(keys, origins): the different origins that any of the columns `origins` (texts or arrays) has for a key, sorted; each is made distinct before it is gathered."""
+    kinds = dict(rows.dtypes)
+    listed = F.concat(*[F.col(o) if kinds[o].startswith("array") else F.array(F.col(o)) for o in origins])
+    each = rows.select(*keys, F.explode(listed).alias("_o")).where("_o IS NOT NULL").distinct()
+    return each.groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("origins"))
+
+
+def not_enabled(attempted: Column, enabled: Column) -> Column:
+    """What was attempted and is not enabled, each once, in order of attempt."""
+    return F.array_except(F.coalesce(attempted, F.array().cast("array<string>")), F.coalesce(enabled, F.array().cast("array<string>")))
+
+
+def allowed_only(asked: Column, allowed: Sequence[str]) -> Column:
+    """What is asked for and allowed, each once, in the order asked."""
+    return F.array_intersect(F.coalesce(asked, F.array().cast("array<string>")), F.array(*map(F.lit, allowed)))
+
+
+def batches(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int = 3) -> DataFrame:
+    """`rows` with `batch` and `slot`: a key's rows in groups of `size` in source order, numbered by ranges."""
+    placed = numbered(rows, keys, order, "_place")
+    return placed.withColumns({"batch": F.floor((F.col("_place") - 1) / size), "slot": (F.col("_place") - 1) % size}).drop("_place")
+
+
+# Addresses that tell who is signed in, and the fields of their answers that hold a token.
+SESSION_URL = r"(?i)/(me|users?/me|account|session|profile|organizations?|whoami)(/|\?|$)"
+TOKEN_FIELDS = ("accessToken", "access_token", "idToken", "id_token", "token")
+
+
+def token_sources(entries: DataFrame, lists: DataFrame, session: str = "session", pos: str = "pos") -> DataFrame:
+    """(session, source, path): where a session's listing that was asked for with a bearer token can get one: the first other answer of an account's address of which a token's field was taken out, and the first such field.
+
+    `entries` has session, pos, url and gone (array of the paths that were taken out); `lists` session, pos and scheme.
+    """
+    wanted = lists.where("scheme = 'bearer'").select(F.col(session).alias("_s"), F.col(pos).alias("_list"))
+    field = F.get(F.filter("gone", lambda p: F.element_at(F.split(p, r"\."), -1).isin(*TOKEN_FIELDS)), F.lit(0))
+    able = entries.join(wanted, F.col(session).eqNullSafe(F.col("_s")) & (F.col(pos) != F.col("_list"))).where(F.col("url").rlike(SESSION_URL) & field.isNotNull())
+    return able.groupBy(session).agg(F.min_by(F.struct(F.col(pos).alias("source"), field.alias("path")), pos).alias("_b")).select(session, "_b.*")

@@ -201,3 +201,44 @@ def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             kebab, F.when(size % 2 == 1, F.col("p_type")), id.cast("string"),
         ).alias("file"), labels.is_recent(F.col("p_retailprice") * 100, F.lit(100_000)).alias("recent"),
     )
+
+
+@query("""
+WITH o AS (SELECT o_custkey, unnest(['https://' || lower(o_orderstatus) || '.example.com', CASE WHEN o_orderkey % 3 > 0 THEN 'https://p' || (o_orderkey % 4) || '.example.com' END, 'https://p' || (o_orderkey % 6) || '.example.com']) AS x FROM orders)
+SELECT o_custkey, list_sort(list(DISTINCT x)) AS origins FROM o WHERE x IS NOT NULL GROUP BY 1""")
+def united_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    own, others = text("https://", F.lower("o_orderstatus"), ".example.com"), F.array(F.when(key % 3 > 0, text("https://p", key % 4, ".example.com")), text("https://p", key % 6, ".example.com"))
+    return admission.united_origins(table(spark, sf_dir, "orders").select("o_custkey", own.alias("own"), others.alias("others")), ["o_custkey"], ["own", "others"])
+
+
+@query("""
+WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)
+SELECT p_partkey, array_to_string(list_filter(list_concat(w, ['red', 'bolt', 'red']), lambda x, i: NOT list_contains(['bolt', 'ring'], x) AND list_position(list_concat(w, ['red', 'bolt', 'red']), x) = i), ',') AS left_out, array_to_string(list_filter(w, lambda x, i: list_contains(['red', 'blue', 'ring', 'bolt'], x) AND list_position(w, x) = i), ',') AS kept FROM p""")
+def origin_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of parts' names as what was attempted, less what is enabled, and as what is asked for, where it is allowed."""
+    words = F.split("p_name", " ")
+    attempted = F.concat(words, F.array(*map(F.lit, ("red", "bolt", "red"))))
+    left = admission.not_enabled(attempted, F.array(F.lit("bolt"), F.lit("ring")))
+    kept = admission.allowed_only(words, ("red", "blue", "ring", "bolt"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(left, ",").alias("left_out"), F.array_join(kept, ",").alias("kept"))
+
+
+@query("SELECT o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 3 AS batch, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) % 3 AS slot FROM orders")
+def fetch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    return admission.batches(rows, ["o_custkey"], [F.asc("o_orderkey")]).select("o_orderkey", "batch", "slot")
+
+
+@query("""
+WITH l AS (SELECT o_custkey, max(o_orderkey) AS last FROM orders GROUP BY 1 HAVING max(o_orderkey) % 4 > 0),
+a AS (SELECT o_custkey, min(o_orderkey) AS source FROM orders JOIN l USING (o_custkey) WHERE o_orderkey < last AND o_orderkey % 5 IN (1, 3) GROUP BY 1)
+SELECT o_custkey AS session, source, CASE source % 5 WHEN 1 THEN 'data.accessToken' ELSE 'token' END AS path FROM a""")
+def token_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as answers, the last as a listing with a bearer token: two kinds give one, one is no account's address, one has no token, one nothing at all."""
+    key = F.col("o_orderkey")
+    url = by(key, text("https://e.com/list"), text("https://e.com/session"), text("https://e.com/api/token"), text("https://e.com/users/me?x=1"), text("https://e.com/account/", key))
+    gone = by(key, F.array().cast("array<string>"), F.array(F.lit("user.email"), F.lit("data.accessToken"), F.lit("token")), F.array(F.lit("token")), F.array(F.lit("token")), F.array(F.lit("data.tokens")))
+    entries = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session"), key.alias("pos"), url.alias("url"), gone.alias("gone"))
+    last = entries.groupBy("session").agg(F.max("pos").alias("pos"))
+    return admission.token_sources(entries, last.withColumn("scheme", F.when(F.col("pos") % 4 > 0, "bearer").otherwise("basic")))
