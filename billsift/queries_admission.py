@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import guards, labels
 from .operators import admission
+from .plans import schema
 from .queries import query, table
 from .queries_tracing import by, text
 from .queries_values import _PAGES, _pages
@@ -242,3 +243,19 @@ def token_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session"), key.alias("pos"), url.alias("url"), gone.alias("gone"))
     last = entries.groupBy("session").agg(F.max("pos").alias("pos"))
     return admission.token_sources(entries, last.withColumn("scheme", F.when(F.col("pos") % 4 > 0, "bearer").otherwise("basic")))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 10 WHEN 1 THEN 'id' WHEN 2 THEN CASE WHEN p_size > 10 THEN 'invoices.list.paginate' ELSE '' END WHEN 3 THEN 'auth.check.expect' WHEN 4 THEN '(root)' WHEN 5 THEN 'invoices.list.map.total' WHEN 6 THEN 'invoices.strategy' WHEN 7 THEN 'hosts,name' WHEN 8 THEN 'invoices.list.map.id' WHEN 9 THEN '(root)' ELSE '' END AS faults FROM part""")
+def recipe_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipe documents named and sized after parts: right ones, and nine kinds that depart from the schema, one only where a number is too large."""
+    key, size, kind = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") % 10
+    request = '{"url":"https://e.com/api"}'
+    document = text(
+        '{"id":"', F.when(kind == 1, F.col("p_brand")).otherwise(text("p-", key)), '","name":"', F.when(kind == 7, "").otherwise(F.col("p_name")), '","homepage":"https://e.com","hosts":[', F.when(kind == 7, "").otherwise('"https://e.com/*"'), '],"auth":{"check":{"request":', request,
+        ',"expect":{"', F.when(kind == 3, "status").otherwise("statusIn"), '":[', size, ']}},"loginUrl":"https://e.com/login"},"invoices":{"strategy":"', F.when(kind == 6, F.lower("p_type")).otherwise("network"), '","list":{"request":', request, ',"items":"$","map":{"', F.when(kind == 8, "ref").otherwise("id"),
+        '":"id","total":{"path":"t","transforms":[{"kind":"divide","by":', F.when(kind == 5, -size).otherwise(size), '}]}},"paginate":{"kind":"page","maxPages":', F.when(kind == 2, size * 10).otherwise(size), '}},"document":{}}', F.when(kind == 4, text(',"', F.col("p_name"), '":1')).otherwise(""), F.when(kind == 9, "").otherwise("}"),
+    )
+    # a part named `ref` is a member too many, and the id is missing
+    found = F.filter(schema.faults_column(document), lambda p: p != "invoices.list.map")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(found, ",").alias("faults"))
