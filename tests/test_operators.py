@@ -133,7 +133,7 @@ def test_unsafe_patterns(pattern):
 
 
 def test_document_links(spark):
-    html = '<title>Billing</title><script>"<a href=\'/x.pdf\'>"</script><a href="/i/1.pdf">One</a><a href="http://o.example.com/2.pdf">plain</a><a href="/terms.pdf">Terms</a><a href="/about">Us</a>'
+    html = '<title>Billing history</title><script>"<a href=\'/x.pdf\'>"</script><a href="/i/1.pdf">One</a><a href="http://o.example.com/2.pdf">plain</a><a href="/terms.pdf">Terms</a><a href="/about">Us</a>'
     df = spark.createDataFrame([(html, "https://a.example.com/b")], "html string, base string")
     assert [r["link"] for r in scans.document_links(df, "html", "base").collect()] == ["https://a.example.com/i/1.pdf"]
 
