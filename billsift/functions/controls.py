@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import values
+from .binding import bound
 
 # The vocabulary of controls, sections and headers, in the languages that are supported.
 SETTINGS = r"(?:settings|preferences|inställningar|einstellungen|paramètres|configuración|configurações|impostazioni|instellingen)"
@@ -82,7 +83,7 @@ def row_token(text: Column) -> Column:
     """The one word of a row that looks like an invoice number: a letter first, 6 to 80 characters, three digits or more; null if there are several."""
     words = F.array_distinct(F.regexp_extract_all(bounded(text, 500), F.lit(ROW_TOKEN), F.lit(1)))
     numbered = F.filter(words, lambda w: (F.length(F.regexp_replace(w, r"\D", "")) >= 3) & ~w.rlike(SECRET_WORD))
-    return F.when(F.size(numbered) == 1, F.get(numbered, F.lit(0)))
+    return bound(numbered, lambda n: F.when(F.size(n) == 1, F.get(n, F.lit(0))))
 
 
 def row_claim(headers: Column, cells: Column, row: Column | None = None) -> Column:
@@ -91,34 +92,35 @@ def row_claim(headers: Column, cells: Column, row: Column | None = None) -> Colu
     Header and cell belong together by their place. A cell counts for the first field that its header names and that no
     earlier cell has given. Without a number, the `row`'s single invoice-like word is it.
     """
-    text = lambda x: bounded(x["cell"], 240)
     pairs = F.transform(
         F.arrays_zip(headers.alias("header"), cells.alias("cell")),
-        lambda x: F.struct(
-            F.lower(bounded(x["header"], 120)).alias("header"), text(x).alias("text"), values.displayed_date(text(x)).alias("day"),
-            values.displayed_amount(text(x)).alias("amount"), values.currency_of(text(x)).alias("shown"),
-        ),
-    )
+        lambda x: F.struct(F.lower(bounded(x["header"], 120)).alias("header"), bounded(x["cell"], 240).alias("text")),
+    )
     nothing = F.lit(None).cast("string")
     empty = F.struct(nothing.alias("number"), nothing.alias("issued"), nothing.alias("total"), nothing.alias("currency"))
 
     def told(s: Column, x: Column) -> Column:
-        named = (x["header"] != "") & (x["text"] != "")
-        number = named & s["number"].isNull() & x["header"].rlike(NUMBER_HEADER)
-        issued = named & ~number & s["issued"].isNull() & ~x["header"].rlike(OTHER_DATE_HEADER) & x["header"].rlike(DATE_HEADER)
-        total = named & ~number & ~issued & s["total"].isNull() & x["header"].rlike(TOTAL_HEADER)
-        currency = named & ~number & ~issued & ~total & s["currency"].isNull() & x["header"].rlike(CURRENCY_HEADER)
-        code = F.nullif(F.upper(F.regexp_extract(x["text"], r"(?<![A-Za-z0-9_])([A-Za-z]{3})(?![A-Za-z0-9_])", 1)), F.lit(""))
-        beside = F.when(total & x["amount"].isNotNull(), F.coalesce(x["shown"], s["currency"])).when(currency, code).otherwise(s["currency"])
+        header, free = x["header"], lambda field: s[field].isNull()
+        field = F.when((header == "") | (x["text"] == ""), None).when(free("number") & header.rlike(NUMBER_HEADER), "number").when(
+            free("issued") & header.rlike(DATE_HEADER) & ~header.rlike(OTHER_DATE_HEADER), "issued",
+        ).when(free("total") & header.rlike(TOTAL_HEADER), "total").when(free("currency") & header.rlike(CURRENCY_HEADER), "currency")
+        return bound(field, lambda f: bound(F.when(f == "total", values.displayed_amount(x["text"])), lambda amount: given(s, x["text"], f, amount)))
+
+    def given(s: Column, text: Column, field: Column, amount: Column) -> Column:
+        code = F.nullif(F.upper(F.regexp_extract(text, r"(?<![A-Za-z0-9_])([A-Za-z]{3})(?![A-Za-z0-9_])", 1)), F.lit(""))
+        beside = F.when(amount.isNotNull(), F.coalesce(values.currency_of(text), s["currency"])).when(field == "currency", code).otherwise(s["currency"])
         return F.struct(
-            F.when(number, x["text"]).otherwise(s["number"]).alias("number"), F.when(issued, x["day"]).otherwise(s["issued"]).alias("issued"),
-            F.when(total, x["amount"]).otherwise(s["total"]).alias("total"), beside.alias("currency"),
-        )
-
-    found = F.aggregate(pairs, empty, told)
-    number = F.coalesce(found["number"], row_token(row)) if row is not None else found["number"]
-    whole = F.struct(number.alias("number"), found["issued"].alias("issued"), found["total"].alias("total"), found["currency"].alias("currency"))
-    return F.when(F.coalesce(number, found["issued"], found["total"], found["currency"]).isNotNull(), whole)
+            F.when(field == "number", text).otherwise(s["number"]).alias("number"),
+            F.when(field == "issued", values.displayed_date(text)).otherwise(s["issued"]).alias("issued"),
+            F.when(field == "total", amount).otherwise(s["total"]).alias("total"), beside.alias("currency"),
+        )
+
+    def whole(found: Column) -> Column:
+        number = F.coalesce(found["number"], row_token(row)) if row is not None else found["number"]
+        return F.struct(number.alias("number"), found["issued"].alias("issued"), found["total"].alias("total"), found["currency"].alias("currency"))
+
+    says = lambda c: F.when(F.coalesce(c["number"], c["issued"], c["total"], c["currency"]).isNotNull(), c)
+    return bound(bound(F.aggregate(pairs, empty, told), whole), says)
 
 
 def action_identity(attribute: Column, claim: Column) -> Column:

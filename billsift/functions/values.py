@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bound
+
 DECIMAL = r"^-?\d{1,18}(?:\.\d{1,6})?$"
 # The retry ladder in seconds, and the outcomes it holds for.
 LADDER = (300, 1800, 7200)
@@ -38,27 +40,41 @@ def origin_id(origin: Column) -> Column:
 
 def calendar_date(year: Column, month: Column, day: Column) -> Column:
     text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.when(F.try_to_date(text, "yyyy-MM-dd").isNotNull() & year.try_cast("int").between(2000, 2100), text)
+    in_range = bound(year.try_cast("int"), lambda y: y.between(2000, 2100))
+    return bound(text, lambda t: F.when(in_range & F.try_to_date(t, "yyyy-MM-dd").isNotNull(), t))
+
+
+# How the names of months begin; a text without one of them is never tried as a date that spells its month.
+MONTH = r"(?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 
 
 def displayed_date(c: Column) -> Column:
     """ISO date of ISO, unambiguous day-first or month-first, or month-name text; null otherwise, or outside 2000 to 2100."""
+    return bound(c, _displayed_date)
+
+
+def _displayed_date(c: Column) -> Column:
     iso, mixed = r"(?<![0-9])(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?![0-9])", r"(?<![0-9])(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?![0-9])"
     part = lambda p, i: F.regexp_extract(c, p, i)
     first, second = part(mixed, 1).try_cast("int"), part(mixed, 2).try_cast("int")
     named = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in ("MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", "d MMM yyyy", "MMM d yyyy", "MMMM d yyyy")])
-    spelt = F.date_format(named, "yyyy-MM-dd")
+    spelt = bound(named, lambda at: F.when(F.year(at).between(2000, 2100), F.date_format(at, "yyyy-MM-dd")))
     return (
         F.when(c.rlike(iso), calendar_date(part(iso, 1), part(iso, 2), part(iso, 3)))
         .when(c.rlike(mixed) & (first > 12), calendar_date(part(mixed, 3), part(mixed, 2), part(mixed, 1)))
         .when(c.rlike(mixed) & (second > 12), calendar_date(part(mixed, 3), part(mixed, 1), part(mixed, 2)))
-        .when(~c.rlike(mixed), F.when(F.year(named).between(2000, 2100), spelt))
+        .when(~c.rlike(mixed) & c.rlike(MONTH), spelt)
     )
 
 
 def displayed_amount(c: Column) -> Column:
     """A decimal with a point, of an amount as a page shows it; null if the separators leave it open."""
     bare = F.regexp_replace(F.regexp_replace(c, r"(?<![A-Za-z])[A-Za-z]{3}(?![A-Za-z])", ""), r"[€£$¥\s ']", "")
+    return bound(bare, _plain_amount)
+
+
+def _plain_amount(bare: Column) -> Column:
+    """The decimal of an amount without its currency."""
     comma, dot = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))), F.length(bare) - F.length(F.replace(bare, F.lit("."), F.lit("")))
     last_comma, last_dot = F.instr(F.reverse(bare), ","), F.instr(F.reverse(bare), ".")
     both = F.when(
@@ -68,12 +84,12 @@ def displayed_amount(c: Column) -> Column:
     single = F.when(F.length(tail) == 3, F.lit(None)).otherwise(F.replace(bare, F.lit(","), F.lit(".")))
     many = F.when(bare.rlike(r"^-?\d+(?:[.,]\d{3})+$"), F.regexp_replace(bare, "[.,]", ""))
     number = F.when((comma > 0) & (dot > 0), both).when(comma + dot > 1, many).when(comma + dot == 1, single).otherwise(bare)
-    return F.when(number.rlike(DECIMAL), number)
+    return bound(number, lambda n: F.when(n.rlike(DECIMAL), n))
 
 
 def currency_of(c: Column) -> Column:
     code = F.upper(F.regexp_extract(c, r"(?<![A-Za-z])([A-Za-z]{3})(?![A-Za-z])", 1))
-    return F.when(code != "", code).when(c.contains("€"), F.lit("EUR")).when(c.contains("£"), F.lit("GBP"))
+    return bound(code, lambda x: F.when(x != "", x).when(c.contains("€"), F.lit("EUR")).when(c.contains("£"), F.lit("GBP")))
 
 
 # What the text redactor replaces, in order.
