@@ -11,7 +11,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bound
+
 REGEX_INPUT = 16_384
+# The forms of dates in their order, each with a pattern that all its texts match: a text that is of no form is not parsed in vain.
+_MONTH = r"(?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+FORMATS = (
+    (r"[Tt].*(?:[Zz]|[+-]\d\d:?\d\d)", "yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX"), ("[Tt]", "yyyy-MM-dd'T'HH:mm:ss[.SSS]"), (":", "yyyy-MM-dd HH:mm:ss"),
+    ("^[^:]*-[^:]*$", "yyyy-MM-dd"), ("/", "yyyy/MM/dd"), (_MONTH, "MMM d, yyyy"), (_MONTH, "MMMM d, yyyy"), (_MONTH, "d MMM yyyy"), (_MONTH, "d MMMM yyyy"),
+    (_MONTH, "d MMM yyyy HH:mm:ss z"),
+)
 #: What a browser's trim() takes off: ASCII and Unicode white space, and the byte-order mark.
 BLANK = r"[\s   -     　﻿]"
 
@@ -33,14 +42,7 @@ def dated(c: Column, epoch: str | None = None) -> Column:
         at = F.timestamp_seconds(text.try_cast("bigint")) if epoch == "s" else F.timestamp_millis(text.try_cast("bigint"))
     else:
         bare = F.regexp_replace(text, "^[A-Za-z]{3,9}, (?=[0-9])", "")  # the weekday of a mail header
-        at = F.coalesce(
-            *[
-                F.try_to_timestamp(bare, F.lit(f)) for f in (
-                    "yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSS]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MMM d, yyyy",
-                    "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d MMM yyyy HH:mm:ss z",
-                )
-            ]
-        )
+        at = bound(bare, lambda b: F.coalesce(*[F.when(b.rlike(shape), F.try_to_timestamp(b, F.lit(f))) for shape, f in FORMATS]))
     return F.coalesce(F.date_format(at, "yyyy-MM-dd"), text)
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bound
+
 # Words of the route policy.
 INTENT = "invoice|receipt|billing|payment|subscription|statement|transaction"
 UNSAFE = "logout|log-out|signout|sign-out|delete|remove|cancel|checkout|purchase|upgrade|downgrade|authorize|oauth|callback|invite|payment[-_/]?method"
@@ -35,11 +37,15 @@ def host_of(url: Column) -> Column:
 
 def path_of(url: Column) -> Column:
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.when(path == "", F.lit("/")).otherwise(path)
+    return F.regexp_replace(path, r"\A\z", "/")
 
 
 def without_dots(path: Column) -> Column:
     """A path from the root with its segments `.` and `..` (also escaped) followed."""
+    return bound(path, _without_dots)
+
+
+def _without_dots(path: Column) -> Column:
     segments = F.split(path, "/", -1)
     dots = lambda s, n: F.lower(s).rlike(r"^(?:\.|%2e){" + str(n) + "}$")
     up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))
@@ -61,6 +67,10 @@ def origin_of(url: Column) -> Column:
 
 def is_public_host(host: Column) -> Column:
     """A dotted name that is not local, or an IPv4 address outside the reserved blocks."""
+    return bound(host, _is_public_host)
+
+
+def _is_public_host(host: Column) -> Column:
     octets = F.split(host, r"\.")
     number = reduce(lambda a, b: a * 256 + b, [F.try_element_at(octets, F.lit(i)).try_cast("bigint") for i in range(1, 5)])
     address = host.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$")
@@ -68,21 +78,26 @@ def is_public_host(host: Column) -> Column:
     for block in RESERVED:
         base, bits = block.split("/")
         low = reduce(lambda a, b: a * 256 + b, map(int, base.split(".")))
-        blocks.append(number.between(low, low + (1 << (32 - int(bits))) - 1))
+        blocks.append((low, low + (1 << (32 - int(bits))) - 1))
+    reserved = bound(number, lambda n: reduce(Column.__or__, [n.between(low, high) for low, high in blocks]))
     named = host.contains(".") & ~host.rlike(r"(?:^|\.)(?:localhost|local)$")
-    return F.when(address, ~reduce(Column.__or__, blocks)).otherwise(named)
+    return F.when(address, ~reserved).otherwise(named)
 
 
 def safe_route(url: Column) -> Column:
     """The URL without hash and with its paging keys only, sorted; null unless it is https, public, and neither mutating nor a document itself."""
+    return bound(url, _safe_route)
+
+
+def _safe_route(url: Column) -> Column:
     path = path_of(url)
     for _ in range(3):  # what is escaped once or more often is judged as what it stands for
         path = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
     path = F.lower(path)
     keys = F.filter(F.split(query_of(url), "&"), lambda kv: F.regexp_extract(kv, "^([^=]*)", 1).isin(*PAGE_KEYS) & kv.rlike(r"=\d+$"))
     query = F.array_join(F.array_sort(keys), "&")
-    bad = path.rlike(UNSAFE) | path.rlike(DIRECT_DOCUMENT) | url.rlike("^[^/]*//[^/?#]*@")
-    kept = F.concat(origin_of(url), path_of(url), F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
+    bad = bound(path, lambda p: p.rlike(UNSAFE) | p.rlike(DIRECT_DOCUMENT)) | url.rlike("^[^/]*//[^/?#]*@")
+    kept = F.concat(origin_of(url), path_of(url), bound(query, lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q))))
     return F.when((scheme_of(url) == "https") & is_public_host(host_of(url)) & ~bad, kept)
 
 

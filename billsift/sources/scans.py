@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import controls, urls
+from ..functions.binding import bound
 
 ROW_INPUT = 524_288
 SCRIPT = r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/(?:ld\+)?json["'][^>]*>(.*?)</script>"""
@@ -94,8 +95,12 @@ def without_raw_text(html: Column) -> Column:
 
 def absolute(url: Column, base: Column) -> Column:
     """A link as seen from the page at `base`, with its dot segments followed."""
+    return bound(url, lambda u: bound(_full(u, base), _followed))
+
+
+def _full(url: Column, base: Column) -> Column:
     folder = F.regexp_replace(F.concat(urls.origin_of(base), urls.path_of(base)), r"[^/]*\z", "")
-    full = (
+    return (
         F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(
             url.startswith("//"), F.concat(urls.scheme_of(base), F.lit(":"), url),
         ).when(url.startswith("/"), F.concat(urls.origin_of(base), url))
@@ -103,6 +108,10 @@ def absolute(url: Column, base: Column) -> Column:
             url.startswith("?"), F.concat(urls.origin_of(base), urls.path_of(base), url),
         ).when(url.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), url)).otherwise(F.concat(folder, url))
     )
+
+
+def _followed(full: Column) -> Column:
+    """An address with its dot segments followed."""
     head = F.regexp_extract(full, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     tail = F.regexp_extract(full, r"(?s)^[^?#]*(.*)$", 1)
     return F.when(
