@@ -50,8 +50,7 @@ KEY = re.compile(rb"\x30(?:[\x10-\x7f]|\x81.|\x82..|\x83...)(?:\x02\x01[\x00\x01
 CIPHERS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 KINDS = ("assign", "access", "hex", "signed_token", "private_key", "encoded_key", "hex_key")
 MOST_VALUES = 16
-#: A token's header names its algorithm, type and key: it is no longer than this.
-MOST_HEADER = 4096
+MARKS = re.compile(rb'\\.|["{}\[\]]', re.DOTALL)
 MAGIC = b"openssh-key-v1\0"
 SCAN = "spans array<struct<kind:string,start:bigint,end:bigint>>"
 
@@ -267,11 +266,38 @@ def _object(text: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
+def last_object(data: bytes) -> int | None:
+    """Where the `{` is that the last `}` of a text closes, if the text is JSON from there on and ends with it; marks in strings don't count."""
+    depth, outside = 0, True
+    for m in reversed([m for m in MARKS.finditer(data.rstrip(b" \t\n\r")) if len(m[0]) == 1]):
+        if m[0] == b'"':
+            outside = not outside
+        elif outside:
+            depth += 1 if m[0] in b"}]" else -1
+            if depth <= 0:
+                return m.start() if m[0] == b"{" else None
+    return None
+
+
+def header_in(head: str) -> int | None:
+    """Where the first `eyJ` is from which on a part of a token is a header that names an algorithm, however long it is.
+
+    From each `eyJ` on the bytes are those of one of four texts, one for each place modulo 4. In each of them one object at most ends
+    with the text, and only that is read, so the time is linear.
+    """
+    tries = []
+    for first in range(4):
+        data = unbase64(head[first:]) if head.find("eyJ", first) >= 0 else None
+        at = last_object(data) if data else None
+        if at is not None and at % 3 == 0 and head.startswith("eyJ", first + at // 3 * 4):
+            tries.append(first + at // 3 * 4)
+    return next((k for k in sorted(tries) if isinstance((_object(head[k:]) or {}).get("alg"), str)), None)
+
+
 def signed_in(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of each signed token: a header that names an algorithm, a payload, and a signature that may be empty.
 
-    Runs are cut at their dots once and each payload is read once; only before a payload that holds are headers tried,
-    from each `eyJ` on within MOST_HEADER characters, so the time is linear in the text.
+    Runs are cut at their dots once and each payload is read once; only before a payload that holds are headers tried.
     """
     for run in DOTTED.finditer(text):
         if "eyJ" not in run[0] or run[0].count(".") < 2:
@@ -279,14 +305,10 @@ def signed_in(text: str) -> Iterator[tuple[int, int]]:
         parts, at, done = run[0].split("."), run.start(), 0
         for i, head in enumerate(parts[:-2]):
             if at >= done and "eyJ" in head and parts[i + 1] and _object(parts[i + 1]) is not None:
-                k = head.find("eyJ", max(len(head) - MOST_HEADER, 0))
-                while k >= 0:
-                    found = _object(head[k:])
-                    if found is not None and isinstance(found.get("alg"), str):
-                        done = at + len(head) + len(parts[i + 1]) + len(parts[i + 2]) + 2
-                        yield at + k, done
-                        break
-                    k = head.find("eyJ", k + 1)
+                k = header_in(head)
+                if k is not None:
+                    done = at + len(head) + len(parts[i + 1]) + len(parts[i + 2]) + 2
+                    yield at + k, done
             at += len(head) + 1
 
 
