@@ -1,6 +1,7 @@
 """Recipes drafted from captured sessions: the list that looks most like invoices, its fields, how it goes on, and what it needs to be asked for again.
 
-Every step is an aggregate over the fields of all sessions; a draft is a row. `replayed` runs drafts over the same bodies.
+Every step is an aggregate over the fields of all sessions; a draft is a row. Fields and the lists chosen of them are written
+between steps, so drafts decode each body once and no step's plan holds those before it. `replayed` runs drafts over the same bodies.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exploration, transforms, urls
+from ..functions.binding import bound
 from ..sources import scans, walks
 from . import actions, ranking, tracing
+from .numbering import written
 
 LEAST = 0.5
 KEYS = ["session", "pos", "script"]
@@ -122,8 +125,8 @@ def drafts(entries: DataFrame, origins: DataFrame) -> DataFrame:
     `entries` has session, pos, url, method, status, content_type, request_body and response_body; `origins` session and origin. Ids in the listing's
     request that another answer gives become `{names}` (config). A session whose request keeps something redacted has no draft.
     """
-    found = fields(entries)
-    maps = field_maps(found, invoice_lists(found))
+    found = written(fields(entries), "fields")
+    maps = written(field_maps(found, invoice_lists(found)), "maps")
     at = entries.select(F.col("session").alias("_s"), F.col("pos").alias("_p"), "url", "method", "request_body", "response_body")
     asked = maps.join(at, F.col("session").eqNullSafe(F.col("_s")) & (F.col("pos") == F.col("_p"))).drop("_s", "_p")
     paging = tracing.pagination(asked.where("source = 'json'"), ["session"], "url", "response_body").select(
@@ -165,6 +168,7 @@ def replayed(drafts: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFram
         *[F.regexp_replace(c, r"^(?:node|attributes)\.", "").alias(f"_{c}") for c in ("id", "date", "total", "currency", "document")], "epoch",
         "minor", "upper", "hosted", F.col("request").alias("_request"),
     )
+    mine = written(mine, "drafts")
     same = F.col("session").eqNullSafe(F.col("_s")) & (F.col("pos") == F.col("_p")) & (F.col("script") == F.col("_n")) & (F.col("list") == F.col("_items"))
     met = fields(entries).join(mine, same)
     value = lambda c: F.max(F.when(F.col("key") == F.col(f"_{c}"), F.col("value"))).alias(c)
@@ -172,13 +176,13 @@ def replayed(drafts: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFram
     when = F.when(F.col("epoch").isNull(), transforms.dated(F.col("date"))).when(
         F.col("epoch") == "s", transforms.dated(F.col("date"), "s"),
     ).otherwise(transforms.dated(F.col("date"), "ms"))
-    link = scans.absolute(F.col("document"), F.col("_request"))
-    hosted = F.regexp_replace(link, r"^https://invoice\.stripe\.com/i/([^/?#]+)/([^/?#]+)(\?.*)?$", r"https://pay.stripe.com/invoice/$1/$2/pdf$3")
+    hosted = lambda link: F.regexp_replace(link, r"^https://invoice\.stripe\.com/i/([^/?#]+)/([^/?#]+)(\?.*)?$", r"https://pay.stripe.com/invoice/$1/$2/pdf$3")
+    link = bound(scans.absolute(F.col("document"), F.col("_request")), lambda x: F.when(F.col("hosted"), hosted(x)).otherwise(x))
     out = items.select(
         "session", "item", F.trim("id").alias("id"), when.alias("issued_at"), F.when(
             F.col("minor"), transforms.divided(F.col("total"), 100),
         ).otherwise(F.col("total")).alias("total"),
-        F.when(F.col("upper"), F.upper("currency")).otherwise(F.col("currency")).alias("currency"), F.when(F.col("hosted"), hosted).otherwise(link).alias("document_url"),
+        F.when(F.col("upper"), F.upper("currency")).otherwise(F.col("currency")).alias("currency"), link.alias("document_url"),
     )
     blank = F.coalesce(F.col("id").isin("", "undefined", "null"), F.lit(True))
     return out.where(~blank), out.where(blank).select("session", "item")

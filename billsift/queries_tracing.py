@@ -181,7 +181,7 @@ def _sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("session") % 2 == 0, 200).otherwise(404).alias("status"), F.lit("application/json").alias("content_type"), "request_body",
         F.lit('{"user":"x"}').alias("response_body"),
     )
-    return lists.unionByName(me), lists.select("session", F.lit("https://e.com").alias("origin"))
+    return written(lists.unionByName(me), "sessions"), listed.select(F.col("o_custkey").alias("session"), F.lit("https://e.com").alias("origin"))
 
 
 @query("""
@@ -206,7 +206,6 @@ SELECT o_custkey AS session, (row_number() OVER (PARTITION BY o_custkey ORDER BY
 def recipe_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drafts run again over the answers that they were drafted from give every order back."""
     entries, origins = _sessions(spark, sf_dir)
-    entries = written(entries, "sessions")
     return drafts.replayed(drafts.drafts(entries, origins), entries)[0]
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from billsift import queries_discovery
+from billsift import queries_discovery, queries_tracing
 from billsift.functions import transforms, urls, values
 from billsift.sources import scans
 
@@ -36,3 +36,7 @@ def test_dates_are_those_of_all_forms(spark):
     assert shown == [
         "2024-01-02", "2024-01-02", "2024-01-02", "2024-01-02", "2024-01-02", "2024-01-02", "2024-01-02", "2024-01-02", "2024-01-02", "2024-02-02", "2024-09-02", None, "2024-05-03",
     ] + [None] * 9
+
+
+def test_replays_keep_a_small_plan(spark, sf_dir):
+    assert len(queries_tracing.recipe_replays(spark, sf_dir)._jdf.queryExecution().toString()) < 400_000
