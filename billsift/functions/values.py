@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,9 +109,17 @@ CARD = r"(?<![A-Za-z0-9_])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![A-Za-z0-9_])"
 IBAN = r"(?i)(?<![A-Za-z0-9_])[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30}(?![A-Za-z0-9_])"
 
 
+# What a text holds if the redaction of the same place may match; most texts hold none of these.
+SIGNS = ("[:=]", "[:=]", "[Bb]earer", "eyJ", "(?i)(?:sk|pk|rk|api)[_-]", "[?&]", "@")
+
+
+def _replacing(pattern: str, by: str, sign: str) -> Callable[[Column], Column]:
+    return lambda x: F.when(x.rlike(sign), F.regexp_replace(x, pattern, by)).otherwise(x)
+
+
 def redacted(c: Column) -> Column:
-    for pattern, by in REDACTIONS:
-        c = F.regexp_replace(c, pattern, by)
+    for (pattern, by), sign in zip(REDACTIONS, SIGNS, strict=True):
+        c = bound(c, _replacing(pattern, by, sign))
     return c
 
 
