@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import transforms, urls, values
 from .operators import evidence, identity, inference, ledger, outcomes, ranking, retrieval
 from .plans import recipe
-from .session import shared_dir
+from .session import shared_dir, spread
 from .sources import scans
 from .streaming import state
 
@@ -367,7 +367,7 @@ def row_regex_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, 'https://billing.example.com/receipts/' || o_orderkey || '.pdf' AS link, 'Receipt' AS label FROM orders")
 def likely_document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    portal = _portal(spark, sf_dir).withColumn("base", F.lit("https://billing.example.com/account/history"))
+    portal = spread(_portal(spark, sf_dir)).withColumn("base", F.lit("https://billing.example.com/account/history"))
     return scans.document_links(portal, "body", "base").select("o_orderkey", "link", "label")
 
 

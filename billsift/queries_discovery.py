@@ -12,6 +12,7 @@ from .functions import controls, exploration
 from .operators import actions
 from .queries import query, table
 from .queries_rules import _case, _list, _pick
+from .session import spread
 from .sources import walks
 
 # Controls and rows
@@ -24,7 +25,7 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = F.concat(F.lit("€ "), (F.col("o_orderkey") % 100).cast("string"), F.lit(".5"))
     cells = F.array(F.concat(F.lit("INV-"), key), F.lit("2024-01-01"), day, amount, F.lit("usd"))
     row = F.concat(F.lit("Row AB-1000"), key, F.when(kind == 2, F.concat(F.lit(" and XY-2000"), key)).otherwise(""), F.lit(" x"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", controls.row_claim(headers, cells, row).alias("claim"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", controls.row_claim(headers, cells, row).alias("claim"))
 
 
 _CLAIMS = """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'INV-' || o_orderkey WHEN 1 THEN 'AB-1000' || o_orderkey END AS number,
@@ -273,7 +274,7 @@ DATA_PAGE = (
 WITH s AS (SELECT unnest([0, 1, 2]) AS place, unnest(['https://e.com/Invoice', 'https://e.com/billing/%', 'https://e.com/account/%?page=2']) AS route)
 SELECT c_custkey, replace(route, '%', c_custkey::VARCHAR) AS route, place FROM customer, s""")
 def structured_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "customer").select("c_custkey", _with_key(DATA_PAGE, "c_custkey").alias("html"), F.lit("https://e.com/home").alias("base"))
+    pages = spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", _with_key(DATA_PAGE, "c_custkey").alias("html"), F.lit("https://e.com/home").alias("base"))
     return walks.structured_routes(pages, ["c_custkey"], "html", "base")
 
 
@@ -331,7 +332,7 @@ def redacted_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies with people, payments and tokens; each ninth is no JSON."""
     body = F.replace(_with_key(PEOPLE, "c_custkey"), F.lit("!"), F.lit("@"))
     return walks.fixture(
-        table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 9 > 0, body).otherwise("{oops").alias("body")), "body",
+        spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", F.when(F.col("c_custkey") % 9 > 0, body).otherwise("{oops").alias("body")), "body",
     )
 
 
@@ -341,5 +342,5 @@ NO_SECRETS = '{"access_token":"REDACTED","data":{"accessToken":"REDACTED","custo
 
 @query(f"SELECT c_custkey, replace('{NO_SECRETS}', '%', c_custkey::VARCHAR) AS value, 'access_token,data.accessToken,list.0.v,iban' AS paths FROM customer")
 def evidence_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = walks.evidence(table(spark, sf_dir, "customer").select("c_custkey", _with_key(SECRETS, "c_custkey").alias("body")), "body")
+    found = walks.evidence(spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", _with_key(SECRETS, "c_custkey").alias("body")), "body")
     return found.select("c_custkey", F.col("body.value").alias("value"), F.array_join("body.paths", ",").alias("paths"))

@@ -40,3 +40,19 @@ def test_dates_are_those_of_all_forms(spark):
 
 def test_replays_keep_a_small_plan(spark, sf_dir):
     assert len(queries_tracing.recipe_replays(spark, sf_dir)._jdf.queryExecution().toString()) < 400_000
+
+
+def test_heavy_rows_of_a_small_file_are_spread(spark, sf_dir):
+    names = ("row_claims", "redacted_fixtures", "evidence_bodies")
+    assert all(getattr(queries_discovery, n)(spark, sf_dir).rdd.getNumPartitions() >= 8 for n in names)
+
+
+def test_signs_keep_every_redaction(spark):
+    texts = [
+        "Token: abc, x", "email=a b", "bearer abcdefgh.1", "eyJ" + "a" * 25, "SK_live_abcdefghijklmn z", "api-abcdefghijkl", "?code=1&SIG=2", "A.b@c.De", "plain", "", None, "pk-test-aaaaaaaaaaaaaa",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.col("t")
+    for pattern, by in values.REDACTIONS:
+        plain = F.regexp_replace(plain, pattern, by)
+    assert all(a == b for a, b in df.select(values.redacted(F.col("t")), plain).collect())
