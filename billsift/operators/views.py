@@ -39,17 +39,18 @@ def delivery_changes(journal: DataFrame, new: DataFrame, owner: str, cap: int =
     supplier's, and stays as it is. All others are `fresh` and pending, in place of an entry for another destination. An owner keeps
     `cap` entries: the oldest committed ones that the batch does not use are `evicted`, and if these are too few, the newest
     of the fresh are `refused:full`. Identities are unique to an owner, in the journal and in the batch.
+    The result is a table of the shared folder; what it is made of is computed once, and nothing is ranked if no owner is over `cap`.
     """
     old = journal.select(F.col(owner).alias("_o"), *[F.col(c).alias(f"_{c}") for c in ENTRY])
     mine = F.col(owner).eqNullSafe(F.col("_o")) & (F.col("identity") == F.col("_identity"))
     same = F.coalesce(F.col("destination") == F.col("_destination"), F.lit(False))
     other = F.coalesce(F.col("_source") != F.col("source"), F.lit(False))
     met = new.join(old, mine, "left").withColumn("outcome", F.when(same & other, "refused:supplier").when(same, "again").otherwise("fresh"))
-    told = met.select(
+    told = written(met.select(
         owner, "identity", "source", "destination", F.when(F.col("outcome") == "again", F.col("_path")).otherwise(F.col("path")).alias("path"),
         F.when(F.col("outcome") == "again", F.col("_status")).when(F.col("outcome") == "fresh", "pending").alias("status"),
         F.when(F.col("outcome") == "again", F.col("_updated")).otherwise(F.col("updated")).alias("updated"), "outcome",
-    )
+    ), "told")
     used = told.where("outcome IN ('again', 'fresh')").select(F.col(owner).alias("_o"), F.col("identity").alias("_identity"))
     kept = journal.join(used, mine, "left_anti").select(owner, *ENTRY, F.lit("kept").alias("outcome"))
     has = lambda what: F.count(F.when(what, 1))
@@ -58,11 +59,13 @@ def delivery_changes(journal: DataFrame, new: DataFrame, owner: str, cap: int =
             (F.col("outcome") == "kept") & (F.col("status") == "committed")
         ).alias("_committed")
     )
-    counts = counts.where("_over > 0").select(
+    counts = written(counts.where("_over > 0").select(
         "_o", F.least("_over", "_committed").alias("_gone"),
         (F.col("_fresh") - F.greatest(F.lit(0), F.col("_over") - F.col("_committed"))).alias("_room"),
         (F.col("_over") > F.col("_committed")).alias("_full"),
-    )
+    ), "over")
+    if counts.isEmpty():
+        return told.select(owner, *ENTRY, "outcome")
     # an owner's committed entries are no more than `cap` in a journal that is kept by this rule; a batch has no such bound, so it is numbered by ranges
     ranked = kept.where("status = 'committed'").join(counts, F.col(owner).eqNullSafe(F.col("_o"))).withColumn(
         "_turn", F.row_number().over(Window.partitionBy(owner).orderBy("updated", "identity")),
@@ -77,12 +80,12 @@ def delivery_changes(journal: DataFrame, new: DataFrame, owner: str, cap: int =
     told = told.join(late, mine, "left").withColumns(
         {"outcome": F.when(full, "refused:full").otherwise(F.col("outcome")), "status": F.when(~full, F.col("status"))}
     )
-    return told.select(owner, *ENTRY, "outcome").unionByName(evicted)
+    return written(told.select(owner, *ENTRY, "outcome").unionByName(evicted), "changes")
 
 
 def prepare_deliveries(journal: DataFrame, new: DataFrame, owner: str, cap: int = JOURNAL_CAP) -> tuple[DataFrame, DataFrame]:
     """(journal, refused) after `new` has been prepared by `delivery_changes`; a fresh entry that finds no room leaves what was there."""
-    changes = written(delivery_changes(journal, new, owner, cap), "changes")
+    changes = delivery_changes(journal, new, owner, cap)
     done = changes.where("outcome NOT LIKE 'refused:%'")
     gone = done.select(F.col(owner).alias("_o"), F.col("identity").alias("_identity"))
     kept = journal.join(gone, F.col(owner).eqNullSafe(F.col("_o")) & (F.col("identity") == F.col("_identity")), "left_anti")

@@ -69,7 +69,7 @@ def deliver(
     named = written(named.withColumn("_turn", F.row_number().over(first)).where("_turn = 1").drop("_turn"), "deliveries")
     touched = [r[0] for r in named.select(_bucket("owner")).distinct().collect()]  # BUCKETS at most
     before = written(journal(spark, root, touched, batch), "before")
-    changes = written(views.delivery_changes(before, named.select("owner", *[c for c in views.ENTRY if c != "status"]), "owner", cap), "changes")
+    changes = views.delivery_changes(before, named.select("owner", *[c for c in views.ENTRY if c != "status"]), "owner", cap)
     _write(changes.where("outcome IN ('again', 'fresh')"), root, batch, 2 * batch)
     told = changes.where("outcome IN ('again', 'fresh')").select(
         F.col("owner").alias("_o"), F.col("identity").alias("_i"), F.col("path").alias("_path"), (F.col("status") == "committed").alias("_done"),
