@@ -11,6 +11,7 @@ from .plans import schema
 from .queries import query, table
 from .queries_tracing import by, text
 from .queries_values import _PAGES, _pages
+from .session import dealt
 
 
 @query(f"""
@@ -92,7 +93,7 @@ def candidate_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.when(F.col("l_suppkey") % 9 == 0, None).when(
         F.col("l_suppkey") % 9 == 1, F.when(part % 5 == 0, "https://b.example.com/x").otherwise("https://a.example.com/y"),
     ).otherwise(text("https://a.example.com/", part))
-    refs = table(spark, sf_dir, "lineitem").select(
+    refs = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         key.alias("candidate"), (
             F.col("l_linenumber") + F.when(F.col("l_linenumber") >= 6, 14).otherwise(0)
         ).alias("scope"), pos.alias("pos"), F.when(part % 97 == 0, "null").otherwise(text("i", part % 40)).alias("id"), url.alias("document_url"), (part % 4 > 0).alias("action")
