@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .queries import query, table
+from .session import spread
 from .sources import captures
 
 
@@ -54,7 +55,7 @@ def captured_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = F.array(
         *map(F.lit, ("application/json", "application/vnd.api+json; v=1", "application/x-www-form-urlencoded", "multipart/form-data; boundary=b", "text/plain"))
     )
-    rows = table(spark, sf_dir, "orders").select(
+    rows = spread(table(spark, sf_dir, "orders")).select(
         "o_orderkey", F.get(types, kind.cast("int")).alias("type"),
         F.concat(told, F.when(F.col("o_orderkey") % 35 == 0, F.repeat(F.lit(" "), F.lit(500))).otherwise("")).alias("body"),
     )
@@ -77,6 +78,6 @@ def capture_references(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"account_id":"acct'), F.lpad((id % 13).cast("string"), 12, "0"), F.lit('","items":[{"id":'), (1000000 + id * 7 % 31).cast("string"),
         F.lit("}]}"),
     )
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", url.alias("u"), body.alias("b"), F.lit("application/json").alias("t"))
+    rows = spread(table(spark, sf_dir, "events").select("user_id", "event_id")).select("user_id", "event_id", url.alias("u"), body.alias("b"), F.lit("application/json").alias("t"))
     found = captures.captured(rows, "user_id", ["event_id"], "u", "b", "t")
     return found.select("user_id", "event_id", "url", "value", F.array_join("refs", ",").alias("refs"))

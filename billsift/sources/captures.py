@@ -10,15 +10,17 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls, values
+from ..functions.binding import bound
 from ..operators.numbering import numbered, written
 from ..session import ship
-from .walks import KEEP, PAYMENT_KEY, SENSITIVE_KEY, dumped, each_text, hidden_names, is_payment, loaded, policy_key, rewritten
+from .walks import KEEP, KEYS_HELD, PAYMENT_KEY, SENSITIVE_KEY, dumped, each_text, hidden_names, is_payment, loaded, policy_key, rewritten
 
 BODY_CHARS, LINKS, LINK_CHARS, PATHS, PATH_CHARS = 1_500_000, 500, 2048, 40, 300
 TRUNCATED, MALFORMED = '{"__truncated__":true}', '{"__malformed__":true}'
@@ -48,12 +50,19 @@ OPERATION, PLACEHOLDER = re.compile(r"[_A-Za-z][_0-9A-Za-z]{0,127}"), re.compile
 CHOICE_KEY, CHOICE = re.compile("status|type|sort|order", re.I), re.compile("[a-z][a-z0-9_-]{0,31}", re.I)
 QUERY = re.compile(r"query(?:\s+[_A-Za-z][_0-9A-Za-z]*)?\s*(?:\([^)]*\)\s*)?\{")
 QUERY_CHARS = 48 * 1024
+TOLD_PATH = re.compile(r"[A-Za-z0-9_$-]+(?:\.[A-Za-z0-9_$-]+)*")
+HOLE = re.compile(f"{MARK}[0-9]+{END}")
+ADDRESS = re.compile("https?://|/", re.I)
 
 
 def _decoded(c: Column, form: bool = False) -> Column:
     """Percent-decoded; what is no escape stays as it is. `form`: a plus is a blank."""
-    kept = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.coalesce(F.try_url_decode(kept if form else F.replace(kept, F.lit("+"), F.lit("%2B"))), c)
+    def whole(c: Column) -> Column:
+        kept = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
+        return F.coalesce(F.try_url_decode(kept if form else F.replace(kept, F.lit("+"), F.lit("%2B"))), c)
+
+    signs = lambda c: c.contains("%") | c.contains("+") if form else c.contains("%")
+    return bound(c, lambda c: F.when(signs(c), whole(c)).otherwise(c))
 
 
 def _pairs(query: Column) -> Column:
@@ -77,7 +86,10 @@ def form_body(body: Column) -> Column:
 def resolved_path(path: Column) -> Column:
     """A path from the root, its dot segments followed and what a path may not hold escaped."""
     rooted = F.translate(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)), "\\", "/")
-    plain = urls.without_dots(rooted)
+    return bound(urls.without_dots(rooted), _escaped_path)
+
+
+def _escaped_path(plain: Column) -> Column:
     escaped = F.array_join(
         F.transform(
             F.split(plain, ""),
@@ -94,47 +106,63 @@ def sanitised_url(url: Column, aliased: bool = False) -> Column:
     Only http and https keep their host; others are their path and query. With `aliased`, segments and identifier
     values are marked for `captured` to number them. What is no address is redacted as text.
     """
-    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
-    bare = F.regexp_replace(text, "(?s)#.*$", "")
-    host = F.regexp_extract(bare, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?\\]*@)?([^/?\\]*)", 1)
-    path = F.regexp_extract(bare, r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?\\]*)?([^?]*)", 1)
-    query = F.regexp_extract(bare, r"(?s)^[^?]*\?(.*)$", 1)
     gone = lambda s: F.concat(F.lit(MARK), s, F.lit(END)) if aliased else F.lit("REDACTED")
 
-    segments = F.split(resolved_path(path), "/", -1)
-    def kept(s: Column, i: Column) -> Column:
-        own, parent = _decoded(s), _decoded(F.coalesce(F.get(segments, i - 1), F.lit("")))
-        secret = own.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f-]{27}$") | (F.length(own) >= 24) & own.rlike(r"^[A-Za-z0-9._~+=-]+$") & own.rlike("[A-Za-z]") & own.rlike("[0-9]")
-        person = parent.rlike(PERSON_PARENT) & (own.rlike(f"^{MAIL}$") | own.rlike(PERSON_NAME))
-        return F.when(secret | person, gone(own)).otherwise(s)
-
-    pairs = F.transform(
-        _pairs(query),
-        lambda p, i: F.struct(
-            i.alias("i"), p["key"].alias("key"), p["value"].alias("value"),
-            (F.lower(p["key"]).isin(*SAFE_QUERY_KEYS) & p["value"].rlike(SAFE_QUERY_VALUE)).alias("safe"),
-        ),
-    )
-    bad = lambda key: F.get(F.filter(pairs, lambda q: (q["key"] == key) & ~q["safe"]), F.lit(0))
-    first = lambda p: p["i"] == F.get(F.filter(pairs, lambda q: q["key"] == p["key"]), F.lit(0))["i"]
-    hidden = lambda v: F.when(v.rlike(f"^{OPAQUE}$"), gone(v)).otherwise("REDACTED") if aliased else F.lit("REDACTED")
-    told = F.transform(
-        F.filter(pairs, lambda p: bad(p["key"]).isNull() | first(p)),
-        lambda p: F.concat(
-            F.url_encode(p["key"]), F.lit("="), F.when(bad(p["key"]).isNull(), F.url_encode(p["value"])).otherwise(hidden(bad(p["key"])["value"])),
-        ),
-    )
-    search = F.when(query == "", "").when(
-        F.forall(pairs, lambda p: p["safe"]), F.concat(F.lit("?"), query),
-    ).otherwise(F.concat(F.lit("?"), F.array_join(told, "&")))
-    scheme = F.lower(F.regexp_extract(text, "(?i)^(https?)://", 1))
-    port = F.when(scheme == "https", ":443").otherwise(":80")
-    lower = F.lower(host)
-    named = F.when(lower.endswith(port), F.substr(lower, F.lit(1), F.length(lower) - F.length(port))).otherwise(lower)
-    front = F.when(scheme != "", F.concat(scheme, F.lit("://"), named)).otherwise("")
-    opaque = bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:(?!//)")
-    whole = F.concat(front, F.when(opaque, path).otherwise(F.array_join(F.transform(segments, kept), "/")), search)
-    return F.when((scheme != "") & ((host == "") | host.rlike(r"[\s<>^|%]")), values.redacted(url)).otherwise(whole)
+    def whole(text: Column, bare: Column) -> Column:
+        host = F.regexp_extract(bare, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?\\]*@)?([^/?\\]*)", 1)
+        scheme = F.lower(F.regexp_extract(text, "(?i)^(https?)://", 1))
+        return bound(scheme, lambda scheme: bound(host, lambda host: addressed(bare, scheme, host)))
+
+    def addressed(bare: Column, scheme: Column, host: Column) -> Column:
+        path = F.regexp_extract(bare, r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?\\]*)?([^?]*)", 1)
+        query = F.regexp_extract(bare, r"(?s)^[^?]*\?(.*)$", 1)
+        port = F.when(scheme == "https", ":443").otherwise(":80")
+        lower = F.lower(host)
+        named = F.when(lower.endswith(port), F.substr(lower, F.lit(1), F.length(lower) - F.length(port))).otherwise(lower)
+        front = F.when(scheme != "", F.concat(scheme, F.lit("://"), named)).otherwise("")
+        opaque = bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:(?!//)")
+        way = bound(path, lambda path: F.when(opaque, path).otherwise(bound(F.split(resolved_path(path), "/", -1), joined)))
+        told = F.concat(front, way, bound(query, lambda query: F.when(query == "", "").otherwise(bound(judged(query), lambda pairs: search(query, pairs)))))
+        return F.when((scheme != "") & ((host == "") | host.rlike(r"[\s<>^|%]")), values.redacted(url)).otherwise(told)
+
+    def joined(segments: Column) -> Column:
+        def hidden(own: Column, i: Column) -> Column:
+            secret = own.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f-]{27}$") | (F.length(own) >= 24) & own.rlike(r"^[A-Za-z0-9._~+=-]+$") & own.rlike("[A-Za-z]") & own.rlike("[0-9]")
+            person = _decoded(F.coalesce(F.get(segments, i - 1), F.lit(""))).rlike(PERSON_PARENT) & (own.rlike(f"^{MAIL}$") | own.rlike(PERSON_NAME))
+            return secret | person
+
+        kept = lambda s, i: bound(_decoded(s), lambda own: F.when(hidden(own, i), gone(own)).otherwise(s))
+        return F.array_join(F.transform(segments, kept), "/")
+
+    def judged(query: Column) -> Column:
+        return F.transform(
+            _pairs(query),
+            lambda p, i: bound(
+                p, lambda p: F.struct(
+                    i.alias("i"), p["key"].alias("key"), p["value"].alias("value"),
+                    (F.lower(p["key"]).isin(*SAFE_QUERY_KEYS) & p["value"].rlike(SAFE_QUERY_VALUE)).alias("safe"),
+                ),
+            ),
+        )
+
+    def search(query: Column, pairs: Column) -> Column:
+        return F.when(F.forall(pairs, lambda p: p["safe"]), F.concat(F.lit("?"), query)).otherwise(
+            F.concat(F.lit("?"), F.array_join(bound(F.filter(pairs, lambda p: ~p["safe"]), lambda unsafe: listed(pairs, unsafe)), "&")),
+        )
+
+    def listed(pairs: Column, unsafe: Column) -> Column:
+        """The values of safe keys, and each key that is unsafe anywhere at its first place, with the first unsafe value hidden."""
+        first = lambda of, key: F.get(F.filter(of, lambda q: q["key"] == key), F.lit(0))
+        hidden = lambda v: F.when(v.rlike(f"^{OPAQUE}$"), gone(v)).otherwise("REDACTED") if aliased else F.lit("REDACTED")
+
+        def told(p: Column, bad: Column) -> Column:
+            plain = lambda v: F.concat(F.url_encode(p["key"]), F.lit("="), v)
+            return F.when(bad.isNull(), plain(F.url_encode(p["value"]))).when(p["i"] == first(pairs, p["key"])["i"], plain(bound(bad["value"], hidden)))
+
+        return F.filter(F.transform(pairs, lambda p: bound(first(unsafe, p["key"]), lambda bad: told(p, bad))), lambda t: t.isNotNull())
+
+    cleaned = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
+    return bound(cleaned, lambda text: bound(F.regexp_replace(text, "(?s)#.*$", ""), lambda bare: whole(text, bare)))
 
 
 def html_links(html: Column, most: int = LINKS) -> Column:
@@ -169,39 +197,50 @@ APPROVED = [
 ]
 
 
+@lru_cache(KEYS_HELD)
+def _goes(key: str) -> bool:
+    """Whether a member's name says that its value is a secret, a payment or a person's."""
+    name = policy_key(key)
+    personal = name not in STRUCTURAL_NAMES and PERSONAL_KEY.search(name.replace("-", "_"))
+    return bool(SENSITIVE_KEY.search(key) or personal or PAYMENT_KEY.search(name))
+
+
+@lru_cache(KEYS_HELD)
+def _names_id(key: str) -> bool:
+    return bool(ID_KEY.search(key))
+
+
 def _walked(request: bool, aliased: bool):
-    """The function from a JSON text to its parts, what stands in the holes between them, and where things were taken out."""
+    """The function from a JSON text to its parts, the addresses that stand in the holes between them, and where things were taken out. Identifiers are marked in the parts."""
     opaque = re.compile(OPAQUE)
     names = hidden_names(UNSAFE_KEY)
 
     redactions = [(re.compile(p), by.replace("$1", r"\1"), "@" in p) for p, by in (*values.REDACTIONS, (MAIL, "user@example.com"))]
 
     def walk(text: str) -> dict:
-        holes: list[dict] = []
+        holes: list[tuple[str, str]] = []
         gone: list[str] = []
         named: list[dict] = []
 
         def hole(kind: str, value: str) -> str:
-            holes.append({"kind": kind, "text": value})
+            holes.append((kind, value))
             return f"{MARK}{len(holes) - 1}{END}"
 
         def note(path: str, into: list, row) -> None:
-            if len(into) < PATHS and len(path) <= PATH_CHARS and all(re.fullmatch("[A-Za-z0-9_$-]+", p) for p in path.split(".")):
+            if len(into) < PATHS and len(path) <= PATH_CHARS and TOLD_PATH.fullmatch(path):
                 into.append(row)
 
         def rule(key: str | None, path: str, depth: int, value):
-            name = policy_key(key) if key else ""
-            personal = key and name not in STRUCTURAL_NAMES and PERSONAL_KEY.search(re.sub("-", "_", name))
-            if key and (SENSITIVE_KEY.search(key) or personal or PAYMENT_KEY.search(name)) or isinstance(value, str) and is_payment(value):
+            if key and _goes(key) or isinstance(value, str) and is_payment(value):
                 note(path, gone, path)
                 return "REDACTED"
-            if aliased and key and ID_KEY.search(key) and isinstance(value, (str, int)) and not isinstance(value, bool) and opaque.fullmatch(str(value)):
+            if aliased and key and isinstance(value, (str, int)) and _names_id(key) and not isinstance(value, bool) and opaque.fullmatch(str(value)):
                 note(path, named, {"path": path, "text": str(value)})
                 return hole("ref", str(value))
             if not isinstance(value, str):
                 return KEEP
             value = value.replace(MARK, "\ufffd").replace(END, "\ufffd")
-            if re.match("https?://|/", value, re.I):
+            if ADDRESS.match(value):
                 return hole("url", value)
             clean = value
             for pattern, by, mail in redactions:
@@ -211,31 +250,40 @@ def _walked(request: bool, aliased: bool):
             return "REDACTED"
 
         out = dumped(rewritten(loaded(text), rule, names))
-        return {"parts": re.split(f"{MARK}[0-9]+{END}", out), "holes": holes, "gone": gone, "named": named}
+        parts, addresses = [""], []
+        for i, piece in enumerate(HOLE.split(out)):
+            parts[-1] += piece
+            kind, value = holes[i] if i < len(holes) else ("", "")
+            if kind == "ref":
+                parts[-1] += f"{MARK}{value}{END}"
+            elif kind:
+                addresses.append(value)
+                parts.append("")
+        return {"parts": parts, "addresses": addresses, "gone": gone, "named": named}
 
     return walk
 
 
-_PAIR = pa.struct([("kind", pa.string()), ("text", pa.string())])
 _WALKED = pa.struct(
     [
-        ("parts", pa.list_(pa.string())), ("holes", pa.list_(_PAIR)), ("gone", pa.list_(pa.string())),
+        ("parts", pa.list_(pa.string())), ("addresses", pa.list_(pa.string())), ("gone", pa.list_(pa.string())),
         ("named", pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))),
     ]
 )
-_WALKED_DDL = "struct<parts:array<string>,holes:array<struct<kind:string,text:string>>,gone:array<string>,named:array<struct<path:string,text:string>>>"
+_WALKED_DDL = "struct<parts:array<string>,addresses:array<string>,gone:array<string>,named:array<struct<path:string,text:string>>>"
 
 
 def _filled(walked: Column) -> Column:
-    """A JSON text with its addresses sanitised and its identifiers marked."""
-    def text(h: Column) -> Column:
-        clean = F.regexp_replace(values.redacted(sanitised_url(h["text"])), MAIL, "user@example.com")
-        return F.when(
-            h["kind"] == "url", F.replace(F.replace(clean, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')),
-        ).otherwise(F.concat(F.lit(MARK), h["text"], F.lit(END)))
-
-    filled = F.transform(walked["holes"], text)
-    return F.array_join(F.transform(walked["parts"], lambda p, i: F.concat(p, F.coalesce(F.get(filled, i), F.lit("")))), "")
+    """A JSON text with its addresses sanitised."""
+    def text(address: Column) -> Column:
+        clean = F.regexp_replace(values.redacted(sanitised_url(address)), MAIL, "user@example.com")
+        return F.replace(F.replace(clean, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+    filled = bound(
+        F.transform(walked["addresses"], text),
+        lambda filled: F.array_join(F.transform(walked["parts"], lambda p, i: F.concat(p, F.coalesce(F.get(filled, i), F.lit("")))), ""),
+    )
+    return F.when(F.size(walked["addresses"]) == 0, F.get(walked["parts"], F.lit(0))).otherwise(filled)
 
 
 def sanitised_bodies(df: DataFrame, body: str, content_type: str, request: bool = False, aliased: bool = False, most: int = BODY_CHARS) -> DataFrame:
@@ -286,17 +334,19 @@ def captured(df: DataFrame, session: str, order: Sequence[str], url: str, body:
         aliased=True, most=most,
     )
     rows = written(rows.withColumn("_url", sanitised_url(F.col("_url"), aliased=True)), "captures")
-    marked = F.regexp_extract_all(
-        F.concat(F.coalesce(F.col("_body.value"), F.lit("")), F.coalesce("_url", F.lit(""))), F.lit(f"{MARK}([^{END}]*){END}"), F.lit(1),
+    marked = F.array_distinct(
+        F.regexp_extract_all(
+            F.concat(F.coalesce(F.col("_body.value"), F.lit("")), F.coalesce("_url", F.lit(""))), F.lit(f"{MARK}([^{END}]*){END}"), F.lit(1),
+        ),
     )
     seen = rows.select(session, *order, F.posexplode(marked).alias("_place", "_text"))
     first = seen.groupBy(session, "_text").agg(F.min(F.struct(*order, "_place")).alias("_at"))
     names = numbered(first, [session], [F.asc("_at")], "_number").select(
         F.col(session).alias("_s"), "_text", F.concat(F.lit("ref_"), F.col("_number").cast("string")).alias("_ref"),
     )
-    used = seen.select(session, *order, "_text").distinct().withColumnRenamed("_text", "_t")
+    used = seen.select(session, *order, F.col("_text").alias("_t"))
     told = used.join(names, F.col(session).eqNullSafe(F.col("_s")) & (F.col("_t") == F.col("_text")))
-    by_row = told.groupBy(session, *order).agg(F.map_from_entries(F.collect_list(F.struct("_text", "_ref"))).alias("_refs"))
+    by_row = told.groupBy(session, *order).agg(F.map_from_entries(F.collect_set(F.struct("_text", "_ref"))).alias("_refs"))
     keys = [session, *order]
     right = by_row.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], "_refs")
     same = F.lit(True)

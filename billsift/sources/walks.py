@@ -104,14 +104,18 @@ def _refuse(text: str):
     raise ValueError(text)
 
 
+_DECODER = json.JSONDecoder(parse_float=_number, parse_constant=_refuse)
+_ENCODER = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"))
+
+
 def loaded(text: str):
     """A JSON text's value; whole numbers are whole however they are written. Raises ValueError on what is no JSON."""
-    return json.loads(text, parse_float=_number, parse_constant=_refuse)
+    return _DECODER.decode(text)
 
 
 def dumped(value) -> str:
     """Compact JSON; halves of characters stay escaped."""
-    return SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False, separators=(",", ":")))
+    return SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", _ENCODER.encode(value))
 
 
 KEEP = ...  # a single one in every process: what a rule says of a value that stays, or is looked into
@@ -134,13 +138,18 @@ def rewritten(value, rule: Callable, names: Callable[[dict], dict[str, str]] = l
     return value
 
 
+@lru_cache(KEYS_HELD)
+def _hides(unsafe: re.Pattern, key: str) -> bool:
+    return bool(unsafe.match(unquote(key)))
+
+
 def hidden_names(unsafe: re.Pattern) -> Callable[[dict], dict[str, str]]:
     """Gives the members of an object whose names match `unsafe` numbered names that no other member has."""
 
     def names(members: dict) -> dict[str, str]:
         out: dict[str, str] = {}
         taken = set(members)
-        for i, k in enumerate((k for k in members if unsafe.match(unquote(k))), 1):
+        for i, k in enumerate((k for k in members if _hides(unsafe, k)), 1):
             while (name := f"__redacted_key_{i}__") in taken:
                 i += 1
             taken.add(name)

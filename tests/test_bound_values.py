@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from billsift import queries_discovery, queries_tracing
+from billsift import queries_captures, queries_discovery, queries_tracing
 from billsift.functions import transforms, urls, values
-from billsift.sources import scans
+from billsift.sources import captures, scans
 
 
 def _plan(df) -> str:
@@ -56,3 +56,21 @@ def test_signs_keep_every_redaction(spark):
     for pattern, by in values.REDACTIONS:
         plain = F.regexp_replace(plain, pattern, by)
     assert all(a == b for a, b in df.select(values.redacted(F.col("t")), plain).collect())
+
+
+def test_captured_addresses_are_written_once(spark, sf_dir):
+    df = spark.createDataFrame([("https://a.se/users/jane?id=7654321&id=2&page=1&page=x'y#h",)], "u string")
+    told = df.select(captures.sanitised_url(F.col("u"), aliased=True).alias("t"))
+    assert len(_plan(told)) < 20_000
+    assert told.first()["t"] == f"https://a.se/users/{captures.MARK}jane{captures.END}?id={captures.MARK}7654321{captures.END}&page=REDACTED"
+
+
+def test_captures_of_a_small_file_are_spread(spark, sf_dir):
+    assert queries_captures.captured_bodies(spark, sf_dir).rdd.getNumPartitions() >= 8
+
+
+def test_marked_identifiers_and_addresses_keep_their_places(spark):
+    df = spark.createDataFrame([(1, "s", '{"id":7654321,"url":"/users/jane","x":{"id":7654321,"to":"https://a.se/"},"y_id":1234567}')], "n int, s string, b string")
+    rows = df.withColumn("t", F.lit("application/json")).withColumn("u", F.lit("/?id=1234567"))
+    got = captures.captured(rows, "s", ["n"], "u", "b", "t").first()
+    assert got["value"] == '{"id":"ref_1","url":"/users/REDACTED","x":{"id":"ref_1","to":"https://a.se/"},"y_id":"ref_2"}' and got["url"] == "/?id=__ref_2__"
